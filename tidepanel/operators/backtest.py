@@ -12,6 +12,7 @@ from tidepanel.functions.numeric import truthy
 from tidepanel.functions.ranking import group_quantiles
 from tidepanel.functions.rolling import so_far, timeline
 from tidepanel.operators.metrics import with_summed_drawdown
+from tidepanel.operators.portfolio import LIMIT_TOLERANCE
 
 COMMISSION_RATE = 0.001
 SLIPPAGE_RATE = 0.001
@@ -64,7 +65,7 @@ def _execute(
             for t in names
         }
     moved = 0.5 * sum(abs(after[t] - before[t]) for t in names)
-    if moved > MAX_EXECUTION_TURNOVER:
+    if moved > MAX_EXECUTION_TURNOVER + LIMIT_TOLERANCE:
         part = max((MAX_EXECUTION_TURNOVER - EXECUTION_BUFFER) / moved, 0.0)
         after = {t: before[t] + part * (after[t] - before[t]) for t in names}
         moved = 0.5 * sum(abs(after[t] - before[t]) for t in names)
@@ -89,7 +90,7 @@ def price_limit_execution(
             truthy(F.col("close_at_ceiling_today")).alias("at_ceiling"),
             truthy(F.col("close_at_floor_today")).alias("at_floor"),
         )
-        .join(names, "ticker")
+        .join(names.withColumnRenamed(scenario, "__scenario"), "ticker")
     )
 
     def walk(plan: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +109,7 @@ def price_limit_execution(
         return pd.DataFrame(rows, columns=columns)
 
     schema = f"{scenario} string, date date, ticker string, weight double, portfolio_turnover double"
-    path = wanted.groupBy(scenario).cogroup(limits.groupBy(scenario)).applyInPandas(walk, schema)
+    path = wanted.groupBy(scenario).cogroup(limits.groupBy("__scenario")).applyInPandas(walk, schema)
     return path.join(reference, ["date", "ticker"], "left")
 
 

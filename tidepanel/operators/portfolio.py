@@ -25,6 +25,8 @@ MAX_ISSUER_GROUP_WEIGHT = 0.40
 MAX_SECTOR_WEIGHT = 0.35
 MIN_WEIGHT = 1e-8
 TURNOVER_BUFFER = 1e-6
+# A turnover this close to the limit counts as on it, so summation order cannot decide.
+LIMIT_TOLERANCE = 1e-12
 CAP_TOLERANCE = 1e-8
 
 # Controls on high-herding days.
@@ -118,7 +120,7 @@ def capped_step(
 ) -> dict[str, float]:
     """Move from previous towards target as far as the turnover limit allows."""
     needed = turnover(previous, target)
-    if needed <= limit or needed == 0:
+    if needed <= limit + LIMIT_TOLERANCE:
         moved = dict(target)
     else:
         part = max((limit - buffer) / needed, 0.0)

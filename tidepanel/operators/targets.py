@@ -22,7 +22,9 @@ SECTOR_CAP = 0.35
 DIVERSIFIED_TURNOVER = 0.25
 
 QUANTUM = Decimal("1e-12")
-TOLERANCE = 1e-9
+TOLERANCE = 1e-10
+# Room below this is float noise when weight is pushed along a path.
+NOISE = 1e-14
 
 
 def prediction_rank_problems(predictions: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
@@ -57,21 +59,21 @@ def _spread(
 
     def path() -> list[tuple[int, int]] | None:
         """Alternating adds (+1) and takes (-1) from a group with room to a sector with room."""
-        reached = {("g", g): None for g in groups if groups[g] > TOLERANCE}
+        reached = {("g", g): None for g in groups if groups[g] > NOISE}
         queue = list(reached)
         while queue:
             kind, key = node = queue.pop(0)
-            if kind == "s" and sectors[key] > TOLERANCE:
+            if kind == "s" and sectors[key] > NOISE:
                 steps = []
                 while reached[node] is not None:
                     node, step = reached[node]
                     steps.append(step)
                 return steps[::-1]
             for i, (_, g, s) in enumerate(names):
-                if kind == "g" and g == key and weights[i] < name_cap - TOLERANCE and ("s", s) not in reached:
+                if kind == "g" and g == key and weights[i] < name_cap - NOISE and ("s", s) not in reached:
                     reached[("s", s)] = (node, (i, 1))
                     queue.append(("s", s))
-                if kind == "s" and s == key and weights[i] > least + TOLERANCE and ("g", g) not in reached:
+                if kind == "s" and s == key and weights[i] > least + NOISE and ("g", g) not in reached:
                     reached[("g", g)] = (node, (i, -1))
                     queue.append(("g", g))
         return None

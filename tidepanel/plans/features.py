@@ -20,6 +20,7 @@ from tidepanel.operators.labels import (
     modelling_dataset,
     relative_return,
 )
+from tidepanel.session import checkpoint
 
 
 def time_features(bars: DataFrame) -> DataFrame:
@@ -28,8 +29,13 @@ def time_features(bars: DataFrame) -> DataFrame:
 
 
 def combined_features(bars: DataFrame) -> DataFrame:
-    """Basic, momentum, price-limit, liquidity and herding features of every bar."""
-    return add_herding(add_traded_value_rank(add_liquidity(time_features(bars))))
+    """Basic, momentum, price-limit, liquidity and herding features of every bar.
+
+    The cross-sections read the time features several times over, so those are
+    checkpointed once instead of being windowed again for each of them.
+    """
+    timed = checkpoint(time_features(bars))
+    return add_herding(add_traded_value_rank(add_liquidity(timed)))
 
 
 def standard_labels(bars: DataFrame) -> DataFrame:
