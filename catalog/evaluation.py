@@ -321,7 +321,7 @@ def _top_average(spark, folder):
 relation(
     "classified",
     """SELECT date, ticker, target AS actual_return, top_quintile_label AS actual_label, place <= 5 AS selected_top_5 FROM (
-         SELECT q.*, row_number() OVER (PARTITION BY q.date ORDER BY return_10d DESC, q.ticker) AS place
+         SELECT q.date, q.ticker, target, top_quintile_label, row_number() OVER (PARTITION BY q.date ORDER BY return_10d DESC, q.ticker) AS place
          FROM quintiles q JOIN moves m ON q.date = m.date AND q.ticker = m.ticker
          WHERE top_quintile_label IS NOT NULL AND return_10d IS NOT NULL)""",
 )

@@ -1,7 +1,8 @@
 """Registry of named queries: a Spark frame, an output shape and an independent SQL text.
 
 The shape lists the output columns.  ``name`` passes a column on, ``name:6`` rounds it to
-six places and ``name:i`` makes it a 64-bit integer; both engines get the same treatment.
+six places, ``name:6s`` does so after a multiplication that moves exact halves off the
+rounding edge, and ``name:i`` makes it a 64-bit integer; both engines get the same treatment.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 Frame = Callable[[SparkSession, str], DataFrame]
 
+SCALE = 0.7310585786300049
+
 QUERIES: dict[str, Frame] = {}
 SQL_TEXTS: dict[str, tuple[str, str]] = {}
 RELATIONS: dict[str, str] = {}
@@ -34,6 +37,8 @@ def shaped(frame: DataFrame, shape: str) -> DataFrame:
         column = F.col(name)
         if kind == "i":
             column = column.cast("bigint")
+        elif kind.endswith("s"):
+            column = F.round(column.cast("double") * SCALE, int(kind[:-1]))
         elif kind:
             column = F.round(column.cast("double"), int(kind))
         columns.append(column.alias(name))
@@ -60,6 +65,8 @@ def oracle(sql: str, shape: str) -> str:
     for name, kind in _columns(shape):
         if kind == "i":
             columns.append(f"CAST({name} AS BIGINT) AS {name}")
+        elif kind.endswith("s"):
+            columns.append(f"round(CAST({name} AS DOUBLE) * {SCALE}::DOUBLE, {kind[:-1]}) + 0.0 AS {name}")
         elif kind:
             columns.append(f"round(CAST({name} AS DOUBLE), {kind}) + 0.0 AS {name}")
         else:

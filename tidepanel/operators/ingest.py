@@ -22,7 +22,7 @@ def coverage_audit(universe: DataFrame, landed: DataFrame) -> DataFrame:
         universe.select("ticker")
         .distinct()
         .join(per_ticker, "ticker", "left")
-        .withColumn("status", F.when(F.col("row_count").isNull(), "error").otherwise("success"))
+        .withColumn("status", F.when(F.col("row_count").isNull(), "error").otherwise("ok"))
         .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("bigint")))
     )
 
@@ -77,7 +77,7 @@ def overlap_problems(
         F.abs(F.col("landed_close") - F.col("existing_close")), F.abs(F.col("existing_close"))
     )
     problem = F.when(F.col("__landed").isNull(), "missing_from_update").when(
-        F.col("existing_close").isNull() | (F.col("existing_close") == 0) | (shift > tolerance),
+        (F.col("existing_close") == 0) | (shift > tolerance),
         "close_changed",
     )
     return joined.withColumn("problem", problem).where("problem IS NOT NULL").select(

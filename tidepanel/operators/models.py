@@ -639,4 +639,4 @@ def running_moments(per_date: DataFrame) -> DataFrame:
         total = np.cumsum(np.stack(ordered["moments"].to_numpy()), axis=0)
         return pd.DataFrame({"date": ordered["date"].to_numpy(), "moments": list(total)})
 
-    return per_date.groupBy(F.lit(1)).applyInPandas(walk, "date date, moments array<double>")
+    return per_date.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(walk, "date date, moments array<double>")

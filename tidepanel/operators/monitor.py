@@ -14,7 +14,7 @@ SIGNIFICANT = 0.25
 MODERATE = 0.10
 
 
-def _long(frame: DataFrame, features: Sequence[str]) -> DataFrame:
+def long_features(frame: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, window, date, ticker, value) rows."""
     numeric = frame.select(
         "date", "ticker", "window", *[F.col(c).cast("double").alias(c) for c in features]
@@ -98,7 +98,7 @@ def drift_report(
     bins: int = 10,
 ) -> DataFrame:
     """Stability index, status, means and missing rates per feature."""
-    long = _long(split_windows(features, reference_dates, recent_dates), columns)
+    long = long_features(split_windows(features, reference_dates, recent_dates), columns)
 
     def of(window: str, value):
         return F.avg(F.when(F.col("window") == window, value))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.numeric import truthy
 from tidepanel.operators.ledger import decimal_ratio, money, times_quantity
+from tidepanel.session import checkpoint
 
 WEIGHT = "decimal(18,12)"
 
@@ -113,7 +114,7 @@ def capped_targets(targets: DataFrame, rules: Constraints) -> DataFrame:
     """
 
     def cut(value: Column) -> Column:
-        return (F.floor(value.cast("decimal(38,18)") * F.lit(10**12)).cast("decimal(32,0)") / F.lit(10**12)).cast(WEIGHT)
+        return F.floor(value.cast("decimal(32,18)"), F.lit(12)).cast(WEIGHT)
 
     def scaled(frame: DataFrame, group: str, cap: str, rejected: str) -> DataFrame:
         totals = frame.groupBy("account_id", group).agg(F.sum("weight").alias("__total"))
@@ -393,7 +394,8 @@ def order_plan(
     expected_date: object,
 ) -> DataFrame:
     """Orders, holds and skips of every account with sequential ids."""
-    plan = planned_trades(targets, positions, values, snapshots, rules, expected_date)
+    # Read by the early rows and by the funding of requests.
+    plan = checkpoint(planned_trades(targets, positions, values, snapshots, rules, expected_date))
     early = early_rows(plan, rules).select(
         "account_id", F.lit(0).alias("phase"), "ticker", "step",
         F.col("requested_side").alias("requested_side"), "quantity", "price",

@@ -33,7 +33,7 @@ def data_issues(
     jump_threshold: float = JUMP_THRESHOLD,
     stale_run_length: int = STALE_RUN_LENGTH,
 ) -> DataFrame:
-    """One row per (bar, broken rule) with the values that break it."""
+    """One row per (distinct bar, broken rule) with the values that break it and its copies."""
     rows = counted_copies(bars)
     per_key = rows.groupBy("date", "ticker").agg(F.sum("copies").alias("__key_rows"))
     price = F.col("adjusted_close")
@@ -96,9 +96,23 @@ def data_issues(
         "date", "ticker", "__found.issue", "__found.details", "copies"
     )
     # Only the first of identical copies can jump; every copy breaks the other rules.
-    repeats = F.when(F.col("issue") == "suspicious_adjusted_close_jump", F.lit(1)).otherwise(F.col("copies"))
-    return flagged.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), repeats.cast("int")))).select(
-        "date", "ticker", "issue", "details"
+    first_only = F.col("issue") == "suspicious_adjusted_close_jump"
+    return flagged.withColumn("copies", F.when(first_only, F.lit(1).cast("bigint")).otherwise(F.col("copies")))
+
+
+def expand_copies(issues: DataFrame, chunk: int = 1000) -> DataFrame:
+    """One row per copy.
+
+    A row with many copies is first cut into chunks that are spread over the cluster, so
+    no task writes all of them.
+    """
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / chunk).cast("bigint"))
+    size = F.least(F.lit(chunk).cast("bigint"), F.col("copies") - F.col("__chunk") * chunk).cast("int")
+    return (
+        issues.withColumn("__chunk", F.explode(chunks))
+        .repartition("date", "ticker", "issue", "__chunk")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), size)))
+        .select("date", "ticker", "issue", "details")
     )
 
 
@@ -107,7 +121,7 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     counted = issues.groupingSets(
         [[F.col("issue")], [F.col("ticker")], [F.col("date")]],
         F.col("issue"), F.col("ticker"), F.col("date"),
-    ).agg(F.count(F.lit(1)).alias("issue_count"), F.grouping_id().alias("__set"))
+    ).agg(F.sum("copies").alias("issue_count"), F.grouping_id().alias("__set"))
     level = F.when(F.col("__set") == 3, "issue").when(F.col("__set") == 5, "ticker").otherwise("date")
     key = F.coalesce(F.col("issue"), F.col("ticker"), F.col("date").cast("string"))
     return counted.select(level.alias("level"), key.alias("key"), "issue_count")
@@ -126,7 +140,9 @@ def quality_overview(bars: DataFrame, issues: DataFrame) -> DataFrame:
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     ).withColumn("__one", F.lit(1))
-    total = issues.agg(F.count(F.lit(1)).alias("issue_count")).withColumn("__one", F.lit(1))
+    total = issues.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("issue_count")).withColumn(
+        "__one", F.lit(1)
+    )
     return (
         facts.join(total, "__one")
         .drop("__one")
@@ -137,7 +153,7 @@ def quality_overview(bars: DataFrame, issues: DataFrame) -> DataFrame:
 def completed_day_checks(
     bars: DataFrame, universe: DataFrame, expected_date: dt.date | None = None
 ) -> DataFrame:
-    """(check, severity, ticker) for every violated rule of the latest date.
+    """(rule, severity, ticker) for every violated rule of the latest date.
 
     Covers the ticker set against the universe, price presence, sign and ranges, volume
     and traded value, repeated keys in the whole table and the latest date itself.
@@ -166,22 +182,22 @@ def completed_day_checks(
     found = F.filter(
         F.array(
             *[
-                F.when(test, F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity")))
+                F.when(test, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity")))
                 for name, severity, test in checks
             ]
         ),
         lambda x: x.isNotNull(),
     )
-    rows = joined.withColumn("__found", F.explode(found)).select("__found.check", "__found.severity", "ticker")
+    rows = joined.withColumn("__found", F.explode(found)).select("__found.rule", "__found.severity", "ticker")
     repeated = (
         bars.groupBy("date", "ticker").count().where("count > 1")
         .groupBy("ticker").count()
-        .select(F.lit("duplicate_key").alias("check"), F.lit("error").alias("severity"), "ticker")
+        .select(F.lit("duplicate_key").alias("rule"), F.lit("error").alias("severity"), "ticker")
     )
     result = rows.unionByName(repeated)
     if expected_date is not None:
         wrong = latest.where(F.col("date") != F.lit(expected_date)).select(
-            F.lit("unexpected_latest_date").alias("check"),
+            F.lit("unexpected_latest_date").alias("rule"),
             F.lit("error").alias("severity"),
             F.lit(None).cast("string").alias("ticker"),
         )
