@@ -686,9 +686,11 @@ def _order_inputs(spark, folder):
     events = checkpoint(_events(spark, folder))
     positions, cash = le.share_positions(events), le.balances(events)
     values = le.portfolio_value(positions, cash, _whole_marks(spark, folder))
+    latest = fe.snapshot_average_value(panel.bars(spark, folder).where(F.col("date") <= F.lit(ASOF)), unit=1.0)
+    # A name that did not trade on the last day keeps its mark and counts as stale.
     snapshots = (
-        fe.snapshot_average_value(panel.bars(spark, folder).where(F.col("date") <= F.lit(ASOF)), unit=1.0)
-        .join(_whole_marks(spark, folder), "ticker")
+        _whole_marks(spark, folder)
+        .join(latest, "ticker", "left")
         .select(
             "ticker", "data_date", F.col("mark_price").alias("price"),
             F.col("average_daily_value").cast("decimal(24,6)").alias("average_daily_value"),

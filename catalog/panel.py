@@ -105,13 +105,13 @@ def tick(price: str) -> str:
 
 
 def tick_down(price: str) -> str:
-    return f"(round_even(({price} - fmod({price}, {tick(price)})) / {tick(price)}, 0) * {tick(price)})"
+    return f"(round_even(({price} - ({price} % {tick(price)})) / {tick(price)}, 0) * {tick(price)})"
 
 
 def tick_up(price: str) -> str:
     return (
-        f"((round_even(({price} - fmod({price}, {tick(price)})) / {tick(price)}, 0)"
-        f" + CASE WHEN fmod({price}, {tick(price)}) <> 0 THEN 1 ELSE 0 END) * {tick(price)})"
+        f"((round_even(({price} - ({price} % {tick(price)})) / {tick(price)}, 0)"
+        f" + CASE WHEN ({price} % {tick(price)}) <> 0 THEN 1 ELSE 0 END) * {tick(price)})"
     )
 
 

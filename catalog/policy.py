@@ -104,7 +104,7 @@ relation(
 relation(
     "schedule",
     """SELECT date, market_regime FROM (SELECT date, market_regime, row_number() OVER (ORDER BY date) - 1 AS k
-         FROM regimes WHERE date IN (SELECT date FROM pairs)) WHERE k % 5 = 0""",
+         FROM regimes WHERE date IN (SELECT date FROM pairs WHERE model_name = 'momentum' GROUP BY date HAVING count(*) >= 8)) WHERE k % 5 = 0""",
 )
 _CASES = " UNION ALL ".join(
     f"SELECT '{name}' AS policy_name, '{regime}' AS market_regime, '{model}' AS selected_model"
@@ -340,7 +340,7 @@ def _regime_policy_summary(spark, folder):
 @query("c11_rebalance_schedule", "date market_regime", "SELECT * FROM schedule")
 def _schedule(spark, folder):
     return pol.rebalance_schedule(
-        rg.market_regimes(panel.bars(spark, folder)), pol.complete_dates(_pairs(spark, folder))
+        rg.market_regimes(panel.bars(spark, folder)), pol.complete_dates(_pairs(spark, folder).where("model_name = 'momentum'"), at_least=8)
     )
 
 
@@ -357,7 +357,7 @@ def _histories(spark, folder):
     combined = checkpoint(_combined(spark, folder))
     pairs = combined.where(F.col("model_name") == "momentum")
     schedule = checkpoint(
-        pol.rebalance_schedule(rg.market_regimes(panel.bars(spark, folder)), pol.complete_dates(pairs))
+        pol.rebalance_schedule(rg.market_regimes(panel.bars(spark, folder)), pol.complete_dates(pairs, at_least=8))
     )
     return pol.policy_history(combined, schedule, POLICIES)
 
@@ -531,7 +531,7 @@ def _overlay_history(spark, folder):
     """Baseline, overlay at -10% and overlay at -15%, each a policy of the same model."""
     combined = checkpoint(_pairs(spark, folder))
     bars = panel.bars(spark, folder)
-    schedule = checkpoint(pol.rebalance_schedule(rg.market_regimes(bars), pol.complete_dates(combined)))
+    schedule = checkpoint(pol.rebalance_schedule(rg.market_regimes(bars), pol.complete_dates(combined.where("model_name = 'momentum'"), at_least=8)))
     policies = {name: POLICIES["momentum"] for name in ("baseline", "drawdown_10", "drawdown_15")}
     exposures = {
         "drawdown_10": rg.drawdown_overlay(bars, -0.10),

@@ -25,12 +25,14 @@ HISTORY_SCHEMA = (
 )
 
 
-def complete_dates(predictions: DataFrame, realised: str = "actual_return") -> DataFrame:
-    """Dates on which every predicted name has a realised return."""
+def complete_dates(
+    predictions: DataFrame, realised: str = "actual_return", at_least: int = 1
+) -> DataFrame:
+    """Dates with enough predictions on which every predicted name has a realised return."""
     return (
         predictions.groupBy("date")
-        .agg(F.bool_and(F.col(realised).isNotNull()).alias("complete"))
-        .where("complete")
+        .agg(F.bool_and(F.col(realised).isNotNull()).alias("complete"), F.count(F.lit(1)).alias("names"))
+        .where(F.col("complete") & (F.col("names") >= at_least))
         .select("date")
     )
 

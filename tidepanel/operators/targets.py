@@ -117,12 +117,12 @@ def _choose(names: list[tuple[str, str, str]], holdings: int, invested: float, c
 def _allocate(selected: list[tuple[str, str, str]], invested: float, caps: tuple[float, float, float]) -> list[Decimal]:
     """Weights that sum to the invested weight and make the smallest weight as large as possible."""
     low, high = 0.0, min(caps[0], invested / len(selected))
-    if _spread(selected, high, *caps)[0] + TOLERANCE >= invested:
+    if _spread(selected, high, *caps)[0] + 10 * NOISE >= invested:
         low = high
     else:
         for _ in range(60):
             middle = (low + high) / 2
-            if _spread(selected, middle, *caps)[0] + TOLERANCE >= invested:
+            if _spread(selected, middle, *caps)[0] + 10 * NOISE >= invested:
                 low = middle
             else:
                 high = middle

@@ -62,12 +62,16 @@ def apply_batch(
         return {"written": 0, "rejected": 0}
     stored = stored_bars(spark, target)
     latest = stored.agg(F.max("date").alias("latest")).first()["latest"]
-    start = dt.date.min if latest is None else latest - dt.timedelta(days=overlap_days)
-    fresh = rows.where(F.col("date") >= F.lit(start))
-    problems = landed_problems(fresh, bounds["last"]).select("date", "ticker")
-    if latest is not None:
+    if latest is None:
+        fresh = rows
+        problems = landed_problems(fresh, bounds["last"]).select("date", "ticker")
+    else:
+        start = latest - dt.timedelta(days=overlap_days)
+        fresh = rows.where(F.col("date") >= F.lit(start))
         changed = overlap_problems(stored, fresh, close_tolerance, start).where("problem = 'close_changed'")
-        problems = problems.unionByName(changed.select("date", "ticker"))
+        problems = landed_problems(fresh, bounds["last"]).select("date", "ticker").unionByName(
+            changed.select("date", "ticker")
+        )
     problems = problems.distinct()
     accepted = fresh.join(problems, ["date", "ticker"], "left_anti")
     months = _month(accepted).select("month").distinct()
