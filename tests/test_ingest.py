@@ -202,6 +202,16 @@ def test_landed_files_stream_into_the_table(spark, tmp_path):
     assert run() == third
 
 
+def test_a_staged_batch_is_published_again_unchanged(spark, tmp_path):
+    target, staging = str(tmp_path / "bars"), str(tmp_path / "staging")
+    bars = _bars(spark, 60)
+    assert inc.apply_batch(bars, target, staging) == {"written": 120, "rejected": 0}
+    # The same batch once more, as after a lost driver: nothing is merged a second time.
+    changed = bars.withColumn("close", F.col("close") * 1.01)
+    assert inc.apply_batch(changed, target, staging) == {"written": 0, "rejected": 0}
+    assert inc.stored_bars(spark, target).exceptAll(bars).count() == 0
+
+
 def test_event_bars_agree_between_stream_and_table(spark, tmp_path):
     events = spark.createDataFrame(
         [(i, dt.datetime(2024, 1, 1 + i // 10, i % 10, 0), "view" if i % 2 else "click", float(i)) for i in range(40)],

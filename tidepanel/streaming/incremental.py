@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidepanel.operators.ingest import landed_problems, overlap_problems
 from tidepanel.schemas import BAR_SCHEMA
+from tidepanel.session import checkpoint
 from tidepanel.sources.bars import typed_bars
 from tidepanel.sources.tables import write_partitions
 
@@ -53,35 +54,50 @@ def apply_batch(
 
     Only the months the batch touches are read back and rewritten.  Rows of the batch that
     fall before the overlap window are ignored, rows that break a rule are counted and
-    left out.  Rerunning a batch gives the same table.
+    left out.  The merged months are staged first; a batch whose staged months are already
+    complete, because the driver was lost while publishing, is only published again.
     """
     spark = batch.sparkSession
-    rows = batch.select(*BAR_SCHEMA.fieldNames())
-    bounds = rows.agg(F.max("date").alias("last")).first()
-    if bounds["last"] is None:
-        return {"written": 0, "rejected": 0}
-    stored = stored_bars(spark, target)
-    latest = stored.agg(F.max("date").alias("latest")).first()["latest"]
-    if latest is None:
-        fresh = rows
-        problems = landed_problems(fresh, bounds["last"]).select("date", "ticker")
-    else:
-        start = latest - dt.timedelta(days=overlap_days)
-        fresh = rows.where(F.col("date") >= F.lit(start))
-        changed = overlap_problems(stored, fresh, close_tolerance, start).where("problem = 'close_changed'")
-        problems = landed_problems(fresh, bounds["last"]).select("date", "ticker").unionByName(
-            changed.select("date", "ticker")
-        )
-    problems = problems.distinct()
-    accepted = fresh.join(problems, ["date", "ticker"], "left_anti")
-    months = _month(accepted).select("month").distinct()
-    touched = _month(stored).join(F.broadcast(months), "month", "left_semi").drop("month")
-    kept = touched.join(accepted.select("date", "ticker"), ["date", "ticker"], "left_anti")
-    # The target cannot be read and overwritten in one plan, so the result is staged.
-    _month(kept.unionByName(accepted)).write.mode("overwrite").parquet(staging)
-    merged = spark.read.parquet(staging)
-    write_partitions(merged, target, ["month"])
-    return {"written": accepted.count(), "rejected": problems.count()}
+    done = _complete(spark, staging)
+    counts = {"written": 0, "rejected": 0}
+    if not done:
+        rows = batch.select(*BAR_SCHEMA.fieldNames())
+        last = rows.agg(F.max("date").alias("last")).first()["last"]
+        if last is None:
+            return counts
+        stored = stored_bars(spark, target)
+        latest = stored.agg(F.max("date").alias("latest")).first()["latest"]
+        if latest is None:
+            fresh = rows
+            problems = landed_problems(fresh, last).select("date", "ticker")
+        else:
+            start = latest - dt.timedelta(days=overlap_days)
+            fresh = rows.where(F.col("date") >= F.lit(start))
+            changed = overlap_problems(stored, fresh, close_tolerance, start).where("problem = 'close_changed'")
+            problems = landed_problems(fresh, last).select("date", "ticker").unionByName(
+                changed.select("date", "ticker")
+            )
+        problems = checkpoint(problems.distinct())
+        accepted = checkpoint(fresh.join(problems, ["date", "ticker"], "left_anti"))
+        counts = {"written": accepted.count(), "rejected": problems.count()}
+        months = _month(accepted).select("month").distinct()
+        touched = _month(stored).join(F.broadcast(months), "month", "left_semi").drop("month")
+        kept = touched.join(accepted.select("date", "ticker"), ["date", "ticker"], "left_anti")
+        # The target cannot be read and overwritten in one plan.
+        _month(kept.unionByName(accepted)).write.mode("overwrite").parquet(f"{staging}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{staging}/done")
+    write_partitions(spark.read.parquet(f"{staging}/rows"), target, ["month"])
+    return counts
+
+
+def _complete(spark: SparkSession, staging: str) -> bool:
+    """True when the marker written after the staged rows exists."""
+    try:
+        return spark.read.parquet(f"{staging}/done").count() > 0
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
 
 
 def run_landing(
