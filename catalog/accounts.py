@@ -406,7 +406,7 @@ relation(
        WINDOW w AS (PARTITION BY account_id ORDER BY event_date, phase, entry_id ROWS UNBOUNDED PRECEDING)""",
 )
 def _cash_ledger(spark, folder):
-    return le.cash_ledger(_events(spark, folder))
+    return le.cash_ledger(checkpoint(_events(spark, folder)))
 
 
 relation(
@@ -446,7 +446,7 @@ relation(
     "SELECT account_id, ticker, arg_max(average_cost, k) AS average_cost FROM cost_walk GROUP BY 1, 2",
 )
 def _average_costs(spark, folder):
-    return le.average_costs(_trades(spark, folder).where(F.col("trade_date") <= F.lit(ASOF)))
+    return le.average_costs(checkpoint(_trades(spark, folder).where(F.col("trade_date") <= F.lit(ASOF))))
 
 
 @query(

@@ -13,6 +13,7 @@ from tidepanel.operators import selection as se
 from tidepanel.operators import splits
 from tidepanel.operators.labels import index_forward_returns, top_quintile_label
 from tidepanel.operators.models import rank_probabilities
+from tidepanel.session import checkpoint
 from tidepanel.sources.tables import harmonise_predictions
 
 # --- scores and baselines -------------------------------------------------------------
@@ -28,9 +29,9 @@ relation(
 def _score_panel(spark, folder):
     bars = panel.bars(spark, folder)
     moved = fe.add_momentum(fe.add_volatility(fe.add_returns(bars)))
-    return moved.select("date", "ticker", "return_10d", "distance_from_20d_high", "rolling_vol_20d").join(
-        panel.labels(spark, folder), ["date", "ticker"]
-    )
+    chosen = moved.select("date", "ticker", "return_10d", "distance_from_20d_high", "rolling_vol_20d")
+    # Four strategies read this table.
+    return checkpoint(chosen.join(panel.labels(spark, folder), ["date", "ticker"]))
 
 
 @query(

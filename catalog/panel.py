@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import relation
 from tidepanel.plans.features import score_predictions, standard_labels, time_features
+from tidepanel.session import checkpoint
 from tidepanel.sources.bars import brand_bars, brand_universe, supplier_bars
 
 
@@ -31,7 +32,8 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    return score_predictions(bars(spark, folder))
+    """Stored like a model's predictions would be, since every metric reads them several times."""
+    return checkpoint(score_predictions(bars(spark, folder)))
 
 
 def membership(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,31 +52,36 @@ def with_ranks(
     minimum: str | None = None,
     average: str | None = None,
     percent: str | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add the requested ranks of ``value`` inside each ``by`` group.
 
     ``ordinal`` breaks ties by ``tie_break`` ascending, ``minimum`` gives tied rows their
     lowest rank, ``average`` their mean rank and ``percent`` the mean rank over the
     number of ranked rows.  Missing values get null ranks.
+
+    ``counted`` may name an earlier frame with the same rows; bucket sizes are then taken
+    from it, so several ranks in a row do not repeat each other's work.
     """
     by = list(by)
     number = F.col(value)
     direction = 1 if ascending else -1
-    keyed = frame.withColumn(
-        "__bucket",
-        F.coalesce(
+    position = {
+        # Rows without a value are spread instead of meeting in one bucket.
+        "__bucket": F.coalesce(
             value_bucket(number) * F.lit(direction),
             F.lit(MISSING_BUCKET) + F.pmod(F.hash(tie_break), F.lit(1024)),
         ),
-    ).withColumn(
-        "__slice",
-        F.when(number == 0, F.substring(F.col(tie_break), 1, PREFIX_LENGTH)).otherwise(F.lit("")),
-    )
+        "__slice": F.when(number == 0, F.substring(F.col(tie_break), 1, PREFIX_LENGTH)).otherwise(F.lit("")),
+    }
+    keyed = frame.withColumns(position)
     cell = [*by, "__bucket", "__slice"]
     ordered_cells = Window.partitionBy(*by).orderBy("__bucket", "__slice")
     same_bucket = Window.partitionBy(*by, "__bucket")
     cells = (
-        keyed.where(number.isNotNull())
+        (frame if counted is None else counted)
+        .where(number.isNotNull())
+        .withColumns(position)
         .groupBy(*cell)
         .agg(F.count(F.lit(1)).alias("__size"))
         .withColumn("__before", F.sum("__size").over(ordered_cells) - F.col("__size"))
@@ -100,8 +105,8 @@ def with_ranks(
     mean_rank = lowest + (ties - 1) / F.lit(2.0)
     outputs: dict[str, Column] = {}
     if ordinal:
-        position = F.row_number().over(in_cell.orderBy(sort_key, F.col(tie_break).asc()))
-        outputs[ordinal] = F.when(known, F.col("__before") + position)
+        place = F.row_number().over(in_cell.orderBy(sort_key, F.col(tie_break).asc()))
+        outputs[ordinal] = F.when(known, F.col("__before") + place)
     if minimum:
         outputs[minimum] = F.when(known, lowest)
     if average:

@@ -25,6 +25,7 @@ from tidepanel.functions.rolling import (
     with_run_lengths,
     z_score,
 )
+from tidepanel.session import checkpoint
 
 PERIODS_PER_YEAR = 252
 SERIES = ("ticker",)
@@ -66,9 +67,11 @@ def add_average_volume(panel: DataFrame, window: int = 20) -> DataFrame:
     )
 
 
-def add_traded_value_rank(panel: DataFrame) -> DataFrame:
+def add_traded_value_rank(panel: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Share of the date's names with at most this average value, ties averaged."""
-    return with_ranks(panel, ["date"], "average_daily_value_20d", percent="traded_value_rank_20d")
+    return with_ranks(
+        panel, ["date"], "average_daily_value_20d", percent="traded_value_rank_20d", counted=counted
+    )
 
 
 def add_momentum(bars: DataFrame, extreme_window: int = 20) -> DataFrame:
@@ -139,8 +142,8 @@ def winsorised(
     )
 
 
-def add_liquidity(panel: DataFrame, window: int = 20, abnormal_z: float = 2.0) -> DataFrame:
-    """Volume and value z-scores, volume change, turnover and illiquidity; needs ``return_1d``."""
+def add_liquidity_series(panel: DataFrame, window: int = 20, abnormal_z: float = 2.0) -> DataFrame:
+    """Volume and value z-scores, volume change, turnover and raw illiquidity; needs ``return_1d``."""
     series = timeline(*SERIES)
     volume = fill_forward("volume", series)
     if "shares_outstanding" in panel.columns:
@@ -148,7 +151,7 @@ def add_liquidity(panel: DataFrame, window: int = 20, abnormal_z: float = 2.0) -
         turnover_z: Column = z_score("turnover", series, window)
     else:
         turnover_z = F.lit(None).cast("double")
-    timed = (
+    return (
         panel.withColumn("__filled_volume", volume)
         .withColumns(
             {
@@ -162,6 +165,11 @@ def add_liquidity(panel: DataFrame, window: int = 20, abnormal_z: float = 2.0) -
         .withColumn("abnormal_volume_flag", truthy(F.abs("volume_z_20") >= abnormal_z))
         .drop("__filled_volume")
     )
+
+
+def add_liquidity(panel: DataFrame, window: int = 20, abnormal_z: float = 2.0) -> DataFrame:
+    """Liquidity series with illiquidity clipped to the date's 1% and 99% quantiles."""
+    timed = add_liquidity_series(panel, window, abnormal_z)
     return winsorised(timed, "amihud_illiquidity_raw", "amihud_illiquidity")
 
 
@@ -172,7 +180,8 @@ def rank_by_liquidity(panel: DataFrame, date: object | None = None) -> DataFrame
         rows = panel.join(F.broadcast(latest), "date", "left_semi")
     else:
         rows = panel.where(F.col("date") == F.lit(date))
-    rows = rows.select("date", "ticker", "value_traded", "volume", "amihud_illiquidity")
+    # One date only, but read by four ranks.
+    rows = checkpoint(rows.select("date", "ticker", "value_traded", "volume", "amihud_illiquidity"))
     rows = with_ranks(rows, ["date"], "value_traded", ascending=False, minimum="value_traded_rank")
     rows = with_ranks(rows, ["date"], "volume", ascending=False, minimum="volume_rank")
     rows = with_ranks(rows, ["date"], "amihud_illiquidity", minimum="amihud_rank")

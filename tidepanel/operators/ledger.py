@@ -194,57 +194,69 @@ def with_settlement_status(rows: DataFrame, asof: object) -> DataFrame:
 def account_events(trades: DataFrame, asof: object, deposits: DataFrame | None = None) -> DataFrame:
     """Cash and share changes of every trade, settlement and deposit up to a date.
 
-    ``trades`` comes from ``settlements``.  Settlements of a day come before its trades.
+    ``trades`` comes from ``settlements`` and is read once: each row gives its trade and
+    its settlement event.  Settlements of a day come before its trades.
     """
     limit = F.lit(asof).cast("date")
     zero_money, zero = money(F.lit(0)), F.lit(0).cast("bigint")
     buy = F.col("side") == "BUY"
     quantity, net = F.col("quantity"), F.col("net_cash_effect")
-    common = ["account_id", "ticker", "side"]
-    trade = trades.where(F.col("trade_date") <= limit).select(
-        *common,
-        F.col("trade_date").alias("event_date"),
-        "settlement_date",
-        F.lit(2).alias("phase"),
-        F.concat(F.lit("cash-"), F.col("reference_id"), F.lit("-execution")).alias("entry_id"),
-        F.concat(F.col("side"), F.lit("_EXECUTION")).alias("entry_type"),
-        "reference_id",
-        net.alias("amount"),
-        F.when(buy, net).otherwise(zero_money).alias("settled_cash_delta"),
-        F.when(buy, zero_money).otherwise(net).alias("unsettled_cash_delta"),
-        zero.alias("settled_shares_delta"),
-        F.when(buy, quantity).otherwise(zero).alias("unsettled_buy_delta"),
-        F.when(buy, zero).otherwise(quantity).alias("pending_sell_delta"),
+
+    def event(
+        date: Column, phase: int, prefix: str, reference: str, suffix: str,
+        settled: Column, unsettled: Column, shares: Column, bought: Column, sold: Column,
+    ) -> Column:
+        return F.struct(
+            date.alias("event_date"),
+            F.lit(phase).alias("phase"),
+            F.concat(F.lit(prefix), F.col(reference), F.lit(suffix)).alias("entry_id"),
+            F.concat(F.col("side"), F.lit(suffix.upper().replace("-", "_"))).alias("entry_type"),
+            F.col(reference).alias("reference_id"),
+            money(settled).alias("settled_cash_delta"),
+            money(unsettled).alias("unsettled_cash_delta"),
+            shares.alias("settled_shares_delta"),
+            bought.alias("unsettled_buy_delta"),
+            sold.alias("pending_sell_delta"),
+        )
+
+    traded = event(
+        F.col("trade_date"), 2, "cash-", "reference_id", "-execution",
+        F.when(buy, net).otherwise(zero_money), F.when(buy, zero_money).otherwise(net),
+        zero, F.when(buy, quantity).otherwise(zero), F.when(buy, zero).otherwise(quantity),
+    )
+    settled = event(
+        F.col("settlement_date"), 1, "cash-", "settlement_id", "-settlement",
+        F.when(buy, zero_money).otherwise(net), F.when(buy, zero_money).otherwise(-net),
+        F.when(buy, quantity).otherwise(-quantity),
+        F.when(buy, -quantity).otherwise(zero), F.when(buy, zero).otherwise(-quantity),
+    )
+    columns = [
+        "account_id", "ticker", "side", "settlement_date", "amount", "event_date", "phase", "entry_id", "entry_type",
+        "reference_id", "settled_cash_delta", "unsettled_cash_delta", "settled_shares_delta",
+        "unsettled_buy_delta", "pending_sell_delta",
+    ]
+    events = (
+        trades.select(
+            "account_id", "ticker", "side", "settlement_date", net.alias("amount"),
+            F.explode(F.array(traded, settled)).alias("event"),
+        )
+        .select("account_id", "ticker", "side", "settlement_date", "amount", "event.*")
+        .where(F.col("event_date") <= limit)
+        .select(*columns)
     )
-    settle = trades.where(F.col("settlement_date") <= limit).select(
-        *common,
-        F.col("settlement_date").alias("event_date"),
-        "settlement_date",
-        F.lit(1).alias("phase"),
-        F.concat(F.lit("cash-"), F.col("settlement_id"), F.lit("-settlement")).alias("entry_id"),
-        F.concat(F.col("side"), F.lit("_SETTLEMENT")).alias("entry_type"),
-        F.col("settlement_id").alias("reference_id"),
-        net.alias("amount"),
-        F.when(buy, zero_money).otherwise(net).alias("settled_cash_delta"),
-        F.when(buy, zero_money).otherwise(-net).alias("unsettled_cash_delta"),
-        F.when(buy, quantity).otherwise(-quantity).alias("settled_shares_delta"),
-        F.when(buy, -quantity).otherwise(zero).alias("unsettled_buy_delta"),
-        F.when(buy, zero).otherwise(-quantity).alias("pending_sell_delta"),
-    )
-    events = trade.unionByName(settle)
     if deposits is None:
         return events
     opening = deposits.where(F.col("event_date") <= limit).select(
         "account_id",
         F.lit(None).cast("string").alias("ticker"),
         F.lit(None).cast("string").alias("side"),
-        "event_date",
         F.col("event_date").alias("settlement_date"),
+        money("amount").alias("amount"),
+        "event_date",
         F.lit(0).alias("phase"),
         F.lit("cash-initial-deposit").alias("entry_id"),
         F.lit("INITIAL_DEPOSIT").alias("entry_type"),
         F.lit("initial-account-state").alias("reference_id"),
-        money("amount").alias("amount"),
         money("amount").alias("settled_cash_delta"),
         zero_money.alias("unsettled_cash_delta"),
         zero.alias("settled_shares_delta"),

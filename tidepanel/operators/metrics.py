@@ -42,7 +42,7 @@ def rank_ic_by_date(
         *keys, "ticker", F.col(score).alias("__score"), F.col(actual).alias("__actual")
     )
     ranked = with_ranks(paired, keys, "__score", average="__score_rank")
-    ranked = with_ranks(ranked, keys, "__actual", average="__actual_rank")
+    ranked = with_ranks(ranked, keys, "__actual", average="__actual_rank", counted=paired)
     daily = ranked.groupBy(*keys).agg(
         pearson("__score_rank", "__actual_rank").alias("rank_ic"),
         F.count(F.lit(1)).alias("stock_count"),
@@ -449,7 +449,9 @@ def rank_diagnostic(
         ~F.col("__present") | (F.col("model_name") == model)
     ).drop("__present")
     ranked = with_ranks(rows, ["date"], "predicted_return", ascending=False, ordinal="predicted_rank")
-    ranked = with_ranks(ranked, ["date"], "actual_return", ascending=False, ordinal="realized_rank")
+    ranked = with_ranks(
+        ranked, ["date"], "actual_return", ascending=False, ordinal="realized_rank", counted=rows
+    )
     gap = F.col("realized_rank") - F.col("predicted_rank")
     top = F.col("predicted_rank") <= 5
     flag = (

@@ -49,13 +49,17 @@ def stability_index(long: DataFrame, bins: int = 10) -> DataFrame:
     quantiles = group_quantiles(
         reference, ["feature"], "value", {name: i / bins for i, name in enumerate(names)}
     )
-    center = reference.groupBy("feature").agg(
-        F.min_by("value", F.struct("date", "ticker")).alias("center")
-    )
     distinct = F.array_distinct(F.array(*names))
+    # Few features are this narrow; only their rows are searched for the first value.
+    narrow = quantiles.where(F.size(distinct) < 3).select("feature")
+    center = (
+        reference.join(F.broadcast(narrow), "feature", "left_semi")
+        .groupBy("feature")
+        .agg(F.min_by("value", F.struct("date", "ticker")).alias("center"))
+    )
     tolerance = F.greatest(F.abs("center") * 1e-6, F.lit(1e-6))
     # Inner edges only: a value's bin is the number of inner edges at or below it.
-    edges = quantiles.join(center, "feature").select(
+    edges = quantiles.join(center, "feature", "left").select(
         "feature",
         F.when(
             F.size(distinct) < 3, F.array(F.col("center") - tolerance, F.col("center") + tolerance)

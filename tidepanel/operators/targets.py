@@ -159,9 +159,10 @@ def constrained_targets(
 
     Starts from the best ``holdings`` names; while the caps leave too little room, the
     next-ranked name that adds room replaces the worst-ranked name it can.  Whether a name
-    adds room depends only on its issuer group and sector, and at most ``holdings`` names
-    of one such cell are ever held, so ``holdings + 1`` best names per cell are enough and
-    no whole cross-section reaches a task.
+    adds room depends only on its issuer group and sector.  At most ``holdings`` names of
+    one such cell are ever held, and in one sector all groups not held are alike, so the
+    ``holdings + 1`` best names of the ``holdings + 1`` best groups of each sector decide,
+    and no whole cross-section reaches a task.
 
     A date on which the caps cannot hold the weight gives one row with the reason.
     """
@@ -172,6 +173,14 @@ def constrained_targets(
         *by, "ticker", "issuer_group", "sector", F.col(score).cast("double").alias("score")
     )
     cells = top_n(known, [*by, "issuer_group", "sector"], best_first("score"), holdings + 1, "__place")
+    leaders = top_n(
+        cells.where(F.col("__place") == 1).select(*by, "issuer_group", "sector", "ticker", "score"),
+        [*by, "sector"],
+        best_first("score"),
+        holdings + 1,
+        "__group_place",
+    ).select(*by, "issuer_group", "sector")
+    cells = cells.join(leaders, [*by, "issuer_group", "sector"], "left_semi")
     caps = (name_cap, group_cap, sector_cap)
     schema = ", ".join(
         [f"{f.name} {f.dataType.simpleString()}" for f in known.schema if f.name in by]

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators.features import (
     add_basic_features,
-    add_liquidity,
+    add_liquidity_series,
     add_momentum,
     add_price_limits,
     add_traded_value_rank,
+    winsorised,
 )
-from tidepanel.operators.herding import add_herding
+from tidepanel.operators.herding import daily_herding
 from tidepanel.operators.labels import (
     forward_labels,
     known_targets,
@@ -34,8 +35,10 @@ def combined_features(bars: DataFrame) -> DataFrame:
     The cross-sections read the time features several times over, so those are
     checkpointed once instead of being windowed again for each of them.
     """
-    timed = checkpoint(time_features(bars))
-    return add_herding(add_traded_value_rank(add_liquidity(timed)))
+    timed = checkpoint(add_liquidity_series(time_features(bars)))
+    clipped = winsorised(timed, "amihud_illiquidity_raw", "amihud_illiquidity")
+    herding = daily_herding(timed)
+    return add_traded_value_rank(clipped, timed).join(F.broadcast(herding), "date", "left")
 
 
 def standard_labels(bars: DataFrame) -> DataFrame:
