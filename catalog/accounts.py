@@ -686,7 +686,7 @@ def _order_inputs(spark, folder):
     events = checkpoint(_events(spark, folder))
     positions, cash = le.share_positions(events), le.balances(events)
     values = le.portfolio_value(positions, cash, _whole_marks(spark, folder))
-    latest = fe.snapshot_average_value(panel.bars(spark, folder).where(F.col("date") <= F.lit(ASOF)), unit=1.0)
+    latest = fe.snapshot_average_value(panel.bars(spark, folder).where(F.col("date") <= F.lit(ASOF)))
     # A name that did not trade on the last day keeps its mark and counts as stale.
     snapshots = (
         _whole_marks(spark, folder)

@@ -112,25 +112,29 @@ _CASES = " UNION ALL ".join(
     for regime, model in rules.items()
 )
 relation("policy_rules", _CASES)
-relation(
-    "policy_steps",
-    """SELECT s.*, row_number() OVER (PARTITION BY policy_name ORDER BY s.date) AS step, coalesce(w.names, []) AS names, o.outcomes FROM (
-         SELECT policy_name, date, market_regime, selected_model FROM schedule JOIN policy_rules USING (market_regime)) s
+def _steps_sql(rules: str, source: str, exposure: str) -> str:
+    """(policy_name, step, names, outcomes, exposure) for each scheduled date."""
+    return f"""SELECT s.*, row_number() OVER (PARTITION BY policy_name ORDER BY s.date) AS step, coalesce(w.names, []) AS names, o.outcomes, {exposure} AS exposure FROM (
+         SELECT policy_name, date, market_regime, selected_model FROM schedule JOIN {rules} USING (market_regime)) s
+       LEFT JOIN overlay_days v ON v.date = s.date
        LEFT JOIN (SELECT model_name, date, list(ticker ORDER BY ticker) AS names FROM (
-           SELECT *, row_number() OVER (PARTITION BY model_name, date ORDER BY predicted_return DESC, ticker) AS place FROM candidates) WHERE place <= 8 GROUP BY 1, 2) w
+           SELECT *, row_number() OVER (PARTITION BY model_name, date ORDER BY predicted_return DESC, ticker) AS place FROM {source}) WHERE place <= 8 GROUP BY 1, 2) w
          ON w.model_name = s.selected_model AND w.date = s.date
-       LEFT JOIN (SELECT date, map(list(ticker), list(actual_return)) AS outcomes FROM pairs WHERE model_name = 'momentum' GROUP BY 1) o ON o.date = s.date""",
-)
+       LEFT JOIN (SELECT date, map(list(ticker), list(actual_return)) AS outcomes FROM pairs WHERE model_name = 'momentum' GROUP BY 1) o ON o.date = s.date"""
+
+
 _ALL = "list_sort(list_distinct(list_concat(map_keys({a}), map_keys({b}))))"
 _SUM = "coalesce(list_sum(list_transform({names}, lambda t: {value})), 0)"
 _HELD = _ALL.format(a="held", b="following")
-relation(
-    "policy_walk",
-    f"""SELECT DISTINCT policy_name, CAST(0 AS BIGINT) AS step, CAST(NULL AS DATE) AS date, '' AS market_regime, '' AS selected_model,
+
+
+def _walk_sql(walk: str, steps: str) -> str:
+    """Recursive walk over the steps that carries the held weights as a map."""
+    return f"""SELECT DISTINCT policy_name, CAST(0 AS BIGINT) AS step, CAST(NULL AS DATE) AS date, '' AS market_regime, '' AS selected_model, 0::DOUBLE AS target_exposure,
                CAST(map([], []) AS MAP(VARCHAR, DOUBLE)) AS held, 0::DOUBLE AS forced_exit_weight, 0::DOUBLE AS portfolio_turnover,
-               0::DOUBLE AS before_cost_return, 0::DOUBLE AS total_cost FROM policy_steps
+               0::DOUBLE AS before_cost_return, 0::DOUBLE AS total_cost FROM {steps}
        UNION ALL
-       SELECT policy_name, step, date, market_regime, selected_model, following, forced, portfolio_turnover, gross, (buys + sells) * 0.002 + sells * 0.001 FROM (
+       SELECT policy_name, step, date, market_regime, selected_model, exposure, following, forced, portfolio_turnover, gross, (buys + sells) * 0.002 + sells * 0.001 FROM (
        SELECT *, 0.5 * {_SUM.format(names=_HELD, value="abs(coalesce(following[t], 0) - coalesce(held[t], 0))")} AS portfolio_turnover,
               {_SUM.format(names=_HELD, value="greatest(coalesce(following[t], 0) - coalesce(held[t], 0), 0)")} AS buys,
               {_SUM.format(names=_HELD, value="greatest(coalesce(held[t], 0) - coalesce(following[t], 0), 0)")} AS sells,
@@ -142,18 +146,36 @@ relation(
        SELECT *, {_ALL.format(a='carried', b='wanted')} AS all_names,
               0.5 * {_SUM.format(names=_ALL.format(a='carried', b='wanted'), value="abs(coalesce(wanted[t], 0) - coalesce(carried[t], 0))")} AS needed FROM (
        SELECT *, greatest(0.25 - 0.5 * forced, 0) AS room FROM (
-       SELECT s.policy_name, s.step, s.date, s.market_regime, s.selected_model, s.outcomes, p.held,
-              map(s.names, list_transform(s.names, lambda t: 0.97 / 8)) AS wanted,
+       SELECT s.policy_name, s.step, s.date, s.market_regime, s.selected_model, s.outcomes, p.held, s.exposure,
+              map(s.names, list_transform(s.names, lambda t: s.exposure / 8)) AS wanted,
               coalesce(list_sum(list_transform(list_filter(map_keys(p.held), lambda t: s.outcomes[t] IS NULL), lambda t: p.held[t])), 0) AS forced,
               map(list_filter(map_keys(p.held), lambda t: s.outcomes[t] IS NOT NULL),
                   list_transform(list_filter(map_keys(p.held), lambda t: s.outcomes[t] IS NOT NULL), lambda t: p.held[t])) AS carried
-       FROM policy_walk p JOIN policy_steps s ON s.policy_name = p.policy_name AND s.step = p.step + 1))))))""",
-)
+       FROM {walk} p JOIN {steps} s ON s.policy_name = p.policy_name AND s.step = p.step + 1))))))"""
+
+
+relation("policy_steps", _steps_sql("policy_rules", "candidates", "0.97::DOUBLE"))
+relation("policy_walk", _walk_sql("policy_walk", "policy_steps"))
 relation(
     "policy_days",
     """SELECT *, before_cost_return - total_cost AS after_cost_return, coalesce(list_sum(map_values(held)), 0) AS total_weight, len(map_keys(held)) AS selected_count
        FROM policy_walk WHERE step > 0""",
 )
+relation(
+    "overlay_rules",
+    """SELECT p AS policy_name, r AS market_regime, 'momentum' AS selected_model FROM (SELECT unnest(['baseline', 'drawdown_10', 'drawdown_15']) AS p),
+       (SELECT unnest(['trend_up', 'trend_down', 'high_volatility']) AS r)""",
+)
+relation(
+    "overlay_steps",
+    _steps_sql(
+        "overlay_rules",
+        "pairs",
+        "CASE WHEN policy_name = 'drawdown_10' AND market_drawdown <= -0.1 THEN 0.5::DOUBLE "
+        "WHEN policy_name = 'drawdown_15' AND market_drawdown <= -0.15 THEN 0.5::DOUBLE ELSE 0.97::DOUBLE END",
+    ),
+)
+relation("overlay_walk", _walk_sql("overlay_walk", "overlay_steps"))
 
 
 def _summary_sql(source: str, by: str) -> str:
@@ -526,7 +548,11 @@ def _walk_forward(spark, folder):
     return reports.walk_forward_choice(checkpoint(_histories(spark, folder)), HOLDOUT)["holdout"]
 
 
-@query("l07_overlay_history", "policy_name date target_exposure:2 after_cost_return:7 portfolio_turnover:7")
+@query(
+    "l07_overlay_history",
+    "policy_name date target_exposure:2 after_cost_return:7 portfolio_turnover:7",
+    "SELECT *, before_cost_return - total_cost AS after_cost_return FROM overlay_walk WHERE step > 0",
+)
 def _overlay_history(spark, folder):
     """Baseline, overlay at -10% and overlay at -15%, each a policy of the same model."""
     combined = checkpoint(_pairs(spark, folder))

@@ -1,17 +1,16 @@
 """Order sizing for many accounts at once.
 
 Caps, turnover, quantities and trade blocks are columns over (account, ticker).  Only the
-spending of cash, where each purchase leaves less for the next, runs as a grouped function
-over the requests of one account.
+spending of cash, where each purchase leaves less for the next, is a fold over the
+purchases of one account.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from decimal import ROUND_FLOOR, Decimal
+from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +73,8 @@ def cash_effect(side: Column, gross: Column, rules: Constraints) -> Column:
 def affordable_quantity(cash: Column, price: Column, rules: Constraints) -> Column:
     """Lots that cash pays for, fees included."""
     unit = -cash_effect(F.lit("BUY"), price, rules)
-    raw = F.floor(F.try_divide(cash.cast("decimal(26,6)"), unit.cast("decimal(24,9)"))).cast("bigint")
+    whole = F.floor(cash.cast("decimal(32,12)"), F.lit(6)).cast("decimal(26,6)")
+    raw = F.floor(F.try_divide(whole, unit.cast("decimal(24,9)"))).cast("bigint")
     return F.when((cash > 0) & (price > 0), round_lot(raw, rules)).otherwise(F.lit(0).cast("bigint"))
 
 
@@ -292,94 +292,113 @@ def early_rows(plan: DataFrame, rules: Constraints) -> DataFrame:
     )
 
 
-def funded_requests(
-    plan: DataFrame, cash: DataFrame, rules: Constraints
-) -> DataFrame:
+def _cash_before_purchases(buys: DataFrame, rules: Constraints) -> DataFrame:
+    """Cash available to each purchase once the better-ranked ones are paid.
+
+    The only step that depends on the step before it: a fold over an account's purchases,
+    of which there are at most as many as it has names.
+    """
+    smallest = F.lit(rules.min_trade_value).cast("decimal(20,2)")
+    request = F.struct("predicted_rank", (-F.col("lot_value")).alias("order_value"), "ticker", "allowed", "price")
+    gathered = buys.groupBy("account_id").agg(
+        F.first("spendable").alias("spendable"), F.sort_array(F.collect_list(request)).alias("requests")
+    )
+
+    def pay(state: Column, r: Column) -> Column:
+        quantity = F.least(r["allowed"], affordable_quantity(state["cash"], r["price"], rules))
+        worth = times_quantity(r["price"], quantity)
+        paid = F.when((quantity > 0) & (worth >= smallest), cash_effect(F.lit("BUY"), worth, rules)).otherwise(
+            money(F.lit(0))
+        )
+        seen = F.struct(r["ticker"].alias("ticker"), state["cash"].alias("cash_before"))
+        return F.struct(
+            money(state["cash"] + paid).alias("cash"), F.concat(state["seen"], F.array(seen)).alias("seen")
+        )
+
+    start = F.struct(
+        money("spendable").alias("cash"),
+        F.array().cast("array<struct<ticker:string,cash_before:decimal(38,12)>>").alias("seen"),
+    )
+    walked = gathered.select("account_id", F.aggregate("requests", start, pay).alias("state"))
+    return walked.select("account_id", F.explode("state.seen").alias("seen")).select("account_id", "seen.*")
+
+
+def funded_requests(plan: DataFrame, cash: DataFrame, rules: Constraints) -> DataFrame:
     """Orders and skips of the requests: volume limit, sellable shares, settled cash.
 
     Sales come first by value, purchases by predicted rank; every purchase reduces the
-    cash left for the next one.  An account's requests are at most its names.
+    cash left for the next one.
     """
+    smallest = F.lit(rules.min_trade_value).cast("decimal(20,2)")
+    none = F.lit(0).cast("bigint")
+    buffer = F.col("portfolio_value").cast("decimal(26,6)") * F.lit(rules.cash_buffer_weight).cast("decimal(9,6)")
+    limit = adv_quantity_limit(F.col("average_daily_value"), F.col("price"), rules)
     requests = (
         plan.where("is_request")
         .join(cash.select("account_id", "settled_cash"), "account_id")
-        .select(
-            "account_id",
-            "ticker",
-            "side",
-            "lot_quantity",
-            F.col("price").cast("string").alias("price"),
-            F.coalesce("predicted_rank", F.lit(10**9)).cast("bigint").alias("predicted_rank"),
-            "sellable_quantity",
-            F.when(
-                F.col("average_daily_value").isNotNull(),
-                adv_quantity_limit(F.col("average_daily_value"), F.col("price"), rules),
-            ).alias("adv_quantity"),
-            F.greatest(
-                money("settled_cash")
-                - money(F.col("portfolio_value").cast("decimal(26,6)") * F.lit(rules.cash_buffer_weight).cast("decimal(9,6)")),
-                money(F.lit(0)),
-            ).cast("string").alias("spendable_cash"),
+        .withColumns(
+            {
+                "predicted_rank": F.coalesce("predicted_rank", F.lit(10**9)).cast("bigint"),
+                "allowed": F.when(
+                    F.col("average_daily_value").isNotNull(), F.least(F.col("lot_quantity"), limit)
+                ),
+                "spendable": F.greatest(money("settled_cash") - money(buffer), money(F.lit(0))),
+            }
         )
     )
-    unit_cost = 1 + Decimal(rules.commission_rate) + Decimal(rules.slippage_rate)
-    smallest = Decimal(rules.min_trade_value)
-    lot = 1 if rules.allow_odd_lots else rules.round_lot_size
-    columns = ["account_id", "position", "ticker", "side", "quantity", "price", "status", "reason_code", "spendable_after"]
-
-    def spend(group: pd.DataFrame) -> pd.DataFrame:
-        account = group["account_id"].iloc[0]
-        cash_left = Decimal(group["spendable_cash"].iloc[0])
-        group = group.assign(
-            exact=[Decimal(p) for p in group["price"]],
+    buying = F.col("side") == "BUY"
+    funds = _cash_before_purchases(requests.where(buying & F.col("allowed").isNotNull()), rules)
+    affordable = affordable_quantity(F.col("cash_before"), F.col("price"), rules)
+    sized = (
+        requests.join(funds, ["account_id", "ticker"], "left")
+        .withColumn("available", F.when(buying, affordable).otherwise(F.col("sellable_quantity")))
+        .withColumn("short", F.greatest(F.col("allowed") - F.col("available"), none))
+        .withColumn(
+            "quantity",
+            F.when(F.col("short") > 0, round_lot(F.col("available"), rules)).otherwise(F.col("allowed")),
         )
-        group = group.assign(worth=[p * int(q) for p, q in zip(group["exact"], group["lot_quantity"])])
-        sales = sorted(
-            group[group["side"] == "SELL"].itertuples(), key=lambda r: (-r.worth, r.ticker)
+        .withColumn("worth", times_quantity("price", "quantity"))
+    )
+    order = Window.partitionBy("account_id").orderBy(
+        buying.cast("int"),
+        F.when(buying, F.col("predicted_rank")).otherwise(F.lit(0)),
+        F.col("lot_value").desc(),
+        "ticker",
+    )
+    known = F.col("allowed").isNotNull()
+    capped = known & (F.col("allowed") < F.col("lot_quantity"))
+    traded = known & (F.col("quantity") > 0)
+
+    def entry(step: int, test: Column, quantity: Column, status: str, reason: Column) -> Column:
+        return F.when(
+            test,
+            F.struct(
+                F.lit(step).alias("step"),
+                quantity.cast("bigint").alias("quantity"),
+                F.lit(status).alias("status"),
+                reason.alias("reason_code"),
+            ),
         )
-        buys = sorted(
-            group[group["side"] == "BUY"].itertuples(), key=lambda r: (r.predicted_rank, -r.worth, r.ticker)
+
+    volume = F.lit("ADV_CAPACITY_LIMIT")
+    shortage = F.when(buying, "INSUFFICIENT_SETTLED_CASH").otherwise("INSUFFICIENT_SELLABLE_QUANTITY")
+    entries = F.array(
+        entry(1, ~known, F.col("lot_quantity"), "SKIPPED", volume),
+        entry(2, capped, F.col("lot_quantity") - F.col("allowed"), "SKIPPED", volume),
+        entry(3, known & (F.col("short") > 0), F.col("short"), "SKIPPED", shortage),
+        entry(
+            4, traded & (F.col("worth") < smallest), F.col("quantity"), "SKIPPED", F.lit("BELOW_MIN_TRADE_VALUE")
+        ),
+        entry(5, traded & (F.col("worth") >= smallest), F.col("quantity"), "PENDING", F.lit("")),
+    )
+    return (
+        sized.withColumn("position", F.row_number().over(order))
+        .withColumn("__entry", F.explode(F.filter(entries, lambda e: e.isNotNull())))
+        .select(
+            "account_id", "position", "ticker", "side", F.col("price").cast("decimal(18,6)").alias("price"),
+            "__entry.*",
         )
-        rows: list[tuple] = []
-
-        def add(request, quantity: int, status: str, reason: str) -> None:
-            rows.append(
-                (account, len(rows), request.ticker, request.side, quantity, str(request.exact), status, reason, str(cash_left))
-            )
-
-        for request in [*sales, *buys]:
-            quantity = int(request.lot_quantity)
-            if pd.isna(request.adv_quantity):
-                add(request, quantity, "SKIPPED", "ADV_CAPACITY_LIMIT")
-                continue
-            allowed = int(request.adv_quantity)
-            if allowed < quantity:
-                add(request, quantity - allowed, "SKIPPED", "ADV_CAPACITY_LIMIT")
-                quantity = allowed
-            if request.side == "SELL":
-                available, reason = int(request.sellable_quantity), "INSUFFICIENT_SELLABLE_QUANTITY"
-            else:
-                fits = (cash_left / (request.exact * unit_cost)).to_integral_value(rounding=ROUND_FLOOR)
-                available, reason = max(int(fits), 0) // lot * lot, "INSUFFICIENT_SETTLED_CASH"
-            if available < quantity:
-                add(request, quantity - available, "SKIPPED", reason)
-                quantity = available // lot * lot
-            worth = request.exact * quantity
-            if quantity <= 0:
-                continue
-            if worth < smallest:
-                add(request, quantity, "SKIPPED", "BELOW_MIN_TRADE_VALUE")
-                continue
-            if request.side == "BUY":
-                cash_left -= worth * unit_cost
-            add(request, quantity, "PENDING", "")
-        return pd.DataFrame(rows, columns=columns)
-
-    schema = (
-        "account_id string, position int, ticker string, side string, quantity bigint, price string, "
-        "status string, reason_code string, spendable_after string"
     )
-    return requests.groupBy("account_id").applyInPandas(spend, schema)
 
 
 def order_plan(
@@ -403,9 +422,8 @@ def order_plan(
         "reason_code",
     )
     late = funded_requests(plan, cash, rules).select(
-        "account_id", (F.col("position") + 1).alias("phase"), "ticker", F.lit(0).alias("step"),
-        F.col("side").alias("requested_side"), "quantity", F.col("price").cast("decimal(18,6)").alias("price"),
-        "status", "reason_code",
+        "account_id", F.col("position").alias("phase"), "ticker", "step",
+        F.col("side").alias("requested_side"), "quantity", "price", "status", "reason_code",
     )
     signals = targets.select(
         "account_id", "ticker", *(["signal_id"] if "signal_id" in targets.columns else [])
