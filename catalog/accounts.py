@@ -10,6 +10,7 @@ from catalog import panel
 from catalog.registry import query, relation
 from tidepanel.functions import dates as da
 from tidepanel.functions.ranking import top_n
+from tidepanel.operators import backtest as bt
 from tidepanel.operators import features as fe
 from tidepanel.operators import ingest
 from tidepanel.operators import labels as la
@@ -830,6 +831,26 @@ def _ablation(spark, folder):
     return mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns)
 
 
+@query(
+    "k05_scenario_report",
+    "scenario evaluated_dates:i average_rank_ic:6 average_hit_rate:6 average_after_cost_return:6 maximum_turnover:6",
+)
+def _scenario_report(spark, folder):
+    """Ridge on all, on price-only and on volume-free features, each backtested at price limits."""
+    columns = [*FEATURES, "rolling_vol_20d", "volume_z_20", "distance_to_ceiling"]
+    timed = fe.add_liquidity_series(fe.add_price_limits(fe.add_momentum(fe.add_basic_features(panel.bars(spark, folder)))))
+    dataset = checkpoint(la.modelling_dataset(timed, panel.labels(spark, folder), "forward_relative_return_5d"))
+    known = dataset.where("target IS NOT NULL")
+    predicted = checkpoint(
+        mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns)
+    )
+    outcomes = predicted.groupBy("date", "ticker").agg(
+        F.max("actual_return").alias("actual_return"), F.max("predicted_return").alias("predicted_return")
+    )
+    reference = bt.execution_reference(outcomes, bt.liquidity_reference(dataset))
+    return reports.scenario_report(predicted, "scenario", panel.universe(spark, folder), reference)
+
+
 @query("k05_horizon_predictions", "forecast_horizon_days:i " + PREDICTED)
 def _horizons(spark, folder):
     bars = panel.bars(spark, folder)

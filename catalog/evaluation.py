@@ -13,6 +13,7 @@ from tidepanel.operators import selection as se
 from tidepanel.operators import splits
 from tidepanel.operators.labels import index_forward_returns, top_quintile_label
 from tidepanel.operators.models import rank_probabilities
+from tidepanel.plans import reports
 from tidepanel.session import checkpoint
 from tidepanel.sources.tables import harmonise_predictions
 
@@ -288,6 +289,19 @@ def _model_summary(spark, folder):
     return me.model_summary(panel.predictions(spark, folder))
 
 
+@query(
+    "o07_model_report",
+    "model_name evaluated_dates:i average_rank_ic:8 average_hit_rate:8 sharpe_ratio:7",
+    "SELECT *, dates AS date_count FROM model_table",
+)
+def _model_report(spark, folder):
+    tables = reports.model_report(
+        panel.predictions(spark, folder),
+        baselines=se.portfolio_returns(se.baseline_positions(_score_panel(spark, folder))),
+    )
+    return tables["regression"]
+
+
 @query(
     "f06_best_model",
     "model_name average_rank_ic:8",

@@ -15,6 +15,7 @@ from tidepanel.operators import policy as pol
 from tidepanel.operators import regime as rg
 from tidepanel.operators import splits
 from tidepanel.plans import reports
+from tidepanel.plans.features import score_predictions
 from tidepanel.session import checkpoint
 
 MEMBERS = ("momentum", "reversal")
@@ -112,15 +113,15 @@ _CASES = " UNION ALL ".join(
     for regime, model in rules.items()
 )
 relation("policy_rules", _CASES)
-def _steps_sql(rules: str, source: str, exposure: str) -> str:
+def _steps_sql(rules: str, source: str, exposure: str, schedule: str = "schedule", outcomes: str = "pairs", value: str = "actual_return") -> str:
     """(policy_name, step, names, outcomes, exposure) for each scheduled date."""
     return f"""SELECT s.*, row_number() OVER (PARTITION BY policy_name ORDER BY s.date) AS step, coalesce(w.names, []) AS names, o.outcomes, {exposure} AS exposure FROM (
-         SELECT policy_name, date, market_regime, selected_model FROM schedule JOIN {rules} USING (market_regime)) s
+         SELECT policy_name, date, market_regime, selected_model FROM {schedule} JOIN {rules} USING (market_regime)) s
        LEFT JOIN overlay_days v ON v.date = s.date
        LEFT JOIN (SELECT model_name, date, list(ticker ORDER BY ticker) AS names FROM (
            SELECT *, row_number() OVER (PARTITION BY model_name, date ORDER BY predicted_return DESC, ticker) AS place FROM {source}) WHERE place <= 8 GROUP BY 1, 2) w
          ON w.model_name = s.selected_model AND w.date = s.date
-       LEFT JOIN (SELECT date, map(list(ticker), list(actual_return)) AS outcomes FROM pairs WHERE model_name = 'momentum' GROUP BY 1) o ON o.date = s.date"""
+       LEFT JOIN (SELECT date, map(list(ticker), list({value})) AS outcomes FROM {outcomes} WHERE model_name = 'momentum' GROUP BY 1) o ON o.date = s.date"""
 
 
 _ALL = "list_sort(list_distinct(list_concat(map_keys({a}), map_keys({b}))))"
@@ -566,6 +567,68 @@ def _overlay_history(spark, folder):
     return pol.policy_history(combined, schedule, policies, exposure_by_date=exposures)
 
 
+# --- spaced signals with a ten-row horizon --------------------------------------------------
+
+PAPER_POLICIES = {"momentum": POLICIES["momentum"], "ensemble": POLICIES["ensemble"]}
+
+relation(
+    "spaced",
+    """SELECT * FROM (
+         SELECT m.date, m.ticker, x.model_name, CASE WHEN x.model_name = 'momentum' THEN return_10d ELSE -distance_from_20d_high END AS predicted_return,
+                forward_relative_return_10d AS actual_return, forward_return_10d AS portfolio_return
+         FROM moves m JOIN loo USING (date, ticker) JOIN date_list USING (date), (SELECT unnest(['momentum', 'reversal']) AS model_name) x
+         WHERE date_idx % 10 = 0 AND distance_from_20d_high IS NOT NULL)
+       WHERE predicted_return IS NOT NULL AND actual_return IS NOT NULL""",
+)
+relation(
+    "spaced_candidates",
+    """SELECT date, ticker, model_name, predicted_return FROM spaced UNION ALL
+       SELECT date, ticker, 'rank_ensemble', 1 - avg(place) / (max(n) + 1) FROM (
+         SELECT *, row_number() OVER (PARTITION BY model_name, date ORDER BY predicted_return DESC, ticker) AS place,
+                count(*) OVER (PARTITION BY model_name, date) AS n FROM spaced) GROUP BY 1, 2""",
+)
+relation(
+    "spaced_schedule",
+    """SELECT date, market_regime FROM regimes WHERE date IN (SELECT date FROM spaced WHERE model_name = 'momentum' GROUP BY date HAVING count(*) >= 8)""",
+)
+relation(
+    "spaced_rules",
+    "SELECT * FROM policy_rules WHERE policy_name IN ('momentum', 'ensemble')",
+)
+relation(
+    "spaced_steps",
+    _steps_sql("spaced_rules", "spaced_candidates", "0.97::DOUBLE", "spaced_schedule", "spaced", "portfolio_return"),
+)
+relation("spaced_walk", _walk_sql("spaced_walk", "spaced_steps"))
+relation(
+    "spaced_periods",
+    f"""SELECT w.*, before_cost_return - total_cost AS after_cost_return, benchmark_return, CASE WHEN w.date < DATE '{HOLDOUT}' THEN 'training' ELSE 'holdout' END AS period
+        FROM spaced_walk w JOIN (SELECT date, avg(forward_return_10d) AS benchmark_return FROM forwards GROUP BY date) b ON b.date = w.date WHERE step > 0""",
+)
+
+
+@query(
+    "i21_paper_periods",
+    "policy_name period rebalance_dates:i average_after_cost_return:7 average_turnover:7 mean_benchmark:7",
+    """SELECT policy_name, period, count(*) AS rebalance_dates, avg(after_cost_return) AS average_after_cost_return, avg(portfolio_turnover) AS average_turnover,
+       avg(benchmark_return) AS mean_benchmark FROM spaced_periods GROUP BY 1, 2""",
+)
+def _paper_periods(spark, folder):
+    bars = panel.bars(spark, folder)
+    rows = score_predictions(bars, horizon=10)
+    spaced = rows.join(F.broadcast(date_index(bars).where("date_idx % 10 = 0").select("date")), "date", "left_semi")
+    keys = spaced.where("model_name = 'reversal'").select("date", "ticker")
+    pairs = spaced.join(keys, ["date", "ticker"], "left_semi")
+    prepared, benchmark = reports.paper_inputs(checkpoint(pairs), bars, 10)
+    histories = checkpoint(
+        reports.paper_histories(checkpoint(prepared), benchmark, bars, PAPER_POLICIES, MEMBERS)
+    )
+    means = splits.with_period(histories, HOLDOUT).groupBy("policy_name", "period").agg(
+        F.avg("benchmark_return").alias("mean_benchmark")
+    )
+    return reports.paper_periods(histories, HOLDOUT).join(means, ["policy_name", "period"])
+
+
 # --- drift ---------------------------------------------------------------------------------
 
 DRIFT = ["return_1d", "return_20d", "distance_from_20d_high", "hit_ceiling_today", "consecutive_ceiling_days", "average_daily_volume_20d"]

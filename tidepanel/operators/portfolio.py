@@ -8,7 +8,6 @@ function per scenario over at most ``top_n`` rows per date.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,11 +51,15 @@ def missing_context(predictions: DataFrame) -> DataFrame:
 
 def with_mode_parameters(predictions: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
     """One copy of the predictions per mode with that mode's limits as columns."""
-    if "high_herding_day" not in predictions.columns:
-        predictions = predictions.withColumn("high_herding_day", F.lit(False))
-    expanded = predictions.withColumn(
-        "optimization_mode", F.explode(F.array(*[F.lit(m) for m in modes]))
+    return mode_parameters(
+        predictions.withColumn("optimization_mode", F.explode(F.array(*[F.lit(m) for m in modes])))
     )
+
+
+def mode_parameters(expanded: DataFrame) -> DataFrame:
+    """Limits of each row's ``optimization_mode``; an unknown mode gets the normal limits."""
+    if "high_herding_day" not in expanded.columns:
+        expanded = expanded.withColumn("high_herding_day", F.lit(False))
     careful = (F.col("optimization_mode") == "herding_aware") & truthy(F.col("high_herding_day"))
     return expanded.withColumns(
         {
@@ -264,7 +267,3 @@ def concentration_flag() -> Column:
         F.when(F.col("effective_position_count") <= 5.0 + CAP_TOLERANCE, "low_effective_position_count"),
     )
     return F.when(flags == "", "normal").otherwise(flags)
-
-
-def union_modes(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

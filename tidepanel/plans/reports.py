@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.operators.backtest import both_execution_modes, performance_summary
+from tidepanel.operators.backtest import backtest_returns, performance_summary, price_limit_execution
+from tidepanel.operators.ensemble import with_ensembles
+from tidepanel.operators.labels import forward_labels, forward_return
 from tidepanel.operators.metrics import (
     baseline_summary,
     best_model,
@@ -21,15 +23,26 @@ from tidepanel.operators.metrics import (
     scenario_summary,
     with_summed_drawdown,
 )
-from tidepanel.operators.policy import overlay_stability, paired_difference, policy_summary
+from tidepanel.operators.policy import (
+    complete_dates,
+    overlay_stability,
+    paired_difference,
+    policy_history,
+    policy_summary,
+    rebalance_schedule,
+)
 from tidepanel.operators.portfolio import (
     CAP_TOLERANCE,
     MAX_ISSUER_GROUP_WEIGHT,
     concentration_flag,
     daily_concentration,
-    optimised_weights,
+    mode_parameters,
+    target_weights,
+    turnover_limited_path,
 )
+from tidepanel.operators.regime import market_regimes
 from tidepanel.operators.splits import with_period
+from tidepanel.session import checkpoint
 from tidepanel.sources.tables import harmonise_predictions
 
 WEIGHT_DIGITS = 9
@@ -166,26 +179,60 @@ def model_report(
 
 
 def scenario_report(
-    predictions: DataFrame, scenario: str, context: DataFrame, reference: DataFrame, liquidity: DataFrame
+    predictions: DataFrame, scenario: str, context: DataFrame, reference: DataFrame
 ) -> DataFrame:
     """Signal and price-limit backtest summaries per scenario, all scenarios in one plan.
 
-    ``context`` adds issuer group, sector and herding state by (date, ticker).
+    ``predictions`` carry the scenario column, ``context`` adds issuer group and sector by
+    ticker, ``reference`` comes from ``backtest.execution_reference``.
     """
     signal = scenario_summary(predictions, scenario)
-    frames = []
-    names = [r[scenario] for r in predictions.select(scenario).distinct().orderBy(scenario).collect()]
-    for name in names:
-        rows = predictions.where(F.col(scenario) == F.lit(name)).select(
-            "date", "ticker", "predicted_return", "actual_return"
-        ).join(context, ["date", "ticker"])
-        weights = optimised_weights(rows, ["normal"])
-        result = performance_summary(both_execution_modes(weights, reference, liquidity)).where(
-            "execution_mode = 'price_limit_aware'"
-        )
-        frames.append(result.withColumn(scenario, F.lit(name)))
-    backtests = reduce(DataFrame.unionByName, frames).drop("optimization_mode", "execution_mode")
-    return signal.join(backtests, scenario)
+    rows = mode_parameters(
+        predictions.select(
+            F.col(scenario).cast("string").alias("optimization_mode"), "date", "ticker", "predicted_return"
+        ).join(context.select("ticker", "issuer_group", "sector"), "ticker")
+    )
+    weights = checkpoint(
+        turnover_limited_path(target_weights(rows), rows.select("optimization_mode", "date"))
+    )
+    limited = backtest_returns(price_limit_execution(weights, reference))
+    result = performance_summary(limited, ["optimization_mode"]).withColumnRenamed("optimization_mode", scenario)
+    return signal.withColumn(scenario, F.col(scenario).cast("string")).join(result, scenario)
+
+
+def paper_inputs(predictions: DataFrame, bars: DataFrame, horizon: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Predictions with the absolute forward return of their horizon, and its mean per date."""
+    name = forward_return(horizon)
+    absolute = forward_labels(bars, [horizon]).select("date", "ticker", F.col(name).alias("portfolio_return"))
+    benchmark = absolute.groupBy("date").agg(F.avg("portfolio_return").alias("benchmark_return"))
+    return predictions.join(absolute, ["date", "ticker"], "left"), benchmark
+
+
+def paper_histories(
+    prepared: DataFrame,
+    benchmark: DataFrame,
+    bars: DataFrame,
+    policies: Mapping[str, Mapping[str, str]],
+    members: Sequence[str],
+    n: int = 8,
+    horizon: int = 10,
+) -> DataFrame:
+    """Histories of signals already ``horizon`` dates apart, next to the benchmark.
+
+    Absolute returns are earned, relative returns only rank the members; the ensemble looks
+    back over 13 signals, whose labels are known by the next one.
+    """
+    combined = checkpoint(with_ensembles(prepared, members, window=13, lag=0))
+    regimes = checkpoint(market_regimes(bars))
+    dates = complete_dates(prepared, "portfolio_return", at_least=n)
+    schedule = rebalance_schedule(regimes, dates, horizon, pre_spaced=True)
+    realised = prepared.groupBy("date", "ticker").agg(F.max("portfolio_return").alias("realised"))
+    history = policy_history(combined, schedule, policies, realised, n=n, holding=horizon)
+    return history.join(F.broadcast(benchmark), "date", "left")
+
+
+def paper_periods(histories: DataFrame, holdout_start: str) -> DataFrame:
+    return policy_summary(with_period(histories, holdout_start), ["policy_name", "period"])
 
 
 def walk_forward_choice(histories: DataFrame, holdout_start: str) -> dict[str, DataFrame]:
