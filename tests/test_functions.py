@@ -17,19 +17,22 @@ from tidepanel.functions.rolling import with_run_lengths
 def _values(seed: int = 3) -> pd.DataFrame:
     """Two groups; one value holds most of the first group."""
     rng = np.random.default_rng(seed)
-    values = np.concatenate([np.zeros(60), rng.normal(0, 1, 30), rng.normal(0, 1e-6, 10), [np.nan] * 5])
+    values = np.concatenate(
+        [np.zeros(60), [1.001] * 25, [1.002] * 3, [1.0015] * 22, rng.normal(0, 1, 30), rng.normal(0, 1e-6, 10), [np.nan] * 5]
+    )
     first = pd.DataFrame({"g": "hot", "ticker": [f"NAME{i:06d}" for i in range(len(values))], "v": values})
     second = pd.DataFrame({"g": "small", "ticker": ["A", "B", "C", "D"], "v": [5.0, 5.0, -1.0, 2.0]})
     return pd.concat([first, second], ignore_index=True)
 
 
+@pytest.mark.parametrize("heavy", [1, 20, 1_000_000])
 @pytest.mark.parametrize("ascending", [True, False])
-def test_ranks_match_pandas(spark, ascending):
+def test_ranks_match_pandas(spark, ascending, heavy):
     frame = _values()
     rows = [(g, t, None if v != v else v) for g, t, v in frame.itertuples(index=False)]
     got = with_ranks(
         spark.createDataFrame(rows, "g string, ticker string, v double"),
-        ["g"], "v", ascending=ascending, ordinal="o", minimum="m", average="a", percent="p",
+        ["g"], "v", ascending=ascending, ordinal="o", minimum="m", average="a", percent="p", heavy=heavy,
     ).toPandas()
     got = by_key(got, "g", "ticker")
     want = by_key(frame, "g", "ticker")

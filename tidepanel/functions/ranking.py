@@ -4,8 +4,8 @@ A window partitioned by date would put a whole cross-section into one task.  Her
 values are first cut into *value buckets*: a bucket number that only depends on the
 value and grows with it.  Bucket sizes come from a partial aggregate, their running sums
 give the number of rows before each bucket, and only the rows of one bucket are ordered
-together.  Equal zeros, the one value that may hold most of a cross-section, are cut
-further by a prefix of the tie-break key.
+together.  A single value that holds very many rows of a cross-section gets a segment of
+its own, which is cut further by a prefix of the tie-break key.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ BUCKETS_PER_DOUBLING = 64
 BUCKET_OFFSET = 1080 * BUCKETS_PER_DOUBLING
 MISSING_BUCKET = 4 * BUCKET_OFFSET
 PREFIX_LENGTH = 8
+# Rows of one value in one group above which the value is cut by tie-break prefix.
+HEAVY_ROWS = 1_000_000
 
 
 def value_bucket(value: Column) -> Column:
@@ -41,6 +43,21 @@ def top_n(
     return frame.withColumn(rank, position).where(F.col(rank) <= n)
 
 
+def _heavy_values(rows: DataFrame, crowded: DataFrame, by: Sequence[str], value: str, heavy: int) -> DataFrame:
+    """Values repeated more than ``heavy`` times, listed per crowded bucket."""
+    cell = [*by, "__bucket"]
+    return (
+        rows.where(F.col(value).isNotNull())
+        .select(*by, value, value_bucket(F.col(value)).alias("__bucket"))
+        .join(F.broadcast(crowded), cell, "left_semi")
+        .groupBy(*cell, value)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > heavy)
+        .groupBy(*cell)
+        .agg(F.collect_list(value).alias("__heavy"))
+    )
+
+
 def with_ranks(
     frame: DataFrame,
     by: Sequence[str],
@@ -53,6 +70,7 @@ def with_ranks(
     average: str | None = None,
     percent: str | None = None,
     counted: DataFrame | None = None,
+    heavy: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Add the requested ranks of ``value`` inside each ``by`` group.
 
@@ -65,39 +83,70 @@ def with_ranks(
     """
     by = list(by)
     number = F.col(value)
-    direction = 1 if ascending else -1
-    position = {
+    direction = F.lit(1 if ascending else -1)
+    source = (frame if counted is None else counted).where(number.isNotNull())
+    sizes = (
+        source.withColumn("__bucket", value_bucket(number))
+        .groupBy(*by, "__bucket")
+        .agg(F.count(F.lit(1)).alias("__size"))
+    )
+    # At most rows / heavy buckets are crowded; usually none is, and the scans below are skipped.
+    crowded = sizes.where(F.col("__size") > heavy).select(*by, "__bucket")
+    heavy_values = _heavy_values(source, crowded, by, value, heavy)
+    is_heavy = F.coalesce(F.array_contains("__heavy", number), F.lit(False))
+    smaller = F.coalesce(F.size(F.filter("__heavy", lambda x: x < number)), F.lit(0))
+    # Inside a bucket: values between heavy values share an even segment, each heavy value has an odd one.
+    segment = F.when(F.col("__heavy").isNull(), F.lit(0)).otherwise(2 * smaller + is_heavy.cast("int"))
+
+    def located(rows: DataFrame) -> DataFrame:
         # Rows without a value are spread instead of meeting in one bucket.
-        "__bucket": F.coalesce(
-            value_bucket(number) * F.lit(direction),
-            F.lit(MISSING_BUCKET) + F.pmod(F.hash(tie_break), F.lit(1024)),
-        ),
-        "__slice": F.when(number == 0, F.substring(F.col(tie_break), 1, PREFIX_LENGTH)).otherwise(F.lit("")),
-    }
-    keyed = frame.withColumns(position)
-    cell = [*by, "__bucket", "__slice"]
-    ordered_cells = Window.partitionBy(*by).orderBy("__bucket", "__slice")
-    same_bucket = Window.partitionBy(*by, "__bucket")
+        spread = F.lit(MISSING_BUCKET) + F.pmod(F.hash(tie_break), F.lit(1024))
+        return (
+            rows.withColumn("__bucket", F.coalesce(value_bucket(number), spread))
+            .join(F.broadcast(heavy_values), [*by, "__bucket"], "left")
+            .withColumns(
+                {
+                    "__order": F.struct(
+                        (F.col("__bucket") * direction).alias("bucket"), (segment * direction).alias("segment")
+                    ),
+                    "__slice": F.when(is_heavy, F.substring(F.col(tie_break), 1, PREFIX_LENGTH)).otherwise(
+                        F.lit("")
+                    ),
+                    "__is_heavy": is_heavy,
+                }
+            )
+            .drop("__bucket", "__heavy")
+        )
+
+    cell = [*by, "__order", "__slice"]
+    ordered_cells = Window.partitionBy(*by).orderBy("__order", "__slice")
+    same_value = Window.partitionBy(*by, "__order")
+    plain = sizes.where(F.col("__size") <= heavy).select(
+        *by,
+        F.struct((F.col("__bucket") * direction).alias("bucket"), F.lit(0).alias("segment")).alias("__order"),
+        F.lit("").alias("__slice"),
+        "__size",
+    )
+    in_crowded = source.withColumn("__bucket", value_bucket(number)).join(
+        F.broadcast(crowded), [*by, "__bucket"], "left_semi"
+    )
     cells = (
-        (frame if counted is None else counted)
-        .where(number.isNotNull())
-        .withColumns(position)
-        .groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("__size"))
+        plain.unionByName(
+            located(in_crowded.drop("__bucket")).groupBy(*cell).agg(F.count(F.lit(1)).alias("__size"))
+        )
         .withColumn("__before", F.sum("__size").over(ordered_cells) - F.col("__size"))
-        .withColumn("__bucket_before", F.min("__before").over(same_bucket))
-        .withColumn("__bucket_size", F.sum("__size").over(same_bucket))
+        .withColumn("__segment_before", F.min("__before").over(same_value))
+        .withColumn("__segment_size", F.sum("__size").over(same_value))
         .withColumn("__total", F.sum("__size").over(Window.partitionBy(*by)))
     )
-    ranked = keyed.join(cells, cell, "left")
+    ranked = located(frame).join(cells, cell, "left")
     in_cell = Window.partitionBy(*cell)
     sort_key = number.asc() if ascending else number.desc()
     known = number.isNotNull()
-    is_zero = F.col("__bucket") == 0
-    lowest = F.when(is_zero, F.col("__bucket_before") + 1).otherwise(
+    lowest = F.when(F.col("__is_heavy"), F.col("__segment_before") + 1).otherwise(
         F.col("__before") + F.rank().over(in_cell.orderBy(sort_key))
     )
-    ties = F.when(is_zero, F.col("__bucket_size")).otherwise(
+    ties = F.when(F.col("__is_heavy"), F.col("__segment_size")).otherwise(
         F.count(F.lit(1)).over(
             in_cell.orderBy(sort_key).rangeBetween(Window.currentRow, Window.currentRow)
         )
@@ -114,7 +163,7 @@ def with_ranks(
     if percent:
         outputs[percent] = F.when(known, mean_rank / F.col("__total"))
     return ranked.withColumns(outputs).drop(
-        "__bucket", "__slice", "__size", "__before", "__bucket_before", "__bucket_size", "__total"
+        "__order", "__slice", "__is_heavy", "__size", "__before", "__segment_before", "__segment_size", "__total"
     )
 
 
