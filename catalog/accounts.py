@@ -199,7 +199,7 @@ relation(
 
 @query(
     "a02_provider_rows",
-    "date ticker open:9 high:9 low:9 close:9 adjusted_close:9 volume:i value_traded:4s",
+    "date ticker open:5s high:5s low:5s close:5s adjusted_close:5s volume:i value_traded:4s",
     "SELECT date, upper(ticker) AS ticker, open, high, low, close, close AS adjusted_close, volume, close * volume AS value_traded FROM bars",
 )
 def _provider(spark, folder):
@@ -231,7 +231,7 @@ def _window(spark, folder):
 
 @query(
     "a05_merged_window",
-    "date ticker close:9 volume:i",
+    "date ticker close:5s volume:i",
     "SELECT date, ticker, close, volume FROM bars WHERE date < DATE '2000-12-11' UNION ALL SELECT date, ticker, close, volume FROM landed WHERE date >= DATE '2000-12-11'",
 )
 def _merged(spark, folder):

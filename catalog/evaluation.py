@@ -361,7 +361,7 @@ def _classified(spark, folder):
         "date", "ticker", "predicted_probability", F.col("top_quintile_label").alias("actual_label"),
         F.col("target").alias("actual_return"),
     )
-    return rank_probabilities(joined)
+    return checkpoint(rank_probabilities(checkpoint(joined)))
 
 
 @query(

@@ -20,7 +20,7 @@ from tidepanel.plans.features import combined_features, time_features
 
 # --- panel --------------------------------------------------------------------------
 
-BARS = "date ticker open:9 high:9 low:9 close:9 adjusted_close:9 volume:i value_traded:2"
+BARS = "date ticker open:5s high:5s low:5s close:5s adjusted_close:5s volume:i value_traded:2"
 
 
 @query("a01_bars", BARS, "SELECT * FROM bars")
@@ -190,7 +190,7 @@ def _liquidity_ranking(spark, folder):
 
 
 LIMITS = (
-    "date ticker reference_price:9 estimated_ceiling_price:6 estimated_floor_price:6 distance_to_ceiling:8 "
+    "date ticker reference_price:5s estimated_ceiling_price:6 estimated_floor_price:6 distance_to_ceiling:8 "
     "distance_to_floor:8 hit_ceiling_today hit_floor_today close_at_ceiling_today close_at_floor_today"
 )
 
@@ -570,7 +570,7 @@ def _target_split(spark, folder):
 
 @query(
     "c03_point_in_time",
-    "date ticker close:9",
+    "date ticker close:5s",
     """SELECT date, bars.ticker, close FROM bars JOIN members ON bars.ticker = members.ticker
        AND date >= effective_from AND date <= coalesce(effective_to, DATE '9999-12-31')""",
 )
@@ -646,7 +646,7 @@ def _windows(spark, folder):
 
 @query(
     "b06_window_rows",
-    "window_id:i role date ticker close:9",
+    "window_id:i role date ticker close:5s",
     """SELECT window_id, role, date, ticker, close FROM windows JOIN date_list USING (date_idx) JOIN bars USING (date)
        JOIN loo USING (date, ticker) WHERE forward_relative_return_5d IS NOT NULL""",
 )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.helpers import by_key, days, price_panel
 from tidepanel.functions import dates as da
 from tidepanel.functions.numeric import ceil_to_tick, floor_to_tick, pearson, tick_size
-from tidepanel.functions.ranking import group_quantiles, top_n, value_bucket, with_ranks
+from tidepanel.functions.ranking import frequent_values, group_quantiles, top_n, value_bucket, with_ranks
 from tidepanel.functions.rolling import with_run_lengths
 
 
@@ -25,14 +25,14 @@ def _values(seed: int = 3) -> pd.DataFrame:
     return pd.concat([first, second], ignore_index=True)
 
 
-@pytest.mark.parametrize("heavy", [1, 20, 1_000_000])
+@pytest.mark.parametrize("atoms", [(), (0.0,), (0.0, 1.001, 1.0015)])
 @pytest.mark.parametrize("ascending", [True, False])
-def test_ranks_match_pandas(spark, ascending, heavy):
+def test_ranks_match_pandas(spark, ascending, atoms):
     frame = _values()
     rows = [(g, t, None if v != v else v) for g, t, v in frame.itertuples(index=False)]
     got = with_ranks(
         spark.createDataFrame(rows, "g string, ticker string, v double"),
-        ["g"], "v", ascending=ascending, ordinal="o", minimum="m", average="a", percent="p", heavy=heavy,
+        ["g"], "v", ascending=ascending, ordinal="o", minimum="m", average="a", percent="p", atoms=atoms,
     ).toPandas()
     got = by_key(got, "g", "ticker")
     want = by_key(frame, "g", "ticker")
@@ -42,6 +42,11 @@ def test_ranks_match_pandas(spark, ascending, heavy):
         np.testing.assert_allclose(got[column].astype(float), expected, rtol=1e-12)
 
 
+def test_frequent_values_are_found(spark):
+    frame = spark.createDataFrame(_values().dropna())
+    assert frequent_values(frame, ["g"], "v", heavy=20) == [0.0, 1.001, 1.0015]
+
+
 def test_quantiles_match_numpy(spark):
     frame = _values().dropna()
     got = group_quantiles(spark.createDataFrame(frame), ["g"], "v", {"a": 0.0, "b": 0.13, "c": 0.5, "d": 1.0}).toPandas()

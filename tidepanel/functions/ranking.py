@@ -43,19 +43,26 @@ def top_n(
     return frame.withColumn(rank, position).where(F.col(rank) <= n)
 
 
-def _heavy_values(rows: DataFrame, crowded: DataFrame, by: Sequence[str], value: str, heavy: int) -> DataFrame:
-    """Values repeated more than ``heavy`` times, listed per crowded bucket."""
+def frequent_values(
+    frame: DataFrame, by: Sequence[str], value: str, heavy: int = HEAVY_ROWS
+) -> list[float]:
+    """Values that some group repeats more than ``heavy`` times, for ``with_ranks``.
+
+    Runs a job.  Only crowded buckets are looked into, and the result is no longer than
+    rows / ``heavy``.
+    """
     cell = [*by, "__bucket"]
-    return (
-        rows.where(F.col(value).isNotNull())
-        .select(*by, value, value_bucket(F.col(value)).alias("__bucket"))
-        .join(F.broadcast(crowded), cell, "left_semi")
-        .groupBy(*cell, value)
+    located = frame.where(F.col(value).isNotNull()).select(
+        *by, value, value_bucket(F.col(value)).alias("__bucket")
+    )
+    crowded = located.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy)
+    repeated = (
+        located.join(F.broadcast(crowded.select(*cell)), cell, "left_semi")
+        .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > heavy)
-        .groupBy(*cell)
-        .agg(F.collect_list(value).alias("__heavy"))
     )
+    return sorted(float(r[0]) for r in repeated.select(value).distinct().collect())
 
 
 def with_ranks(
@@ -70,7 +77,7 @@ def with_ranks(
     average: str | None = None,
     percent: str | None = None,
     counted: DataFrame | None = None,
-    heavy: int = HEAVY_ROWS,
+    atoms: Sequence[float] = (0.0,),
 ) -> DataFrame:
     """Add the requested ranks of ``value`` inside each ``by`` group.
 
@@ -79,74 +86,50 @@ def with_ranks(
     number of ranked rows.  Missing values get null ranks.
 
     ``counted`` may name an earlier frame with the same rows; bucket sizes are then taken
-    from it, so several ranks in a row do not repeat each other's work.
+    from it, so several ranks in a row do not repeat each other's work.  ``atoms`` lists
+    values that may hold a large part of a group (see ``frequent_values``); their rows are
+    spread by tie-break prefix.  The list changes the plan, never the ranks.
     """
     by = list(by)
     number = F.col(value)
     direction = F.lit(1 if ascending else -1)
-    source = (frame if counted is None else counted).where(number.isNotNull())
-    sizes = (
-        source.withColumn("__bucket", value_bucket(number))
-        .groupBy(*by, "__bucket")
-        .agg(F.count(F.lit(1)).alias("__size"))
-    )
-    # At most rows / heavy buckets are crowded; usually none is, and the scans below are skipped.
-    crowded = sizes.where(F.col("__size") > heavy).select(*by, "__bucket")
-    heavy_values = _heavy_values(source, crowded, by, value, heavy)
-    is_heavy = F.coalesce(F.array_contains("__heavy", number), F.lit(False))
-    smaller = F.coalesce(F.size(F.filter("__heavy", lambda x: x < number)), F.lit(0))
-    # Inside a bucket: values between heavy values share an even segment, each heavy value has an odd one.
-    segment = F.when(F.col("__heavy").isNull(), F.lit(0)).otherwise(2 * smaller + is_heavy.cast("int"))
-
-    def located(rows: DataFrame) -> DataFrame:
-        # Rows without a value are spread instead of meeting in one bucket.
-        spread = F.lit(MISSING_BUCKET) + F.pmod(F.hash(tie_break), F.lit(1024))
-        return (
-            rows.withColumn("__bucket", F.coalesce(value_bucket(number), spread))
-            .join(F.broadcast(heavy_values), [*by, "__bucket"], "left")
-            .withColumns(
-                {
-                    "__order": F.struct(
-                        (F.col("__bucket") * direction).alias("bucket"), (segment * direction).alias("segment")
-                    ),
-                    "__slice": F.when(is_heavy, F.substring(F.col(tie_break), 1, PREFIX_LENGTH)).otherwise(
-                        F.lit("")
-                    ),
-                    "__is_heavy": is_heavy,
-                }
-            )
-            .drop("__bucket", "__heavy")
-        )
-
-    cell = [*by, "__order", "__slice"]
-    ordered_cells = Window.partitionBy(*by).orderBy("__order", "__slice")
-    same_value = Window.partitionBy(*by, "__order")
-    plain = sizes.where(F.col("__size") <= heavy).select(
-        *by,
-        F.struct((F.col("__bucket") * direction).alias("bucket"), F.lit(0).alias("segment")).alias("__order"),
-        F.lit("").alias("__slice"),
-        "__size",
-    )
-    in_crowded = source.withColumn("__bucket", value_bucket(number)).join(
-        F.broadcast(crowded), [*by, "__bucket"], "left_semi"
-    )
+    is_atom = F.coalesce(number.isin([float(a) for a in atoms]), F.lit(False)) if atoms else F.lit(False)
+    # An atom has an odd segment of its own, the values between atoms share even ones.
+    segment = F.lit(0)
+    for atom in atoms:
+        segment = segment + 2 * (number > F.lit(float(atom))).cast("int")
+    segment = segment + is_atom.cast("int")
+    # Rows without a value are spread instead of meeting in one bucket.
+    spread = F.lit(MISSING_BUCKET) + F.pmod(F.hash(tie_break), F.lit(1024))
+    position = {
+        "__bucket": F.coalesce(value_bucket(number) * direction, spread),
+        "__segment": F.coalesce(segment * direction, F.lit(0)),
+        "__slice": F.when(is_atom, F.substring(F.col(tie_break), 1, PREFIX_LENGTH)).otherwise(F.lit("")),
+    }
+    order = ["__bucket", "__segment", "__slice"]
+    cell = [*by, *order]
+    same_value = Window.partitionBy(*by, "__bucket", "__segment")
     cells = (
-        plain.unionByName(
-            located(in_crowded.drop("__bucket")).groupBy(*cell).agg(F.count(F.lit(1)).alias("__size"))
+        (frame if counted is None else counted)
+        .where(number.isNotNull())
+        .withColumns(position)
+        .groupBy(*cell)
+        .agg(F.count(F.lit(1)).alias("__size"))
+        .withColumn(
+            "__before", F.sum("__size").over(Window.partitionBy(*by).orderBy(*order)) - F.col("__size")
         )
-        .withColumn("__before", F.sum("__size").over(ordered_cells) - F.col("__size"))
         .withColumn("__segment_before", F.min("__before").over(same_value))
         .withColumn("__segment_size", F.sum("__size").over(same_value))
         .withColumn("__total", F.sum("__size").over(Window.partitionBy(*by)))
     )
-    ranked = located(frame).join(cells, cell, "left")
+    ranked = frame.withColumns(position).join(cells, cell, "left")
     in_cell = Window.partitionBy(*cell)
     sort_key = number.asc() if ascending else number.desc()
     known = number.isNotNull()
-    lowest = F.when(F.col("__is_heavy"), F.col("__segment_before") + 1).otherwise(
+    lowest = F.when(is_atom, F.col("__segment_before") + 1).otherwise(
         F.col("__before") + F.rank().over(in_cell.orderBy(sort_key))
     )
-    ties = F.when(F.col("__is_heavy"), F.col("__segment_size")).otherwise(
+    ties = F.when(is_atom, F.col("__segment_size")).otherwise(
         F.count(F.lit(1)).over(
             in_cell.orderBy(sort_key).rangeBetween(Window.currentRow, Window.currentRow)
         )
@@ -163,7 +146,7 @@ def with_ranks(
     if percent:
         outputs[percent] = F.when(known, mean_rank / F.col("__total"))
     return ranked.withColumns(outputs).drop(
-        "__order", "__slice", "__is_heavy", "__size", "__before", "__segment_before", "__segment_size", "__total"
+        *order, "__size", "__before", "__segment_before", "__segment_size", "__total"
     )
 
 

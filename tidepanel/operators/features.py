@@ -182,14 +182,14 @@ def rank_by_liquidity(panel: DataFrame, date: object | None = None) -> DataFrame
         rows = panel.where(F.col("date") == F.lit(date))
     # One date only, but read by four ranks.
     rows = checkpoint(rows.select("date", "ticker", "value_traded", "volume", "amihud_illiquidity"))
-    rows = with_ranks(rows, ["date"], "value_traded", ascending=False, minimum="value_traded_rank")
-    rows = with_ranks(rows, ["date"], "volume", ascending=False, minimum="volume_rank")
-    rows = with_ranks(rows, ["date"], "amihud_illiquidity", minimum="amihud_rank")
-    rows = rows.withColumn(
+    ranked = with_ranks(rows, ["date"], "value_traded", ascending=False, minimum="value_traded_rank")
+    ranked = with_ranks(ranked, ["date"], "volume", ascending=False, minimum="volume_rank", counted=rows)
+    ranked = with_ranks(ranked, ["date"], "amihud_illiquidity", minimum="amihud_rank", counted=rows)
+    scored = ranked.withColumn(
         "liquidity_rank_score",
         F.col("value_traded_rank") + F.col("volume_rank") + F.col("amihud_rank"),
     )
-    return with_ranks(rows, ["date"], "liquidity_rank_score", minimum="liquidity_rank")
+    return with_ranks(checkpoint(scored), ["date"], "liquidity_rank_score", minimum="liquidity_rank")
 
 
 def snapshot_average_value(bars: DataFrame, window: int = 20, unit: float = 1000.0) -> DataFrame:
