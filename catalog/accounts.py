@@ -634,7 +634,7 @@ def _calendar_query(spark, folder):
 def _timing(spark, folder):
     data_date = panel.bars(spark, folder).where("date <= DATE '2001-10-29'").agg(F.max("date")).first()[0]
     run = dt.datetime(2001, 10, 29, 9, 0, tzinfo=dt.timezone.utc)
-    return da.signal_timing(_calendar(spark), data_date, run, "Asia/Ho_Chi_Minh", "15:15", "08:45")
+    return da.signal_timing(_calendar(spark), data_date, run, "Asia/Bangkok", "15:15", "08:45")
 
 
 @query(

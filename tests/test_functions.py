@@ -115,7 +115,7 @@ def test_trading_calendar(spark):
 def test_signal_timing_uses_the_local_cutoff(spark, hour, expected, status):
     calendar = da.trading_calendar(spark, dt.date(2023, 12, 25), dt.date(2024, 1, 19))
     run = dt.datetime(2024, 1, 5, hour, 0, tzinfo=dt.timezone.utc)
-    row = da.signal_timing(calendar, dt.date(2024, 1, 5), run, "Asia/Ho_Chi_Minh", "15:15", "08:45").first()
+    row = da.signal_timing(calendar, dt.date(2024, 1, 5), run, "Asia/Bangkok", "15:15", "08:45").first()
     assert row["expected_data_date"] == expected and row["timing_status"] == status
     assert row["intended_execution_date"] == dt.date(2024, 1, 8)
 
@@ -123,7 +123,7 @@ def test_signal_timing_uses_the_local_cutoff(spark, hour, expected, status):
 def test_late_submission_is_stale(spark):
     calendar = da.trading_calendar(spark, dt.date(2023, 12, 25), dt.date(2024, 1, 19))
     run = dt.datetime(2024, 1, 8, 2, 0, tzinfo=dt.timezone.utc)
-    row = da.signal_timing(calendar, dt.date(2024, 1, 5), run, "Asia/Ho_Chi_Minh", "15:15", "08:45").first()
+    row = da.signal_timing(calendar, dt.date(2024, 1, 5), run, "Asia/Bangkok", "15:15", "08:45").first()
     assert row["timing_status"] == "submission_cutoff_passed"
     with pytest.raises(ValueError, match="timezone-aware"):
         da.latest_completed_day(calendar, dt.datetime(2024, 1, 8), "UTC", "15:15")

@@ -286,21 +286,23 @@ def block_bootstrap(
     )
 
 
-def overlay_stability(paired: DataFrame, block: int = 5, samples: int = 2000) -> DataFrame:
+def overlay_stability(
+    paired: DataFrame, block: int = 5, samples: int = 2000, comparison: str = "overlay"
+) -> DataFrame:
     """Bootstrap interval of a paired difference with positive dates and years."""
     value = "after_cost_return_difference"
-    yearly = paired.groupBy(F.year("date").alias("year")).agg(
+    named = paired.withColumn("comparison", F.lit(comparison))
+    yearly = named.groupBy("comparison", F.year("date").alias("year")).agg(
         F.avg(value).alias("mean"), F.count_if(F.col(value) > 0).alias("positive")
     )
-    years = yearly.agg(
+    years = yearly.groupBy("comparison").agg(
         F.sum("positive").alias("positive_rebalance_dates"),
         F.count_if(F.col("mean") > 0).alias("positive_years"),
         F.count(F.lit(1)).alias("available_years"),
-    ).withColumn("__one", F.lit(1))
-    interval = block_bootstrap(paired, value, block=block, samples=samples).withColumn("__one", F.lit(1))
+    )
     return (
-        interval.join(years, "__one")
-        .drop("__one")
+        block_bootstrap(named, value, ["comparison"], block, samples)
+        .join(years, "comparison")
         .withColumnsRenamed(
             {"sample_size": "paired_rebalance_dates", "mean_value": "mean_after_cost_return_difference"}
         )

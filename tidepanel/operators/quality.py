@@ -139,13 +139,15 @@ def quality_overview(bars: DataFrame, issues: DataFrame) -> DataFrame:
         F.countDistinct("date").alias("date_count"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
-    ).withColumn("__one", F.lit(1))
-    total = issues.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("issue_count")).withColumn(
-        "__one", F.lit(1)
     )
+    total = issues.agg(F.sum("copies").alias("issue_count"))
+    # Each side is one row with its own columns; the aggregate lays them over each other.
     return (
-        facts.join(total, "__one")
-        .drop("__one")
+        facts.unionByName(total, allowMissingColumns=True)
+        .agg(
+            *[F.max(c).alias(c) for c in facts.columns],
+            F.coalesce(F.max("issue_count"), F.lit(0).cast("bigint")).alias("issue_count"),
+        )
         .withColumn("status", F.when(F.col("issue_count") == 0, "PASS").otherwise("REVIEW"))
     )
 
