@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,16 +76,16 @@ def nearest_trading_days(frame: DataFrame, calendar: DataFrame, column: str) ->
     return frame.join(F.broadcast(lookup), column, "left")
 
 
-def _local_time(generated_at: dt.datetime, timezone: str) -> Column:
+def _local_clock(generated_at: dt.datetime, timezone: str) -> tuple[Column, Column]:
+    """Local date and time of day of an aware run time, independent of the session zone."""
     if generated_at.tzinfo is None:
         raise ValueError("generated_at must be timezone-aware")
-    utc = generated_at.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    return F.from_utc_timestamp(F.lit(utc), timezone)
+    local = generated_at.astimezone(ZoneInfo(timezone))
+    return F.lit(local.date()), F.lit(local.strftime("%H:%M:%S"))
 
 
-def _last_completed(local: Column, cutoff: str) -> Column:
-    past_cutoff = F.date_format(local, "HH:mm") >= F.lit(cutoff)
-    last_day = F.when(past_cutoff, F.to_date(local)).otherwise(F.date_sub(F.to_date(local), 1))
+def _last_completed(today: Column, clock: Column, cutoff: str) -> Column:
+    last_day = F.when(clock >= F.lit(f"{cutoff}:00"), today).otherwise(F.date_sub(today, 1))
     return F.max(F.when(F.col("date") <= last_day, F.col("date")))
 
 
@@ -92,8 +93,8 @@ def latest_completed_day(
     calendar: DataFrame, generated_at: dt.datetime, timezone: str, cutoff: str
 ) -> DataFrame:
     """Last trading day whose local cutoff has passed at an aware run time."""
-    local = _local_time(generated_at, timezone)
-    return calendar.agg(_last_completed(local, cutoff).alias("completed_date"))
+    today, clock = _local_clock(generated_at, timezone)
+    return calendar.agg(_last_completed(today, clock, cutoff).alias("completed_date"))
 
 
 def signal_timing(
@@ -106,15 +107,14 @@ def signal_timing(
     enforce_submission: bool = True,
 ) -> DataFrame:
     """One row: data date, next execution date, expected date and timing status."""
-    local = _local_time(generated_at, timezone)
+    today, clock = _local_clock(generated_at, timezone)
     data_day = F.lit(data_date)
     bounds = calendar.agg(
-        _last_completed(local, data_cutoff).alias("expected_data_date"),
+        _last_completed(today, clock, data_cutoff).alias("expected_data_date"),
         F.min(F.when(F.col("date") > data_day, F.col("date"))).alias("intended_execution_date"),
     )
-    today, clock = F.to_date(local), F.date_format(local, "HH:mm:ss")
     missed = (today > F.col("intended_execution_date")) | (
-        (today == F.col("intended_execution_date")) & (clock > F.lit(submission_cutoff + ":00"))
+        (today == F.col("intended_execution_date")) & (clock > F.lit(f"{submission_cutoff}:00"))
     )
     status = F.when(F.col("expected_data_date") != data_day, "unexpected_data_date")
     if enforce_submission:

@@ -121,9 +121,7 @@ def event_bars(events: DataFrame, lateness: str = "14 days", width: str = "1 day
 
     The first and last value of a bar follow the event time and, inside it, the event id.
     """
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    if events.isStreaming:
-        timed = timed.withWatermark("ts", lateness)
+    timed = events.withWatermark("ts", lateness) if events.isStreaming else events
     order = F.struct("ts", "event_id")
     return (
         timed.groupBy(F.window("ts", width), "event_type")
