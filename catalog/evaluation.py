@@ -240,7 +240,7 @@ def stats_sql(source: str, value: str, by: str, extra: str = "") -> str:
         FROM ({drawdown_sql(source, value, by)}) GROUP BY {by}"""
 
 
-STATS = "evaluated_dates:i average_return:8 sharpe_ratio:7 max_drawdown:6"
+STATS = "evaluated_dates:i average_return:8 sharpe_ratio:7 max_drawdown:6l"
 
 
 @query("i07_sharpe_ratio", "strategy sharpe_ratio:7", "SELECT strategy, avg(portfolio_return) / nullif(stddev_samp(portfolio_return), 0) * sqrt(252) AS sharpe_ratio FROM strategy_returns GROUP BY 1")
@@ -251,7 +251,7 @@ def _sharpe(spark, folder):
 
 @query(
     "i08_compounded_drawdown",
-    "strategy date drawdown:6",
+    "strategy date drawdown:6l",
     drawdown_sql("strategy_returns", "active_return / 10", "strategy"),
 )
 def _drawdown(spark, folder):
@@ -280,7 +280,7 @@ relation(
 )
 MODEL = (
     "model_name evaluated_dates:i average_rank_ic:8 average_hit_rate:8 average_top_minus_bottom_spread:8 "
-    "average_gross_top_n_return:8 average_after_cost_return:8 sharpe_ratio:7 max_drawdown:6 average_turnover:8 average_transaction_cost:8"
+    "average_gross_top_n_return:8 average_after_cost_return:8 sharpe_ratio:7 max_drawdown:6l average_turnover:8 average_transaction_cost:8"
 )
 
 
@@ -389,7 +389,7 @@ def _classification_summary(spark, folder):
 
 @query(
     "i12_baseline_summary",
-    "strategy evaluated_dates:i average_portfolio_return:8 average_active_return:8 sharpe_ratio:7 max_drawdown:6 average_selected_count:8",
+    "strategy evaluated_dates:i average_portfolio_return:8 average_active_return:8 sharpe_ratio:7 max_drawdown:6l average_selected_count:8",
     "SELECT *, average_return AS average_portfolio_return FROM ("
     + stats_sql("strategy_returns", "portfolio_return", "strategy", ", avg(active_return) AS average_active_return, avg(selected_count) AS average_selected_count")
     + ")",

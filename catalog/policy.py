@@ -315,7 +315,7 @@ def _overlay(spark, folder):
 
 @query(
     "e23_market_regimes",
-    "date market_regime trailing_return:6 trailing_volatility:7 volatility_baseline:7",
+    "date market_regime trailing_return:6l trailing_volatility:7 volatility_baseline:7",
     "SELECT * FROM regimes",
 )
 def _regimes(spark, folder):
@@ -352,7 +352,7 @@ def _regime_policy(spark, folder):
 
 @query(
     "l09_regime_policy_summary",
-    "evaluated_dates:i invested_dates:i cash_dates:i average_top_n_actual_return:8 top_n_return_volatility:8 cumulative_top_n_actual_return:5",
+    "evaluated_dates:i invested_dates:i cash_dates:i average_top_n_actual_return:8 top_n_return_volatility:8 cumulative_top_n_actual_return:6l",
     """SELECT count(*) AS evaluated_dates, count(*) FILTER (selected_model <> 'cash') AS invested_dates, count(*) FILTER (selected_model = 'cash') AS cash_dates,
        avg(top_n_actual_return) AS average_top_n_actual_return, stddev_samp(top_n_actual_return) AS top_n_return_volatility, product(1 + top_n_actual_return) - 1 AS cumulative_top_n_actual_return FROM regime_choice""",
 )
@@ -398,7 +398,7 @@ def _policy_history(spark, folder):
 
 POLICY_SUMMARY = (
     "rebalance_dates:i average_after_cost_return:7 return_volatility:7 average_turnover:7 maximum_turnover:7 forced_exit_dates:i "
-    "maximum_forced_exit_weight:7 final_cumulative_after_cost_return:5 max_after_cost_drawdown:6"
+    "maximum_forced_exit_weight:7 final_cumulative_after_cost_return:6l max_after_cost_drawdown:6l"
 )
 
 
@@ -516,7 +516,7 @@ relation(
 
 @query(
     "i21_yearly_summary",
-    "policy_name year:i rebalance_dates:i cumulative_portfolio_return:6 cumulative_benchmark_return:6 cumulative_active_return:6 max_portfolio_drawdown:6",
+    "policy_name year:i rebalance_dates:i cumulative_portfolio_return:6l cumulative_benchmark_return:6l cumulative_active_return:6l max_portfolio_drawdown:6l",
     """SELECT policy_name, year(date) AS year, count(*) AS rebalance_dates, arg_max(nav, date) - 1 AS cumulative_portfolio_return, arg_max(bench, date) - 1 AS cumulative_benchmark_return,
        arg_max(nav / bench, date) - 1 AS cumulative_active_return, min(nav / greatest(peak, 1) - 1) AS max_portfolio_drawdown
        FROM (SELECT *, max(nav) OVER (PARTITION BY policy_name, year(date) ORDER BY date) AS peak FROM (

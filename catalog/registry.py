@@ -2,7 +2,8 @@
 
 The shape lists the output columns.  ``name`` passes a column on, ``name:6`` rounds it to
 six places, ``name:6s`` does so after a multiplication that moves exact halves off the
-rounding edge, and ``name:i`` makes it a 64-bit integer; both engines get the same treatment.
+rounding edge, ``name:6l`` rounds sign(x) * ln(1 + |x|) of a compounded figure that may be
+very large, and ``name:i`` makes it a 64-bit integer; both engines get the same treatment.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ def shaped(frame: DataFrame, shape: str) -> DataFrame:
             column = column.cast("bigint")
         elif kind.endswith("s"):
             column = F.round(column.cast("double") * SCALE, int(kind[:-1]))
+        elif kind.endswith("l"):
+            column = F.round(F.signum(column) * F.log1p(F.abs(column)), int(kind[:-1]))
         elif kind:
             column = F.round(column.cast("double"), int(kind))
         columns.append(column.alias(name))
@@ -67,6 +70,8 @@ def oracle(sql: str, shape: str) -> str:
             columns.append(f"CAST({name} AS BIGINT) AS {name}")
         elif kind.endswith("s"):
             columns.append(f"round(CAST({name} AS DOUBLE) * {SCALE}::DOUBLE, {kind[:-1]}) + 0.0 AS {name}")
+        elif kind.endswith("l"):
+            columns.append(f"round(sign({name}) * ln(1 + abs({name})), {kind[:-1]}) + 0.0 AS {name}")
         elif kind:
             columns.append(f"round(CAST({name} AS DOUBLE), {kind}) + 0.0 AS {name}")
         else:
