@@ -115,3 +115,49 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tidepanel.llm.packing import packed
 
     return packed(table(spark, folder, "documents"))
+
+
+ARCHIVE_SQL = """
+WITH given AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), digested AS (
+  SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, hex,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '')
+      AS payload_digest
+  FROM given
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id < max(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM digested WINDOW w AS (PARTITION BY hex)
+"""
+
+
+@query("op4_warc", ARCHIVE_SQL)
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from tidepanel.llm.warc import read_archives, write_archives
+
+    read = read_archives(write_archives(table(spark, folder, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    from tidepanel.llm.pieces import round_trip_digests
+
+    return round_trip_digests(table(spark, folder, "documents"))
+
+
+@query("op8_main_text")
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    from tidepanel.llm.maintext import main_texts
+
+    return main_texts(table(spark, folder, "pages"))
+
+
+@query("op9_gif")
+def op9_gif(spark: SparkSession, folder: str) -> DataFrame:
+    from tidepanel.llm.gif import text_media_features
+
+    return text_media_features(table(spark, folder, "documents"))
