@@ -18,7 +18,7 @@ def plain_repeats(rows: list[tuple], min_words: int, unit: str = "line") -> set:
         at = 0
         for line in (text or "").split("\n" if unit == "line" else "\n\n"):
             plain = " ".join(line.casefold().split())
-            if len(plain.split(" ")) >= min_words:
+            if plain and len(plain.split(" ")) >= min_words:
                 seen[plain].add((doc is None, doc if doc is not None else 0, at, at + len(line)))
             at += len(line) + (1 if unit == "line" else 2)
     out = set()

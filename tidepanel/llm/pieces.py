@@ -50,7 +50,10 @@ class PieceModel:
         self._check(path, library)
         self.plain: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()}
         self.plain |= {i: bytes([b]) for b, i in self.bytes.items()}
-        self.pairs: dict[int, bool] = {}
+        self.control = frozenset(i for i in range(size) if library.is_control(i))
+        if library.unk_id() >= 0:
+            self.plain[library.unk_id()] = library.decode([library.unk_id()]).encode()
+        self.pairs = Recent(self._compatible, 2 * limit)
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if self.merged(piece) == [i]:  # a piece that merging never forms cannot be a result
@@ -82,13 +85,10 @@ class PieceModel:
             row[at : at + 2] = [row[at] + row[at + 1]]
         return [self.ids.get(p, -1) for p in row]
 
-    def compatible(self, left: int, right: int) -> bool:
+    def _compatible(self, pair: tuple[int, int]) -> bool:
         """Whether the two pieces side by side stay as they are."""
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.pairs[key] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
-        return known
+        left, right = pair
+        return self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
 
     # ---- encoding
 
@@ -110,8 +110,7 @@ class PieceModel:
                 if before and left != -2:
                     if left == -1:
                         continue
-                    known = pairs.get(left << 32 | piece)
-                    if not (self.compatible(left, piece) if known is None else known):
+                    if not pairs[left, piece]:
                         continue
                 last[end + 1], size[end + 1] = piece, length
                 break
@@ -141,7 +140,7 @@ class PieceModel:
         """The text of ids: without the space put before it; broken byte runs become U+FFFD, byte by byte."""
         plain = self.plain
         data = b"".join([plain.get(i, b"") for i in ids])
-        if data[:1] == b" " and len(ids) and self.pieces[ids[0]].startswith(SPACE):
+        if data[:1] == b" " and self._leads(ids):
             data = data[1:]
         try:
             return data.decode()
@@ -175,7 +174,12 @@ class PieceModel:
                 out.append(self.plain.get(i, b"").decode())
         end_run()
         text = "".join(out)
-        return text[1:] if len(ids) and self.pieces[ids[0]].startswith(SPACE) else text
+        return text[1:] if self._leads(ids) else text
+
+    def _leads(self, ids: memoryview | list[int]) -> bool:
+        """Whether the first piece that is text begins with the space put before it."""
+        first = next((i for i in ids if i not in self.control), None)
+        return first is not None and self.pieces[first].startswith(SPACE)
 
 
 #: A word with the spaces before it, or a line end, which is part of no piece.

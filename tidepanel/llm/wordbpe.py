@@ -24,6 +24,7 @@ UNUSUAL = re.compile(r"[^\t-\r -~À-ÖØ-öø-įı-ňŊ-ɏ]")
 MARK_RUN = re.compile(r"[.,](?<=[!-/:-@\[-`{-~].)")
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
 CACHE = 400_000
+LONGEST = 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,7 +56,9 @@ class Recent(dict):
     """A bounded cache in two generations.
 
     Full, it becomes the older generation and starts anew; what is asked for again moves back.
-    So rare words leave, frequent ones stay, and never more than twice the limit is held.
+    So rare words leave, frequent ones stay, and never more than twice the limit is held.  Words
+    over ``LONGEST`` characters are not held at all, so neither a text of one endless word nor many
+    of them fill the memory.
     """
 
     def __init__(self, make: Callable, limit: int = CACHE):
@@ -68,6 +71,8 @@ class Recent(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > LONGEST:
+                return value
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
