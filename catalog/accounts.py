@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import panel
@@ -35,14 +37,14 @@ relation(
          CASE WHEN l_partkey % 97 = 0 THEN p + 2 ELSE p END AS close,
          CASE WHEN l_partkey % 101 = 0 THEN NULL ELSE CAST(floor(p / 2000) * 2000 AS DOUBLE) END AS adjusted_close,
          CASE WHEN l_partkey % 89 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS volume, l_extendedprice AS value_traded
-       FROM (SELECT *, CAST(floor(l_extendedprice / l_quantity) AS DOUBLE) AS p FROM lineitem WHERE l_linenumber <= 7)""",
+       FROM (SELECT *, CAST(floor(l_extendedprice / l_quantity) AS DOUBLE) AS p FROM lineitem)""",
 )
 
 
 def _raw(spark, folder):
     p = F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double")
     part = F.col("l_partkey")
-    return spark.read.parquet(f"{folder}/lineitem.parquet").where("l_linenumber <= 7").select(
+    return spark.read.parquet(f"{folder}/lineitem.parquet").select(
         F.to_date("l_shipdate").alias("date"),
         F.concat(F.lit("T"), (F.col("l_suppkey") % 40).cast("string")).alias("ticker"),
         p.alias("open"),
@@ -261,24 +263,47 @@ def _event_bars(spark, folder):
 
 # --- ledgers -----------------------------------------------------------------------------------
 
-START, END, ASOF = dt.date(1995, 1, 1), dt.date(2002, 6, 28), dt.date(1999, 12, 31)
 DEPOSIT = 100_000_000
+HOLIDAYS = [dt.date(1998, 1, 1), dt.date(1999, 1, 1)]
+
+# The calendar covers every order and its settlement; the books are kept up to the last order
+# day, when many orders still wait for their execution.
+relation(
+    "order_span",
+    """SELECT least((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)) - 7 AS first_day,
+         (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem) + 60 AS last_day, (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS last_order""",
+)
+
+
+def _span(spark, folder):
+    """First and last calendar day and the as-of day: four numbers."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(F.to_date("o_orderdate").alias("day"))
+    ships = spark.read.parquet(f"{folder}/lineitem.parquet").select(F.to_date("l_shipdate").alias("day"))
+    ordered = orders.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
+    shipped = ships.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
+    week, months = dt.timedelta(days=7), dt.timedelta(days=60)
+    return min(ordered["low"], shipped["low"]) - week, shipped["high"] + months, ordered["high"]
+
+
+def _asof(spark, folder):
+    return _span(spark, folder)[2]
 
 
-def _calendar(spark):
-    return da.trading_calendar(spark, START, END, [dt.date(1998, 1, 1), dt.date(1999, 1, 1)])
+def _calendar(spark, folder):
+    first, last, _ = _span(spark, folder)
+    return da.trading_calendar(spark, first, last, HOLIDAYS)
 
 
+relation("all_days", "SELECT CAST(unnest(range(first_day::TIMESTAMP, last_day::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM order_span")
 relation(
     "trading_days",
-    """SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INT) AS trading_idx FROM (
-         SELECT CAST(unnest(range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-06-29', INTERVAL 1 DAY)) AS DATE) AS date)
+    """SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INT) AS trading_idx FROM all_days
        WHERE isodow(date) <= 5 AND date NOT IN (DATE '1998-01-01', DATE '1999-01-01')""",
 )
 relation(
     "next_days",
-    """SELECT d AS any_date, (SELECT min(date) FROM trading_days t WHERE t.date >= d) AS on_or_after, (SELECT max(date) FROM trading_days t WHERE t.date <= d) AS on_or_before
-       FROM (SELECT CAST(unnest(range(TIMESTAMP '1995-01-02', TIMESTAMP '2002-06-29', INTERVAL 1 DAY)) AS DATE) AS d)""",
+    """SELECT d.date AS any_date, (SELECT min(date) FROM trading_days t WHERE t.date >= d.date) AS on_or_after, (SELECT max(date) FROM trading_days t WHERE t.date <= d.date) AS on_or_before
+       FROM all_days d""",
 )
 relation(
     "order_lines",
@@ -328,7 +353,7 @@ def _orders(spark, folder):
         F.floor(F.col("quantity") / 2).cast("bigint").alias("requested_quantity"), "unit_cents",
         F.date_add("ship", 28).alias("day"),
     )
-    dated = da.nearest_trading_days(buys.unionByName(sells), _calendar(spark), "day")
+    dated = da.nearest_trading_days(buys.unionByName(sells), _calendar(spark, folder), "day")
     return dated.select(
         "account_id", "order_id", "ticker", "side", "requested_quantity", "unit_cents",
         F.col("on_or_after").alias("intended_execution_date"), F.lit("PENDING").alias("status"),
@@ -361,7 +386,7 @@ def _priced(spark, folder):
 
 
 def _trades(spark, folder):
-    return le.settlements(_executions(spark, folder), _calendar(spark))
+    return le.settlements(_executions(spark, folder), _calendar(spark, folder))
 
 
 relation(
@@ -374,29 +399,29 @@ relation(
 @query(
     "m03_settlements",
     "account_id settlement_id trade_date settlement_date quantity:i status",
-    "SELECT account_id, settlement_id, execution_date AS trade_date, settlement_date, filled_quantity AS quantity, CASE WHEN settlement_date <= DATE '1999-12-31' THEN 'SETTLED' ELSE 'PENDING' END AS status FROM settled",
+    "SELECT account_id, settlement_id, execution_date AS trade_date, settlement_date, filled_quantity AS quantity, CASE WHEN settlement_date <= (SELECT last_order FROM order_span) THEN 'SETTLED' ELSE 'PENDING' END AS status FROM settled",
 )
 def _settlements(spark, folder):
-    return le.with_settlement_status(_trades(spark, folder), ASOF)
+    return le.with_settlement_status(_trades(spark, folder), _asof(spark, folder))
 
 
 def _deposits(spark, folder):
     accounts = spark.read.parquet(f"{folder}/orders.parquet").select(F.col("o_custkey").cast("string").alias("account_id")).distinct()
-    return accounts.select("account_id", F.lit(START).alias("event_date"), F.lit(DEPOSIT).alias("amount"))
+    return accounts.select("account_id", F.lit(_span(spark, folder)[0]).alias("event_date"), F.lit(DEPOSIT).alias("amount"))
 
 
 def _events(spark, folder):
-    return le.account_events(_trades(spark, folder), ASOF, _deposits(spark, folder))
+    return le.account_events(_trades(spark, folder), _asof(spark, folder), _deposits(spark, folder))
 
 
 relation(
     "events_log",
-    f"""SELECT account_id, ticker, 0 AS phase, 'cash-initial-deposit' AS entry_id, DATE '1995-01-01' AS event_date, {DEPOSIT} * 100000::BIGINT AS settled_delta, 0::BIGINT AS unsettled_delta, 0 AS settled_q, 0 AS buy_q, 0 AS sell_q
+    f"""SELECT account_id, ticker, 0 AS phase, 'cash-initial-deposit' AS entry_id, (SELECT first_day FROM order_span) AS event_date, {DEPOSIT} * 100000::BIGINT AS settled_delta, 0::BIGINT AS unsettled_delta, 0 AS settled_q, 0 AS buy_q, 0 AS sell_q
           FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS account_id, CAST(NULL AS VARCHAR) AS ticker FROM orders)
         UNION ALL SELECT account_id, ticker, 2, 'cash-' || execution_id || '-execution', execution_date, CASE WHEN side = 'BUY' THEN net5 ELSE 0 END, CASE WHEN side = 'BUY' THEN 0 ELSE net5 END,
-             0, CASE WHEN side = 'BUY' THEN filled_quantity ELSE 0 END, CASE WHEN side = 'SELL' THEN filled_quantity ELSE 0 END FROM settled WHERE execution_date <= DATE '1999-12-31'
+             0, CASE WHEN side = 'BUY' THEN filled_quantity ELSE 0 END, CASE WHEN side = 'SELL' THEN filled_quantity ELSE 0 END FROM settled WHERE execution_date <= (SELECT last_order FROM order_span)
         UNION ALL SELECT account_id, ticker, 1, 'cash-' || settlement_id || '-settlement', settlement_date, CASE WHEN side = 'BUY' THEN 0 ELSE net5 END, CASE WHEN side = 'BUY' THEN 0 ELSE -net5 END,
-             CASE WHEN side = 'BUY' THEN filled_quantity ELSE -filled_quantity END, CASE WHEN side = 'BUY' THEN -filled_quantity ELSE 0 END, CASE WHEN side = 'SELL' THEN -filled_quantity ELSE 0 END FROM settled WHERE settlement_date <= DATE '1999-12-31'""",
+             CASE WHEN side = 'BUY' THEN filled_quantity ELSE -filled_quantity END, CASE WHEN side = 'BUY' THEN -filled_quantity ELSE 0 END, CASE WHEN side = 'SELL' THEN -filled_quantity ELSE 0 END FROM settled WHERE settlement_date <= (SELECT last_order FROM order_span)""",
 )
 
 
@@ -429,7 +454,7 @@ def _positions(spark, folder):
 relation(
     "trade_order",
     """SELECT account_id, ticker, side, filled_quantity AS q, CASE WHEN side = 'BUY' THEN 1002 * c ELSE 1003 * c END / 100000.0 AS c,
-       row_number() OVER (PARTITION BY account_id, ticker ORDER BY execution_date, execution_id) AS k FROM execs WHERE execution_date <= DATE '1999-12-31'""",
+       row_number() OVER (PARTITION BY account_id, ticker ORDER BY execution_date, execution_id) AS k FROM execs WHERE execution_date <= (SELECT last_order FROM order_span)""",
 )
 relation(
     "cost_walk",
@@ -447,29 +472,123 @@ relation(
     "SELECT account_id, ticker, arg_max(average_cost, k) AS average_cost FROM cost_walk GROUP BY 1, 2",
 )
 def _average_costs(spark, folder):
-    return le.average_costs(checkpoint(_trades(spark, folder).where(F.col("trade_date") <= F.lit(ASOF))))
+    return le.average_costs(checkpoint(_trades(spark, folder).where(F.col("trade_date") <= F.lit(_asof(spark, folder)))))
+
+
+# Accounts with a thousandth of the deposit, a third of which sell three times what was planned.
+relation(
+    "thin_log",
+    """SELECT account_id, ticker, phase, entry_id, event_date, CASE WHEN phase = 0 THEN settled_delta // 1000 ELSE settled_delta END AS settled_delta,
+         CASE WHEN sell_q <> 0 AND CAST(account_id AS BIGINT) % 3 = 0 THEN 3 * settled_q ELSE settled_q END AS settled_q, buy_q,
+         CASE WHEN CAST(account_id AS BIGINT) % 3 = 0 THEN 3 * sell_q ELSE sell_q END AS sell_q FROM events_log""",
+)
+
+
+@query(
+    "m04_trade_violations",
+    "account_id ticker entry_id event_date violation",
+    """SELECT account_id, ticker, entry_id, event_date, 'overspent' AS violation FROM (
+         SELECT *, sum(settled_delta) OVER (PARTITION BY account_id ORDER BY event_date, phase, entry_id ROWS UNBOUNDED PRECEDING) AS left_over FROM thin_log)
+       WHERE phase = 2 AND buy_q > 0 AND left_over < 0
+       UNION ALL SELECT account_id, ticker, entry_id, event_date, 'oversold' FROM (
+         SELECT *, sum(settled_q - sell_q) OVER (PARTITION BY account_id, ticker ORDER BY event_date, phase, entry_id ROWS UNBOUNDED PRECEDING) AS left_over FROM thin_log WHERE ticker IS NOT NULL)
+       WHERE phase = 2 AND sell_q > 0 AND left_over < 0""",
+)
+def _trade_violations(spark, folder):
+    trades = _trades(spark, folder)
+    more = (F.col("side") == "SELL") & (F.col("account_id").cast("bigint") % 3 == 0)
+    trades = trades.withColumn("quantity", F.when(more, 3 * F.col("quantity")).otherwise(F.col("quantity")))
+    deposits = _deposits(spark, folder).withColumn("amount", F.lit(DEPOSIT // 1000))
+    return le.trade_violations(checkpoint(le.account_events(trades, _asof(spark, folder), deposits)))
+
+
+# Books with one planted defect per rule, by the number of the account.
+relation("numbered", "SELECT *, CAST(account_id AS BIGINT) AS n FROM events_log")
+relation(
+    "bad_cash",
+    """SELECT account_id, CASE WHEN n % 11 = 1 THEN -100000 ELSE settled END AS settled, CASE WHEN n % 11 = 2 THEN -100000 WHEN n % 11 = 3 THEN unsettled + 100000 ELSE unsettled END AS unsettled FROM (
+         SELECT account_id, any_value(n) AS n, sum(settled_delta) AS settled, sum(unsettled_delta) AS unsettled FROM numbered GROUP BY 1)""",
+)
+relation(
+    "bad_books",
+    """SELECT account_id, ticker, CASE WHEN n % 13 = 3 THEN -1 ELSE settled_shares END AS settled_shares, unsettled_buy_shares + CASE WHEN n % 13 = 4 THEN 1 ELSE 0 END AS unsettled_buy_shares,
+         pending_sell_shares + CASE WHEN n % 13 = 5 THEN 1 ELSE 0 END AS pending_sell_shares, sellable_quantity, economic_quantity FROM (SELECT *, CAST(account_id AS BIGINT) AS n FROM books)""",
+)
+relation(
+    "waiting",
+    """SELECT account_id, ticker, sum(CASE WHEN side = 'BUY' THEN filled_quantity ELSE 0 END) AS buys, sum(CASE WHEN side = 'SELL' THEN filled_quantity ELSE 0 END) AS sells,
+         sum(CASE WHEN side = 'SELL' THEN net5 ELSE 0 END) AS proceeds FROM settled
+       WHERE execution_date <= (SELECT last_order FROM order_span) AND settlement_date > (SELECT last_order FROM order_span) GROUP BY 1, 2""",
+)
+relation(
+    "bad_ledger",
+    """SELECT account_id, phase, entry_id, event_date, settled_delta, unsettled_delta,
+         CASE WHEN phase = 0 AND n % 17 = 7 THEN settled + 100000 WHEN phase = 0 AND n % 17 = 8 THEN -100000 ELSE settled END AS settled, unsettled FROM (
+         SELECT *, sum(settled_delta) OVER w AS settled, sum(unsettled_delta) OVER w AS unsettled FROM numbered
+         WINDOW w AS (PARTITION BY account_id ORDER BY event_date, phase, entry_id ROWS UNBOUNDED PRECEDING))
+       UNION ALL SELECT account_id, phase, entry_id, event_date, settled_delta, unsettled_delta, settled_delta, 0 FROM numbered WHERE phase = 0 AND n % 17 = 6""",
+)
 
 
 @query(
     "m05_reconciliation",
     "account_id ticker violation",
-    """SELECT account_id, NULL AS ticker, 'negative_settled_cash' AS violation FROM events_log GROUP BY 1 HAVING sum(settled_delta) < 0""",
+    """SELECT account_id, NULL AS ticker, CASE WHEN settled < 0 THEN 'negative_settled_cash' ELSE 'negative_unsettled_cash' END AS violation FROM bad_cash WHERE settled < 0 OR unsettled < 0
+       UNION ALL SELECT account_id, ticker, 'negative_quantity' FROM bad_books
+         WHERE least(settled_shares, unsettled_buy_shares, pending_sell_shares, sellable_quantity, economic_quantity) < 0
+       UNION ALL SELECT * FROM (
+         SELECT coalesce(b.account_id, w.account_id) AS account_id, coalesce(b.ticker, w.ticker) AS ticker, CASE WHEN coalesce(unsettled_buy_shares, 0) <> coalesce(buys, 0) THEN 'unsettled_buy_mismatch'
+           WHEN coalesce(pending_sell_shares, 0) <> coalesce(sells, 0) THEN 'pending_sell_mismatch' END AS violation
+         FROM bad_books b FULL JOIN waiting w ON b.account_id = w.account_id AND b.ticker = w.ticker) WHERE violation IS NOT NULL
+       UNION ALL SELECT c.account_id, NULL, 'unsettled_cash_mismatch' FROM bad_cash c LEFT JOIN (SELECT account_id, sum(proceeds) AS p FROM waiting GROUP BY 1) w ON w.account_id = c.account_id
+         WHERE unsettled <> coalesce(p, 0)
+       UNION ALL SELECT account_id, NULL, 'duplicate_entry' FROM bad_ledger GROUP BY account_id, entry_id HAVING count(*) > 1
+       UNION ALL SELECT DISTINCT account_id, NULL, 'negative_balance' FROM bad_ledger WHERE settled < 0 OR unsettled < 0
+       UNION ALL SELECT DISTINCT account_id, NULL, 'wrong_running_balance' FROM (
+         SELECT *, sum(settled_delta) OVER w AS s, sum(unsettled_delta) OVER w AS u FROM bad_ledger WINDOW w AS (PARTITION BY account_id ORDER BY event_date, phase, entry_id ROWS UNBOUNDED PRECEDING))
+         WHERE s <> settled OR u <> unsettled""",
 )
 def _reconciliation(spark, folder):
-    rows = le.with_settlement_status(_trades(spark, folder).where(F.col("trade_date") <= F.lit(ASOF)), ASOF)
+    asof = _asof(spark, folder)
+    rows = le.with_settlement_status(_trades(spark, folder).where(F.col("trade_date") <= F.lit(asof)), asof)
     events = checkpoint(_events(spark, folder))
-    return le.reconcile(le.share_positions(events), le.balances(events), rows, le.cash_ledger(events))
+    number = F.col("account_id").cast("bigint")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    cash = le.balances(events).withColumns(
+        {
+            "settled_cash": F.when(number % 11 == 1, le.money(F.lit(-1))).otherwise(F.col("settled_cash")),
+            "unsettled_cash": F.when(number % 11 == 2, le.money(F.lit(-1)))
+            .when(number % 11 == 3, le.money(F.col("unsettled_cash") + 1))
+            .otherwise(F.col("unsettled_cash")),
+        }
+    )
+    positions = le.share_positions(events).withColumns(
+        {
+            "settled_shares": F.when(number % 13 == 3, -one).otherwise(F.col("settled_shares")),
+            "unsettled_buy_shares": F.col("unsettled_buy_shares") + F.when(number % 13 == 4, one).otherwise(zero),
+            "pending_sell_shares": F.col("pending_sell_shares") + F.when(number % 13 == 5, one).otherwise(zero),
+        }
+    )
+    first = F.col("entry_type") == "INITIAL_DEPOSIT"
+    ledger = le.cash_ledger(events)
+    repeated = ledger.where(first & (number % 17 == 6))
+    balance = F.col("settled_cash_balance")
+    changed = ledger.withColumn(
+        "settled_cash_balance",
+        F.when(first & (number % 17 == 7), le.money(balance + 1)).when(first & (number % 17 == 8), le.money(F.lit(-1))).otherwise(balance),
+    )
+    return le.reconcile(positions, cash, rows, changed.unionByName(repeated))
 
 
 relation(
     "marks",
-    """SELECT ticker, arg_max(close, date) AS mark_price, max(date) AS mark_date FROM bars WHERE date <= DATE '1999-12-31' GROUP BY 1""",
+    """SELECT ticker, arg_max(close, date) AS mark_price, max(date) AS mark_date FROM bars WHERE date <= (SELECT last_order FROM order_span) GROUP BY 1""",
 )
 
 
 @query("b08_latest_marks", "ticker mark_price:6 mark_date", "SELECT * FROM marks")
 def _marks(spark, folder):
-    return le.latest_marks(panel.bars(spark, folder), ASOF)
+    return le.latest_marks(panel.bars(spark, folder), _asof(spark, folder))
 
 
 relation(
@@ -503,7 +622,7 @@ relation(
 )
 def _snapshot(spark, folder):
     events = checkpoint(_events(spark, folder))
-    return le.position_snapshot(le.share_positions(events), le.balances(events), _whole_marks(spark, folder), ASOF)
+    return le.position_snapshot(le.share_positions(events), le.balances(events), _whole_marks(spark, folder), _asof(spark, folder))
 
 
 @query("m09_portfolio_value", "account_id portfolio_value:5 missing_prices:i", "SELECT *, 0 AS missing_prices FROM account_values")
@@ -568,15 +687,36 @@ def _daily_performance(spark, folder):
     return le.daily_performance(values, bench)
 
 
+# Five batches of executions, one per last digit of the account; what is recorded before differs.
+relation(
+    "batches",
+    """SELECT e.*, CAST(account_id AS BIGINT) % 5 AS batch, CASE CAST(account_id AS BIGINT) % 5 WHEN 1 THEN true WHEN 2 THEN execution_date < DATE '1997-01-01' ELSE false END AS known,
+         CAST(account_id AS BIGINT) % 5 = 3 AND filled_quantity < 5 AS closed, CAST(account_id AS BIGINT) % 5 = 4 AND filled_quantity > 45 AS missing FROM execs e""",
+)
+
+
 @query(
     "m02_batch_status",
-    "batch_rows:i known_rows:i not_pending:i decision",
-    """SELECT count(*) AS batch_rows, count(*) FILTER (execution_date < DATE '1997-01-01') AS known_rows, 0 AS not_pending, 'reject_overlap' AS decision FROM execs""",
+    "batch:i batch_rows:i known_rows:i missing_orders:i not_pending:i decision",
+    """SELECT *, CASE WHEN known_rows = batch_rows THEN 'no_op' WHEN known_rows > 0 THEN 'reject_overlap' WHEN missing_orders > 0 THEN 'reject_missing_order'
+         WHEN not_pending > 0 THEN 'reject_not_pending' ELSE 'record' END AS decision FROM (
+       SELECT batch, count(*) AS batch_rows, count(*) FILTER (known) AS known_rows, count(*) FILTER (missing) AS missing_orders, count(*) FILTER (closed AND NOT missing) AS not_pending FROM batches GROUP BY 1)""",
 )
 def _batch_status(spark, folder):
-    batch = checkpoint(_executions(spark, folder))
-    recorded = batch.where("execution_date < DATE '1997-01-01'")
-    return le.batch_status(batch, recorded, _orders(spark, folder))
+    rows = checkpoint(_executions(spark, folder))
+    orders = checkpoint(_orders(spark, folder))
+    number = F.col("account_id").cast("bigint") % 5
+    found = []
+    for batch in range(5):
+        executions = rows.where(number == batch)
+        recorded = executions if batch == 1 else executions.where("execution_date < DATE '1997-01-01'") if batch == 2 else executions.limit(0)
+        own = orders.where(number == batch)
+        if batch == 3:
+            own = own.withColumn("status", F.when(F.col("requested_quantity") < 5, "EXECUTED").otherwise(F.col("status")))
+        if batch == 4:
+            own = own.where("requested_quantity <= 45")
+        found.append(le.batch_status(executions, recorded, own).withColumn("batch", F.lit(batch)))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(
@@ -591,12 +731,23 @@ def _marked(spark, folder):
 
 @query(
     "a13_append_status",
-    "batch_keys:i present_keys:i duplicate_keys:i decision",
-    """SELECT count(*) AS batch_keys, count(*) AS present_keys, 0 AS duplicate_keys, 'no_op' AS decision FROM order_rows WHERE side = 'SELL'""",
+    "batch:i batch_keys:i present_keys:i duplicate_keys:i decision",
+    """SELECT *, CASE WHEN duplicate_keys > 0 THEN 'reject_duplicates' WHEN present_keys = 0 THEN 'append' WHEN present_keys = batch_keys THEN 'no_op' ELSE 'reject_overlap' END AS decision FROM (
+         SELECT CAST(account_id AS BIGINT) % 4 AS batch, count(*) AS batch_keys,
+           count(*) FILTER (CAST(account_id AS BIGINT) % 4 IN (1, 3) OR (CAST(account_id AS BIGINT) % 4 = 2 AND side = 'SELL')) AS present_keys,
+           count(*) FILTER (CAST(account_id AS BIGINT) % 4 = 3 AND requested_quantity = 7) AS duplicate_keys FROM order_rows GROUP BY 1)""",
 )
 def _append_status(spark, folder):
-    rows = _orders(spark, folder)
-    return sl.append_status("orders", rows.where("side = 'SELL'"), rows)
+    rows = checkpoint(_orders(spark, folder))
+    number = F.col("account_id").cast("bigint") % 4
+    found = []
+    for batch in range(4):
+        new = rows.where(number == batch)
+        existing = {0: new.limit(0), 1: new, 2: new.where("side = 'SELL'"), 3: new}[batch]
+        if batch == 3:
+            new = new.unionByName(new.where("requested_quantity = 7"))
+        found.append(sl.append_status("orders", new, existing).withColumn("batch", F.lit(batch)))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(
@@ -615,11 +766,11 @@ def _upserted(spark, folder):
     "h07_trading_calendar",
     "account_id order_id execution_date settlement_date on_or_before is_trading_day",
     """SELECT account_id, e.order_id, execution_date, settlement_date, on_or_before, any_date IN (SELECT date FROM trading_days) AS is_trading_day
-       FROM settled e JOIN next_days ON any_date = execution_date + 3 WHERE execution_date < DATE '2002-06-20'""",
+       FROM settled e JOIN next_days ON any_date = execution_date + 3""",
 )
 def _calendar_query(spark, folder):
-    calendar = _calendar(spark)
-    rows = _executions(spark, folder).where("execution_date < DATE '2002-06-20'").select("account_id", "order_id", "execution_date")
+    calendar = _calendar(spark, folder)
+    rows = _executions(spark, folder).select("account_id", "order_id", "execution_date")
     shifted = da.shift_trading_days(rows, calendar, "execution_date", 2, "settlement_date")
     later = shifted.withColumn("later", F.date_add("execution_date", 3))
     return da.nearest_trading_days(later, calendar, "later")
@@ -634,7 +785,7 @@ def _calendar_query(spark, folder):
 def _timing(spark, folder):
     data_date = panel.bars(spark, folder).where("date <= DATE '2001-10-29'").agg(F.max("date")).first()[0]
     run = dt.datetime(2001, 10, 29, 9, 0, tzinfo=dt.timezone.utc)
-    return da.signal_timing(_calendar(spark), data_date, run, "Asia/Bangkok", "15:15", "08:45")
+    return da.signal_timing(_calendar(spark, folder), data_date, run, "Asia/Bangkok", "15:15", "08:45")
 
 
 @query(
@@ -654,7 +805,7 @@ RULES = om.Constraints()
 
 def _account_targets(spark, folder):
     """The five names an account bought most, ranked by bought value."""
-    bought = _executions(spark, folder).where((F.col("side") == "BUY") & (F.col("execution_date") <= F.lit(ASOF)))
+    bought = _executions(spark, folder).where((F.col("side") == "BUY") & (F.col("execution_date") <= F.lit(_asof(spark, folder))))
     totals = bought.groupBy("account_id", "ticker").agg(F.sum("gross_value").alias("bought"))
     best = top_n(totals, ["account_id"], [F.col("bought").desc(), F.col("ticker")], 5, "predicted_rank")
     return best.join(panel.universe(spark, folder), "ticker").withColumn(
@@ -666,7 +817,7 @@ relation(
     "account_targets",
     """SELECT account_id, t.ticker, issuer_group, sector, 0.18::DOUBLE AS w FROM (
          SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY bought DESC, ticker) AS place FROM (
-           SELECT account_id, ticker, sum(c) AS bought FROM execs WHERE side = 'BUY' AND execution_date <= DATE '1999-12-31' GROUP BY 1, 2)) t
+           SELECT account_id, ticker, sum(c) AS bought FROM execs WHERE side = 'BUY' AND execution_date <= (SELECT last_order FROM order_span) GROUP BY 1, 2)) t
        JOIN names USING (ticker) WHERE place <= 5""",
 )
 
@@ -687,7 +838,7 @@ def _order_inputs(spark, folder):
     events = checkpoint(_events(spark, folder))
     positions, cash = le.share_positions(events), le.balances(events)
     values = le.portfolio_value(positions, cash, _whole_marks(spark, folder))
-    latest = fe.snapshot_average_value(panel.bars(spark, folder).where(F.col("date") <= F.lit(ASOF)))
+    latest = fe.snapshot_average_value(panel.bars(spark, folder).where(F.col("date") <= F.lit(_asof(spark, folder))))
     # A name that did not trade on the last day keeps its mark and counts as stale.
     snapshots = (
         _whole_marks(spark, folder)
@@ -701,8 +852,14 @@ def _order_inputs(spark, folder):
     return checkpoint(_account_targets(spark, folder)), positions, cash, values, snapshots
 
 
+def _next_day(spark, folder):
+    """First trading day after the as-of day."""
+    later = _calendar(spark, folder).where(F.col("date") > F.lit(_asof(spark, folder)))
+    return later.agg(F.min("date")).first()[0]
+
+
 def _expected(spark, folder):
-    return panel.bars(spark, folder).where(F.col("date") <= F.lit(ASOF)).agg(F.max("date")).first()[0]
+    return panel.bars(spark, folder).where(F.col("date") <= F.lit(_asof(spark, folder))).agg(F.max("date")).first()[0]
 
 
 @query(
@@ -726,14 +883,14 @@ ORDER = "account_id order_id ticker side requested_quantity:i requested_value:2
 def _order_plan(spark, folder):
     targets, positions, cash, values, snapshots = _order_inputs(spark, folder)
     expected = _expected(spark, folder)
-    return om.order_plan(targets, positions, cash, values, snapshots, RULES, ASOF, dt.date(2000, 1, 3), expected)
+    return om.order_plan(targets, positions, cash, values, snapshots, RULES, _asof(spark, folder), _next_day(spark, folder), expected)
 
 
 @query("m08_plan_summary", "account_id executable_order_count:i skipped_trade_count:i executable_value:2 estimated_turnover:8")
 def _plan_summary(spark, folder):
     targets, positions, cash, values, snapshots = _order_inputs(spark, folder)
     expected = _expected(spark, folder)
-    plan = om.order_plan(targets, positions, cash, values, snapshots, RULES, ASOF, dt.date(2000, 1, 3), expected)
+    plan = om.order_plan(targets, positions, cash, values, snapshots, RULES, _asof(spark, folder), _next_day(spark, folder), expected)
     return om.plan_summary(plan, values)
 
 
@@ -748,7 +905,7 @@ def _plan_summary(spark, folder):
 def _export(spark, folder):
     events = checkpoint(_events(spark, folder))
     snapshot = le.position_snapshot(
-        le.share_positions(events), le.balances(events), _whole_marks(spark, folder), ASOF
+        le.share_positions(events), le.balances(events), _whole_marks(spark, folder), _asof(spark, folder)
     ).withColumn("average_cost", F.lit(0.0))
     return le.target_export(_account_targets(spark, folder), snapshot)
 
@@ -808,18 +965,77 @@ def _linear(spark, folder):
     return mod.linear_predictions(rows, splits.walk_forward_windows(rows, train_size=20), FEATURES)
 
 
+# At the optimum of ridge the residuals are balanced on every feature; the fit itself is not in SQL.
+@query(
+    "k01_ridge_residuals",
+    "window_id:i rows:i residual:6",
+    """SELECT f.window_id, f.n AS rows, 0 AS residual FROM (
+         SELECT d.i - k AS window_id, count(*) AS n FROM known_rows JOIN known_dates d USING (date), (SELECT unnest(range(20)) AS k) WHERE d.i - k >= 0 GROUP BY 1) f
+       WHERE f.window_id + 32 <= (SELECT max(i) + 1 FROM known_dates)""",
+)
+def _ridge_residuals(spark, folder):
+    rows = _model_rows(spark, folder, FEATURES)
+    windows = checkpoint(splits.walk_forward_windows(rows, train_size=20))
+    scaled = mod.scaled_features(rows, FEATURES)
+    fits = mod.fit_linear_windows(rows, windows, FEATURES, models=["ridge"], scaled=scaled)
+    train = splits.window_rows(rows.select("date", "target", *[c.alias(f"x{k}") for k, c in enumerate(scaled)]), windows, ["train"])
+    score = F.col("intercept")
+    for k in range(len(FEATURES)):
+        score = score + F.col("slopes")[k] * F.col(f"x{k}")
+    missed = train.join(fits, "window_id").withColumn("miss", F.col("target") - score)
+    # slope times variance is the pull of the penalty on a feature of unit variance, scaled back.
+    pulls = [F.sum(F.col("miss") * F.col(f"x{k}")) - F.max(F.col("slopes")[k]) * F.var_pop(f"x{k}") for k in range(len(FEATURES))]
+    worst = F.greatest(F.abs(F.sum("miss")), *[F.abs(p) for p in pulls])
+    return missed.groupBy("window_id").agg(F.count(F.lit(1)).alias("rows"), (worst / F.count(F.lit(1))).alias("residual"))
+
+
 @query("k02_tree_predictions", PREDICTED)
 def _trees(spark, folder):
+    """Both tree models on windows whose test dates follow one another without a gap."""
     rows = _model_rows(spark, folder, FEATURES)
-    windows = checkpoint(splits.walk_forward_windows(rows, train_size=200, test_size=100, step_size=400))
-    return mod.tree_predictions(rows, windows, FEATURES, models=["random_forest"])[0]
+    windows = checkpoint(splits.walk_forward_windows(rows, train_size=100, test_size=60, step_size=60))
+    return mod.tree_predictions(rows, windows, FEATURES, trees=10)[0]
+
+
+LOGISTIC = {"train_size": 40, "test_size": 10, "step_size": 10}
+
 
+def _labelled(spark, folder):
+    return checkpoint(la.top_quintile_label(_model_rows(spark, folder, FEATURES), "target"))
 
-@query("k03_logistic_predictions", "window_id:i date ticker predicted_probability:6 actual_label:i")
+
+@query("k03_logistic_predictions", "window_id:i date ticker predicted_probability:6 actual_label:i converged")
 def _logistic(spark, folder):
-    rows = la.top_quintile_label(_model_rows(spark, folder, FEATURES[:4]), "target")
-    windows = splits.walk_forward_windows(rows, train_size=40, test_size=10, step_size=40)
-    return mod.logistic_predictions(checkpoint(rows), windows, FEATURES[:4])
+    rows = _labelled(spark, folder)
+    return mod.logistic_predictions(rows, splits.walk_forward_windows(rows, **LOGISTIC), FEATURES)
+
+
+# The gradient of every fit on its own training rows, per row.
+@query(
+    "k03_logistic_gradients",
+    "window_id:i rows:i positives:i gradient:6 converged",
+    """SELECT w.window_id, count(*) AS rows, sum(top_quintile_label) AS positives, 0 AS gradient, true AS converged
+       FROM (SELECT unnest(range(0, (SELECT (max(i) + 1 - 61) // 10 + 1 FROM known_dates))) AS window_id) w
+       JOIN known_dates d ON d.i >= 10 * w.window_id AND d.i < 10 * w.window_id + 40 JOIN quintiles q ON q.date = d.date WHERE target IS NOT NULL GROUP BY 1""",
+)
+def _logistic_gradients(spark, folder):
+    rows = _labelled(spark, folder)
+    windows = checkpoint(splits.walk_forward_windows(rows, **LOGISTIC))
+    scaled = mod.scaled_features(rows, FEATURES)
+    fits = mod.fit_logistic_windows(rows, windows, FEATURES, "top_quintile_label", scaled)
+    named = rows.select("date", F.col("top_quintile_label").alias("y"), *[c.alias(f"x{k}") for k, c in enumerate(scaled)])
+    margin = F.col("intercept")
+    for k in range(len(FEATURES)):
+        margin = margin + F.col("slopes")[k] * F.col(f"x{k}")
+    weight = F.col("rows") / (2 * F.when(F.col("y") == 1, F.col("positives")).otherwise(F.col("rows") - F.col("positives")))
+    missed = (
+        splits.window_rows(named, windows, ["train"])
+        .join(fits, "window_id")
+        .withColumn("miss", weight * (F.col("y") - 1 / (1 + F.exp(-margin))))
+    )
+    pulls = [F.sum(F.col("miss") * F.col(f"x{k}")) - F.max(F.col("slopes")[k]) * F.var_pop(f"x{k}") for k in range(len(FEATURES))]
+    worst = F.greatest(F.abs(F.sum("miss")), *[F.abs(p) for p in pulls])
+    return missed.groupBy("window_id", "rows", "positives", "converged").agg((worst / F.count(F.lit(1))).alias("gradient"))
 
 
 @query("k05_ablation_predictions", "scenario " + PREDICTED)

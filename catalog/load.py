@@ -1,6 +1,6 @@
 """Imports every catalogue module so that its queries are registered."""
 
-from catalog import accounts, evaluation, features, policy, portfolio  # noqa: F401
+from catalog import accounts, evaluation, features, policy, portfolio, stores  # noqa: F401
 from catalog.registry import QUERIES, oracles
 
 ORACLES = oracles()

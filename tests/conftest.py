@@ -11,7 +11,8 @@ from tidepanel.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tidepanel-tests", cores="4", partitions=4)
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("tidepanel-tests", cores="4", partitions=4, folder=folder)
     yield session
     session.stop()

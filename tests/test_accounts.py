@@ -122,6 +122,64 @@ def test_average_cost_matches_a_fold(spark, same_day):
         assert got[name] == pytest.approx(want, rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("days_used", [1, 25])
+def test_average_cost_of_thousands_of_partial_sales(spark, days_used):
+    """Each sale keeps half; a product of the remaining shares would soon be zero."""
+    rows, steps = [], []
+    for i in range(5000):
+        side, quantity = ("BUY", 10) if i % 2 == 0 else ("SELL", 10 if i > 1 else 5)
+        price = Decimal(100 + i % 37) / 10
+        date = DAYS[i * days_used // 5000]
+        rows.append(("acc", "AAA", date, f"r{i:05d}", side, quantity, price * quantity, Decimal(0)))
+        steps.append((side, quantity, float(price * quantity)))
+    schema = (
+        "account_id string, ticker string, trade_date date, reference_id string, side string, quantity bigint, "
+        "gross_amount decimal(38,12), fees_and_taxes decimal(38,12)"
+    )
+    got = le.average_costs(spark.createDataFrame(rows, schema)).first()["average_cost"]
+    assert got == pytest.approx(_fold(steps), rel=1e-9)
+
+
+def test_executions_that_cannot_settle_are_refused(spark):
+    weekend, late = dt.date(2020, 1, 4), dt.date(2020, 6, 30)
+    orders = _orders(spark, [("acc", "o1", DAYS[0], "AAA", "BUY", 5), ("acc", "o2", weekend, "AAA", "BUY", 5), ("acc", "o3", late, "AAA", "BUY", 5)])
+    executions = le.price_executions(orders, _prices(spark, [("AAA", "10")]))
+    found = le.settlement_problems(executions, _calendar(spark)).collect()
+    assert {(r["execution_id"], r["problem"]) for r in found} == {
+        ("execution-o2", "not_a_trading_day"), ("execution-o3", "calendar_ends_before_settlement"),
+    }
+    with pytest.raises(Exception, match="no settlement for an execution on 2020-0"):
+        le.settlements(executions, _calendar(spark)).collect()
+    dates = {r["reference_id"]: r["settlement_date"] for r in le.settlements(executions, _calendar(spark), refuse=False).collect()}
+    assert dates["execution-o1"] is not None and dates["execution-o2"] is None and dates["execution-o3"] is None
+
+
+def _money_in(spark, amount):
+    return spark.createDataFrame([("acc", DAYS[0], amount)], "account_id string, event_date date, amount int")
+
+
+def test_trades_the_books_do_not_cover_are_listed(spark):
+    rows = [
+        ("acc", "o1", DAYS[0], "AAA", "BUY", 100),
+        ("acc", "o2", DAYS[1], "AAA", "SELL", 100),  # bought the day before, not settled yet
+        ("acc", "o3", DAYS[1], "BBB", "BUY", 10),  # paid with proceeds that have not come in
+        ("acc", "o4", DAYS[9], "BBB", "SELL", 10),
+    ]
+    events = le.account_events(_trades(spark, rows), DAYS[20], _money_in(spark, 1060))
+    found = {(r["entry_id"], r["violation"]) for r in le.trade_violations(events).collect()}
+    assert found == {("cash-execution-o2-execution", "oversold"), ("cash-execution-o3-execution", "overspent")}
+    assert le.trade_violations(le.account_events(_trades(spark), DAYS[20], _money_in(spark, 10_000))).count() == 0
+
+
+def test_a_replay_finds_a_changed_balance(spark):
+    ledger = le.cash_ledger(le.account_events(_trades(spark), DAYS[20], _money_in(spark, 10_000)))
+    assert le.balance_problems(ledger).count() == 0
+    for side in ("settled_cash", "unsettled_cash"):
+        wrong = F.when(F.col("entry_id") == "cash-execution-o3-execution", F.col(f"{side}_balance") + 1).otherwise(F.col(f"{side}_balance"))
+        changed = ledger.withColumn(f"{side}_balance", wrong.cast("decimal(38,12)"))
+        assert [tuple(r) for r in le.balance_problems(changed).collect()] == [("acc", "cash-execution-o3-execution", f"{side}_balance")]
+
+
 def test_recording_a_batch_twice_does_nothing(spark):
     orders = _orders(spark, TRADES)
     executions = le.price_executions(orders, _prices(spark, [("AAA", "10.5"), ("BBB", "20")]))

@@ -20,6 +20,8 @@ COMMISSION_RATE = "0.001"
 SLIPPAGE_RATE = "0.001"
 SELL_TAX_RATE = "0.001"
 SETTLEMENT_LAG = 2
+# Steps folded by one call; bounds the array of a day with very many trades.
+STEPS_PER_BLOCK = 1024
 
 
 def money(value: Column | str) -> Column:
@@ -158,16 +160,48 @@ def mark_executed(orders: DataFrame, executions: DataFrame) -> DataFrame:
     )
 
 
-def settlements(executions: DataFrame, calendar: DataFrame, lag: int = SETTLEMENT_LAG) -> DataFrame:
-    """Settlement ``lag`` trading days after each execution; null date off the calendar."""
+def settlement_steps(calendar: DataFrame, lag: int = SETTLEMENT_LAG) -> DataFrame:
+    """(execution_date, settlement_date) of every calendar day; null where the calendar ends too early."""
     here = calendar.select(F.col("date").alias("execution_date"), "trading_idx")
     there = calendar.select(F.col("date").alias("settlement_date"), (F.col("trading_idx") - lag).alias("trading_idx"))
-    steps = here.join(there, "trading_idx", "left").drop("trading_idx")
-    return executions.join(F.broadcast(steps), "execution_date", "left").select(
+    return here.join(there, "trading_idx", "left").drop("trading_idx")
+
+
+def settlement_problems(executions: DataFrame, calendar: DataFrame, lag: int = SETTLEMENT_LAG) -> DataFrame:
+    """(account_id, execution_id, execution_date, problem) of executions that cannot be settled."""
+    steps = settlement_steps(calendar, lag).withColumn("__open", F.lit(True))
+    problem = F.when(F.col("__open").isNull(), "not_a_trading_day").when(
+        F.col("settlement_date").isNull(), "calendar_ends_before_settlement"
+    )
+    return (
+        executions.join(F.broadcast(steps), "execution_date", "left")
+        .withColumn("problem", problem)
+        .where("problem IS NOT NULL")
+        .select("account_id", "execution_id", "execution_date", "problem")
+    )
+
+
+def settlements(
+    executions: DataFrame, calendar: DataFrame, lag: int = SETTLEMENT_LAG, refuse: bool = True
+) -> DataFrame:
+    """Settlement ``lag`` trading days after each execution.
+
+    An execution off the calendar, or too close to its end, could never settle and would leave
+    the books open for ever: the job that reads it fails.  ``settlement_problems`` lists
+    such rows; with ``refuse`` off they get a null date.
+    """
+    settles = F.col("settlement_date")
+    if refuse:
+        message = F.concat(
+            F.lit("The calendar has no settlement for an execution on "),
+            F.coalesce(F.col("execution_date").cast("string"), F.lit("a missing date")),
+        )
+        settles = F.when(settles.isNull(), F.raise_error(message).cast("date")).otherwise(settles)
+    return executions.join(F.broadcast(settlement_steps(calendar, lag)), "execution_date", "left").select(
         "account_id",
         F.concat(F.lit("settlement-"), F.col("execution_id")).alias("settlement_id"),
         F.col("execution_date").alias("trade_date"),
-        "settlement_date",
+        settles.alias("settlement_date"),
         "ticker",
         "side",
         F.col("filled_quantity").alias("quantity"),
@@ -314,6 +348,54 @@ def cash_ledger(events: DataFrame) -> DataFrame:
     )
 
 
+def trade_violations(events: DataFrame) -> DataFrame:
+    """(account_id, ticker, entry_id, event_date, violation) of trades the books did not cover when they came.
+
+    ``overspent``: a purchase leaves less than no settled cash, whatever still is to come in.
+    ``oversold``: a sale leaves more shares sold than had settled until then.
+    """
+    columns = ["account_id", "ticker", "entry_id", "event_date"]
+    cash = running_totals(
+        events, {"settled_cash_delta": "settled_cash"}, ["account_id"], "event_date", ["phase", "entry_id"]
+    )
+    spent = cash.where("entry_type = 'BUY_EXECUTION' AND settled_cash < 0")
+    names = events.where("ticker IS NOT NULL").withColumn(
+        "sellable_delta", F.col("settled_shares_delta") - F.col("pending_sell_delta")
+    )
+    shares = running_totals(
+        names, {"sellable_delta": "sellable"}, ["account_id", "ticker"], "event_date", ["phase", "entry_id"]
+    )
+    sold = shares.where("entry_type = 'SELL_EXECUTION' AND sellable < 0")
+    return spent.select(*columns, F.lit("overspent").alias("violation")).unionByName(
+        sold.select(*columns, F.lit("oversold").alias("violation"))
+    )
+
+
+def balance_problems(ledger: DataFrame) -> DataFrame:
+    """(account_id, entry_id, problem): entries of a cash ledger that a replay contradicts.
+
+    The balances of every entry are computed again from the changes before it; deposits come
+    before settlements of the same day and those before trades.
+    """
+    phase = (
+        F.when(F.col("entry_type") == "INITIAL_DEPOSIT", 0)
+        .when(F.col("entry_type").endswith("_SETTLEMENT"), 1)
+        .otherwise(2)
+    )
+    sides = ("settled_cash", "unsettled_cash")
+    replayed = running_totals(
+        ledger.withColumn("__phase", phase),
+        {f"{side}_delta": f"__{side}" for side in sides},
+        ["account_id"],
+        "event_date",
+        ["__phase", "entry_id"],
+    )
+    wrong = F.lit(None).cast("string")
+    for side in reversed(sides):
+        wrong = F.when(~F.col(f"__{side}").eqNullSafe(F.col(f"{side}_balance")), f"{side}_balance").otherwise(wrong)
+    return replayed.withColumn("problem", wrong).where("problem IS NOT NULL").select("account_id", "entry_id", "problem")
+
+
 def balances(events: DataFrame) -> DataFrame:
     """Cash per account after all events."""
     return events.groupBy("account_id").agg(
@@ -344,8 +426,9 @@ def average_costs(trades: DataFrame) -> DataFrame:
 
     A buy adds its full cost to the cost basis, a sale keeps the average and so scales the
     basis by the remaining share, an emptied position starts again at zero.  Both are
-    steps ``basis -> factor * basis + added``.  Inside a day the steps are combined by
-    running products and sums, then the days are combined the same way.
+    steps ``basis -> factor * basis + added``.  Steps in a row are again such a step, so
+    they are folded into one, without any division: first inside blocks of a day's steps,
+    then the blocks of a day, then the days.
     """
     key = ["account_id", "ticker"]
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
@@ -362,42 +445,29 @@ def average_costs(trades: DataFrame) -> DataFrame:
     factor = F.when(F.col("signed") >= 0, F.lit(1.0)).otherwise(
         F.coalesce(F.try_divide(F.col("held").cast("double"), before), F.lit(0.0))
     )
-    steps = held.withColumn("factor", factor)
-    inner = _combine(steps, [*key, "trade_date"], "reference_id")
-    last = F.struct("reference_id")
-    days = inner.groupBy(*key, "trade_date").agg(
-        F.max_by("__carry", last).alias("factor"),
-        F.max_by("__value", last).alias("added"),
-        F.max_by("held", last).alias("held"),
-    )
-    outer = _combine(days, key, "trade_date")
-    return outer.groupBy(*key).agg(
-        F.max_by("held", "trade_date").alias("held"),
-        F.max_by("__value", "trade_date").alias("basis"),
-    ).select(
-        *key,
-        F.coalesce(F.try_divide(F.col("basis"), F.col("held").cast("double")), F.lit(0.0)).alias("average_cost"),
-    )
-
+    place = F.row_number().over(Window.partitionBy(*key, "trade_date").orderBy("reference_id"))
+    steps = held.select(*key, "trade_date", place.alias("place"), factor.alias("factor"), "added", "held")
+    blocked = steps.withColumn("block", F.floor((F.col("place") - 1) / STEPS_PER_BLOCK))
+    blocks = _folded(blocked, [*key, "trade_date", "block"], "place")
+    days = _folded(blocks, [*key, "trade_date"], "block")
+    last = _folded(days, key, "trade_date")
+    average = F.try_divide(F.col("added"), F.col("held").cast("double"))
+    return last.select(*key, F.coalesce(average, F.lit(0.0)).alias("average_cost"))
 
-def _combine(steps: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """Add ``__value``, the result of applying all steps so far to zero, and ``__carry``,
-    the factor by which an opening value would enter it.
 
-    A step with factor zero forgets everything before it, so products restart there.
-    """
-    along = Window.partitionBy(*by).orderBy(order)
-    reset = steps.withColumn("__life", F.count_if(F.col("factor") == 0).over(so_far(along)))
-    life = Window.partitionBy(*by, "__life").orderBy(order)
-    kept = F.when(F.col("factor") == 0, F.lit(1.0)).otherwise(F.col("factor"))
-    grown = reset.withColumn("__product", F.product(kept).over(so_far(life)))
-    value = F.col("__product") * F.sum(F.col("added") / F.col("__product")).over(so_far(life))
-    return grown.withColumns(
-        {
-            "__value": value,
-            "__carry": F.when(F.col("__life") == 0, F.col("__product")).otherwise(F.lit(0.0)),
-        }
+def _folded(steps: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """One step per group that does what its steps do one after another; ``held`` is the last one's."""
+    listed = F.array_sort(F.collect_list(F.struct(order, "factor", "added")))
+    whole = F.aggregate(
+        "steps",
+        F.struct(F.lit(1.0).alias("factor"), F.lit(0.0).alias("added")),
+        lambda done, step: F.struct(
+            (done["factor"] * step["factor"]).alias("factor"),
+            (done["added"] * step["factor"] + step["added"]).alias("added"),
+        ),
     )
+    grouped = steps.groupBy(*by).agg(listed.alias("steps"), F.max_by("held", order).alias("held"))
+    return grouped.withColumn("whole", whole).select(*by, "whole.factor", "whole.added", "held")
 
 
 def position_snapshot(
@@ -503,7 +573,10 @@ def reconcile(
         below = ledger.where("settled_cash_balance < 0 OR unsettled_cash_balance < 0").select(
             "account_id", F.lit(None).cast("string").alias("ticker"), F.lit("negative_balance").alias("violation")
         ).distinct()
-        found = found.unionByName(repeated).unionByName(below)
+        replay = balance_problems(ledger).select(
+            "account_id", F.lit(None).cast("string").alias("ticker"), F.lit("wrong_running_balance").alias("violation")
+        ).distinct()
+        found = found.unionByName(repeated).unionByName(below).unionByName(replay)
     return found.where("violation IS NOT NULL")
 
 
