@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests.helpers import days, price_panel
@@ -183,32 +184,66 @@ def test_landed_files_stream_into_the_table(spark, tmp_path):
     def row(date, ticker, close):
         return (date, ticker, close, close, close, close, close, 10, close * 10)
 
-    def run():
-        query = inc.run_landing(spark, str(landing), *paths)
-        query.awaitTermination(120)
-        assert query.exception() is None
+    def run(end):
+        query = inc.run_landing(spark, str(landing), *paths, end=end)
+        try:
+            query.awaitTermination(120)
+        except StreamingQueryException as error:
+            return error
+        return None
+
+    def table():
         return {(r["date"].isoformat(), r["ticker"]): r["close"] for r in inc.stored_bars(spark, paths[0]).collect()}
 
     _land(landing, "a.csv", [row("2020-01-30", "A", 10.0), row("2020-01-31", "A", 10.0), row("2019-12-02", "A", 9.0)])
-    assert len(run()) == 3
+    assert run(dt.date(2020, 1, 31)) is None and len(table()) == 3
     # A small correction and a new month arrive; the old December row is frozen.
-    _land(landing, "b.csv", [row("2020-01-31", "A", 10.2), row("2020-02-03", "A", 10.4), row("2019-12-02", "A", 5.0)])
-    second = run()
+    overlap = row("2020-01-30", "A", 10.0)
+    _land(landing, "b.csv", [overlap, row("2020-01-31", "A", 10.2), row("2020-02-03", "A", 10.4), row("2019-12-02", "A", 5.0)])
+    assert run(dt.date(2020, 2, 3)) is None
+    second = table()
     assert second["2020-01-31", "A"] == 10.2 and second["2019-12-02", "A"] == 9.0 and len(second) == 4
-    # A jump beyond the tolerance is left out; running again changes nothing.
-    _land(landing, "c.csv", [row("2020-02-03", "A", 99.0), row("2020-02-04", "A", 10.5)])
-    third = run()
-    assert third["2020-02-03", "A"] == 10.4 and third["2020-02-04", "A"] == 10.5
-    assert run() == third
+    assert run(dt.date(2020, 2, 3)) is None and table() == second
+    # A jump beyond the tolerance refuses the whole batch, and the batch comes again.
+    kept = [overlap, row("2020-01-31", "A", 10.2)]
+    _land(landing, "c.csv", [*kept, row("2020-02-03", "A", 99.0), row("2020-02-04", "A", 10.5)])
+    assert "breaks 1 rules" in str(run(dt.date(2020, 2, 4))) and table() == second
+    _land(landing, "c.csv", [*kept, row("2020-02-03", "A", 10.5), row("2020-02-04", "A", 10.5)])
+    assert run(dt.date(2020, 2, 4)) is None
+    assert table()["2020-02-04", "A"] == 10.5
+
+
+@pytest.mark.parametrize(
+    "change,problem",
+    [
+        (lambda bars: bars.unionByName(bars.where(F.col("date") == F.lit(days(60)[59]))), "duplicate_key"),
+        (lambda bars: bars.where(~((F.col("ticker") == "T01") & (F.col("date") == F.lit(days(60)[57])))), "missing_from_update"),
+        (lambda bars: bars.withColumn("close", F.when(F.col("date") == F.lit(days(60)[58]), F.col("close") * 2).otherwise(F.col("close"))), "close_changed"),
+        (lambda bars: bars.withColumn("date", F.when((F.col("date") == F.lit(days(60)[59])) & (F.col("ticker") == "T01"), F.lit(days(61)[60])).otherwise(F.col("date"))), "after_window"),
+    ],
+)
+def test_a_batch_that_breaks_a_rule_is_refused_as_a_whole(spark, tmp_path, change, problem):
+    target = str(tmp_path / "bars")
+    bars = _bars(spark, 60)
+    first = bars.where(F.col("date") <= F.lit(days(60)[58]))
+    assert inc.apply_batch(first, target, str(tmp_path / "s0"), days(60)[58])["written"] == 118
+    counts = inc.apply_batch(change(bars), target, str(tmp_path / "s1"), days(60)[59], overlap_days=5)
+    assert counts["written"] == 0 and counts["refused"] > 0
+    assert {r["problem"] for r in spark.read.parquet(str(tmp_path / "s1" / "problems")).collect()} == {problem}
+    assert inc.stored_bars(spark, target).exceptAll(first).count() == 0
+    counts = inc.apply_batch(bars, target, str(tmp_path / "s2"), days(60)[59], overlap_days=5)
+    assert counts["refused"] == 0 and counts["written"] + counts["frozen"] == 120
+    assert inc.stored_bars(spark, target).count() == 120
 
 
 def test_a_staged_batch_is_published_again_unchanged(spark, tmp_path):
     target, staging = str(tmp_path / "bars"), str(tmp_path / "staging")
     bars = _bars(spark, 60)
-    assert inc.apply_batch(bars, target, staging) == {"written": 120, "rejected": 0}
+    end = days(60)[-1]
+    assert inc.apply_batch(bars, target, staging, end) == {"written": 120, "frozen": 0, "refused": 0}
     # The same batch once more, as after a lost driver: nothing is merged a second time.
     changed = bars.withColumn("close", F.col("close") * 1.01)
-    assert inc.apply_batch(changed, target, staging) == {"written": 0, "rejected": 0}
+    assert inc.apply_batch(changed, target, staging, end)["written"] == 0
     assert inc.stored_bars(spark, target).exceptAll(bars).count() == 0
 
 

@@ -1,7 +1,8 @@
 """Incremental ingest of landed files and bars from an event stream.
 
 Late data follows one rule: corrections inside the overlap window replace what is stored,
-older rows stay frozen, rows after the completed day are refused.
+older rows stay frozen, and a batch with rows after the completed day, with gaps or with implausible
+corrections is refused.
 """
 
 from __future__ import annotations
@@ -43,48 +44,65 @@ def stored_bars(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], BAR_SCHEMA)
 
 
+def batch_problems(
+    stored: DataFrame, rows: DataFrame, end: dt.date, start: dt.date | None, close_tolerance: float
+) -> DataFrame:
+    """(date, ticker, problem) of a batch against the stored bars: what the daily update refuses.
+
+    Rows after the completed day ``end``, repeated keys, and inside the overlap window closes
+    that moved too far and stored keys the batch lacks.
+    """
+    found = landed_problems(rows, end).select("date", "ticker", "problem")
+    if start is not None:
+        overlap = overlap_problems(stored, rows, close_tolerance, start)
+        found = found.unionByName(overlap.select("date", "ticker", "problem"))
+    return found
+
+
 def apply_batch(
     batch: DataFrame,
     target: str,
     staging: str,
+    end: dt.date,
     overlap_days: int = 14,
     close_tolerance: float = 0.05,
 ) -> dict[str, int]:
-    """Merge one batch into the month-partitioned bar table.
+    """Merge one batch into the month-partitioned bar table; ``end`` is the last completed day.
+
+    A batch with a row that breaks a rule is refused as a whole: nothing of it is written,
+    ``refused`` counts the problems, and they are listed in the staging folder under
+    ``problems``.  Rows before the overlap window stay as they are stored and are counted as
+    ``frozen``.
 
-    Only the months the batch touches are read back and rewritten.  Rows of the batch that
-    fall before the overlap window are ignored, rows that break a rule are counted and
-    left out.  The merged months are staged first; a batch whose staged months are already
-    complete, because the driver was lost while publishing, is only published again.
+    Only the months the batch touches are read back and rewritten.  The merged months are
+    staged first; a batch whose staged months are already complete, because the driver was
+    lost while publishing, is only published again.
     """
     spark = batch.sparkSession
-    done = _complete(spark, staging)
-    counts = {"written": 0, "rejected": 0}
-    if not done:
-        rows = batch.select(*BAR_SCHEMA.fieldNames())
-        last = rows.agg(F.max("date").alias("last")).first()["last"]
-        if last is None:
+    counts = {"written": 0, "frozen": 0, "refused": 0}
+    if not _complete(spark, staging):
+        rows = checkpoint(batch.select(*BAR_SCHEMA.fieldNames()))
+        total = rows.count()
+        if not total:
             return counts
         stored = stored_bars(spark, target)
         latest = stored.agg(F.max("date").alias("latest")).first()["latest"]
-        if latest is None:
-            fresh = rows
-            problems = landed_problems(fresh, last).select("date", "ticker")
-        else:
-            start = latest - dt.timedelta(days=overlap_days)
-            fresh = rows.where(F.col("date") >= F.lit(start))
-            changed = overlap_problems(stored, fresh, close_tolerance, start).where("problem = 'close_changed'")
-            problems = landed_problems(fresh, last).select("date", "ticker").unionByName(
-                changed.select("date", "ticker")
-            )
-        problems = checkpoint(problems.distinct())
-        accepted = checkpoint(fresh.join(problems, ["date", "ticker"], "left_anti"))
-        counts = {"written": accepted.count(), "rejected": problems.count()}
-        months = _month(accepted).select("month").distinct()
+        start = None if latest is None else latest - dt.timedelta(days=overlap_days)
+        fresh = rows if start is None else rows.where(F.col("date") >= F.lit(start))
+        problems = checkpoint(batch_problems(stored, fresh, end, start, close_tolerance))
+        counts["refused"] = problems.count()
+        if counts["refused"]:
+            problems.write.mode("overwrite").parquet(f"{staging}/problems")
+            return counts
+        counts["written"] = fresh.count()
+        counts["frozen"] = total - counts["written"]
+        if not counts["written"]:
+            return counts
+        months = _month(fresh).select("month").distinct()
         touched = _month(stored).join(F.broadcast(months), "month", "left_semi").drop("month")
-        kept = touched.join(accepted.select("date", "ticker"), ["date", "ticker"], "left_anti")
+        kept = touched.join(fresh.select("date", "ticker"), ["date", "ticker"], "left_anti")
         # The target cannot be read and overwritten in one plan.
-        _month(kept.unionByName(accepted)).write.mode("overwrite").parquet(f"{staging}/rows")
+        _month(kept.unionByName(fresh)).write.mode("overwrite").parquet(f"{staging}/rows")
         spark.range(1).write.mode("overwrite").parquet(f"{staging}/done")
     write_partitions(spark.read.parquet(f"{staging}/rows"), target, ["month"])
     return counts
@@ -101,11 +119,16 @@ def _complete(spark: SparkSession, staging: str) -> bool:
 
 
 def run_landing(
-    spark: SparkSession, landing: str, target: str, staging: str, progress: str, **rules: float
+    spark: SparkSession, landing: str, target: str, staging: str, progress: str, end: dt.date, **rules: float
 ) -> StreamingQuery:
-    """Process every landed file once and stop; ``progress`` keeps the exactly-once state."""
+    """Process every landed file once and stop; ``progress`` keeps the exactly-once state.
+
+    A refused batch fails the query, so it comes again once its file or the table is put right.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, target, f"{staging}/{batch_id}", **rules)
+        counts = apply_batch(batch, target, f"{staging}/{batch_id}", end, **rules)
+        if counts["refused"]:
+            raise ValueError(f"Batch {batch_id} breaks {counts['refused']} rules, listed in {staging}/{batch_id}/problems")
 
     return (
         landed_bars(spark, landing)
