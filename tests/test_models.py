@@ -122,6 +122,22 @@ def test_logistic_matches_newton_on_each_window(spark):
     np.testing.assert_allclose(have.sort_index(), want.sort_index(), atol=1e-6)
 
 
+def test_logistic_fits_end_converged_where_full_steps_overshoot(spark):
+    """Large, lopsided features: Newton's full step raises the loss and has to be halved."""
+    rng = np.random.default_rng(3)
+    dates = days(30)
+    frame = pd.DataFrame([(d, f"T{k:02d}") for d in dates for k in range(15)], columns=["date", "ticker"])
+    for name in FEATURES:
+        frame[name] = np.exp(rng.normal(0, 3, len(frame)))
+    frame["target"] = rng.normal(0, 1, len(frame))
+    frame["top_quintile_label"] = (frame[FEATURES[0]] > np.quantile(frame[FEATURES[0]], 0.97)).astype(int)
+    rows = spark.createDataFrame(frame)
+    windows = _windows(spark, frame, train_size=8, step_size=6)
+    scaled = mod.scaled_features(rows, FEATURES)
+    fits = mod.fit_logistic_windows(rows, windows, FEATURES, "top_quintile_label", scaled).collect()
+    assert fits and all(r["converged"] for r in fits)
+
+
 def test_one_class_windows_predict_their_class(spark):
     frame = _rows(dates=20, names=5)
     rows = spark.createDataFrame(frame).withColumn("top_quintile_label", F.lit(0))

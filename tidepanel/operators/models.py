@@ -40,6 +40,7 @@ TREES = 100
 FOREST_DEPTH = 3
 BOOSTING_DEPTH = 2
 BOOSTING_STEP = 0.05
+LOGISTIC_TOLERANCE = 1e-9
 MIN_LEAF = 2
 SEED = 42
 
@@ -104,12 +105,17 @@ class _Moments:
 
 
 def _elastic_net(gram: np.ndarray, target: np.ndarray, rows: float) -> np.ndarray:
-    """Coordinate descent on sums of products."""
+    """Coordinate descent on sums of products, until no coefficient moves.
+
+    The penalty makes the objective strictly convex, so the descent always ends; how fast
+    depends on the data, therefore no number of rounds is given.
+    """
     size = len(target)
     beta = np.zeros(size)
     l1 = rows * ELASTIC_ALPHA * ELASTIC_L1_RATIO
     l2 = rows * ELASTIC_ALPHA * (1 - ELASTIC_L1_RATIO)
-    for _ in range(10000):
+    largest = np.inf
+    while largest >= 1e-10 * (1 + np.abs(beta).max(initial=0.0)):
         largest = 0.0
         for j in range(size):
             if gram[j, j] == 0:
@@ -118,8 +124,6 @@ def _elastic_net(gram: np.ndarray, target: np.ndarray, rows: float) -> np.ndarra
             updated = np.sign(rho) * max(abs(rho) - l1, 0.0) / (gram[j, j] + l2)
             largest = max(largest, abs(updated - beta[j]))
             beta[j] = updated
-        if largest < 1e-10:
-            break
     return beta
 
 
@@ -205,9 +209,9 @@ def linear_predictions(
     scaled = scaled_features(known, features)
     fits = fit_linear_windows(known, windows, features, target, models, feature_sets, scaled)
     tested = windows.where("role = 'test'").select("window_id", "date")
-    # One row per window, scenario and model: bounded by the calendar.
+    # One row per window, scenario and model; no hint, since scenarios are the caller's.
     plan = tested.join(fits, "window_id")
-    scored = known.join(F.broadcast(plan), "date").withColumn("predicted_return", _linear_score(scaled))
+    scored = known.join(plan, "date").withColumn("predicted_return", _linear_score(scaled))
     return scored.select(
         "window_id", "scenario", "date", "ticker", "model_name", "predicted_return",
         F.col(target).alias("actual_return"),
@@ -223,12 +227,16 @@ def fit_logistic_windows(
     features: Sequence[str],
     label: str,
     scaled: Sequence[Column],
-    iterations: int = 12,
+    tolerance: float = LOGISTIC_TOLERANCE,
 ) -> DataFrame:
     """Class-balanced logistic fits with unit L2 penalty for every window at once.
 
-    Each Newton step is one aggregate over the training rows of all windows; the table of
-    window parameters is checkpointed between steps, so the plan does not grow.
+    (window_id, rows, positives, intercept, slopes, converged).  Each Newton step is one
+    aggregate over the training rows of the windows that still move; a window whose gradient per
+    row is within ``tolerance`` is finished and takes no further part.  A step that would
+    raise the loss is halved until it lowers it, so the steps go on until all windows
+    are finished.  ``converged`` is false only where rounding leaves no step that helps.  One-class
+    windows need no fit.  The table of window parameters is checkpointed between steps.
     """
     check_features(features)
     size = len(features)
@@ -243,8 +251,10 @@ def fit_logistic_windows(
     )
     state_schema = (
         "window_id int, rows double, positives double, mean array<double>, scale array<double>, "
-        "intercept double, slopes array<double>, beta0 double, beta array<double>"
+        "intercept double, slopes array<double>, beta0 double, beta array<double>, "
+        "origin0 double, origin array<double>, step0 double, step array<double>, share double, loss double, status string"
     )
+    names = [p.split()[0] for p in state_schema.split(", ")]
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -254,61 +264,82 @@ def fit_logistic_windows(
                 mean, scale, flat = total.scaling()
                 scale = np.where(flat, np.inf, scale)
                 zeros = [0.0] * size
+                one_class = not 0 < total.response < total.weight
                 out.append(
-                    (window_id, total.weight, total.response, mean.tolist(), scale.tolist(), 0.0, zeros, 0.0, zeros)
+                    (
+                        window_id, total.weight, total.response, mean.tolist(), scale.tolist(), 0.0, zeros, 0.0, zeros,
+                        0.0, zeros, 0.0, zeros, 1.0, np.inf, "converged" if one_class else "open",
+                    )
                 )
-            yield pd.DataFrame(out, columns=[p.split()[0] for p in state_schema.split(", ")])
+            yield pd.DataFrame(out, columns=names)
 
     first = named.groupBy("window_id").agg(_moment_sums(size, "1.0D", "y"))
     state = checkpoint(first.mapInPandas(start, state_schema))
 
     def newton(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                total = _Moments(np.asarray(row.moments), size)
-                mean, scale = np.asarray(row.mean), np.asarray(row.scale)
-                beta = np.concatenate([[row.beta0], row.beta])
-                cross = total.xx - np.outer(total.x, mean) - np.outer(mean, total.x)
-                cross = (cross + total.weight * np.outer(mean, mean)) / np.outer(scale, scale)
-                edge = (total.x - total.weight * mean) / scale
-                hessian = np.zeros((size + 1, size + 1))
-                hessian[0, 0] = total.weight
-                hessian[0, 1:] = hessian[1:, 0] = edge
-                hessian[1:, 1:] = cross + np.eye(size)
-                gradient = np.concatenate(
-                    [[total.response], (total.xy - mean * total.response) / scale - beta[1:]]
-                )
-                step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
-                step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
-                beta = beta + step
-                slopes = beta[1:] / scale
-                out.append(
-                    (
-                        row.window_id, row.rows, row.positives, row.mean, row.scale,
-                        beta[0] - slopes @ mean, slopes.tolist(), beta[0], beta[1:].tolist(),
-                    )
-                )
-            yield pd.DataFrame(out, columns=[p.split()[0] for p in state_schema.split(", ")])
+            out = [_newton_step(row, size, tolerance) for row in batch.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=names)
 
     inputs = [F.col(f"x{i}") for i in range(size)]
-    for _ in range(iterations):
-        mixed = state.where((F.col("positives") > 0) & (F.col("positives") < F.col("rows")))
-        chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-_linear_score(inputs)))
+    margin = _linear_score(inputs)
+    while state.where("status = 'open'").limit(1).count():
+        moving = state.where("status = 'open'")
+        chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__margin")))
         negatives = F.col("rows") - F.col("positives")
         weight = F.col("rows") / (2 * F.when(F.col("y") == 1, F.col("positives")).otherwise(negatives))
+        # log(1 + exp(-m)) for the own class, without overflow
+        signed = F.when(F.col("y") == 1, F.col("__margin")).otherwise(-F.col("__margin"))
+        miss = F.greatest(-signed, F.lit(0.0)) + F.log1p(F.exp(-F.abs(signed)))
         worked = (
-            named.join(F.broadcast(mixed), "window_id")
-            .withColumns({"__chance": chance, "__class": weight})
+            named.join(moving.select("window_id", "rows", "positives", "intercept", "slopes"), "window_id")
+            .withColumns({"__margin": margin, "__class": weight})
+            .withColumn("__chance", chance)
             .withColumn("__curvature", F.col("__class") * F.col("__chance") * (1 - F.col("__chance")))
             .withColumn("__residual", F.col("__class") * (F.col("y") - F.col("__chance")))
+            .withColumn("__miss", F.col("__class") * miss)
         )
-        sums = worked.groupBy("window_id").agg(_moment_sums(size, "__curvature", "__residual"))
-        constant = state.where((F.col("positives") == 0) | (F.col("positives") == F.col("rows")))
-        state = checkpoint(
-            state.join(sums, "window_id").mapInPandas(newton, state_schema).unionByName(constant)
+        sums = worked.groupBy("window_id").agg(
+            _moment_sums(size, "__curvature", "__residual"), F.sum("__miss").alias("missed")
         )
-    return state.select("window_id", "rows", "positives", "intercept", "slopes")
+        finished = state.where("status <> 'open'")
+        state = checkpoint(moving.join(sums, "window_id").mapInPandas(newton, state_schema).unionByName(finished))
+    return state.select(
+        "window_id", "rows", "positives", "intercept", "slopes", (F.col("status") == "converged").alias("converged")
+    )
+
+
+def _newton_step(row: tuple, size: int, tolerance: float) -> tuple:
+    """State of one window after looking at its loss, gradient and curvature at the present point."""
+    total = _Moments(np.asarray(row.moments), size)
+    mean, scale = np.asarray(row.mean), np.asarray(row.scale)
+    beta = np.concatenate([[row.beta0], row.beta])
+    loss = row.missed + 0.5 * float(beta[1:] @ beta[1:])
+    share = 1.0
+    if loss > row.loss + 1e-12 * (1 + abs(row.loss)):
+        # The last step went too far: try half of it from where it began.
+        step = np.concatenate([[row.step0], row.step])
+        base, share, best = np.concatenate([[row.origin0], row.origin]), row.share / 2, row.loss
+        status = "open" if share > 1e-9 else "stuck"
+    else:
+        cross = total.xx - np.outer(total.x, mean) - np.outer(mean, total.x)
+        cross = (cross + total.weight * np.outer(mean, mean)) / np.outer(scale, scale)
+        edge = (total.x - total.weight * mean) / scale
+        hessian = np.zeros((size + 1, size + 1))
+        hessian[0, 0] = total.weight
+        hessian[0, 1:] = hessian[1:, 0] = edge
+        hessian[1:, 1:] = cross + np.eye(size)
+        gradient = np.concatenate([[total.response], (total.xy - mean * total.response) / scale - beta[1:]])
+        step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+        base, best = beta, loss
+        status = "converged" if np.abs(gradient).max() <= tolerance * row.rows else "open"
+    point = base if status != "open" else base + share * step
+    slopes = point[1:] / scale
+    return (
+        row.window_id, row.rows, row.positives, row.mean, row.scale,
+        point[0] - slopes @ mean, slopes.tolist(), point[0], point[1:].tolist(),
+        base[0], base[1:].tolist(), step[0], step[1:].tolist(), share, best, status,
+    )
 
 
 def logistic_predictions(
@@ -317,14 +348,14 @@ def logistic_predictions(
     features: Sequence[str],
     label: str = "top_quintile_label",
     target: str = "target",
-    iterations: int = 12,
+    tolerance: float = LOGISTIC_TOLERANCE,
 ) -> DataFrame:
     """Out-of-sample probability of the positive class; a one-class window predicts its class."""
     known = rows.where(F.col(label).isNotNull())
     scaled = scaled_features(known, features)
-    fits = fit_logistic_windows(known, windows, features, label, scaled, iterations)
+    fits = fit_logistic_windows(known, windows, features, label, scaled, tolerance)
     tested = windows.where("role = 'test'").select("window_id", "date")
-    scored = known.join(F.broadcast(tested.join(fits, "window_id")), "date")
+    scored = known.join(tested.join(fits, "window_id"), "date")
     chance = (
         F.when(F.col("positives") == 0, F.lit(0.0))
         .when(F.col("positives") == F.col("rows"), F.lit(1.0))
@@ -338,6 +369,7 @@ def logistic_predictions(
         chance.alias("predicted_probability"),
         F.col(label).alias("actual_label"),
         F.col(target).alias("actual_return"),
+        "converged",
     )
 
 
@@ -580,7 +612,7 @@ def rank_ensemble_scores(member_scores: Mapping[str, DataFrame]) -> DataFrame:
     stacked = reduce(DataFrame.unionByName, frames)
     ranked = with_ranks(stacked, ["date", "member"], "score", ascending=False, ordinal="place")
     counts = ranked.groupBy("date", "member").agg(F.count(F.lit(1)).alias("names"))
-    joined = ranked.join(F.broadcast(counts), ["date", "member"])
+    joined = ranked.join(counts, ["date", "member"])
     return joined.groupBy("date", "ticker").agg(
         (F.lit(1.0) - F.avg("place") / (F.max("names") + 1)).alias("score")
     )
@@ -621,7 +653,7 @@ def expanding_predictions(
     tests = signals.join(fits, signals["signal_idx"] == fits["window_id"]).select(
         F.col("signal_date").alias("date"), "training_cutoff", "intercept", "slopes"
     )
-    return known.join(F.broadcast(tests), "date").select(
+    return known.join(tests, "date").select(
         "date",
         "ticker",
         F.lit(model).alias("model_name"),
@@ -632,11 +664,13 @@ def expanding_predictions(
 
 
 def running_moments(per_date: DataFrame) -> DataFrame:
-    """Sums of products of all dates up to each date; one row per date throughout."""
+    """Sums of products of all dates up to each date; one row per date throughout.
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("date")
-        total = np.cumsum(np.stack(ordered["moments"].to_numpy()), axis=0)
-        return pd.DataFrame({"date": ordered["date"].to_numpy(), "moments": list(total)})
-
-    return per_date.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(walk, "date date, moments array<double>")
+    Every place of the moment array is summed along the calendar by itself, so the dates
+    never meet in one task with all their moments.
+    """
+    places = per_date.select("date", F.posexplode("moments").alias("place", "moment"))
+    along = Window.partitionBy("place").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = places.select("date", "place", F.sum("moment").over(along).alias("moment"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "moment")))
+    return summed.groupBy("date").agg(F.transform(listed, lambda m: m["moment"]).alias("moments"))
