@@ -17,6 +17,7 @@ from tidepanel.operators import labels as la
 from tidepanel.operators import risk, splits
 from tidepanel.operators import universe as un
 from tidepanel.plans.features import combined_features, time_features
+from tidepanel.session import checkpoint
 
 # --- panel --------------------------------------------------------------------------
 
@@ -321,7 +322,38 @@ relation(
     "SELECT date, rolling_avg_pairwise_corr FROM date_list LEFT JOIN pair_corr USING (date_idx)",
 )
 def _pairwise(spark, folder):
-    return he.average_pairwise_correlation(fe.add_momentum(panel.bars(spark, folder)))
+    return he.average_pairwise_correlation(fe.add_momentum(panel.bars(spark, folder)), pairs="available")
+
+
+# Names with a value on each of the last 20 dates; a window sum of standard scores per date gives all pairs.
+relation(
+    "wide_runs",
+    """SELECT *, count(*) OVER w AS n, avg(r) OVER w AS m, stddev_pop(r) OVER w * sqrt(20) AS s, list(r) OVER w AS rs FROM (
+         SELECT date_idx, ticker, adjusted_close / lag(adjusted_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM wide_bars JOIN wide_dates USING (date)) WHERE r IS NOT NULL
+       WINDOW w AS (PARTITION BY ticker ORDER BY date_idx RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+)
+relation("wide_dates", "SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INT) AS date_idx FROM (SELECT DISTINCT date FROM wide_bars)")
+relation(
+    "wide_pairs",
+    """SELECT date_idx, any_value(k) AS names, sum(z * z) AS squares FROM (
+         SELECT date_idx, day, count(*) AS k, sum(z) AS z FROM (
+           SELECT date_idx, unnest(range(20)) AS day, unnest(list_transform(rs, lambda x: (x - m) / s)) AS z FROM wide_runs WHERE n = 20 AND list_max(rs) > list_min(rs)) GROUP BY 1, 2) GROUP BY 1""",
+)
+relation(
+    "wide_seen",
+    """SELECT e.date_idx, count(DISTINCT ticker) AS seen FROM wide_dates e JOIN wide_runs r ON r.date_idx BETWEEN e.date_idx - 19 AND e.date_idx WHERE e.date_idx >= 19 GROUP BY 1""",
+)
+
+
+@query(
+    "e12_complete_correlation_wide",
+    "date rolling_avg_pairwise_corr:7 complete_share:8",
+    """SELECT date, CASE WHEN names > 1 THEN (squares - names) / (names * (names - 1)) END AS rolling_avg_pairwise_corr,
+         CASE WHEN seen IS NOT NULL THEN coalesce(names, 0) / seen END AS complete_share
+       FROM wide_dates LEFT JOIN wide_pairs USING (date_idx) LEFT JOIN wide_seen USING (date_idx)""",
+)
+def _complete_wide(spark, folder):
+    return he.complete_window_correlation(fe.add_momentum(panel.wide(spark, folder)))
 
 
 @query(
@@ -331,7 +363,7 @@ def _pairwise(spark, folder):
 )
 def _pairwise_attached(spark, folder):
     rows = fe.add_momentum(panel.bars(spark, folder))
-    return rows.join(F.broadcast(he.average_pairwise_correlation(rows)), "date", "left")
+    return rows.join(F.broadcast(he.average_pairwise_correlation(rows, pairs="available")), "date", "left")
 
 
 def _expanding(value: str, sign: str) -> str:
@@ -375,9 +407,8 @@ relation(
     "SELECT * FROM herd_scores",
 )
 def _expanding_percentile(spark, folder):
-    state = he.cross_sectional_state(panel.features(spark, folder))
-    score = he.expanding_percentile("market_return_dispersion", higher=False)
-    return state.withColumn("herding_low_dispersion_score", score)
+    state = checkpoint(he.cross_sectional_state(panel.features(spark, folder)))
+    return he.with_expanding_percentiles(state, {"herding_low_dispersion_score": ("market_return_dispersion", False)})
 
 
 HERD = (
@@ -388,7 +419,7 @@ HERD = (
 
 @query("e15_herding_index", HERD, "SELECT * FROM herd")
 def _herding(spark, folder):
-    return he.daily_herding(panel.features(spark, folder))
+    return he.daily_herding(panel.features(spark, folder), pairs="available")
 
 
 @query(
@@ -397,7 +428,7 @@ def _herding(spark, folder):
     "SELECT date, herding_index FROM herd ORDER BY herding_index DESC NULLS LAST, date LIMIT 5",
 )
 def _extreme(spark, folder):
-    return he.extreme_herding_dates(he.daily_herding(panel.features(spark, folder)))
+    return he.extreme_herding_dates(he.daily_herding(panel.features(spark, folder), pairs="available"))
 
 
 @query(
@@ -406,7 +437,7 @@ def _extreme(spark, folder):
     "SELECT date, herding_corr_score, coalesce(herding_corr_score >= 0.8, false) AS high_herding_day FROM herd",
 )
 def _herding_state(spark, folder):
-    return he.herding_state(he.daily_herding(panel.features(spark, folder)))
+    return he.herding_state(he.daily_herding(panel.features(spark, folder), pairs="available"))
 
 
 # --- risk ---------------------------------------------------------------------------------
@@ -710,7 +741,7 @@ def _ordinal_wide(spark, folder):
        LEFT JOIN amihud USING (date, ticker) JOIN herd USING (date)""",
 )
 def _combined(spark, folder):
-    return combined_features(panel.bars(spark, folder))
+    return combined_features(panel.bars(spark, folder), pairs="available")
 
 
 @query(

@@ -160,7 +160,7 @@ relation(
 def _context(spark, folder):
     """Momentum predictions with group, sector and the herding state of the date."""
     rows = panel.predictions(spark, folder).where("model_name = 'momentum'")
-    state = he.herding_state(he.daily_herding(panel.features(spark, folder)))
+    state = he.herding_state(he.daily_herding(panel.features(spark, folder), pairs="available"))
     return po.attach_context(rows, panel.universe(spark, folder), state)
 
 
@@ -169,7 +169,8 @@ def _weights(spark, folder):
 
 
 def _liquidity(spark, folder):
-    return bt.liquidity_reference(panel.features(spark, folder))
+    """Written once: its quantile, its rows and both execution modes read it."""
+    return checkpoint(bt.liquidity_reference(checkpoint(panel.features(spark, folder))))
 
 
 def _both(spark, folder):

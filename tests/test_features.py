@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import by_key, days, price_panel
@@ -51,7 +52,7 @@ def test_beta_ignores_the_current_row(spark):
 def test_pairwise_correlation_with_gaps_matches_pandas(spark):
     bars = price_panel(7, 60, seed=5, gaps=0.25)
     rows = fe.add_momentum(spark.createDataFrame(bars))
-    got = by_key(he.average_pairwise_correlation(rows).toPandas(), "date")
+    got = by_key(he.average_pairwise_correlation(rows, pairs="available").toPandas(), "date")
     wide = rows.select("date", "ticker", "return_1d").toPandas().pivot(index="date", columns="ticker", values="return_1d").sort_index()
     expected = []
     for end in range(len(wide)):
@@ -64,13 +65,44 @@ def test_pairwise_correlation_with_gaps_matches_pandas(spark):
     np.testing.assert_allclose(got["rolling_avg_pairwise_corr"].astype(float), expected, atol=1e-10)
 
 
+def test_complete_windows_match_pandas_on_names_without_gaps(spark):
+    bars = price_panel(9, 60, seed=6, gaps=0.03)
+    rows = fe.add_momentum(spark.createDataFrame(bars))
+    got = by_key(he.complete_window_correlation(rows).toPandas(), "date")
+    wide = rows.select("date", "ticker", "return_1d").toPandas().pivot(index="date", columns="ticker", values="return_1d").sort_index()
+    expected, shares = [], []
+    for end in range(len(wide)):
+        part = wide.iloc[max(0, end - 19) : end + 1]
+        full = part.dropna(axis=1)
+        pairs = full.corr().to_numpy()[np.triu_indices(full.shape[1], 1)]
+        expected.append(pairs.mean() if end >= 19 and len(pairs) else np.nan)
+        shares.append(full.shape[1] / part.dropna(axis=1, how="all").shape[1] if end >= 19 else np.nan)
+    np.testing.assert_allclose(got["rolling_avg_pairwise_corr"].astype(float), expected, atol=1e-10)
+    np.testing.assert_allclose(got["complete_share"].astype(float), shares, atol=1e-12)
+    with pytest.raises(ValueError, match="pairs"):
+        he.average_pairwise_correlation(rows, pairs="some")
+
+
 def test_expanding_percentile_counts_only_the_past(spark):
     values = [3.0, 1.0, None, 2.0, 5.0]
     frame = spark.createDataFrame(list(zip(days(5), values)), "date date, v double")
-    got = frame.withColumn("s", he.expanding_percentile("v")).orderBy("date").toPandas()["s"]
+    got = he.with_expanding_percentiles(frame, {"s": ("v", True)}).orderBy("date").toPandas()["s"]
     np.testing.assert_allclose(got.astype(float), [1.0, 0.5, np.nan, 2 / 3, 1.0])
 
 
+@pytest.mark.parametrize("rows", [1, 2, 7, 64, 100])
+def test_expanding_percentile_against_all_earlier_values(spark, rows):
+    rng = np.random.default_rng(rows)
+    values = [None if rng.random() < 0.1 else float(rng.integers(0, 12)) for _ in range(rows)]
+    frame = spark.createDataFrame(list(zip(days(rows), values)), "date date, v double")
+    got = he.with_expanding_percentiles(frame, {"up": ("v", True), "down": ("v", False)}).orderBy("date").collect()
+    for k, row in enumerate(got):
+        past = [v for v in values[: k + 1] if v is not None]
+        for name, lesser in (("up", lambda x, y: x <= y), ("down", lambda x, y: x >= y)):
+            want = None if values[k] is None else sum(lesser(v, values[k]) for v in past) / len(past)
+            assert row[name] == want or abs(row[name] - want) < 1e-12
+
+
 def test_combined_features_keep_every_row_once(spark):
     bars = spark.createDataFrame(price_panel(5, 40, gaps=0.05))
     got = combined_features(bars)

@@ -53,7 +53,7 @@ def _member_rank_scores(predictions: DataFrame, members: Sequence[str]) -> DataF
         _members(predictions, members), keys, "predicted_return", ascending=False, ordinal="member_rank"
     )
     counts = ranked.groupBy(*keys).agg(F.count("member_rank").alias("names"))
-    return ranked.join(F.broadcast(counts), keys).withColumn(
+    return ranked.join(counts, keys).withColumn(
         "rank_score", F.lit(1.0) - F.col("member_rank") / (F.col("names") + 1)
     )
 
@@ -108,7 +108,7 @@ def rolling_rank_ensemble(
 ) -> DataFrame:
     """Member rank scores blended with past-skill weights, which are kept as columns."""
     weights = rolling_member_weights(predictions, members, window, lag)
-    scored = _member_rank_scores(predictions, members).join(F.broadcast(weights), ["date", "model_name"])
+    scored = _member_rank_scores(predictions, members).join(weights, ["date", "model_name"])
     kept = [
         F.max(F.when(F.col("model_name") == m, F.col("weight"))).alias(f"weight_{m}") for m in members
     ]

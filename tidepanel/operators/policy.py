@@ -107,7 +107,7 @@ def policy_history(
     keys = ["policy_name", "date"]
     scored = combined.select("date", "ticker", F.col("model_name").alias("selected_model"), "predicted_return")
     candidates = scored.join(
-        F.broadcast(steps.where(F.col("selected_model") != CASH).select(*keys, "selected_model")),
+        steps.where(F.col("selected_model") != CASH).select(*keys, "selected_model"),
         ["date", "selected_model"],
     ).where(F.col("predicted_return").isNotNull())
     targets = top_n(candidates, keys, best_first("predicted_return"), n).select(*keys, "ticker")
@@ -267,13 +267,15 @@ def block_bootstrap(
     slots = (
         sizes.withColumn("__width", width)
         .withColumn("__sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        # One row per series becomes thousands of samples: spread them before each gets its slots.
+        .repartition(*by_inner, "__sample")
         .withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
         .withColumn("__block", F.floor(F.col("__slot") / F.col("__width")).cast("bigint"))
     )
     key = F.lit(seed).cast("bigint") * 1000003 + F.col("__sample") * 10007 + F.col("__block")
     start = F.pmod(_mixed(key), F.col("__n") - F.col("__width") + 1)
     drawn = slots.withColumn("__position", start + F.col("__slot") % F.col("__width")).join(
-        F.broadcast(placed), [*by_inner, "__position"]
+        placed, [*by_inner, "__position"]
     )
     means = drawn.groupBy(*by_inner, "__sample").agg(F.avg("__value").alias("__mean"))
     interval = means.groupBy(*by_inner).agg(F.percentile("__mean", F.array(F.lit(0.025), F.lit(0.975))).alias("__ends"))

@@ -211,7 +211,7 @@ def turnover_between_dates(weights: DataFrame, by: Sequence[str] = ("optimizatio
     steps = weights.select(*by, "date").distinct().withColumn("__next", F.lead("date").over(order))
     now = weights.select(*by, "date", "ticker", "weight")
     carried = (
-        now.join(F.broadcast(steps), [*by, "date"])
+        now.join(steps, [*by, "date"])
         .where(F.col("__next").isNotNull())
         .select(*by, F.col("__next").alias("date"), "ticker", (-F.col("weight")).alias("weight"))
     )

@@ -130,7 +130,7 @@ def selection_turnover(selections: DataFrame, by: Sequence[str] = ()) -> DataFra
     chosen = selections.where("selected").select(*by, "date", "ticker").distinct()
     previous = dates.select(*by, "date", F.col("__previous_date"))
     kept = (
-        chosen.join(F.broadcast(previous), [*by, "date"])
+        chosen.join(previous, [*by, "date"])
         .join(
             chosen.withColumnRenamed("date", "__previous_date"),
             [*by, "__previous_date", "ticker"],

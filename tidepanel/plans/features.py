@@ -29,15 +29,18 @@ def time_features(bars: DataFrame) -> DataFrame:
     return add_price_limits(add_momentum(add_basic_features(bars)))
 
 
-def combined_features(bars: DataFrame) -> DataFrame:
+def combined_features(bars: DataFrame, pairs: str = "complete") -> DataFrame:
     """Basic, momentum, price-limit, liquidity and herding features of every bar.
 
+    ``pairs`` says which names enter the correlation of the herding index; see
+    ``average_pairwise_correlation``.
+
     The cross-sections read the time features several times over, so those are
     checkpointed once instead of being windowed again for each of them.
     """
     timed = checkpoint(add_liquidity_series(time_features(bars)))
     clipped = winsorised(timed, "amihud_illiquidity_raw", "amihud_illiquidity")
-    herding = daily_herding(timed)
+    herding = daily_herding(timed, pairs=pairs)
     return add_traded_value_rank(clipped, timed).join(F.broadcast(herding), "date", "left")
 
 
@@ -45,9 +48,9 @@ def standard_labels(bars: DataFrame) -> DataFrame:
     return leave_one_out_labels(forward_labels(bars))
 
 
-def model_inputs(bars: DataFrame, horizon: int = 5) -> DataFrame:
+def model_inputs(bars: DataFrame, horizon: int = 5, pairs: str = "complete") -> DataFrame:
     """Combined features with the relative forward return as target."""
-    return modelling_dataset(combined_features(bars), standard_labels(bars), relative_return(horizon))
+    return modelling_dataset(combined_features(bars, pairs), standard_labels(bars), relative_return(horizon))
 
 
 def baseline_dataset(bars: DataFrame, horizon: int = 5) -> DataFrame:
