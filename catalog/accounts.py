@@ -21,6 +21,7 @@ from tidepanel.operators import models as mod
 from tidepanel.operators import orders as om
 from tidepanel.operators import quality as qu
 from tidepanel.operators import splits
+from tidepanel.operators import trees as tr
 from tidepanel.plans import reports
 from tidepanel.session import checkpoint
 from tidepanel.sources import bars as sb
@@ -997,6 +998,49 @@ def _trees(spark, folder):
     return mod.tree_predictions(rows, windows, FEATURES, trees=10)[0]
 
 
+# One round of boosting with a single cut, on the reference's grid of windows: three training
+# dates, one test date, moved by one.  SQL can try every cut of every window.
+relation(
+    "stump_rows",
+    "SELECT d.i, r.ticker, x, coalesce(m.return_1d, 0) AS z, y FROM known_rows r JOIN known_dates d USING (date) JOIN moves m ON m.date = r.date AND m.ticker = r.ticker",
+)
+relation("stump_train", "SELECT i - k AS window_id, ticker, unnest([0, 1]) AS f, unnest([x, z]) AS v, y FROM stump_rows, (SELECT unnest([0, 1, 2]) AS k) WHERE i - k >= 0")
+relation(
+    "stump_cuts",
+    "SELECT window_id, f, unnest(list_sort(list_distinct(quantile_cont(v, [0.25, 0.5, 0.75])))) AS cut FROM stump_train GROUP BY 1, 2",
+)
+relation(
+    "stump_gains",
+    """SELECT c.window_id, c.f, cut, count(*) FILTER (v <= cut) AS nl, sum(y) FILTER (v <= cut) AS sl, count(*) FILTER (v > cut) AS nr, sum(y) FILTER (v > cut) AS sr, avg(y) AS mean
+       FROM stump_cuts c JOIN stump_train t ON t.window_id = c.window_id AND t.f = c.f GROUP BY 1, 2, 3""",
+)
+relation(
+    "stumps",
+    """SELECT window_id, f, cut, mean, sl / nl AS low, sr / nr AS high FROM (
+         SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY round((sl - nl * mean) * (sl - nl * mean) * (1.0 / nl + 1.0 / nr), 14) DESC, f, cut) AS place FROM stump_gains WHERE nl >= 2 AND nr >= 2) WHERE place = 1""",
+)
+
+
+@query(
+    "k02_boosted_stumps",
+    "window_id:i date ticker predicted_return:7 actual_return:7",
+    """SELECT b.window_id, d.date, r.ticker, b.mean + coalesce(0.05::DOUBLE * (CASE WHEN CASE WHEN f = 0 THEN x ELSE z END <= cut THEN low ELSE high END - s.mean), 0) AS predicted_return, y AS actual_return
+       FROM (SELECT window_id, avg(y) AS mean FROM stump_train WHERE f = 0 GROUP BY 1) b LEFT JOIN stumps s ON s.window_id = b.window_id
+       JOIN stump_rows r ON r.i = b.window_id + 14 JOIN known_dates d ON d.i = r.i""",
+)
+def _stumps(spark, folder):
+    rows = _model_rows(spark, folder, ["return_5d", "return_1d"])
+    windows = checkpoint(splits.walk_forward_windows(rows))
+    return tr.window_trees(rows, windows, ["return_5d", "return_1d"], trees=1, depth=1, bins=4)[0]
+
+
+@query("k02_tree_importance", "window_id:i model_name feature importance:6 test_start test_end")
+def _importance(spark, folder):
+    rows = _model_rows(spark, folder, FEATURES)
+    windows = checkpoint(splits.walk_forward_windows(rows, train_size=100, test_size=60, step_size=60))
+    return mod.tree_predictions(rows, windows, FEATURES, trees=10)[1]
+
+
 LOGISTIC = {"train_size": 40, "test_size": 10, "step_size": 10}
 
 
@@ -1044,7 +1088,7 @@ def _ablation(spark, folder):
     rows = fe.add_liquidity(fe.add_price_limits(fe.add_momentum(fe.add_basic_features(panel.bars(spark, folder)))))
     dataset = la.modelling_dataset(rows, panel.labels(spark, folder), "forward_relative_return_5d")
     known = checkpoint(dataset.where("target IS NOT NULL").select("date", "ticker", "target", *columns))
-    return mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns)
+    return mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns, trees=2)
 
 
 @query(
@@ -1058,7 +1102,7 @@ def _scenario_report(spark, folder):
     dataset = checkpoint(la.modelling_dataset(timed, panel.labels(spark, folder), "forward_relative_return_5d"))
     known = dataset.where("target IS NOT NULL")
     predicted = checkpoint(
-        mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns)
+        mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns, model="ridge")
     )
     outcomes = predicted.groupBy("date", "ticker").agg(
         F.max("actual_return").alias("actual_return"), F.max("predicted_return").alias("predicted_return")
@@ -1071,7 +1115,7 @@ def _scenario_report(spark, folder):
 def _horizons(spark, folder):
     bars = panel.bars(spark, folder)
     rows = checkpoint(fe.add_drawdown(fe.add_momentum(bars)).select("date", "ticker", *FEATURES))
-    return mod.horizon_predictions(rows, bars, FEATURES, train_size=20)
+    return mod.horizon_predictions(rows, bars, FEATURES, train_size=20, trees=3)
 
 
 @query("k07_latest_scores", "date ticker model_name horizon_days:i score:6 predicted_rank:i")
@@ -1086,7 +1130,7 @@ def _latest_scores(spark, folder):
     both = dataset.join(F.broadcast(ends), "date").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("t"))
     names = checkpoint(both.where("n = 2 AND t = 1").select("ticker"))
     chosen = dataset.join(F.broadcast(names), "ticker", "left_semi")
-    return mod.score_latest(chosen, names, 5, "random_forest", features=FEATURES)[0]
+    return mod.score_latest(chosen, names, 5, "rank_ensemble", features=FEATURES, trees=10)[0]
 
 
 relation(
@@ -1121,6 +1165,9 @@ def _pending(spark, folder):
 
 @query("k06_model_comparison", "model_family model_name evaluated_dates:i average_rank_ic:6")
 def _model_comparison(spark, folder):
+    """Both linear models and both tree models on the same windows."""
     rows = _model_rows(spark, folder, FEATURES)
-    linear = mod.linear_predictions(rows, splits.walk_forward_windows(rows, train_size=20), FEATURES)
-    return reports.comparison_report({"linear": checkpoint(linear)})
+    windows = checkpoint(splits.walk_forward_windows(rows, train_size=20))
+    linear = mod.linear_predictions(rows, windows, FEATURES)
+    trees, _ = mod.tree_predictions(rows, windows, FEATURES, trees=5)
+    return reports.comparison_report({"linear": checkpoint(linear), "tree": checkpoint(trees)})

@@ -9,6 +9,7 @@ from tests.helpers import days
 from tidepanel.operators import labels as la
 from tidepanel.operators import models as mod
 from tidepanel.operators import splits
+from tidepanel.operators import trees as tr
 
 FEATURES = ["f0", "f1", "f2", "flat"]
 
@@ -160,17 +161,87 @@ def test_expanding_predictions_match_a_refit(spark):
         np.testing.assert_allclose(have, want, atol=1e-7)
 
 
-def test_tree_windows_resume_and_stay_out_of_sample(spark, tmp_path):
+def _plain_tree(x, y, weight, depth, min_leaf, bins):
+    """One tree by trying every cut at every node: a function from rows to leaf means."""
+    cuts = [sorted(set(np.quantile(column, np.arange(1, bins) / bins))) for column in x.T]
+    placed = np.stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T)], axis=1)
+
+    def build(rows, level):
+        n, s = weight[rows].sum(), (weight * y)[rows].sum()
+        best = None
+        for f in range(x.shape[1] if level < depth else 0):
+            for cut in range(placed[:, f].max() + 1):
+                left = rows & (placed[:, f] <= cut)
+                nl, sl = weight[left].sum(), (weight * y)[left].sum()
+                if nl >= min_leaf and n - nl >= min_leaf:
+                    gain = sl**2 / nl + (s - sl) ** 2 / (n - nl) - s**2 / n
+                    if gain > 1e-14 and (best is None or gain > best[0] + 1e-12):
+                        best = (gain, f, cut)
+        if best is None:
+            return lambda other: np.full(len(other), s / n)
+        _, f, cut = best
+        low = build(rows & (placed[:, f] <= cut), level + 1)
+        high = build(rows & (placed[:, f] > cut), level + 1)
+        return lambda other: np.where(np.searchsorted(cuts[f], other[:, f], side="left") <= cut, low(other), high(other))
+
+    return build(np.ones(len(y), dtype=bool), 0)
+
+
+@pytest.mark.parametrize("depth,trees", [(1, 1), (2, 4), (3, 2)])
+def test_boosting_of_all_windows_matches_plain_trees(spark, depth, trees):
     frame = _rows(dates=26)
     windows = _windows(spark, frame, train_size=8, test_size=3, step_size=5)
+    got, importance = tr.window_trees(
+        spark.createDataFrame(frame), windows, FEATURES, trees=trees, depth=depth, step=0.3, bins=5
+    )
+    got, table = got.toPandas(), windows.toPandas()
+    for window, part in table.groupby("window_id"):
+        train = frame[frame["date"].isin(part.loc[part["role"] == "train", "date"])]
+        test = frame[frame["date"].isin(part.loc[part["role"] == "test", "date"])]
+        x, y, xt = (t.fillna(0.0).to_numpy(float) for t in (train[FEATURES], train["target"], test[FEATURES]))
+        now, later = np.full(len(y), y.mean()), np.full(len(xt), y.mean())
+        for _ in range(trees):
+            tree = _plain_tree(x, y - now, np.ones(len(y)), depth, 2, 5)
+            now, later = now + 0.3 * tree(x), later + 0.3 * tree(xt)
+        want = pd.Series(later, index=pd.MultiIndex.from_frame(test[["date", "ticker"]])).sort_index()
+        have = got[got["window_id"] == window].set_index(["date", "ticker"])["predicted_return"].sort_index()
+        np.testing.assert_allclose(have, want, atol=1e-9)
+    sums = importance.groupBy("window_id").agg(F.sum("importance").alias("s"), F.count("*").alias("n")).collect()
+    assert len(sums) == table["window_id"].nunique()
+    assert all(r["s"] == pytest.approx(1.0) and r["n"] == len(FEATURES) for r in sums)
+
+
+def test_forest_averages_bootstrapped_trees(spark):
+    frame = _rows(dates=22)
+    windows = _windows(spark, frame, train_size=10, test_size=3, step_size=5).where("window_id = 0")
     rows = spark.createDataFrame(frame)
-    path = str(tmp_path / "trees")
-    first, importance = mod.tree_predictions(rows, windows.where("window_id = 0"), FEATURES, models=["random_forest"], trees=5, output_path=path)
-    before = first.count()
-    second, _ = mod.tree_predictions(rows, windows, FEATURES, models=["random_forest"], trees=5, output_path=path)
-    assert before == 36 and second.count() == 36 * windows.select("window_id").distinct().count()
-    total = importance.groupBy("window_id").agg(F.sum("importance").alias("s")).first()["s"]
-    assert total == pytest.approx(1.0)
+    got, _ = tr.window_trees(rows, windows, FEATURES, model="random_forest", trees=3, depth=2, bins=4)
+    table = windows.toPandas()
+    train = frame[frame["date"].isin(table.loc[table["role"] == "train", "date"])]
+    test = frame[frame["date"].isin(table.loc[table["role"] == "test", "date"])]
+    drawn = spark.createDataFrame(train[["date", "ticker"]]).select(
+        "date", "ticker", *[tr.drawn_count(tr.SEED, F.lit(k), F.lit(0), "date", "ticker").alias(f"w{k}") for k in range(3)]
+    ).toPandas()
+    keyed = train.merge(drawn, on=["date", "ticker"])
+    assert 0.8 < drawn[["w0", "w1", "w2"]].to_numpy().mean() < 1.2
+    x, y, xt = (t.fillna(0.0).to_numpy(float) for t in (keyed[FEATURES], keyed["target"], test[FEATURES]))
+    want = np.mean([_plain_tree(x, y, keyed[f"w{k}"].to_numpy(float), 2, 2, 4)(xt) for k in range(3)], axis=0)
+    have = got.toPandas().set_index(["date", "ticker"])["predicted_return"].sort_index()
+    np.testing.assert_allclose(have, pd.Series(want, index=pd.MultiIndex.from_frame(test[["date", "ticker"]])).sort_index(), atol=1e-9)
+
+
+def test_tree_windows_stay_out_of_sample(spark):
+    frame = _rows(dates=26)
+    windows = _windows(spark, frame, train_size=8, test_size=3, step_size=5)
+    found, importance = mod.tree_predictions(spark.createDataFrame(frame), windows, FEATURES, trees=2)
+    assert found.count() == 2 * 36 * windows.select("window_id").distinct().count()
+    changed = frame.copy()
+    tests = windows.where("role = 'test'").select("date").distinct().toPandas()["date"]
+    changed.loc[changed["date"] == tests.max(), "target"] *= 5
+    other, _ = mod.tree_predictions(spark.createDataFrame(changed), windows, FEATURES, trees=2)
+    a, b = (f.orderBy("window_id", "model_name", "date", "ticker").toPandas()["predicted_return"] for f in (found, other))
+    np.testing.assert_allclose(a, b)
+    assert set(importance.columns) >= {"window_id", "model_name", "feature", "importance", "test_start", "test_end"}
 
 
 def test_latest_scores_need_unknown_targets(spark):
@@ -195,7 +266,7 @@ def test_ablation_scenarios_drop_their_features(spark):
     columns = ["return_1d", "drawdown", "volume_z_20", "rolling_vol_20d"]
     rows = spark.createDataFrame(frame)
     windows = splits.walk_forward_windows(rows, train_size=4, purge_size=2)
-    both = mod.ablation_predictions(rows, windows, columns)
+    both = mod.ablation_predictions(rows, windows, columns, model="ridge")
     only = mod.linear_predictions(rows, windows, ["return_1d", "volume_z_20"], models=["ridge"])
     a = both.where("scenario = 'without_risk'").orderBy("window_id", "ticker").toPandas()["predicted_return"]
     b = only.orderBy("window_id", "ticker").toPandas()["predicted_return"]

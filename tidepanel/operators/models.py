@@ -2,8 +2,8 @@
 
 Linear and logistic fits need the data only through sums of products.  Those are plain
 aggregates per date (or per window), so any number of names per date adds nothing to the
-size of a fit: every window is solved from a few thousand numbers.  Trees are fitted by
-MLlib, one distributed fit per window.
+size of a fit: every window is solved from a few thousand numbers.  Trees need sums per node
+and bin, see ``trees``.
 """
 
 from __future__ import annotations
@@ -13,10 +13,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +26,14 @@ from tidepanel.operators.splits import (
     walk_forward_windows,
     window_rows,
 )
+from tidepanel.operators.trees import TREE_MODELS, TREES, window_trees
 from tidepanel.session import checkpoint
 
 # Model settings.
 RIDGE_ALPHA = 1.0
 ELASTIC_ALPHA = 0.001
 ELASTIC_L1_RATIO = 0.5
-TREES = 100
-FOREST_DEPTH = 3
-BOOSTING_DEPTH = 2
-BOOSTING_STEP = 0.05
 LOGISTIC_TOLERANCE = 1e-9
-MIN_LEAF = 2
-SEED = 42
 
 LINEAR_MODELS = ("ridge", "elastic_net")
 PREDICTIONS = ["date", "ticker", "model_name", "predicted_return", "actual_return"]
@@ -383,120 +374,51 @@ def rank_probabilities(predictions: DataFrame, n: int = 5) -> DataFrame:
 # --- trees --------------------------------------------------------------------------
 
 
-def tree_models(trees: int = TREES) -> dict[str, object]:
-    common = {"featuresCol": "features", "labelCol": "label", "minInstancesPerNode": MIN_LEAF, "seed": SEED}
-    return {
-        "random_forest": RandomForestRegressor(
-            numTrees=trees, maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", **common
-        ),
-        "gradient_boosting": GBTRegressor(
-            maxIter=trees, maxDepth=BOOSTING_DEPTH, stepSize=BOOSTING_STEP, **common
-        ),
-    }
-
-
-def _assembled(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    return rows.select(
-        "date", "ticker", F.col(target).alias("label"), *[_imputed(f).alias(f) for f in features]
-    )
-
-
-def fit_trees(
-    train: DataFrame, features: Sequence[str], target: str, model: str, trees: int = TREES
-) -> tuple[object, DataFrame]:
-    """One distributed fit; returns the fitted pipeline and its feature importance."""
-    check_features(features)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    pipeline = Pipeline(stages=[assembler, tree_models(trees)[model]])
-    fitted = pipeline.fit(_assembled(train, features, target))
-    values = fitted.stages[-1].featureImportances.toArray()
-    importance = train.sparkSession.createDataFrame(
-        [(model, f, float(v)) for f, v in zip(features, values)],
-        "model_name string, feature string, importance double",
-    )
-    return fitted, importance
-
-
 def tree_predictions(
     rows: DataFrame,
     windows: DataFrame,
     features: Sequence[str],
     target: str = "target",
-    models: Sequence[str] = ("random_forest", "gradient_boosting"),
+    models: Sequence[str] = TREE_MODELS,
     trees: int = TREES,
-    output_path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Predictions and importances of every window, one MLlib fit per window and model.
+    """Predictions of every window's test dates and feature importances, all windows at once.
 
-    Choose few, long windows.  With ``output_path`` each window is appended to a table and
-    windows already there are skipped, so a lost driver resumes where it stopped.
+    Importances carry the first and last test date of their window.
     """
-    spark = rows.sparkSession
     known = rows.where(F.col(target).isNotNull())
-    done: set[tuple[int, str]] = set()
-    if output_path is not None:
-        done = _finished_windows(spark, f"{output_path}/importance")
-    # Window ids only: one per window.
-    ids = [r["window_id"] for r in windows.select("window_id").distinct().orderBy("window_id").collect()]
-    predicted: list[DataFrame] = []
-    importances: list[DataFrame] = []
-    for window_id in ids:
-        window = windows.where(F.col("window_id") == window_id)
-        train = known.join(F.broadcast(window.where("role = 'train'").select("date")), "date", "left_semi")
-        test_dates = window.where("role = 'test'")
-        test = known.join(F.broadcast(test_dates.select("date")), "date", "left_semi")
-        bounds = test_dates.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
-        for model in models:
-            if (window_id, model) in done:
-                continue
-            fitted, importance = fit_trees(train, features, target, model, trees)
-            scores = fitted.transform(_assembled(test, features, target)).select(
-                F.lit(window_id).alias("window_id"),
-                "date",
-                "ticker",
-                F.lit(model).alias("model_name"),
-                F.col("prediction").alias("predicted_return"),
-                F.col("label").alias("actual_return"),
-            )
-            importance = importance.withColumns(
-                {
-                    "window_id": F.lit(window_id),
-                    "test_start": F.lit(bounds["first"]),
-                    "test_end": F.lit(bounds["last"]),
-                }
-            )
-            if output_path is None:
-                predicted.append(scores)
-                importances.append(importance)
-            else:
-                scores.write.mode("append").parquet(f"{output_path}/predictions")
-                importance.write.mode("append").parquet(f"{output_path}/importance")
-    if output_path is not None:
-        return (
-            spark.read.parquet(f"{output_path}/predictions"),
-            spark.read.parquet(f"{output_path}/importance"),
-        )
-    return reduce(DataFrame.unionByName, predicted), reduce(DataFrame.unionByName, importances)
-
-
-def _finished_windows(spark, path: str) -> set[tuple[int, str]]:
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return set()
-    return {tuple(r) for r in stored.select("window_id", "model_name").distinct().collect()}
+    spans = windows.where("role = 'test'").groupBy("window_id").agg(
+        F.min("date").alias("test_start"), F.max("date").alias("test_end")
+    )
+    fitted = [window_trees(known, windows, features, target, model, trees) for model in models]
+    predictions = reduce(DataFrame.unionByName, [p for p, _ in fitted])
+    importances = reduce(DataFrame.unionByName, [i for _, i in fitted])
+    return predictions, importances.join(spans, "window_id")
 
 
 # --- scenario grids and scoring -----------------------------------------------------
 
 
 def ablation_predictions(
-    rows: DataFrame, windows: DataFrame, features: Sequence[str], target: str = "target", model: str = "ridge"
+    rows: DataFrame,
+    windows: DataFrame,
+    features: Sequence[str],
+    target: str = "target",
+    model: str = "gradient_boosting",
+    trees: int = TREES,
 ) -> DataFrame:
-    """Predictions per feature set; the removed group is the scenario."""
-    return linear_predictions(rows, windows, features, target, [model], ablation_feature_sets(features))
+    """Predictions per feature set; the removed group is the scenario.
+
+    Linear scenarios share their sums; trees are grown per scenario, all windows at once.
+    """
+    sets = ablation_feature_sets(features)
+    if model in LINEAR_MODELS:
+        return linear_predictions(rows, windows, features, target, [model], sets)
+    found = [
+        tree_predictions(rows, windows, chosen, target, [model], trees)[0].withColumn("scenario", F.lit(name))
+        for name, chosen in sets.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def horizon_predictions(
@@ -504,8 +426,9 @@ def horizon_predictions(
     bars: DataFrame,
     columns: Sequence[str],
     horizons: Sequence[int] = (1, 5, 10),
-    model: str = "ridge",
+    model: str = "gradient_boosting",
     train_size: int = 3,
+    trees: int = TREES,
 ) -> DataFrame:
     """Predictions per forecast horizon with a purge as long as the horizon."""
     labels = leave_one_out_labels(forward_labels(bars, horizons), horizons)
@@ -514,11 +437,11 @@ def horizon_predictions(
         dataset = modelling_dataset(features, labels, relative_return(horizon))
         known = dataset.where("target IS NOT NULL")
         windows = walk_forward_windows(known, train_size=train_size, purge_size=horizon)
-        frames.append(
-            linear_predictions(known, windows, columns, models=[model]).withColumn(
-                "forecast_horizon_days", F.lit(horizon)
-            )
-        )
+        if model in LINEAR_MODELS:
+            predicted = linear_predictions(known, windows, columns, models=[model]).drop("scenario")
+        else:
+            predicted = tree_predictions(known, windows, columns, models=[model], trees=trees)[0]
+        frames.append(predicted.withColumn("forecast_horizon_days", F.lit(horizon)))
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -584,12 +507,17 @@ def score_latest(
     columns = list(features) if features is not None else feature_columns(train)
     signal = dataset.where(F.col("date") == F.lit(signal_date))
     members = ["gradient_boosting", "random_forest"] if model == "rank_ensemble" else [model]
+    # One window: every labelled date up to the cutoff trains, the signal date is scored.
+    dates = train.select("date").distinct().withColumn("role", F.lit("train"))
+    window = dates.unionByName(signal.select("date").distinct().withColumn("role", F.lit("test"))).withColumn(
+        "window_id", F.lit(0)
+    )
+    both = train.unionByName(signal)
     scores, importances = [], []
     for member in members:
-        fitted, importance = fit_trees(train, columns, target, member, trees)
-        importances.append(importance)
-        scored = fitted.transform(_assembled(signal, columns, target))
-        scores.append(scored.select("date", "ticker", F.col("prediction").alias("score")))
+        predicted, importance = window_trees(both, window, columns, target, member, trees)
+        importances.append(importance.select("model_name", "feature", "importance"))
+        scores.append(predicted.select("date", "ticker", F.col("predicted_return").alias("score")))
     if model == "rank_ensemble":
         result = rank_ensemble_scores(dict(zip(members, scores)))
     else:
