@@ -26,7 +26,7 @@ from tidepanel.operators.splits import (
     walk_forward_windows,
     window_rows,
 )
-from tidepanel.operators.trees import TREE_MODELS, TREES, window_trees
+from tidepanel.operators.trees import TREE_MODELS, TREES, binned_rows, scenario_trees, tree_scores, window_trees
 from tidepanel.session import checkpoint
 
 # Model settings.
@@ -409,16 +409,12 @@ def ablation_predictions(
 ) -> DataFrame:
     """Predictions per feature set; the removed group is the scenario.
 
-    Linear scenarios share their sums; trees are grown per scenario, all windows at once.
+    Linear scenarios share their sums; trees of all scenarios and windows grow in the same passes.
     """
     sets = ablation_feature_sets(features)
     if model in LINEAR_MODELS:
         return linear_predictions(rows, windows, features, target, [model], sets)
-    found = [
-        tree_predictions(rows, windows, chosen, target, [model], trees)[0].withColumn("scenario", F.lit(name))
-        for name, chosen in sets.items()
-    ]
-    return reduce(DataFrame.unionByName, found)
+    return scenario_trees(rows.where(F.col(target).isNotNull()), windows, features, sets, target, model, trees)
 
 
 def horizon_predictions(
@@ -435,14 +431,17 @@ def horizon_predictions(
     frames = []
     for horizon in horizons:
         dataset = modelling_dataset(features, labels, relative_return(horizon))
-        known = dataset.where("target IS NOT NULL")
+        known = checkpoint(dataset.where("target IS NOT NULL").select("date", "ticker", "target", *columns))
         windows = walk_forward_windows(known, train_size=train_size, purge_size=horizon)
         if model in LINEAR_MODELS:
-            predicted = linear_predictions(known, windows, columns, models=[model]).drop("scenario")
+            frame = linear_predictions(known, windows, columns, models=[model]).drop("scenario")
         else:
-            predicted = tree_predictions(known, windows, columns, models=[model], trees=trees)[0]
-        frames.append(predicted.withColumn("forecast_horizon_days", F.lit(horizon)))
-    return reduce(DataFrame.unionByName, frames)
+            frame = binned_rows(known, windows, columns, "target")
+        frames.append(frame.withColumn("scenario", F.lit(str(horizon))))
+    found = reduce(DataFrame.unionByName, frames)
+    if model not in LINEAR_MODELS:
+        found, _ = tree_scores(checkpoint(found), columns, model, trees)
+    return found.withColumn("forecast_horizon_days", F.col("scenario").cast("int")).drop("scenario")
 
 
 def scoring_problems(dataset: DataFrame, universe: DataFrame, horizon: int, target: str = "target") -> DataFrame:

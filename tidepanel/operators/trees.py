@@ -11,7 +11,7 @@ Training and test rows travel together, so predictions are there when the last t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,14 +79,26 @@ def _node(splits: Column, levels: int) -> Column:
     return node
 
 
-def grow(rows: DataFrame, keys: Sequence[str], depth: int, min_leaf: int = MIN_LEAF) -> DataFrame:
+def grow(
+    rows: DataFrame,
+    keys: Sequence[str],
+    depth: int,
+    min_leaf: int = MIN_LEAF,
+    allowed: Mapping[str, Sequence[int]] | None = None,
+) -> DataFrame:
     """(keys, splits, values, gains) of one tree per key from rows (keys, bins, weight, goal).
 
+    ``allowed`` names, per scenario, the features its splits may use; without it all may.
+
     A split lowers the squared error most; equal gains go to the first feature and the lowest
     cut.  A node that cannot be split keeps its mean.  One checkpoint per level.
     """
     keys = list(keys)
     done: DataFrame | None = None
+    usable = F.lit(True)
+    if allowed is not None:
+        sets = F.create_map(*[c for name, use in allowed.items() for c in (F.lit(name), F.array(*[F.lit(k) for k in use]))])
+        usable = F.array_contains(sets[F.col("scenario")], F.col("feature"))
     for level in range(depth):
         if done is None:
             located = rows.withColumn("node", F.lit(1))
@@ -96,6 +108,7 @@ def grow(rows: DataFrame, keys: Sequence[str], depth: int, min_leaf: int = MIN_L
         counted = (
             located.where(F.col("node") >= 2**level)
             .select(*keys, "node", "weight", "goal", F.posexplode("bins").alias("feature", "bin"))
+            .where(usable)
             .groupBy(*cell, "bin")
             .agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("goal")).alias("s"))
         )
@@ -117,7 +130,7 @@ def grow(rows: DataFrame, keys: Sequence[str], depth: int, min_leaf: int = MIN_L
             ),
         )
         best = sums.groupBy(*keys, "node").agg(
-            F.max(candidate).alias("best"), F.max(F.when(F.col("feature") == 0, F.col("s") / F.col("n"))).alias("mean")
+            F.max(candidate).alias("best"), F.min_by(F.col("s") / F.col("n"), "feature").alias("mean")
         )
         split = F.when(
             F.col("best").isNotNull(),
@@ -156,22 +169,27 @@ def _leaf_value(depth: int) -> Column:
     return F.element_at("values", _node(F.col("splits"), depth))
 
 
-def boosted(state: DataFrame, trees: int, depth: int, step: float, min_leaf: int) -> tuple[DataFrame, DataFrame]:
+KEYS = ["scenario", "window_id"]
+
+
+def boosted(
+    state: DataFrame, trees: int, depth: int, step: float, min_leaf: int, allowed: Mapping[str, Sequence[int]] | None
+) -> tuple[DataFrame, DataFrame]:
     """Predictions after ``trees`` rounds, each fitted to what the rounds before missed, and all gains.
 
     The first prediction is the mean of a window's training rows.
     """
-    means = state.where("role = 'train'").groupBy("window_id").agg(F.avg("y").alias("prediction"))
-    now = checkpoint(state.join(means, "window_id"))
+    means = state.where("role = 'train'").groupBy(*KEYS).agg(F.avg("y").alias("prediction"))
+    now = checkpoint(state.join(means, KEYS))
     gains = []
     for _ in range(trees):
         missed = now.where("role = 'train'").select(
-            "window_id", "bins", F.lit(1.0).alias("weight"), (F.col("y") - F.col("prediction")).alias("goal")
+            *KEYS, "bins", F.lit(1.0).alias("weight"), (F.col("y") - F.col("prediction")).alias("goal")
         )
-        tree = grow(missed, ["window_id"], depth, min_leaf)
-        gains.append(tree.select("window_id", F.explode("gains").alias("gain")))
+        tree = grow(missed, KEYS, depth, min_leaf, allowed)
+        gains.append(tree.select(*KEYS, F.explode("gains").alias("gain")))
         moved = F.col("prediction") + step * _leaf_value(depth)
-        now = checkpoint(now.join(tree, "window_id").withColumn("prediction", moved).drop("splits", "values", "gains"))
+        now = checkpoint(now.join(tree, KEYS).withColumn("prediction", moved).drop("splits", "values", "gains"))
     return now, reduce(DataFrame.unionByName, gains)
 
 
@@ -181,62 +199,101 @@ def drawn_count(seed: int, tree: Column, *row: Column | str) -> Column:
     return reduce(lambda a, b: a + b, [(chance >= p).cast("int") for p in DRAWS])
 
 
-def forest(state: DataFrame, trees: int, depth: int, min_leaf: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def forest(
+    state: DataFrame, trees: int, depth: int, min_leaf: int, seed: int, allowed: Mapping[str, Sequence[int]] | None
+) -> tuple[DataFrame, DataFrame]:
     """Mean prediction of bootstrapped trees, grown side by side, and all gains."""
     kept = checkpoint(state)
     numbered = kept.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     sampled = numbered.where("role = 'train'").select(
-        "window_id", "tree", "bins", F.col("y").alias("goal"),
+        *KEYS, "tree", "bins", F.col("y").alias("goal"),
         drawn_count(seed, F.col("tree"), "window_id", "date", "ticker").cast("double").alias("weight"),
     )
-    grown = grow(sampled.where("weight > 0"), ["window_id", "tree"], depth, min_leaf)
-    scored = numbered.where("role = 'test'").join(grown, ["window_id", "tree"])
-    tested = scored.groupBy("window_id", "date", "ticker").agg(
+    grown = grow(sampled.where("weight > 0"), [*KEYS, "tree"], depth, min_leaf, allowed)
+    scored = numbered.where("role = 'test'").join(grown, [*KEYS, "tree"])
+    tested = scored.groupBy(*KEYS, "date", "ticker").agg(
         F.first("y").alias("y"), F.avg(_leaf_value(depth)).alias("prediction")
     )
-    return tested.withColumn("role", F.lit("test")), grown.select("window_id", F.explode("gains").alias("gain"))
+    return tested.withColumn("role", F.lit("test")), grown.select(*KEYS, F.explode("gains").alias("gain"))
 
 
-def window_trees(
-    rows: DataFrame,
-    windows: DataFrame,
+def tree_scores(
+    state: DataFrame,
     features: Sequence[str],
-    target: str = "target",
     model: str = "gradient_boosting",
     trees: int = TREES,
     depth: int | None = None,
     step: float = BOOSTING_STEP,
     min_leaf: int = MIN_LEAF,
-    bins: int = BINS,
     seed: int = SEED,
+    allowed: Mapping[str, Sequence[int]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Test predictions and feature importances of one model in every window.
+    """Test predictions and importances of one model, from binned rows with a ``scenario`` column.
 
-    (window_id, date, ticker, model_name, predicted_return, actual_return) and (window_id,
-    model_name, feature, importance): importance is a feature's part of all error the splits
-    took away, zero for all where no split helped.
+    All scenarios grow side by side.
     """
     if model not in TREE_MODELS:
         raise ValueError(f"model must be one of {TREE_MODELS}")
-    state = binned_rows(rows, windows, features, target, bins)
     if model == "gradient_boosting":
-        scored, gains = boosted(state, trees, depth or BOOSTING_DEPTH, step, min_leaf)
+        scored, gains = boosted(state, trees, depth or BOOSTING_DEPTH, step, min_leaf, allowed)
     else:
-        scored, gains = forest(state, trees, depth or FOREST_DEPTH, min_leaf, seed)
+        scored, gains = forest(state, trees, depth or FOREST_DEPTH, min_leaf, seed, allowed)
     predictions = scored.where("role = 'test'").select(
-        "window_id", "date", "ticker", F.lit(model).alias("model_name"),
+        *KEYS, "date", "ticker", F.lit(model).alias("model_name"),
         F.col("prediction").alias("predicted_return"), F.col("y").alias("actual_return"),
     )
-    won = gains.groupBy("window_id", F.col("gain.feature").alias("place")).agg(F.sum("gain.gain").alias("won"))
+    won = gains.groupBy(*KEYS, F.col("gain.feature").alias("place")).agg(F.sum("gain.gain").alias("won"))
     names = F.create_map(*[c for k, f in enumerate(features) for c in (F.lit(k), F.lit(f))])
     every = (
-        windows.where("role = 'train'").select("window_id").distinct()
+        state.select(*KEYS).distinct()
         .withColumn("place", F.explode(F.array(*[F.lit(k) for k in range(len(features))])))
-        .join(won, ["window_id", "place"], "left")
+        .join(won, [*KEYS, "place"], "left")
     )
-    total = F.sum("won").over(Window.partitionBy("window_id"))
+    total = F.sum("won").over(Window.partitionBy(*KEYS))
     importance = every.select(
-        "window_id", F.lit(model).alias("model_name"), names[F.col("place")].alias("feature"),
+        *KEYS, F.lit(model).alias("model_name"), names[F.col("place")].alias("feature"),
         F.coalesce(F.try_divide(F.col("won"), total), F.lit(0.0)).alias("importance"),
     )
     return predictions, importance
+
+
+def window_trees(
+    rows: DataFrame,
+    windows: DataFrame,
+    features: Sequence[str],
+    target: str = "target",
+    model: str = "gradient_boosting",
+    trees: int = TREES,
+    depth: int | None = None,
+    step: float = BOOSTING_STEP,
+    min_leaf: int = MIN_LEAF,
+    bins: int = BINS,
+    seed: int = SEED,
+) -> tuple[DataFrame, DataFrame]:
+    """Test predictions and feature importances of one model in every window.
+
+    (window_id, date, ticker, model_name, predicted_return, actual_return) and (window_id,
+    model_name, feature, importance): importance is a feature's part of all error the splits
+    took away, zero for all where no split helped.
+    """
+    state = checkpoint(binned_rows(rows, windows, features, target, bins).withColumn("scenario", F.lit("all_features")))
+    predictions, importance = tree_scores(state, features, model, trees, depth, step, min_leaf, seed)
+    return predictions.drop("scenario"), importance.drop("scenario")
+
+
+def scenario_trees(
+    rows: DataFrame,
+    windows: DataFrame,
+    features: Sequence[str],
+    feature_sets: Mapping[str, Sequence[str]],
+    target: str = "target",
+    model: str = "gradient_boosting",
+    trees: int = TREES,
+    bins: int = BINS,
+) -> DataFrame:
+    """Test predictions per feature set (the scenario), all sets and windows in the same passes."""
+    allowed = {name: [list(features).index(f) for f in chosen] for name, chosen in feature_sets.items()}
+    state = binned_rows(rows, windows, features, target, bins).withColumn(
+        "scenario", F.explode(F.array(*[F.lit(name) for name in allowed]))
+    )
+    return tree_scores(checkpoint(state), features, model, trees, allowed=allowed)[0]
