@@ -17,6 +17,7 @@ from tidepanel.functions.numeric import pearson, sharpe, truthy
 from tidepanel.functions.ranking import top_n, with_ranks
 from tidepanel.functions.rolling import rolling, so_far, timeline
 from tidepanel.operators.selection import best_first, selection_turnover, top_n_flags
+from tidepanel.session import checkpoint
 
 PERIODS_PER_YEAR = 252
 FLAT_DEVIATION = 1e-12
@@ -274,7 +275,8 @@ def model_summary(
         F.avg("hit_rate").alias("average_hit_rate"),
         F.avg("top_minus_bottom_spread").alias("average_top_minus_bottom_spread"),
     )
-    returns = top_n_portfolio(predictions, score, actual, n, cost_rate, by)
+    # One row per model and date, read by three aggregates: ranked and paired once.
+    returns = checkpoint(top_n_portfolio(predictions, score, actual, n, cost_rate, by))
     gross = returns.groupBy("model_name").agg(F.avg("gross_top_n_return").alias("average_gross_top_n_return"))
     summary = portfolio_summary(returns).drop("evaluated_dates").withColumnRenamed(
         "average_return", "average_after_cost_return"
