@@ -28,6 +28,42 @@ def counted_copies(bars: DataFrame) -> DataFrame:
     return bars.select(*BAR_COLUMNS).groupBy(*BAR_COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _with_runs(rows: DataFrame) -> DataFrame:
+    """Add ``adjusted_return_1d`` and ``stale_run_length`` along each ticker.
+
+    The key is not unique here, so a ticker may hold any number of rows.  Only rows of one
+    ticker and date are ordered together; the last price of each day and the number of runs
+    it begins, one row per ticker and date, carry the order from day to day, and the
+    lengths of runs are plain sums.
+    """
+    price = F.col("adjusted_close")
+    # Rows of one key have no order of their own; the remaining columns settle it.
+    tie = [c for c in BAR_COLUMNS if c not in ("date", "ticker")]
+    in_day = Window.partitionBy("ticker", "date").orderBy(*tie)
+    days = timeline("ticker")
+    lasts = rows.groupBy("ticker", "date").agg(F.max_by("adjusted_close", F.struct(*tie)).alias("__last"))
+    carried = lasts.select("ticker", "date", F.lag("__last").over(days).alias("__carried"))
+    opened = rows.withColumns(
+        {"__first": F.row_number().over(in_day) == 1, "__before": F.lag(price).over(in_day)}
+    ).join(carried, ["ticker", "date"])
+    previous = F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__before"))
+    same_price = price.eqNullSafe(F.col("__previous")) & price.isNotNull()
+    stepped = (
+        opened.withColumn("__previous", previous)
+        .withColumns({"adjusted_return_1d": change(price, F.col("__previous")), "__starts": (~same_price).cast("long")})
+        .withColumn("__begun", F.sum("__starts").over(so_far(in_day)))
+    )
+    per_day = stepped.groupBy("ticker", "date").agg(F.sum("__starts").alias("__day_runs"))
+    offsets = per_day.select(
+        "ticker", "date", (F.sum("__day_runs").over(so_far(days)) - F.col("__day_runs")).alias("__offset")
+    )
+    numbered = stepped.join(offsets, ["ticker", "date"]).withColumn("__run", F.col("__offset") + F.col("__begun"))
+    lengths = numbered.groupBy("ticker", "__run").agg(F.sum("copies").alias("__length"))
+    return numbered.join(lengths, ["ticker", "__run"]).withColumn(
+        "stale_run_length", F.when(price.isNull(), F.lit(1)).otherwise(F.col("__length"))
+    )
+
+
 def data_issues(
     bars: DataFrame,
     jump_threshold: float = JUMP_THRESHOLD,
@@ -36,25 +72,7 @@ def data_issues(
     """One row per (distinct bar, broken rule) with the values that break it and its copies."""
     rows = counted_copies(bars)
     per_key = rows.groupBy("date", "ticker").agg(F.sum("copies").alias("__key_rows"))
-    price = F.col("adjusted_close")
-    # Rows of one key have no order of their own; the remaining columns settle it.
-    tie = ["date", *[c for c in BAR_COLUMNS if c not in ("date", "ticker")]]
-    series = Window.partitionBy("ticker").orderBy(*tie)
-    previous = F.lag(price).over(series)
-    same_price = price.eqNullSafe(previous) & price.isNotNull()
-    tracked = (
-        rows.withColumns(
-            {"adjusted_return_1d": change(price, previous), "__starts_run": ~same_price}
-        )
-        .withColumn("__run", F.count_if("__starts_run").over(so_far(series)))
-        .withColumn(
-            "stale_run_length",
-            F.when(price.isNull(), F.lit(1)).otherwise(
-                F.sum("copies").over(Window.partitionBy("ticker", "__run"))
-            ),
-        )
-        .join(per_key, ["date", "ticker"])
-    )
+    tracked = _with_runs(rows).join(per_key, ["date", "ticker"])
     missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in BAR_COLUMNS])
     any_missing = F.lit(False)
     for name in BAR_COLUMNS:
