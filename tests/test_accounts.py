@@ -346,3 +346,14 @@ def test_scalar_order_rules(spark):
         om.desired_quantity(F.lit(10), F.lit(Decimal("555")), F.lit(Decimal("10"))).alias("up"),
     ).first()
     assert row["fits"] == 90 and row["sale"] == Decimal("997") and row["down"] == 56 and row["up"] == 55
+
+
+@pytest.mark.parametrize("price", [None, "0"])
+def test_plans_refuse_held_names_without_a_price_and_dates_out_of_order(spark, price):
+    targets = [("AAA", "G", "S", "0.1")]
+    with pytest.raises(ValueError, match="no price"):
+        _sizing(spark, targets, [("BBB", 10, 10)], [_snapshot("AAA"), _snapshot("BBB", price=price)])
+    with pytest.raises(ValueError, match="no price"):
+        _sizing(spark, targets, [("CCC", 10, 10)], [_snapshot("AAA")])
+    with pytest.raises(ValueError, match="does not follow"):
+        om.order_plan(None, None, None, None, None, RULES, DAYS[1], DAYS[1], DAYS[0])

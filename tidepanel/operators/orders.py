@@ -401,6 +401,17 @@ def funded_requests(plan: DataFrame, cash: DataFrame, rules: Constraints) -> Dat
     )
 
 
+def plan_problems(positions: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(account_id, ticker, problem): held names without a price, whose value no plan can state."""
+    prices = snapshots.select("ticker", F.col("price").alias("__price"))
+    return (
+        positions.where("economic_quantity <> 0")
+        .join(prices, "ticker", "left")
+        .where(F.coalesce(F.col("__price"), F.lit(0)) <= 0)
+        .select("account_id", "ticker", F.lit("held_without_price").alias("problem"))
+    )
+
+
 def order_plan(
     targets: DataFrame,
     positions: DataFrame,
@@ -412,7 +423,15 @@ def order_plan(
     execution_date: object,
     expected_date: object,
 ) -> DataFrame:
-    """Orders, holds and skips of every account with sequential ids."""
+    """Orders, holds and skips of every account with sequential ids.
+
+    Refused are an execution date that does not follow the signal date and held names without a price.
+    """
+    if str(execution_date) <= str(signal_date):
+        raise ValueError(f"Execution on {execution_date} does not follow the signal of {signal_date}")
+    found = plan_problems(positions, snapshots).limit(5).collect()
+    if found:
+        raise ValueError(f"Held names have no price, for example {[(r['account_id'], r['ticker']) for r in found]}")
     # Read by the early rows and by the funding of requests.
     plan = checkpoint(planned_trades(targets, positions, values, snapshots, rules, expected_date))
     early = early_rows(plan, rules).select(
