@@ -120,8 +120,10 @@ def without_repeats(
     joined = frame.join(spans, F.col(key).eqNullSafe(F.col("span_id")), "left").drop("span_id")
     removed = f"array<struct<start:int,end:int,kept_doc_id:{frame.schema[key].dataType.simpleString()}>>"
 
-    trim = F.pandas_udf(_trimmed, "string")
-    texts = F.when(F.col("spans").isNull(), F.col(body)).otherwise(trim(F.col(body), F.col("bounds")))
+    # Only texts with something to cut travel to Python, and a filter above does not cut them twice.
+    trim = F.pandas_udf(_trimmed, "string").asNondeterministic()
+    marked = F.when(F.col("spans").isNotNull(), F.col(body))
+    texts = F.coalesce(trim(marked, F.col("bounds")), F.col(body))
     bounds = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     joined = joined.withColumn("bounds", bounds).withColumn("bounds", F.coalesce("bounds", F.array().cast("array<struct<start:int,end:int>>")))
     return joined.select(
