@@ -29,7 +29,7 @@ from tidepanel.llm.wordbpe import Recent, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 200_000
 
 
 class PieceModel:

@@ -23,7 +23,7 @@ PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+\Z")
 UNUSUAL = re.compile(r"[^\t-\r -~À-ÖØ-öø-įı-ňŊ-ɏ]")
 MARK_RUN = re.compile(r"[.,](?<=[!-/:-@\[-`{-~].)")
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
-CACHE = 400_000
+CACHE = 200_000
 LONGEST = 64
 
 
