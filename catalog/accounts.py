@@ -995,7 +995,7 @@ def _trees(spark, folder):
     """Both tree models on windows whose test dates follow one another without a gap."""
     rows = _model_rows(spark, folder, FEATURES)
     windows = checkpoint(splits.walk_forward_windows(rows, train_size=100, test_size=60, step_size=60))
-    return mod.tree_predictions(rows, windows, FEATURES, trees=10)[0]
+    return mod.tree_predictions(rows, windows, FEATURES)[0]
 
 
 # One round of boosting with a single cut, on the reference's grid of windows: three training
@@ -1038,7 +1038,7 @@ def _stumps(spark, folder):
 def _importance(spark, folder):
     rows = _model_rows(spark, folder, FEATURES)
     windows = checkpoint(splits.walk_forward_windows(rows, train_size=100, test_size=60, step_size=60))
-    return mod.tree_predictions(rows, windows, FEATURES, trees=10)[1]
+    return mod.tree_predictions(rows, windows, FEATURES)[1]
 
 
 LOGISTIC = {"train_size": 40, "test_size": 10, "step_size": 10}
@@ -1088,7 +1088,7 @@ def _ablation(spark, folder):
     rows = fe.add_liquidity(fe.add_price_limits(fe.add_momentum(fe.add_basic_features(panel.bars(spark, folder)))))
     dataset = la.modelling_dataset(rows, panel.labels(spark, folder), "forward_relative_return_5d")
     known = checkpoint(dataset.where("target IS NOT NULL").select("date", "ticker", "target", *columns))
-    return mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns, trees=2)
+    return mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns)
 
 
 @query(
@@ -1096,14 +1096,12 @@ def _ablation(spark, folder):
     "scenario evaluated_dates:i average_rank_ic:6 average_hit_rate:6 average_after_cost_return:6 maximum_turnover:6",
 )
 def _scenario_report(spark, folder):
-    """Ridge on all, on price-only and on volume-free features, each backtested at price limits."""
+    """Boosting on all features and without each group, each backtested at price limits."""
     columns = [*FEATURES, "rolling_vol_20d", "volume_z_20", "distance_to_ceiling"]
     timed = fe.add_liquidity_series(fe.add_price_limits(fe.add_momentum(fe.add_basic_features(panel.bars(spark, folder)))))
     dataset = checkpoint(la.modelling_dataset(timed, panel.labels(spark, folder), "forward_relative_return_5d"))
     known = dataset.where("target IS NOT NULL")
-    predicted = checkpoint(
-        mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns, model="ridge")
-    )
+    predicted = checkpoint(mod.ablation_predictions(known, splits.walk_forward_windows(known, train_size=20), columns))
     outcomes = predicted.groupBy("date", "ticker").agg(
         F.max("actual_return").alias("actual_return"), F.max("predicted_return").alias("predicted_return")
     )
@@ -1115,7 +1113,7 @@ def _scenario_report(spark, folder):
 def _horizons(spark, folder):
     bars = panel.bars(spark, folder)
     rows = checkpoint(fe.add_drawdown(fe.add_momentum(bars)).select("date", "ticker", *FEATURES))
-    return mod.horizon_predictions(rows, bars, FEATURES, train_size=20, trees=3)
+    return mod.horizon_predictions(rows, bars, FEATURES, train_size=20)
 
 
 @query("k07_latest_scores", "date ticker model_name horizon_days:i score:6 predicted_rank:i")
@@ -1130,7 +1128,7 @@ def _latest_scores(spark, folder):
     both = dataset.join(F.broadcast(ends), "date").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("t"))
     names = checkpoint(both.where("n = 2 AND t = 1").select("ticker"))
     chosen = dataset.join(F.broadcast(names), "ticker", "left_semi")
-    return mod.score_latest(chosen, names, 5, "rank_ensemble", features=FEATURES, trees=10)[0]
+    return mod.score_latest(chosen, names, 5, "rank_ensemble", features=FEATURES)[0]
 
 
 relation(
@@ -1169,5 +1167,5 @@ def _model_comparison(spark, folder):
     rows = _model_rows(spark, folder, FEATURES)
     windows = checkpoint(splits.walk_forward_windows(rows, train_size=20))
     linear = mod.linear_predictions(rows, windows, FEATURES)
-    trees, _ = mod.tree_predictions(rows, windows, FEATURES, trees=5)
+    trees, _ = mod.tree_predictions(rows, windows, FEATURES)
     return reports.comparison_report({"linear": checkpoint(linear), "tree": checkpoint(trees)})

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -271,3 +273,29 @@ def test_ablation_scenarios_drop_their_features(spark):
     a = both.where("scenario = 'without_risk'").orderBy("window_id", "ticker").toPandas()["predicted_return"]
     b = only.orderBy("window_id", "ticker").toPandas()["predicted_return"]
     np.testing.assert_allclose(a, b, atol=1e-9)
+
+
+@pytest.mark.parametrize(
+    "name,operator",
+    [
+        ("k02_tree_predictions", "tree_predictions"), ("k02_tree_importance", "tree_predictions"),
+        ("k05_ablation_predictions", "ablation_predictions"), ("k05_scenario_report", "ablation_predictions"),
+        ("k05_horizon_predictions", "horizon_predictions"), ("k06_model_comparison", "tree_predictions"), ("k07_latest_scores", "score_latest"),
+    ],
+)
+def test_registered_tree_queries_fit_all_trees(spark, monkeypatch, name, operator):
+    from catalog import load
+
+    real, seen = inspect.signature(getattr(mod, operator)), {}
+
+    def stop(*args, **named):
+        bound = real.bind(*args, **named)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(mod, operator, stop)
+    with pytest.raises(InterruptedError):
+        load.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen["trees"] == tr.TREES == 100
+    assert seen.get("model", "gradient_boosting") in (*tr.TREE_MODELS, "rank_ensemble")
