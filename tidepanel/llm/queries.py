@@ -161,3 +161,10 @@ def op9_gif(spark: SparkSession, folder: str) -> DataFrame:
     from tidepanel.llm.gif import text_media_features
 
     return text_media_features(table(spark, folder, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from tidepanel.llm.whitening import whitened_components
+
+    return whitened_components(table(spark, folder, "embeddings"))
