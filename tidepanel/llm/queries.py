@@ -168,3 +168,10 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     from tidepanel.llm.whitening import whitened_components
 
     return whitened_components(table(spark, folder, "embeddings"))
+
+
+@query("op12_sharding")
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from tidepanel.llm.sharding import shard_places
+
+    return shard_places(table(spark, folder, "documents"))
