@@ -175,3 +175,10 @@ def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from tidepanel.llm.sharding import shard_places
 
     return shard_places(table(spark, folder, "documents"))
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from tidepanel.llm.alignment import alignment_digests
+
+    return alignment_digests(table(spark, folder, "documents"))
