@@ -992,9 +992,9 @@ def _ridge_residuals(spark, folder):
 
 @query("k02_tree_predictions", PREDICTED)
 def _trees(spark, folder):
-    """Both tree models on windows whose test dates follow one another without a gap."""
+    """Both tree models on windows that move by a date: every date after the first window is tested."""
     rows = _model_rows(spark, folder, FEATURES)
-    windows = checkpoint(splits.walk_forward_windows(rows, train_size=100, test_size=60, step_size=60))
+    windows = checkpoint(splits.walk_forward_windows(rows, train_size=20))
     return mod.tree_predictions(rows, windows, FEATURES)[0]
 
 
@@ -1037,7 +1037,7 @@ def _stumps(spark, folder):
 @query("k02_tree_importance", "window_id:i model_name feature importance:6 test_start test_end")
 def _importance(spark, folder):
     rows = _model_rows(spark, folder, FEATURES)
-    windows = checkpoint(splits.walk_forward_windows(rows, train_size=100, test_size=60, step_size=60))
+    windows = checkpoint(splits.walk_forward_windows(rows, train_size=20))
     return mod.tree_predictions(rows, windows, FEATURES)[1]
 
 

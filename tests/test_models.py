@@ -232,6 +232,33 @@ def test_forest_averages_bootstrapped_trees(spark):
     np.testing.assert_allclose(have, pd.Series(want, index=pd.MultiIndex.from_frame(test[["date", "ticker"]])).sort_index(), atol=1e-9)
 
 
+@pytest.mark.parametrize("model,trees", [("gradient_boosting", 12), ("random_forest", 3)])
+def test_windows_of_many_blocks_give_the_same_trees(spark, tmp_path, monkeypatch, model, trees):
+    monkeypatch.setattr(tr, "REFRESH", 5)
+    monkeypatch.setattr(tr, "FOREST_BATCH", 2)
+    frame = _rows(dates=22)
+    windows = _windows(spark, frame, train_size=10, test_size=3, step_size=5)
+    rows = spark.createDataFrame(frame)
+    settings = {"model": model, "trees": trees, "depth": 2, "bins": 5}
+    keys = ["window_id", "date", "ticker"]
+
+    def run(**more):
+        found, importance = tr.window_trees(rows, windows, FEATURES, **settings | more)
+        return found.orderBy(*keys).toPandas(), importance.orderBy("window_id", "feature").toPandas()
+
+    whole, importance = run()
+    log = str(tmp_path / "log")
+    # A run that ended early left rounds behind; the next one goes on after them.
+    if model == "gradient_boosting":
+        run(block_rows=30, log=log, trees=7)
+        first = sorted((tmp_path / "log" / "round=3").iterdir())
+    cut, other = run(block_rows=30, log=log)
+    pd.testing.assert_frame_equal(whole, cut, rtol=1e-9)
+    pd.testing.assert_frame_equal(importance, other, rtol=1e-9)
+    if model == "gradient_boosting":
+        assert sorted((tmp_path / "log" / "round=3").iterdir()) == first
+
+
 def test_tree_windows_stay_out_of_sample(spark):
     frame = _rows(dates=26)
     windows = _windows(spark, frame, train_size=8, test_size=3, step_size=5)
