@@ -17,6 +17,7 @@ from tidepanel.operators import features as fe
 from tidepanel.operators import ingest
 from tidepanel.operators import labels as la
 from tidepanel.operators import ledger as le
+from tidepanel.operators import metrics as me
 from tidepanel.operators import models as mod
 from tidepanel.operators import orders as om
 from tidepanel.operators import quality as qu
@@ -1034,6 +1035,39 @@ def _stumps(spark, folder):
     return tr.window_trees(rows, windows, ["return_5d", "return_1d"], trees=1, depth=1, bins=4)[0]
 
 
+relation(
+    "stump_importances",
+    """SELECT w.window_id, CASE c.f WHEN 0 THEN 'return_5d' ELSE 'return_1d' END AS feature, CASE WHEN s.f = c.f THEN 1.0::DOUBLE ELSE 0 END AS importance
+       FROM (SELECT DISTINCT window_id FROM stump_train WHERE window_id + 14 <= (SELECT max(i) FROM known_dates)) w
+       CROSS JOIN (SELECT unnest([0, 1]) AS f) c LEFT JOIN stumps s ON s.window_id = w.window_id""",
+)
+
+
+def _stump_importance(spark, folder):
+    rows = _model_rows(spark, folder, ["return_5d", "return_1d"])
+    windows = checkpoint(splits.walk_forward_windows(rows))
+    return tr.window_trees(rows, windows, ["return_5d", "return_1d"], trees=1, depth=1, bins=4)[1]
+
+
+@query(
+    "f07_feature_importance",
+    "model_name feature average_importance:8 window_count:i",
+    "SELECT 'gradient_boosting' AS model_name, feature, avg(importance) AS average_importance, count(*) AS window_count FROM stump_importances GROUP BY feature",
+)
+def _importance_summary(spark, folder):
+    """Importances of a fit that SQL can repeat: one round with a single cut per window."""
+    return me.feature_importance_summary(_stump_importance(spark, folder))
+
+
+@query(
+    "o11_mean_importance",
+    "feature average_importance:8",
+    "SELECT feature, avg(importance) AS average_importance FROM stump_importances GROUP BY feature",
+)
+def _mean_importance(spark, folder):
+    return me.mean_importance(_stump_importance(spark, folder), "gradient_boosting")
+
+
 @query("k02_tree_importance", "window_id:i model_name feature importance:6 test_start test_end")
 def _importance(spark, folder):
     rows = _model_rows(spark, folder, FEATURES)
@@ -1116,19 +1150,58 @@ def _horizons(spark, folder):
     return mod.horizon_predictions(rows, bars, FEATURES, train_size=20)
 
 
-@query("k07_latest_scores", "date ticker model_name horizon_days:i score:6 predicted_rank:i")
-def _latest_scores(spark, folder):
+def _scoring_rows(spark, folder):
     rows = fe.add_drawdown(fe.add_momentum(panel.bars(spark, folder)))
     labelled = la.modelling_dataset(rows, la.forward_labels(panel.bars(spark, folder)), "forward_return_5d")
-    dataset = checkpoint(labelled.select("date", "ticker", "target", *FEATURES))
-    # Names traded on the latest and on the cutoff date form the universe.
-    index = da.date_index(dataset)
-    last = index.agg(F.max("date_idx")).first()[0]
-    ends = index.where(F.col("date_idx").isin([last, last - 5]))
-    both = dataset.join(F.broadcast(ends), "date").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("t"))
-    names = checkpoint(both.where("n = 2 AND t = 1").select("ticker"))
-    chosen = dataset.join(F.broadcast(names), "ticker", "left_semi")
-    return mod.score_latest(chosen, names, 5, "rank_ensemble", features=FEATURES)[0]
+    return checkpoint(labelled.select("date", "ticker", "target", *FEATURES))
+
+
+@query("k07_latest_scores", "date ticker model_name horizon_days:i score:6 predicted_rank:i")
+def _latest_scores(spark, folder):
+    """Scores of the latest date with the whole universe, from all labels known by then.
+
+    No row where no date has it; k07_scoring_problems says what the latest date lacks.
+    """
+    dataset, names = _scoring_rows(spark, folder), panel.universe(spark, folder)
+    signal = checkpoint(mod.covered_signal_date(dataset, names, 5))
+    if not signal.count():
+        empty = "date date, ticker string, model_name string, horizon_days int, score double, predicted_rank int"
+        return spark.createDataFrame([], empty)
+    known = checkpoint(mod.as_of(dataset, signal))
+    return mod.score_latest(known, names, 5, "rank_ensemble", features=FEATURES)[0]
+
+
+relation("universe_names", "SELECT DISTINCT p_brand AS ticker FROM part")
+relation(
+    "scoring_dates",
+    """SELECT date, CASE WHEN date_idx = (SELECT max(date_idx) FROM date_list) THEN 'signal' ELSE 'cutoff' END AS role FROM date_list
+       WHERE date_idx IN ((SELECT max(date_idx) FROM date_list), (SELECT max(date_idx) - 5 FROM date_list))""",
+)
+
+
+@query(
+    "k07_scoring_problems",
+    "role ticker problem",
+    """SELECT role, ticker, CASE WHEN seen IS NULL THEN 'missing_ticker' WHEN expected IS NULL THEN 'unexpected_ticker'
+         WHEN role = 'signal' AND target IS NOT NULL THEN 'target_leak' WHEN role = 'cutoff' AND target IS NULL THEN 'unknown_cutoff_target' END AS problem
+       FROM (SELECT role, b.ticker, f.forward_return_5d AS target, 1 AS seen FROM bars b JOIN scoring_dates d ON d.date = b.date
+             LEFT JOIN forwards f ON f.date = b.date AND f.ticker = b.ticker)
+       FULL JOIN (SELECT DISTINCT ticker, role, 1 AS expected FROM universe_names, scoring_dates) USING (role, ticker) WHERE problem IS NOT NULL""",
+)
+def _scoring_problems(spark, folder):
+    return mod.scoring_problems(_scoring_rows(spark, folder), panel.universe(spark, folder), 5)
+
+
+@query(
+    "k07_signal_date",
+    "signal_date cutoff_date",
+    """SELECT s.date AS signal_date, c.date AS cutoff_date FROM date_list s JOIN date_list c ON c.date_idx = s.date_idx - 5
+       WHERE (SELECT count(DISTINCT ticker) FROM bars WHERE date = s.date) = (SELECT count(*) FROM universe_names)
+         AND (SELECT count(forward_return_5d) FROM forwards f WHERE f.date = c.date) = (SELECT count(*) FROM universe_names)
+       ORDER BY 1 DESC LIMIT 1""",
+)
+def _signal_date(spark, folder):
+    return mod.covered_signal_date(_scoring_rows(spark, folder), panel.universe(spark, folder), 5)
 
 
 relation(

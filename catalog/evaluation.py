@@ -474,33 +474,6 @@ def _weekly(spark, folder):
     return me.weekly_extremes(daily, "value", "value", ["user_id"])
 
 
-@query(
-    "f07_feature_importance",
-    "model_name feature average_importance:8 window_count:i",
-    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY average_importance DESC, feature) AS place FROM (
-         SELECT ticker AS feature, 'momentum' AS model_name, avg(abs(return_10d)) AS average_importance, count(*) AS window_count
-         FROM moves WHERE return_10d IS NOT NULL GROUP BY 1)) WHERE place <= 20""",
-)
-def _importance(spark, folder):
-    rows = fe.add_momentum(panel.bars(spark, folder)).where("return_10d IS NOT NULL").select(
-        F.lit("momentum").alias("model_name"), F.col("ticker").alias("feature"), F.abs("return_10d").alias("importance")
-    )
-    return me.feature_importance_summary(rows)
-
-
-@query(
-    "o11_mean_importance",
-    "feature average_importance:8",
-    """SELECT ticker AS feature, avg(abs(return_10d)) AS average_importance FROM moves WHERE return_10d IS NOT NULL
-       GROUP BY 1 ORDER BY average_importance DESC, feature LIMIT 20""",
-)
-def _mean_importance(spark, folder):
-    rows = fe.add_momentum(panel.bars(spark, folder)).where("return_10d IS NOT NULL").select(
-        F.lit("momentum").alias("model_name"), F.col("ticker").alias("feature"), F.abs("return_10d").alias("importance")
-    )
-    return me.mean_importance(rows, "momentum")
-
-
 @query(
     "f09_latest_ranking",
     "date ticker model_name predicted_return:8 predicted_rank:i",

@@ -290,6 +290,22 @@ def test_latest_scores_need_unknown_targets(spark):
         mod.score_latest(dataset, names, 3, "random_forest", 200)
 
 
+def test_signal_date_is_the_latest_with_all_names_and_known_labels(spark):
+    frame = _rows(dates=30, names=4)
+    dates = days(30)
+    frame = frame[~((frame["date"] == dates[28]) & (frame["ticker"] == "T01"))]
+    frame = frame[~((frame["date"] == dates[23]) & (frame["ticker"] == "T02"))]
+    names = spark.createDataFrame([(f"T{k:02d}",) for k in range(4)], "ticker string")
+    dataset = spark.createDataFrame(frame).withColumn("target", F.when(F.col("date") < dates[26], F.col("target")))
+    # 29 and 28 fail: the cutoff 26 has no labels, 28 lacks a name; 27 has its cutoff on 24.
+    signal = mod.covered_signal_date(dataset, names, 3)
+    assert [tuple(r) for r in signal.collect()] == [(dates[27], dates[24])]
+    known = mod.as_of(dataset, signal).toPandas()
+    assert known["date"].max() == dates[27] and known.loc[known["target"].notna(), "date"].max() == dates[24]
+    assert mod.scoring_problems(mod.as_of(dataset, signal), names, 3).count() == 0
+    assert mod.covered_signal_date(dataset.where("ticker <> 'T00'"), names, 3).count() == 0
+
+
 def test_ablation_scenarios_drop_their_features(spark):
     frame = _rows().rename(columns={"f0": "return_1d", "f1": "drawdown", "f2": "volume_z_20", "flat": "rolling_vol_20d"})
     columns = ["return_1d", "drawdown", "volume_z_20", "rolling_vol_20d"]
@@ -323,6 +339,7 @@ def test_registered_tree_queries_fit_all_trees(spark, monkeypatch, name, operato
 
     monkeypatch.setattr(mod, operator, stop)
     with pytest.raises(InterruptedError):
-        load.QUERIES[name](spark, "/root/testdata/sf0.001")
+        # The smallest panel has no date with the whole universe, so nothing is scored there.
+        load.QUERIES[name](spark, "/root/testdata/sf0.01" if name.startswith("k07") else "/root/testdata/sf0.001")
     assert seen["trees"] == tr.TREES == 100
     assert seen.get("model", "gradient_boosting") in (*tr.TREE_MODELS, "rank_ensemble")

@@ -472,6 +472,39 @@ def scoring_problems(dataset: DataFrame, universe: DataFrame, horizon: int, targ
     return joined.withColumn("problem", problem).where("problem IS NOT NULL").select("role", "ticker", "problem")
 
 
+def covered_signal_date(dataset: DataFrame, universe: DataFrame, horizon: int, target: str = "target") -> DataFrame:
+    """(signal_date, cutoff_date) of the latest date that can be scored, or no row.
+
+    The date and the one ``horizon`` dates before it have exactly the names of the universe, and all
+    targets of the earlier one are known.
+    """
+    names = universe.select("ticker").distinct().withColumn("__expected", F.lit(1))
+    expected = names.agg(F.count(F.lit(1)).alias("__names"))
+    daily = (
+        dataset.select("date", "ticker", target).join(names, "ticker", "left").groupBy("date")
+        .agg(F.count(F.lit(1)).alias("__rows"), F.count("__expected").alias("__found"), F.count(target).alias("__known"))
+        .join(F.broadcast(expected))
+        .withColumn("__full", (F.col("__rows") == F.col("__names")) & (F.col("__found") == F.col("__names")))
+    )
+    index = date_index(dataset).join(daily, "date")
+    past = index.where("__full AND __known = __names").select(
+        (F.col("date_idx") + horizon).alias("date_idx"), F.col("date").alias("cutoff_date")
+    )
+    usable = index.where("__full").join(past, "date_idx")
+    best = usable.agg(F.max(F.struct("date", "cutoff_date")).alias("best")).where("best IS NOT NULL")
+    return best.select(F.col("best.date").alias("signal_date"), "best.cutoff_date")
+
+
+def as_of(dataset: DataFrame, signal: DataFrame, target: str = "target") -> DataFrame:
+    """What was known on a signal date: rows up to it, targets up to its cutoff.
+
+    ``signal`` is one row of ``covered_signal_date``.
+    """
+    seen = dataset.join(F.broadcast(signal), F.col("date") <= F.col("signal_date"))
+    known = F.when(F.col("date") <= F.col("cutoff_date"), F.col(target))
+    return seen.withColumn(target, known).drop("signal_date", "cutoff_date")
+
+
 def score_latest(
     dataset: DataFrame,
     universe: DataFrame,
