@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from tidepanel.llm import wordbpe
 from tidepanel.llm.common import batches, picked
 from tests.llm.test_quality import plain_measures
-from tests.llm.test_simhash import classes, plain_fingerprint
+from tests.llm.test_similar import classes
 from tests.llm.test_substring import plain_repeats
 from tidepanel.llm.substring import cut
 
@@ -24,6 +24,7 @@ def corpus() -> list[tuple]:
     texts = [make(rng.randint(60, 400)) for _ in range(60)]
     texts += [t for t in texts[:10] for _ in range(3)]  # exact copies
     texts += [t + " end" for t in texts[10:20]]  # near copies
+    texts += [t.replace(t.split()[30], "changed", 1).replace(t.split()[45], "too", 1) for t in texts[20:30]]
     texts += [f"{make(80)}\n{shared}\n{make(90)}" for _ in range(12)]  # one passage in many
     texts += ["too short", "a b c " * 60, None, "", shared, "word " * 9000]
     rng.shuffle(texts)
@@ -40,8 +41,7 @@ def plain_pipeline(rows: list[tuple]) -> dict[int, str]:
         n_words, _, _, _, repeated = plain_measures(row[1])
         if n_words >= 50 and 100 * repeated <= 50 * n_words:
             kept.append(row)
-    of = {d: c for d, _, c in classes([(r[0], plain_fingerprint(r[1])) for r in kept], 4)}
-    kept = [r for r in kept if of[r[0]] == r[0]]
+    kept = [r for r, least in zip(kept, classes([(r[0], r[1]) for r in kept]), strict=True) if least == r[0]]
     spans: dict = {}
     for doc, start, end, _, _ in plain_repeats([(r[0], r[1]) for r in kept], 20):
         spans.setdefault(doc, []).append((start, end))
