@@ -79,7 +79,7 @@ def nearest_trading_days(frame: DataFrame, calendar: DataFrame, column: str) ->
 def _local_clock(generated_at: dt.datetime, timezone: str) -> tuple[Column, Column]:
     """Local date and time of day of an aware run time, independent of the session zone."""
     if generated_at.tzinfo is None:
-        raise ValueError("generated_at must be timezone-aware")
+        raise ValueError("generated_at needs a time zone")
     local = generated_at.astimezone(ZoneInfo(timezone))
     return F.lit(local.date()), F.lit(local.strftime("%H:%M:%S"))
 

@@ -54,7 +54,7 @@ def drawdown_overlay(
 def market_regimes(bars: DataFrame, return_window: int = 20, baseline_window: int = 126) -> DataFrame:
     """Regime per date from market history only; dates without full windows drop out."""
     if return_window <= 1 or baseline_window <= 1:
-        raise ValueError("Regime windows must be greater than one")
+        raise ValueError("A regime needs windows of two rows or more")
     order = timeline()
 
     def growth(value: Column) -> Column:
