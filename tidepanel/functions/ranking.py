@@ -15,11 +15,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.session import checkpoint
+
 BUCKETS_PER_DOUBLING = 64
 # Doubles span 2**-1074 to 2**1024, so this offset keeps bucket numbers positive.
 BUCKET_OFFSET = 1080 * BUCKETS_PER_DOUBLING
 MISSING_BUCKET = 4 * BUCKET_OFFSET
 PREFIX_LENGTH = 8
+# Rows of one group that are ordered in one task.
+BLOCK_ROWS = 100_000
 # Rows of one value in one group above which the value is cut by tie-break prefix.
 HEAVY_ROWS = 1_000_000
 
@@ -43,6 +47,34 @@ def top_n(
     return frame.withColumn(rank, position).where(F.col(rank) <= n)
 
 
+def in_blocks(
+    frame: DataFrame, by: Sequence[str], order: Sequence[str], expected_rows: int, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Cut rows sorted by (by, order) into blocks of about ``block_rows``; adds ``block`` and ``place``.
+
+    Blocks rise with the order and a large group has many of them; ``place`` counts from 1 within a group's
+    part of a block.  (by, order) has to be unique.  The cut is stored, since it comes from a sample.
+    """
+    count = expected_rows // block_rows + 1
+    cut = checkpoint(frame.repartitionByRange(count, *by, *order).withColumn("block", F.spark_partition_id()))
+    return cut.withColumn("place", F.row_number().over(Window.partitionBy(*by, "block").orderBy(*order)))
+
+
+def numbered(
+    frame: DataFrame, by: Sequence[str], order: Sequence[str], name: str, expected_rows: int, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """``row_number`` of a group of any size: place in its block plus the rows in blocks before."""
+    placed = in_blocks(frame, by, order, expected_rows, block_rows)
+    earlier = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*by, "block").agg(F.max("place").alias("__size"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
+    return (
+        placed.join(before, [*by, "block"])
+        .withColumn(name, F.col("__before") + F.col("place"))
+        .drop("block", "place", "__before")
+    )
+
+
 def frequent_values(
     frame: DataFrame, by: Sequence[str], value: str, heavy: int = HEAVY_ROWS
 ) -> list[float]:

@@ -1,8 +1,8 @@
 """Order sizing for many accounts at once.
 
-Caps, turnover, quantities and trade blocks are columns over (account, ticker).  Only the
-spending of cash, where each purchase leaves less for the next, is a fold over the
-purchases of one account.
+Caps, turnover, quantities and trade blocks are columns over (account, ticker).  The spending of
+cash, where each purchase leaves less for the next, goes by running sums over blocks of an account's
+purchases, in a few rounds.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.numeric import truthy
+from tidepanel.functions.ranking import BLOCK_ROWS, in_blocks, numbered
 from tidepanel.operators.ledger import decimal_ratio, money, times_quantity
 from tidepanel.session import checkpoint
 
@@ -292,42 +293,118 @@ def early_rows(plan: DataFrame, rules: Constraints) -> DataFrame:
     )
 
 
-def _cash_before_purchases(buys: DataFrame, rules: Constraints) -> DataFrame:
-    """Cash available to each purchase once the better-ranked ones are paid.
+def purchase(cash: Column, allowed: Column, price: Column, rules: Constraints) -> Column:
+    """What a request takes out of this cash: its affordable lots, or nothing below the smallest trade."""
+    quantity = F.least(allowed, affordable_quantity(cash, price, rules))
+    worth = times_quantity(price, quantity)
+    smallest = F.lit(rules.min_trade_value).cast("decimal(20,2)")
+    cost = money(-cash_effect(F.lit("BUY"), worth, rules))
+    return F.when((quantity > 0) & (worth >= smallest), cost).otherwise(money(F.lit(0)))
+
+
+def _least_purchase(price: Column, rules: Constraints) -> Column:
+    """Cost of the fewest lots that make a trade, fees included; only steers the number of rounds."""
+    lot = F.lit(1 if rules.allow_odd_lots else rules.round_lot_size)
+    lots = F.greatest(F.ceil(F.lit(float(rules.min_trade_value)) / (price.cast("double") * lot)), F.lit(1))
+    fees = 1 + float(rules.commission_rate) + float(rules.slippage_rate)
+    return lots * lot * price.cast("double") * F.lit(fees)
+
 
-    The only step that depends on the step before it: a fold over an account's purchases,
-    of which there are at most as many as it has names.
+def _with_cash(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """Cash before each purchase of a stretch, as far as no purchase of it ends the stretch.
+
+    ``states`` has, per account, block and step, the cash a stretch begins with.  A request whose least
+    purchase is below the level (the power of two under that cash) is taken in full, any other not at all.
     """
-    smallest = F.lit(rules.min_trade_value).cast("decimal(20,2)")
-    request = F.struct("predicted_rank", (-F.col("lot_value")).alias("order_value"), "ticker", "allowed", "price")
-    gathered = buys.groupBy("account_id").agg(
-        F.first("spendable").alias("spendable"), F.sort_array(F.collect_list(request)).alias("requests")
+    cheap = F.coalesce(F.col("least_cost") < F.col("level"), F.lit(False))
+    stretch = ["account_id", "step"]
+    taken = rows.join(states, ["account_id", "block"]).withColumn("cheap", cheap)
+    taken = taken.where(
+        (F.struct("block", "place") > F.col("after"))
+        & (F.col("until").isNull() | (F.struct("block", "place") <= F.col("until")))
+    ).withColumn("taken", F.when(F.col("cheap"), F.col("full_cost")).otherwise(money(F.lit(0))))
+    earlier = Window.partitionBy(*stretch).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = money(F.lit(0))
+    blocks = (
+        taken.groupBy(*stretch, "block")
+        .agg(money(F.sum("taken")).alias("block_taken"))
+        .withColumn("earlier_blocks", F.coalesce(money(F.sum("block_taken").over(earlier)), nothing))
+        .drop("block_taken")
+    )
+    inside = Window.partitionBy(*stretch, "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return taken.join(blocks, [*stretch, "block"]).withColumn(
+        "cash_before",
+        money(F.col("cash") - F.col("earlier_blocks") - F.coalesce(money(F.sum("taken").over(inside)), nothing)),
     )
 
-    def pay(state: Column, r: Column) -> Column:
-        quantity = F.least(r["allowed"], affordable_quantity(state["cash"], r["price"], rules))
-        worth = times_quantity(r["price"], quantity)
-        paid = F.when((quantity > 0) & (worth >= smallest), cash_effect(F.lit("BUY"), worth, rules)).otherwise(
-            money(F.lit(0))
-        )
-        seen = F.struct(r["ticker"].alias("ticker"), state["cash"].alias("cash_before"))
-        return F.struct(
-            money(state["cash"] + paid).alias("cash"), F.concat(state["seen"], F.array(seen)).alias("seen")
-        )
 
-    start = F.struct(
-        money("spendable").alias("cash"),
-        F.array().cast("array<struct<ticker:string,cash_before:decimal(38,12)>>").alias("seen"),
-    )
-    walked = gathered.select("account_id", F.aggregate("requests", start, pay).alias("state"))
-    return walked.select("account_id", F.explode("state.seen").alias("seen")).select("account_id", "seen.*")
+def _cash_before_purchases(buys: DataFrame, rules: Constraints, expected_rows: int, block_rows: int) -> DataFrame:
+    """Cash available to each purchase once the better-ranked ones are paid.
 
+    An account's purchases are not walked one by one.  Let the level be the power of two at or below the
+    cash.  Requests that can do with less than the level are paid in full by a running sum; all others are
+    passed over, as long as none of three things happens: a cheap request is not covered in full, the cash
+    falls below the level, or a dear request can be served.  The first such request ends the stretch, is
+    paid exactly, and the next stretch begins behind it.  Each of the three at least brings the cash below
+    the level: a request served in part leaves less than one lot of those it paid for.  So there are about as
+    many rounds as the cash has binary digits above the cheapest purchase, whatever the number of requests.
 
-def funded_requests(plan: DataFrame, cash: DataFrame, rules: Constraints) -> DataFrame:
+    The requests of an account lie in blocks of ``block_rows``; sums over blocks carry the cash from one to the next.
+    """
+    order = ["predicted_rank", "order_value", "ticker"]
+    costs = buys.select(
+        "account_id", "ticker", "allowed", "price", "predicted_rank", "spendable", (-F.col("lot_value")).alias("order_value")
+    )
+    placed = in_blocks(costs, ["account_id"], order, expected_rows, block_rows)
+    worth = times_quantity("price", "allowed")
+    trades = (F.col("allowed") > 0) & (worth >= F.lit(rules.min_trade_value).cast("decimal(20,2)"))
+    rows = checkpoint(
+        placed.withColumn("full_cost", F.when(trades, money(-cash_effect(F.lit("BUY"), worth, rules))).otherwise(money(F.lit(0))))
+        .withColumn("least_cost", F.when(trades, _least_purchase(F.col("price"), rules)))
+    )
+    blocks = checkpoint(rows.groupBy("account_id", "block").agg(F.max("spendable").alias("spendable")))
+    level = F.pow(F.lit(2.0), F.floor(F.log2(F.col("cash").cast("double"))))
+    place = "struct<block:int,place:int>"
+    start = F.struct(F.lit(-1).alias("block"), F.lit(0).alias("place")).cast(place)
+    state = blocks.groupBy("account_id").agg(money(F.max("spendable")).alias("cash")).withColumn("after", start)
+    log = []
+    while True:
+        state = checkpoint(state.withColumn("step", F.lit(len(log))).withColumn("level", level))
+        if log and state.isEmpty():
+            break
+        log.append(state)
+        here = blocks.select("account_id", "block").join(state, "account_id").where("block >= after.block")
+        walked = _with_cash(rows, here.withColumn("until", F.lit(None).cast(place)))
+        cash = F.col("cash_before")
+        paid = purchase(cash, F.col("allowed"), F.col("price"), rules)
+        left = cash - F.col("full_cost")
+        short = (affordable_quantity(cash, F.col("price"), rules) < F.col("allowed")) | (left.cast("double") < F.col("level"))
+        event = F.when(F.col("cheap"), short).otherwise(paid > 0)
+        state = (
+            walked.where(event)
+            .groupBy("account_id")
+            .agg(F.min(F.struct("block", "place", money(cash - paid).alias("cash"))).alias("first"))
+            .select("account_id", "first.cash", F.struct("first.block", "first.place").cast(place).alias("after"))
+        )
+    stretches = log[0]
+    for later in log[1:]:
+        stretches = stretches.unionByName(later)
+    # One row per account and round.
+    following = Window.partitionBy("account_id").orderBy("step")
+    stretches = stretches.withColumn("until", F.lead("after").over(following))
+    spread = blocks.select("account_id", "block").join(stretches, "account_id")
+    spread = spread.where("block >= after.block AND (until IS NULL OR block <= until.block)")
+    return _with_cash(rows, spread).select("account_id", "ticker", "cash_before")
+
+
+def funded_requests(
+    plan: DataFrame, cash: DataFrame, rules: Constraints, expected_rows: int, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Orders and skips of the requests: volume limit, sellable shares, settled cash.
 
     Sales come first by value, purchases by predicted rank; every purchase reduces the
-    cash left for the next one.
+    cash left for the next one.  ``phase``, ``priority`` and ``order_value`` state that order.
+    ``expected_rows`` is about the number of requests.
     """
     smallest = F.lit(rules.min_trade_value).cast("decimal(20,2)")
     none = F.lit(0).cast("bigint")
@@ -347,7 +424,8 @@ def funded_requests(plan: DataFrame, cash: DataFrame, rules: Constraints) -> Dat
         )
     )
     buying = F.col("side") == "BUY"
-    funds = _cash_before_purchases(requests.where(buying & F.col("allowed").isNotNull()), rules)
+    payable = requests.where(buying & F.col("allowed").isNotNull())
+    funds = _cash_before_purchases(payable, rules, expected_rows, block_rows)
     affordable = affordable_quantity(F.col("cash_before"), F.col("price"), rules)
     sized = (
         requests.join(funds, ["account_id", "ticker"], "left")
@@ -359,12 +437,6 @@ def funded_requests(plan: DataFrame, cash: DataFrame, rules: Constraints) -> Dat
         )
         .withColumn("worth", times_quantity("price", "quantity"))
     )
-    order = Window.partitionBy("account_id").orderBy(
-        buying.cast("int"),
-        F.when(buying, F.col("predicted_rank")).otherwise(F.lit(0)),
-        F.col("lot_value").desc(),
-        "ticker",
-    )
     known = F.col("allowed").isNotNull()
     capped = known & (F.col("allowed") < F.col("lot_quantity"))
     traded = known & (F.col("quantity") > 0)
@@ -392,11 +464,13 @@ def funded_requests(plan: DataFrame, cash: DataFrame, rules: Constraints) -> Dat
         entry(5, traded & (F.col("worth") >= smallest), F.col("quantity"), "PENDING", F.lit("")),
     )
     return (
-        sized.withColumn("position", F.row_number().over(order))
-        .withColumn("__entry", F.explode(F.filter(entries, lambda e: e.isNotNull())))
+        sized.withColumn("__entry", F.explode(F.filter(entries, lambda e: e.isNotNull())))
         .select(
-            "account_id", "position", "ticker", "side", F.col("price").cast("decimal(18,6)").alias("price"),
-            "__entry.*",
+            "account_id",
+            F.when(buying, F.lit(2)).otherwise(F.lit(1)).alias("phase"),
+            F.when(buying, F.col("predicted_rank")).otherwise(F.lit(0)).cast("bigint").alias("priority"),
+            (-F.col("lot_value")).cast("decimal(38,6)").alias("order_value"),
+            "ticker", "side", F.col("price").cast("decimal(18,6)").alias("price"), "__entry.*",
         )
     )
 
@@ -422,10 +496,12 @@ def order_plan(
     signal_date: object,
     execution_date: object,
     expected_date: object,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Orders, holds and skips of every account with sequential ids.
 
     Refused are an execution date that does not follow the signal date and held names without a price.
+    No task holds more than about ``block_rows`` rows of an account.
     """
     if str(execution_date) <= str(signal_date):
         raise ValueError(f"Execution on {execution_date} does not follow the signal of {signal_date}")
@@ -435,13 +511,15 @@ def order_plan(
     # Read by the early rows and by the funding of requests.
     plan = checkpoint(planned_trades(targets, positions, values, snapshots, rules, expected_date))
     early = early_rows(plan, rules).select(
-        "account_id", F.lit(0).alias("phase"), "ticker", "step",
+        "account_id", F.lit(0).alias("phase"), F.lit(0).cast("bigint").alias("priority"),
+        F.lit(0).cast("decimal(38,6)").alias("order_value"), "ticker", "step",
         F.col("requested_side").alias("requested_side"), "quantity", "price",
         F.when(F.col("requested_side") == "HOLD", "HOLD").otherwise("SKIPPED").alias("status"),
         "reason_code",
     )
-    late = funded_requests(plan, cash, rules).select(
-        "account_id", F.col("position").alias("phase"), "ticker", "step",
+    count = plan.count()
+    late = funded_requests(plan, cash, rules, count, block_rows).select(
+        "account_id", "phase", "priority", "order_value", "ticker", "step",
         F.col("side").alias("requested_side"), "quantity", "price", "status", "reason_code",
     )
     signals = targets.select(
@@ -450,14 +528,13 @@ def order_plan(
     if "signal_id" not in signals.columns:
         signals = signals.withColumn("signal_id", F.lit(""))
     # Early rows follow the ticker order, later ones the order in which cash was spent.
-    order = Window.partitionBy("account_id").orderBy("phase", "ticker", "step")
+    order = ["phase", "priority", "order_value", "ticker", "step"]
     day = F.lit(signal_date).cast("date")
     label = (
         F.when(F.col("status") == "SKIPPED", "skip").when(F.col("status") == "HOLD", "hold").otherwise(F.lower("requested_side"))
     )
     return (
-        early.unionByName(late)
-        .withColumn("sequence", F.row_number().over(order))
+        numbered(early.unionByName(late), ["account_id"], order, "sequence", 2 * count, block_rows)
         .join(signals, ["account_id", "ticker"], "left")
         .select(
             "account_id",
