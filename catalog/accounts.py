@@ -881,14 +881,168 @@ def _planned(spark, folder):
 ORDER = "account_id order_id ticker side requested_quantity:i requested_value:2 status reason_code"
 
 
-@query("m08_order_plan", ORDER)
+# Weights below are whole numbers of 1e-12, money of 1e-12 unless named otherwise, so that SQL rounds where the plan does.
+_HALF_UP = "CAST((2 * ({0})::HUGEINT + ({1})) // (2 * ({1})) AS HUGEINT)"
+
+
+def _half_up(over: str, under: str) -> str:
+    return _HALF_UP.format(over, under)
+
+
+def _signed_half_up(over: str, under: str) -> str:
+    return f"(sign({over}) * {_half_up(f'abs({over})', under)})::HUGEINT"
+
+
+def _scaled_weight(weight: str, total: str, cap: str) -> str:
+    part = _half_up(f"{cap}::HUGEINT * 1000000000000000000", total)
+    return f"CASE WHEN {total} > {cap} THEN {_half_up(f'{weight} * {part}', '1000000000000')} // 1000000 ELSE {weight} END"
+
+
+def _shares(weight: str) -> str:
+    """Quotient of a weight's value and the mark, times 1e10; ``v6`` is the portfolio value in 1e-6."""
+    value = _half_up(f"({weight}) * v6", "1000000000000")
+    return _half_up(f"{value} * 10000", "mark")
+
+
+relation(
+    "plan_weights",
+    f"""SELECT account_id, ticker, place, w0 - w1 AS cut_name, w1 - w2 AS cut_group, w2 - w3 AS cut_sector, w3 FROM (
+         SELECT *, {_scaled_weight('w2', 't2', '350000000000')} AS w3 FROM (
+           SELECT *, CAST(sum(w2) OVER (PARTITION BY account_id, sector) AS HUGEINT) AS t2 FROM (
+             SELECT *, {_scaled_weight('w1', 't1', '250000000000')} AS w2 FROM (
+               SELECT *, CAST(sum(w1) OVER (PARTITION BY account_id, issuer_group) AS HUGEINT) AS t1 FROM (
+                 SELECT account_id, t.ticker, issuer_group, sector, place, 180000000000::HUGEINT AS w0, 150000000000::HUGEINT AS w1 FROM (
+                   SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY bought DESC, ticker) AS place FROM (
+                     SELECT account_id, ticker, sum(c) AS bought FROM execs WHERE side = 'BUY' AND execution_date <= (SELECT last_order FROM order_span) GROUP BY 1, 2)) t
+                 JOIN names USING (ticker) WHERE place <= 5)))))""",
+)
+relation(
+    "plan_values",
+    """SELECT c.account_id, s5, (c.s5 + c.u5) * 10 + coalesce(m, 0) * 1000000 AS v6 FROM (
+         SELECT account_id, CAST(sum(settled_delta) AS HUGEINT) AS s5, CAST(sum(unsettled_delta) AS HUGEINT) AS u5 FROM events_log GROUP BY 1) c
+       LEFT JOIN (SELECT account_id, CAST(sum(mark * economic_quantity) AS HUGEINT) AS m FROM books JOIN marks_cents USING (ticker)
+                  WHERE economic_quantity > 0 GROUP BY 1) USING (account_id)""",
+)
+relation(
+    "plan_snapshots",
+    """SELECT m.ticker, m.mark::HUGEINT AS mark, l.date IS NULL AS stale, coalesce(l.close_at_ceiling_today, false) AS at_ceiling,
+       coalesce(l.close_at_floor_today, false) AS at_floor, traded AS daily_value FROM marks_cents m LEFT JOIN (
+         SELECT *, avg(close * volume * 1000) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS traded FROM limits
+         QUALIFY date = (SELECT max(date) FROM bars WHERE date <= (SELECT last_order FROM order_span))) l ON l.ticker = m.ticker""",
+)
+relation(
+    "plan_rows",
+    f"""SELECT *, abs(wanted - held) AS whole, abs(wanted - held) - abs(wanted - held) % 100 AS lots,
+         CASE WHEN wanted > held THEN 'BUY' WHEN wanted < held THEN 'SELL' ELSE 'HOLD' END AS way FROM (
+         SELECT *, CASE WHEN exact10 >= held * 10000000000 THEN exact10 // 10000000000 ELSE (exact10 + 9999999999) // 10000000000 END AS wanted FROM (
+           SELECT *, {_shares('planned')} AS exact10 FROM (
+             SELECT *, greatest(CASE WHEN needed > 250000000000 THEN now + {_signed_half_up(
+                 f"({_half_up('250000000000::HUGEINT * 1000000000000', 'greatest(needed, 1)')} * (w3 - now))", '1000000000000')} ELSE w3 END, 0)::HUGEINT AS planned FROM (
+               SELECT *, CAST((sum(abs(w3 - now)) OVER (PARTITION BY account_id) + 1) // 2 AS HUGEINT) AS needed FROM (
+                 SELECT v.account_id, m.ticker, m.mark, m.stale, m.at_ceiling, m.at_floor, m.daily_value, v.v6, v.s5, w.place,
+                        coalesce(economic_quantity, 0)::HUGEINT AS held, coalesce(sellable_quantity, 0)::HUGEINT AS sellable,
+                        coalesce(cut_name, 0) AS cut_name, coalesce(cut_group, 0) AS cut_group, coalesce(cut_sector, 0) AS cut_sector, coalesce(w3, 0)::HUGEINT AS w3,
+                        ({_half_up('m.mark * coalesce(economic_quantity, 0) * 10000000000000000000', 'v.v6')} + 5) // 10 AS now
+                 FROM books b FULL JOIN plan_weights w ON w.account_id = b.account_id AND w.ticker = b.ticker
+                 JOIN plan_values v ON v.account_id = coalesce(b.account_id, w.account_id)
+                 JOIN plan_snapshots m ON m.ticker = coalesce(b.ticker, w.ticker))))))""",
+)
+relation(
+    "plan_marked",
+    f"""SELECT *, way <> 'HOLD' AND lots > 0 AND blocked IS NULL AND mark * lots >= 500000 AS asked FROM (
+         SELECT *, CASE WHEN stale THEN 'STALE_DATA' WHEN way = 'BUY' AND at_ceiling THEN 'PRICE_CEILING_BUY_BLOCK'
+                        WHEN way = 'SELL' AND at_floor THEN 'PRICE_FLOOR_SELL_BLOCK' END AS blocked,
+                least(lots, CAST(floor(daily_value * 0.05 / mark) AS HUGEINT) // 100 * 100) AS most FROM plan_rows)""",
+)
+_FITS = (
+    "(CASE WHEN cash > 0 THEN " + _half_up("cash // 1000000 * 1000000", "mark * 1002") + " // 1000000000 // 100 * 100 ELSE 0 END)"
+)
+relation(
+    "plan_buys",
+    """SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY place, mark * lots DESC, ticker) AS turn,
+       greatest(s5 * 10000000 - v6 * 30000, 0)::HUGEINT AS spendable FROM plan_marked WHERE asked AND way = 'BUY'""",
+)
+relation(
+    "plan_walk",
+    f"""SELECT account_id, turn, ticker, fits, cash - paid AS cash_left FROM (
+         SELECT *, CASE WHEN mark * least(most, fits) >= 500000 THEN mark * least(most, fits) * 1002000000000 ELSE 0 END::HUGEINT AS paid FROM (
+           SELECT *, {_FITS} AS fits FROM (SELECT *, spendable AS cash FROM plan_buys WHERE turn = 1)))
+       UNION ALL
+       SELECT account_id, turn, ticker, fits, cash - paid FROM (
+         SELECT *, CASE WHEN mark * least(most, fits) >= 500000 THEN mark * least(most, fits) * 1002000000000 ELSE 0 END::HUGEINT AS paid FROM (
+           SELECT *, {_FITS} AS fits FROM (
+             SELECT n.*, w.cash_left AS cash FROM plan_walk w JOIN plan_buys n ON n.account_id = w.account_id AND n.turn = w.turn + 1)))""",
+)
+relation(
+    "plan_filled",
+    """SELECT *, greatest(most - available, 0) AS missing, CASE WHEN most > available THEN available // 100 * 100 ELSE most END AS filled FROM (
+         SELECT p.*, CASE WHEN p.way = 'BUY' THEN w.fits ELSE p.sellable END AS available
+         FROM plan_marked p LEFT JOIN plan_walk w ON w.account_id = p.account_id AND w.ticker = p.ticker WHERE p.asked)""",
+)
+
+
+def _early(step: int, test: str, side: str, quantity: str, reason: str, status: str = "SKIPPED") -> str:
+    return (
+        f"SELECT account_id, 0 AS phase, 0 AS priority, 0::HUGEINT AS worth_order, ticker, {step} AS step, {side} AS requested_side, "
+        f"({quantity})::HUGEINT AS quantity, mark, '{status}' AS status, {reason} AS reason_code FROM plan_marked WHERE {test}"
+    )
+
+
+def _late(step: int, test: str, quantity: str, reason: str, status: str = "SKIPPED") -> str:
+    return (
+        "SELECT account_id, CASE way WHEN 'BUY' THEN 2 ELSE 1 END, CASE way WHEN 'BUY' THEN coalesce(place, 1000000000) ELSE 0 END, -mark * lots, "
+        f"ticker, {step}, way, ({quantity})::HUGEINT, mark, '{status}', {reason} FROM plan_filled WHERE {test}"
+    )
+
+
+def _cut(weight: str) -> str:
+    return f"{_shares(weight)} // 10000000000"
+
+
+_PLAN_ENTRIES = " UNION ALL ".join(
+    [
+        _early(2, f"{_cut('cut_name')} > 0", "'BUY'", _cut("cut_name"), "'MAX_SINGLE_NAME_WEIGHT_REACHED'"),
+        _early(3, f"{_cut('cut_group')} > 0", "'BUY'", _cut("cut_group"), "'MAX_ISSUER_GROUP_WEIGHT_REACHED'"),
+        _early(4, f"{_cut('cut_sector')} > 0", "'BUY'", _cut("cut_sector"), "'MAX_SECTOR_WEIGHT_REACHED'"),
+        _early(
+            5, f"needed > 250000000000 AND {_cut('abs(w3 - planned)')} > 0", "CASE WHEN w3 > now THEN 'BUY' ELSE 'SELL' END",
+            _cut("abs(w3 - planned)"), "'MAX_TURNOVER_REACHED'",
+        ),
+        _early(6, "way = 'HOLD'", "'HOLD'", "0", "''", "HOLD"),
+        _early(7, "way <> 'HOLD' AND lots < whole", "way", "whole - lots", "'BELOW_MIN_TRADE_VALUE'"),
+        _early(8, "way <> 'HOLD' AND lots > 0 AND blocked IS NOT NULL", "way", "lots", "blocked"),
+        _early(9, "way <> 'HOLD' AND lots > 0 AND blocked IS NULL AND mark * lots < 500000", "way", "lots", "'BELOW_MIN_TRADE_VALUE'"),
+        _late(2, "most < lots", "lots - most", "'ADV_CAPACITY_LIMIT'"),
+        _late(3, "missing > 0", "missing", "CASE way WHEN 'BUY' THEN 'INSUFFICIENT_SETTLED_CASH' ELSE 'INSUFFICIENT_SELLABLE_QUANTITY' END"),
+        _late(4, "filled > 0 AND mark * filled < 500000", "filled", "'BELOW_MIN_TRADE_VALUE'"),
+        _late(5, "filled > 0 AND mark * filled >= 500000", "filled", "''", "PENDING"),
+    ]
+)
+relation(
+    "plan_orders",
+    f"""SELECT account_id, 'order-' || strftime((SELECT last_order FROM order_span), '%Y%m%d') || '-' ||
+           CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END || '-' || ticker || '-' ||
+           CASE status WHEN 'SKIPPED' THEN 'skip' WHEN 'HOLD' THEN 'hold' ELSE lower(requested_side) END AS order_id,
+           ticker, CASE status WHEN 'SKIPPED' THEN 'SKIP' ELSE requested_side END AS side, quantity AS requested_quantity,
+           mark * quantity AS requested_value, status, reason_code FROM (
+         SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY phase, priority, worth_order, ticker, step) AS seq FROM ({_PLAN_ENTRIES}))""",
+)
+
+
+@query("m08_order_plan", ORDER, "SELECT * FROM plan_orders")
 def _order_plan(spark, folder):
     targets, positions, cash, values, snapshots = _order_inputs(spark, folder)
     expected = _expected(spark, folder)
     return om.order_plan(targets, positions, cash, values, snapshots, RULES, _asof(spark, folder), _next_day(spark, folder), expected)
 
 
-@query("m08_plan_summary", "account_id executable_order_count:i skipped_trade_count:i executable_value:2 estimated_turnover:8")
+@query(
+    "m08_plan_summary",
+    "account_id executable_order_count:i skipped_trade_count:i executable_value:2 estimated_turnover:8",
+    """SELECT account_id, n AS executable_order_count, k AS skipped_trade_count, worth AS executable_value, worth * 500000.0::DOUBLE / v6 AS estimated_turnover FROM (
+         SELECT account_id, count(*) FILTER (status = 'PENDING') AS n, count(*) FILTER (status = 'SKIPPED') AS k,
+                coalesce(sum(requested_value) FILTER (status = 'PENDING'), 0) AS worth FROM plan_orders GROUP BY 1) JOIN plan_values USING (account_id)""",
+)
 def _plan_summary(spark, folder):
     targets, positions, cash, values, snapshots = _order_inputs(spark, folder)
     expected = _expected(spark, folder)
