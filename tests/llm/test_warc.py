@@ -8,7 +8,8 @@ import struct
 import pytest
 import zstandard
 
-from tidepanel.llm import warc
+from tidepanel.llm import files, warc
+from tidepanel.llm.common import shared_folder
 
 ROWS = [
     (1, "http://a/1", "<p>same é</p>", "x"), (7, "http://a/7", "<p>same é</p>", "x"), (3, None, "<p>same é</p>", "x"), (2, "http://b", None, "x"),
@@ -95,14 +96,51 @@ def test_a_leading_skippable_frame_holds_the_dictionary_and_records_stand_alone(
     assert list(warc.read_records(io.BytesIO(data))) == records(400)
 
 
-def test_few_records_have_no_dictionary():
-    data, places = archive(records(3))
-    assert places[0][0] == 0
-    assert list(warc.read_records(io.BytesIO(data))) == records(3)
+@pytest.mark.parametrize("count", [1, 3, 8])
+def test_a_file_of_few_records_has_a_dictionary_too(count):
+    given = records(count)
+    data, places = archive(given)
+    magic, size = struct.unpack_from("<II", data)
+    assert magic == warc.DICTIONARY_MAGIC and places[0][0] == 8 + size
+    source = io.BytesIO(data)
+    assert list(warc.read_records(source)) == given
+    dictionary, start = warc.archive_dictionary(source)
+    assert start == 8 + size
+    assert warc.read_record(source, *places[-1], dictionary) == given[-1]
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(warc.read_records(io.BytesIO(data[:-5])))
 
 
+def test_records_that_training_refuses_and_one_long_record():
+    alike = [b"x" * 2000] * 20
+    long = [bytes(range(256)) * 20_000]
+    for given in (alike, long, [b"short"]):
+        data, _ = archive(given)
+        assert data.startswith(struct.pack("<I", warc.DICTIONARY_MAGIC))
+        assert list(warc.read_records(io.BytesIO(data))) == given
+    assert archive([]) == (b"", [])
+
+
+@pytest.mark.parametrize(
+    ("uri", "known"),
+    [
+        ("s3a://bucket/a b/c", "s3://bucket/a b/c"), ("s3n://bucket/c", "s3://bucket/c"), ("file:/x/y", "file:///x/y"), ("file:///x/y", "file:///x/y"),
+        ("wasbs://box@store.blob.core.windows.net/p/q", "abfss://box@store.dfs.core.windows.net/p/q"), ("hdfs://name:9/x", "hdfs://name:9/x"),
+    ],
+)
+def test_stores_have_the_names_the_file_systems_know(uri, known):
+    assert files.store_uri(uri) == known
+
+
+def test_a_path_without_a_scheme_is_refused():
+    with pytest.raises(ValueError, match="no file system"):
+        files.opened("/x/y")
+
+
+def test_shared_folders_state_their_file_system(spark):
+    assert "://" in files.store_uri(shared_folder(spark, "t"))
+
+
 @pytest.mark.parametrize("page", [0, 1, -1, 2**63 - 1, -(2**63), 2**62])
 def test_record_ids_carry_the_page(page):
     assert warc.page_of(warc.record_id(page)) == page

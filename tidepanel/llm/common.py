@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.session import checkpoint
+from tidepanel.session import checkpoint, shared_root
 
 __all__ = ["batches", "checkpoint", "mapped", "picked", "shared_folder", "stored", "table", "utf8"]
 
@@ -69,12 +69,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which the driver and all executors can reach."""
-    context = spark.sparkContext
-    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        checkpoint(spark.range(0))  # names a folder for sessions on one machine, else raises
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    # Spark states the folder with its file system, also where the setting leaves that to the default.
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:

@@ -4,16 +4,41 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder or file; Spark writes local ones as file:/path."""
+# Names Hadoop has for stores that go by another name here.
+SAME_STORE = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def store_uri(uri: str) -> str:
+    """The URI of a Spark path as the file systems below spell it; local ones come as file:/path."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+        return "file://" + uri.removeprefix("file:")
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        raise ValueError(f"{uri} names no file system")
+    if scheme in ("wasb", "wasbs"):
+        place, slash, path = rest.partition("/")
+        rest = place.replace(".blob.", ".dfs.") + slash + path
+    return f"{SAME_STORE.get(scheme, scheme)}://{rest}"
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder or file.
+
+    What pyarrow does not know is opened by fsspec where that is installed.  A path without a scheme is
+    refused: Spark would look for it on the cluster's default file system, a task on its own disk.
+    """
+    whole = store_uri(uri)
+    try:
+        return fs.FileSystem.from_uri(whole)
+    except pa.ArrowInvalid:
+        import fsspec
+
+        system, path = fsspec.core.url_to_fs(whole)
+        return fs.PyFileSystem(fs.FSSpecHandler(system)), path
 
 
 def new_name(stem: str, suffix: str) -> str:

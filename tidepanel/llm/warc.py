@@ -1,6 +1,6 @@
 """WARC archives, each record compressed on its own with a dictionary of the archive's records.
 
-A file begins with a skippable frame that holds a Zstandard dictionary trained on records of
+Every file begins with a skippable frame that holds a Zstandard dictionary made from records of
 that file; every record after it is one frame.  A record can be read alone, by offset and length, and
 still profits from what the records have in common.  Payloads archived before are revisit records
 that refer to the response.
@@ -96,15 +96,17 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, http_fields, payload
 
 
-def trained(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes | None:
-    """A dictionary of the samples, or None where they are too few to train one."""
+def dictionary_of(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary trained on the samples, or where they are too few or too unlike for that, one of their beginnings."""
     total = sum(map(len, samples))
-    if len(samples) < TRAIN_RECORDS or total < 4096:
-        return None
-    try:
-        return zstandard.train_dictionary(min(size, max(1024, total // 8)), samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return None  # the library refuses samples that have too little in common
+    size = min(size, max(1024, total // 8))
+    if len(samples) >= TRAIN_RECORDS:
+        try:
+            return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            pass  # the library refuses samples that have too little in common
+    share = max(8, size // len(samples))
+    return b"".join(sample[:share] for sample in samples)
 
 
 class ArchiveWriter:
@@ -119,13 +121,12 @@ class ArchiveWriter:
         self.at = 0
 
     def _begin(self) -> None:
-        dictionary = trained(self.waiting)
-        if dictionary is not None:
-            # The dictionary itself travels compressed.
-            packed = zstandard.ZstdCompressor(level=19).compress(dictionary)
-            self.sink.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
-            self.at = 8 + len(packed)
-        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary is not None else None
+        dictionary = dictionary_of(self.waiting)
+        # The dictionary itself travels compressed.
+        packed = zstandard.ZstdCompressor(level=19).compress(dictionary)
+        self.sink.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
+        self.at = 8 + len(packed)
+        shared = zstandard.ZstdCompressionDict(dictionary)
         self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=True, write_content_size=True).compress
 
     def _write(self, record: bytes) -> tuple[int, int]:
@@ -144,7 +145,7 @@ class ArchiveWriter:
         return self.flush() if self.load >= self.train_bytes else []
 
     def flush(self) -> list[tuple[int, int]]:
-        if self.compress is None:
+        if self.compress is None and self.waiting:
             self._begin()
         places = [self._write(r) for r in self.waiting]
         self.waiting = []
