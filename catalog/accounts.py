@@ -957,28 +957,6 @@ relation(
 _FITS = (
     "(CASE WHEN cash > 0 THEN " + _half_up("cash // 1000000 * 1000000", "mark * 1002") + " // 1000000000 // 100 * 100 ELSE 0 END)"
 )
-relation(
-    "plan_buys",
-    """SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY place, mark * lots DESC, ticker) AS turn,
-       greatest(s5 * 10000000 - v6 * 30000, 0)::HUGEINT AS spendable FROM plan_marked WHERE asked AND way = 'BUY'""",
-)
-relation(
-    "plan_walk",
-    f"""SELECT account_id, turn, ticker, fits, cash - paid AS cash_left FROM (
-         SELECT *, CASE WHEN mark * least(most, fits) >= 500000 THEN mark * least(most, fits) * 1002000000000 ELSE 0 END::HUGEINT AS paid FROM (
-           SELECT *, {_FITS} AS fits FROM (SELECT *, spendable AS cash FROM plan_buys WHERE turn = 1)))
-       UNION ALL
-       SELECT account_id, turn, ticker, fits, cash - paid FROM (
-         SELECT *, CASE WHEN mark * least(most, fits) >= 500000 THEN mark * least(most, fits) * 1002000000000 ELSE 0 END::HUGEINT AS paid FROM (
-           SELECT *, {_FITS} AS fits FROM (
-             SELECT n.*, w.cash_left AS cash FROM plan_walk w JOIN plan_buys n ON n.account_id = w.account_id AND n.turn = w.turn + 1)))""",
-)
-relation(
-    "plan_filled",
-    """SELECT *, greatest(most - available, 0) AS missing, CASE WHEN most > available THEN available // 100 * 100 ELSE most END AS filled FROM (
-         SELECT p.*, CASE WHEN p.way = 'BUY' THEN w.fits ELSE p.sellable END AS available
-         FROM plan_marked p LEFT JOIN plan_walk w ON w.account_id = p.account_id AND w.ticker = p.ticker WHERE p.asked)""",
-)
 
 
 def _early(step: int, test: str, side: str, quantity: str, reason: str, status: str = "SKIPPED") -> str:
@@ -988,10 +966,10 @@ def _early(step: int, test: str, side: str, quantity: str, reason: str, status:
     )
 
 
-def _late(step: int, test: str, quantity: str, reason: str, status: str = "SKIPPED") -> str:
+def _late(filled: str, step: int, test: str, quantity: str, reason: str, status: str = "SKIPPED") -> str:
     return (
         "SELECT account_id, CASE way WHEN 'BUY' THEN 2 ELSE 1 END, CASE way WHEN 'BUY' THEN coalesce(place, 1000000000) ELSE 0 END, -mark * lots, "
-        f"ticker, {step}, way, ({quantity})::HUGEINT, mark, '{status}', {reason} FROM plan_filled WHERE {test}"
+        f"ticker, {step}, way, ({quantity})::HUGEINT, mark, '{status}', {reason} FROM {filled} WHERE {test}"
     )
 
 
@@ -999,34 +977,63 @@ def _cut(weight: str) -> str:
     return f"{_shares(weight)} // 10000000000"
 
 
-_PLAN_ENTRIES = " UNION ALL ".join(
-    [
-        _early(2, f"{_cut('cut_name')} > 0", "'BUY'", _cut("cut_name"), "'MAX_SINGLE_NAME_WEIGHT_REACHED'"),
-        _early(3, f"{_cut('cut_group')} > 0", "'BUY'", _cut("cut_group"), "'MAX_ISSUER_GROUP_WEIGHT_REACHED'"),
-        _early(4, f"{_cut('cut_sector')} > 0", "'BUY'", _cut("cut_sector"), "'MAX_SECTOR_WEIGHT_REACHED'"),
-        _early(
-            5, f"needed > 250000000000 AND {_cut('abs(w3 - planned)')} > 0", "CASE WHEN w3 > now THEN 'BUY' ELSE 'SELL' END",
-            _cut("abs(w3 - planned)"), "'MAX_TURNOVER_REACHED'",
-        ),
-        _early(6, "way = 'HOLD'", "'HOLD'", "0", "''", "HOLD"),
-        _early(7, "way <> 'HOLD' AND lots < whole", "way", "whole - lots", "'BELOW_MIN_TRADE_VALUE'"),
-        _early(8, "way <> 'HOLD' AND lots > 0 AND blocked IS NOT NULL", "way", "lots", "blocked"),
-        _early(9, "way <> 'HOLD' AND lots > 0 AND blocked IS NULL AND mark * lots < 500000", "way", "lots", "'BELOW_MIN_TRADE_VALUE'"),
-        _late(2, "most < lots", "lots - most", "'ADV_CAPACITY_LIMIT'"),
-        _late(3, "missing > 0", "missing", "CASE way WHEN 'BUY' THEN 'INSUFFICIENT_SETTLED_CASH' ELSE 'INSUFFICIENT_SELLABLE_QUANTITY' END"),
-        _late(4, "filled > 0 AND mark * filled < 500000", "filled", "'BELOW_MIN_TRADE_VALUE'"),
-        _late(5, "filled > 0 AND mark * filled >= 500000", "filled", "''", "PENDING"),
-    ]
-)
-relation(
-    "plan_orders",
-    f"""SELECT account_id, 'order-' || strftime((SELECT last_order FROM order_span), '%Y%m%d') || '-' ||
-           CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END || '-' || ticker || '-' ||
-           CASE status WHEN 'SKIPPED' THEN 'skip' WHEN 'HOLD' THEN 'hold' ELSE lower(requested_side) END AS order_id,
-           ticker, CASE status WHEN 'SKIPPED' THEN 'SKIP' ELSE requested_side END AS side, quantity AS requested_quantity,
-           mark * quantity AS requested_value, status, reason_code FROM (
-         SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY phase, priority, worth_order, ticker, step) AS seq FROM ({_PLAN_ENTRIES}))""",
-)
+def _funding_relations(suffix: str, buffer: int) -> None:
+    """Purchases, their walk and the orders, for a cash buffer in millionths of the portfolio value."""
+    buys, walk, filled = (f"plan_{name}{suffix}" for name in ("buys", "walk", "filled"))
+    relation(
+        buys,
+        f"""SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY place, mark * lots DESC, ticker) AS turn,
+           greatest(s5 * 10000000 - v6 * {buffer}, 0)::HUGEINT AS spendable FROM plan_marked WHERE asked AND way = 'BUY'""",
+    )
+    relation(
+        walk,
+        f"""SELECT account_id, turn, ticker, fits, cash - paid AS cash_left FROM (
+             SELECT *, CASE WHEN mark * least(most, fits) >= 500000 THEN mark * least(most, fits) * 1002000000000 ELSE 0 END::HUGEINT AS paid FROM (
+               SELECT *, {_FITS} AS fits FROM (SELECT *, spendable AS cash FROM {buys} WHERE turn = 1)))
+           UNION ALL
+           SELECT account_id, turn, ticker, fits, cash - paid FROM (
+             SELECT *, CASE WHEN mark * least(most, fits) >= 500000 THEN mark * least(most, fits) * 1002000000000 ELSE 0 END::HUGEINT AS paid FROM (
+               SELECT *, {_FITS} AS fits FROM (
+                 SELECT n.*, w.cash_left AS cash FROM {walk} w JOIN {buys} n ON n.account_id = w.account_id AND n.turn = w.turn + 1)))""",
+    )
+    relation(
+        filled,
+        f"""SELECT *, greatest(most - available, 0) AS missing, CASE WHEN most > available THEN available // 100 * 100 ELSE most END AS filled FROM (
+             SELECT p.*, CASE WHEN p.way = 'BUY' THEN w.fits ELSE p.sellable END AS available
+             FROM plan_marked p LEFT JOIN {walk} w ON w.account_id = p.account_id AND w.ticker = p.ticker WHERE p.asked)""",
+    )
+    entries = " UNION ALL ".join(
+        [
+            _early(2, f"{_cut('cut_name')} > 0", "'BUY'", _cut("cut_name"), "'MAX_SINGLE_NAME_WEIGHT_REACHED'"),
+            _early(3, f"{_cut('cut_group')} > 0", "'BUY'", _cut("cut_group"), "'MAX_ISSUER_GROUP_WEIGHT_REACHED'"),
+            _early(4, f"{_cut('cut_sector')} > 0", "'BUY'", _cut("cut_sector"), "'MAX_SECTOR_WEIGHT_REACHED'"),
+            _early(
+                5, f"needed > 250000000000 AND {_cut('abs(w3 - planned)')} > 0", "CASE WHEN w3 > now THEN 'BUY' ELSE 'SELL' END",
+                _cut("abs(w3 - planned)"), "'MAX_TURNOVER_REACHED'",
+            ),
+            _early(6, "way = 'HOLD'", "'HOLD'", "0", "''", "HOLD"),
+            _early(7, "way <> 'HOLD' AND lots < whole", "way", "whole - lots", "'BELOW_MIN_TRADE_VALUE'"),
+            _early(8, "way <> 'HOLD' AND lots > 0 AND blocked IS NOT NULL", "way", "lots", "blocked"),
+            _early(9, "way <> 'HOLD' AND lots > 0 AND blocked IS NULL AND mark * lots < 500000", "way", "lots", "'BELOW_MIN_TRADE_VALUE'"),
+            _late(filled, 2, "most < lots", "lots - most", "'ADV_CAPACITY_LIMIT'"),
+            _late(filled, 3, "missing > 0", "missing", "CASE way WHEN 'BUY' THEN 'INSUFFICIENT_SETTLED_CASH' ELSE 'INSUFFICIENT_SELLABLE_QUANTITY' END"),
+            _late(filled, 4, "filled > 0 AND mark * filled < 500000", "filled", "'BELOW_MIN_TRADE_VALUE'"),
+            _late(filled, 5, "filled > 0 AND mark * filled >= 500000", "filled", "''", "PENDING"),
+        ]
+    )
+    relation(
+        f"plan_orders{suffix}",
+        f"""SELECT account_id, 'order-' || strftime((SELECT last_order FROM order_span), '%Y%m%d') || '-' ||
+               CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END || '-' || ticker || '-' ||
+               CASE status WHEN 'SKIPPED' THEN 'skip' WHEN 'HOLD' THEN 'hold' ELSE lower(requested_side) END AS order_id,
+               ticker, CASE status WHEN 'SKIPPED' THEN 'SKIP' ELSE requested_side END AS side, quantity AS requested_quantity,
+               mark * quantity AS requested_value, status, reason_code FROM (
+             SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY phase, priority, worth_order, ticker, step) AS seq FROM ({entries}))""",
+    )
+
+
+_funding_relations("", 30_000)
+_funding_relations("_short", 800_000)
 
 
 @query("m08_order_plan", ORDER, "SELECT * FROM plan_orders")
@@ -1036,6 +1043,15 @@ def _order_plan(spark, folder):
     return om.order_plan(targets, positions, cash, values, snapshots, RULES, _asof(spark, folder), _next_day(spark, folder), expected)
 
 
+@query("m08_short_plan", ORDER, "SELECT * FROM plan_orders_short")
+def _short_plan(spark, folder):
+    """Four fifths of the value stay in cash, so that many purchases are cut or refused for want of it."""
+    targets, positions, cash, values, snapshots = _order_inputs(spark, folder)
+    rules = om.Constraints(cash_buffer_weight="0.8")
+    expected = _expected(spark, folder)
+    return om.order_plan(targets, positions, cash, values, snapshots, rules, _asof(spark, folder), _next_day(spark, folder), expected)
+
+
 @query(
     "m08_plan_summary",
     "account_id executable_order_count:i skipped_trade_count:i executable_value:2 estimated_turnover:8",
