@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tests.helpers import by_key, days, price_panel
 from tidepanel.functions import dates as da
+from tidepanel.functions import ranking
 from tidepanel.functions.numeric import ceil_to_tick, floor_to_tick, pearson, tick_size
-from tidepanel.functions.ranking import frequent_values, group_quantiles, top_n, value_bucket, with_ranks
+from tidepanel.functions.ranking import group_quantiles, top_n, value_bucket, with_ranks
 from tidepanel.functions.rolling import with_run_lengths
 
 
@@ -25,14 +26,14 @@ def _values(seed: int = 3) -> pd.DataFrame:
     return pd.concat([first, second], ignore_index=True)
 
 
-@pytest.mark.parametrize("atoms", [(), (0.0,), (0.0, 1.001, 1.0015)])
+@pytest.mark.parametrize("block_rows", [1, 4, 25, 100_000])
 @pytest.mark.parametrize("ascending", [True, False])
-def test_ranks_match_pandas(spark, ascending, atoms):
+def test_ranks_match_pandas(spark, ascending, block_rows):
     frame = _values()
     rows = [(g, t, None if v != v else v) for g, t, v in frame.itertuples(index=False)]
     got = with_ranks(
-        spark.createDataFrame(rows, "g string, ticker string, v double"),
-        ["g"], "v", ascending=ascending, ordinal="o", minimum="m", average="a", percent="p", atoms=atoms,
+        spark.createDataFrame(rows, "g string, ticker string, v double"), ["g"], "v",
+        ascending=ascending, ordinal="o", minimum="m", average="a", percent="p", block_rows=block_rows,
     ).toPandas()
     got = by_key(got, "g", "ticker")
     want = by_key(frame, "g", "ticker")
@@ -42,9 +43,26 @@ def test_ranks_match_pandas(spark, ascending, atoms):
         np.testing.assert_allclose(got[column].astype(float), expected, rtol=1e-12)
 
 
-def test_frequent_values_are_found(spark):
-    frame = spark.createDataFrame(_values().dropna())
-    assert frequent_values(frame, ["g"], "v", heavy=20) == [0.0, 1.001, 1.0015]
+def test_one_value_of_most_names_is_ordered_in_many_pieces(spark):
+    """90% of a date share a value, the rest lies within a percent: no piece holds a large part of the date."""
+    names, block = 40_000, 500
+    frame = spark.range(names).select(
+        F.lit("d").alias("g"),
+        F.format_string("COMMONPREFIX%08d", "id").alias("ticker"),
+        F.when(F.col("id") % 10 > 0, F.lit(7.0)).otherwise(7.0 + F.col("id") / (names * 100.0)).alias("v"),
+    )
+    ranked = with_ranks(frame, ["g"], "v", ordinal="o", minimum="m", block_rows=block)
+    want = frame.toPandas().sort_values(["v", "ticker"], ignore_index=True)
+    got = ranked.toPandas().sort_values(["v", "ticker"], ignore_index=True)
+    assert (got["o"] == np.arange(1, names + 1)).all()
+    assert (got["m"] == want["v"].rank(method="min")).all()
+    # The windows sort what one (group, bucket, segment, slice) holds; the cuts bound it.
+    rows = frame.withColumn("__bucket", value_bucket(F.col("v")))
+    cuts = ranking._value_cuts(rows, ["g"], "v", "ticker", block).collect()
+    drawn = {(c["value"], c["tie"]) for row in cuts for c in row["__cuts"]}
+    marks = sorted(i for i, k in enumerate(zip(want["v"], want["ticker"])) if k in drawn)
+    assert max(np.diff([0, *marks, names])) <= 12 * block
+    assert names / block / 2 <= len(drawn) <= names / block * 2
 
 
 def test_quantiles_match_numpy(spark):

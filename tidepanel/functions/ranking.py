@@ -4,8 +4,8 @@ A window partitioned by date would put a whole cross-section into one task.  Her
 values are first cut into *value buckets*: a bucket number that only depends on the
 value and grows with it.  Bucket sizes come from a partial aggregate, their running sums
 give the number of rows before each bucket, and only the rows of one bucket are ordered
-together.  A single value that holds very many rows of a cross-section gets a segment of
-its own, which is cut further by a prefix of the tie-break key.
+together.  A crowded bucket is cut further, by value and inside one value by the tie-break
+key, at rows drawn from the bucket itself.
 """
 
 from __future__ import annotations
@@ -21,11 +21,8 @@ BUCKETS_PER_DOUBLING = 64
 # Doubles span 2**-1074 to 2**1024, so this offset keeps bucket numbers positive.
 BUCKET_OFFSET = 1080 * BUCKETS_PER_DOUBLING
 MISSING_BUCKET = 4 * BUCKET_OFFSET
-PREFIX_LENGTH = 8
 # Rows of one group that are ordered in one task.
 BLOCK_ROWS = 100_000
-# Rows of one value in one group above which the value is cut by tie-break prefix.
-HEAVY_ROWS = 1_000_000
 
 
 def value_bucket(value: Column) -> Column:
@@ -75,26 +72,18 @@ def numbered(
     )
 
 
-def frequent_values(
-    frame: DataFrame, by: Sequence[str], value: str, heavy: int = HEAVY_ROWS
-) -> list[float]:
-    """Values that some group repeats more than ``heavy`` times, for ``with_ranks``.
+def _value_cuts(rows: DataFrame, by: Sequence[str], value: str, tie_break: str, block_rows: int) -> DataFrame:
+    """About one row in ``block_rows``, chosen by its hash, gathered per bucket as places to cut at.
 
-    Runs a job.  Only crowded buckets are looked into, and the result is no longer than
-    rows / ``heavy``.
+    A bucket has as many cuts as it has blocks of rows, so nearly all buckets have none.
     """
-    cell = [*by, "__bucket"]
-    located = frame.where(F.col(value).isNotNull()).select(
-        *by, value, value_bucket(F.col(value)).alias("__bucket")
-    )
-    crowded = located.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy)
-    repeated = (
-        located.join(F.broadcast(crowded.select(*cell)), cell, "left_semi")
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > heavy)
+    chosen = F.pmod(F.xxhash64(*by, value, tie_break), F.lit(block_rows)) == 0
+    place = F.struct(F.col(value).alias("value"), F.col(tie_break).alias("tie"))
+    return (
+        rows.where(F.col(value).isNotNull() & chosen)
+        .groupBy(*by, "__bucket")
+        .agg(F.collect_set(place).alias("__cuts"))
     )
-    return sorted(float(r[0]) for r in repeated.select(value).distinct().collect())
 
 
 def with_ranks(
@@ -109,7 +98,7 @@ def with_ranks(
     average: str | None = None,
     percent: str | None = None,
     counted: DataFrame | None = None,
-    atoms: Sequence[float] = (0.0,),
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add the requested ranks of ``value`` inside each ``by`` group.
 
@@ -118,33 +107,42 @@ def with_ranks(
     number of ranked rows.  Missing values get null ranks.
 
     ``counted`` may name an earlier frame with the same rows; bucket sizes are then taken
-    from it, so several ranks in a row do not repeat each other's work.  ``atoms`` lists
-    values that may hold a large part of a group (see ``frequent_values``); their rows are
-    spread by tie-break prefix.  The list changes the plan, never the ranks.
+    from it, so several ranks in a row do not repeat each other's work.
+
+    Rows of a bucket are cut at places drawn from the rows themselves (``_value_cuts``).  A
+    value that is drawn has a segment of its own, cut on at the drawn tie-break keys; values
+    between two drawn ones share a segment.  So a task orders a small multiple of
+    ``block_rows`` rows, however many rows share a value or lie close together; only rows
+    equal in group, value and tie-break stay in one piece.
     """
     by = list(by)
     number = F.col(value)
+    tie = F.col(tie_break)
     direction = F.lit(1 if ascending else -1)
-    is_atom = F.coalesce(number.isin([float(a) for a in atoms]), F.lit(False)) if atoms else F.lit(False)
-    # An atom has an odd segment of its own, the values between atoms share even ones.
-    segment = F.lit(0)
-    for atom in atoms:
-        segment = segment + 2 * (number > F.lit(float(atom))).cast("int")
-    segment = segment + is_atom.cast("int")
     # Rows without a value are spread instead of meeting in one bucket.
     spread = F.lit(MISSING_BUCKET) + F.pmod(F.hash(tie_break), F.lit(1024))
-    position = {
-        "__bucket": F.coalesce(value_bucket(number) * direction, spread),
-        "__segment": F.coalesce(segment * direction, F.lit(0)),
-        "__slice": F.when(is_atom, F.substring(F.col(tie_break), 1, PREFIX_LENGTH)).otherwise(F.lit("")),
-    }
+    bucket = F.coalesce(value_bucket(number) * direction, spread)
     order = ["__bucket", "__segment", "__slice"]
     cell = [*by, *order]
+    source = frame if counted is None else counted
+    cuts = _value_cuts(source.withColumn("__bucket", bucket), by, value, tie_break, block_rows)
+
+    def located(rows: DataFrame) -> DataFrame:
+        below = F.size(F.filter("__cuts", lambda cut: cut["value"] < number))
+        drawn = F.coalesce(F.exists("__cuts", lambda cut: cut["value"] == number), F.lit(False))
+        earlier = F.size(F.filter("__cuts", lambda cut: (cut["value"] == number) & (cut["tie"] <= tie)))
+        segment = F.when(F.col("__cuts").isNotNull(), (2 * below + drawn.cast("int")) * direction)
+        return rows.withColumn("__bucket", bucket).join(cuts, [*by, "__bucket"], "left").withColumns(
+            {
+                "__drawn": drawn,
+                "__segment": F.coalesce(segment, F.lit(0)),
+                "__slice": F.when(drawn, earlier).otherwise(F.lit(0)),
+            }
+        ).drop("__cuts")
+
     same_value = Window.partitionBy(*by, "__bucket", "__segment")
     cells = (
-        (frame if counted is None else counted)
-        .where(number.isNotNull())
-        .withColumns(position)
+        located(source.where(number.isNotNull()).select(*by, value, tie_break))
         .groupBy(*cell)
         .agg(F.count(F.lit(1)).alias("__size"))
         .withColumn(
@@ -154,14 +152,14 @@ def with_ranks(
         .withColumn("__segment_size", F.sum("__size").over(same_value))
         .withColumn("__total", F.sum("__size").over(Window.partitionBy(*by)))
     )
-    ranked = frame.withColumns(position).join(cells, cell, "left")
+    ranked = located(frame).join(cells, cell, "left")
     in_cell = Window.partitionBy(*cell)
     sort_key = number.asc() if ascending else number.desc()
     known = number.isNotNull()
-    lowest = F.when(is_atom, F.col("__segment_before") + 1).otherwise(
+    lowest = F.when(F.col("__drawn"), F.col("__segment_before") + 1).otherwise(
         F.col("__before") + F.rank().over(in_cell.orderBy(sort_key))
     )
-    ties = F.when(is_atom, F.col("__segment_size")).otherwise(
+    ties = F.when(F.col("__drawn"), F.col("__segment_size")).otherwise(
         F.count(F.lit(1)).over(
             in_cell.orderBy(sort_key).rangeBetween(Window.currentRow, Window.currentRow)
         )
@@ -169,7 +167,7 @@ def with_ranks(
     mean_rank = lowest + (ties - 1) / F.lit(2.0)
     outputs: dict[str, Column] = {}
     if ordinal:
-        place = F.row_number().over(in_cell.orderBy(sort_key, F.col(tie_break).asc()))
+        place = F.row_number().over(in_cell.orderBy(sort_key, tie.asc()))
         outputs[ordinal] = F.when(known, F.col("__before") + place)
     if minimum:
         outputs[minimum] = F.when(known, lowest)
@@ -178,7 +176,7 @@ def with_ranks(
     if percent:
         outputs[percent] = F.when(known, mean_rank / F.col("__total"))
     return ranked.withColumns(outputs).drop(
-        *order, "__size", "__before", "__segment_before", "__segment_size", "__total"
+        *order, "__drawn", "__size", "__before", "__segment_before", "__segment_size", "__total"
     )
 
 
