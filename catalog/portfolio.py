@@ -440,20 +440,93 @@ def _constrained_targets(spark, folder):
     return _constrained(spark, folder)
 
 
+# Names are bits of a mask by rank; caps are whole percent, so capacities are exact.  What a set of names can carry is
+# the smallest cut: sectors given up at 35 each, and per group the smaller of 25 and 15 for each name outside them.
+relation(
+    "cap_names",
+    """SELECT date, ticker, issuer_group, sector, predicted_return, CAST(1 AS BIGINT) << CAST(place - 1 AS INT) AS bit
+       FROM ranked JOIN names USING (ticker) WHERE model_name = 'momentum'""",
+)
+relation(
+    "cap_dates",
+    """SELECT date, n, group_masks, list_transform(range(0, 1 << len(sector_masks)), lambda t: {'cost': 35 * CAST(bit_count(t) AS BIGINT), 'mask':
+              coalesce(list_sum(list_transform(range(0, len(sector_masks)), lambda k: CASE WHEN (t >> k) & 1 = 1 THEN sector_masks[k + 1] ELSE 0 END)), 0)::BIGINT}) AS cuts
+       FROM (SELECT date, count(*) AS n FROM cap_names GROUP BY 1)
+       JOIN (SELECT date, list(m) AS group_masks FROM (SELECT date, sum(bit)::BIGINT AS m FROM cap_names GROUP BY date, issuer_group) GROUP BY 1) USING (date)
+       JOIN (SELECT date, list(m) AS sector_masks FROM (SELECT date, sum(bit)::BIGINT AS m FROM cap_names GROUP BY date, sector) GROUP BY 1) USING (date)""",
+)
+
+
+def _capacity(mask: str) -> str:
+    kept = f"list_sum(list_transform(group_masks, lambda g: least(25, 15 * CAST(bit_count({mask} & g & ~c.mask) AS BIGINT))))"
+    return f"list_min(list_transform(cuts, lambda c: c.cost + {kept}))"
+
+
+relation(
+    "cap_walk",
+    f"""SELECT date, n, group_masks, cuts, CAST(255 AS BIGINT) AS mask, {_capacity('255::BIGINT')} AS capacity, 0 AS step
+       FROM cap_dates WHERE n >= 8
+       UNION ALL
+       SELECT date, any_value(n), any_value(group_masks), any_value(cuts), arg_min(trial, turn), arg_min(reached, turn), step + 1
+       FROM (SELECT *, {_capacity('trial')} AS reached FROM (
+         SELECT w.*, (w.mask | (1::BIGINT << c.i)) & ~(1::BIGINT << r.i) AS trial, c.i * 64 - r.i AS turn
+         FROM cap_walk w, (SELECT CAST(unnest(range(0, 62)) AS INT) AS i) c, (SELECT CAST(unnest(range(0, 62)) AS INT) AS i) r
+         WHERE w.capacity < 97 AND c.i < w.n AND r.i < w.n AND (w.mask >> c.i) & 1 = 0 AND (w.mask >> r.i) & 1 = 1))
+       WHERE reached > capacity GROUP BY date, step""",
+)
+relation(
+    "cap_results",
+    """SELECT date, n, mask, CASE WHEN mask IS NULL THEN 'too_few_names' WHEN capacity < 97 THEN 'caps_too_tight' ELSE 'ok' END AS status
+       FROM (SELECT date, n FROM cap_dates) LEFT JOIN
+            (SELECT date, arg_max(mask, step) AS mask, max(capacity) AS capacity FROM cap_walk GROUP BY 1) USING (date)""",
+)
+relation(
+    "cap_chosen",
+    """SELECT date, ticker, issuer_group, sector, predicted_return FROM cap_results JOIN cap_names USING (date)
+       WHERE status = 'ok' AND mask & bit <> 0""",
+)
+# The largest least weight, from cuts again: with L for every name a cut holds its cost less L for each name whose
+# group and sector both lie in it, so each cut with such names bounds L, as do the caps by themselves.
+relation(
+    "cap_least",
+    """SELECT date, min(bound) AS least FROM (
+         SELECT date, (35 * CAST(bit_count(t) AS BIGINT) + 25 * CAST(bit_count(a) AS BIGINT) + 15 * sum(CASE WHEN in_sector + in_group = 0 THEN 1 ELSE 0 END) - 97)
+                      / sum(CASE WHEN in_sector + in_group = 2 THEN 1 ELSE 0 END) / 100 AS bound
+         FROM (SELECT date, t, a, (t >> s) & 1 AS in_sector, (a >> g) & 1 AS in_group
+               FROM (SELECT *, max(s) OVER (PARTITION BY date) AS last_s, max(g) OVER (PARTITION BY date) AS last_g FROM (
+                      SELECT *, CAST(dense_rank() OVER (PARTITION BY date ORDER BY sector) - 1 AS INT) AS s,
+                             CAST(dense_rank() OVER (PARTITION BY date ORDER BY issuer_group) - 1 AS INT) AS g FROM cap_chosen)),
+                    (SELECT CAST(unnest(range(0, 256)) AS INT) AS t), (SELECT CAST(unnest(range(0, 256)) AS INT) AS a)
+               WHERE t < 2 << last_s AND a < 2 << last_g)
+         GROUP BY date, t, a HAVING sum(CASE WHEN in_sector + in_group = 2 THEN 1 ELSE 0 END) > 0
+         UNION ALL SELECT DISTINCT date, 0.97 / 8 FROM cap_chosen
+         UNION ALL SELECT date, 0.25 / count(*) FROM cap_chosen GROUP BY date, issuer_group
+         UNION ALL SELECT date, 0.35 / count(*) FROM cap_chosen GROUP BY date, sector) GROUP BY 1""",
+)
+
+
+@query("l05_constrained_names", "date ticker issuer_group sector predicted_return:8", "SELECT * FROM cap_chosen")
+def _constrained_names(spark, folder):
+    """Names held on every date on which the caps can hold the weight."""
+    return _constrained(spark, folder).where("status = 'ok'").withColumnRenamed("score", "predicted_return")
+
+
 @query(
     "l05_constrained_totals",
-    "date names:i total:9 violations:i",
-    """SELECT date, 8 AS names, 0.97 AS total, 0 AS violations FROM preds WHERE model_name = 'momentum' GROUP BY date HAVING count(*) >= 25""",
+    "date status names:i total:7 least:7 violations:i",
+    """SELECT date, status, CASE WHEN status = 'ok' THEN 8 ELSE 0 END AS names, CASE WHEN status = 'ok' THEN 0.97 ELSE 0 END AS total, least, 0 AS violations
+       FROM cap_results LEFT JOIN cap_least USING (date)""",
 )
 def _constrained_totals(spark, folder):
-    """Dates with the full universe: eight names, fully invested, no cap broken."""
-    rows = checkpoint(_constrained(spark, folder).where("status = 'ok'"))
-    full = panel.predictions(spark, folder).where("model_name = 'momentum'").groupBy("date").count().where("count >= 25")
+    """Every date: why it holds nothing, or names, weight, the smallest weight and broken caps."""
+    rows = checkpoint(_constrained(spark, folder))
     broken = ta.cap_violations(rows).groupBy("date").agg(F.count(F.lit(1)).alias("violations"))
-    totals = rows.groupBy("date").agg(
-        F.count(F.lit(1)).alias("names"), F.sum("target_weight").cast("double").alias("total")
+    totals = rows.groupBy("date", "status").agg(
+        F.count("ticker").alias("names"),
+        F.sum("target_weight").cast("double").alias("total"),
+        F.min("target_weight").cast("double").alias("least"),
     )
-    return totals.join(full, "date", "left_semi").join(broken, "date", "left").na.fill(0, ["violations"])
+    return totals.join(broken, "date", "left").na.fill(0, ["violations", "total"])
 
 
 @query("l04_diversified_path", "optimization_mode date ticker weight:7 portfolio_turnover:7")
