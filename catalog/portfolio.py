@@ -59,20 +59,26 @@ def _filtered(names: str, values: str, smallest: str) -> str:
     )
 
 
-relation(
-    "mode_walk",
-    f"""SELECT DISTINCT optimization_mode, CAST(0 AS BIGINT) AS step, CAST(NULL AS DATE) AS date,
+def _turnover_walk(name: str, limit: float) -> None:
+    """Weights held date after date by every mode, with ``limit`` of turnover a date."""
+    relation(
+        name,
+        f"""SELECT DISTINCT optimization_mode, CAST(0 AS BIGINT) AS step, CAST(NULL AS DATE) AS date,
                CAST(map([], []) AS MAP(VARCHAR, DOUBLE)) AS held, CAST(0 AS DOUBLE) AS portfolio_turnover FROM mode_steps
        UNION ALL
        SELECT optimization_mode, step, date, following,
               0.5 * coalesce(list_sum(list_transform({_names('held', 'following')}, lambda t: abs(coalesce(following[t], 0) - coalesce(held[t], 0)))), 0)
        FROM (SELECT *, {_filtered('names_now', 'moved', '1e-8')} AS following FROM (
-         SELECT *, list_transform(names_now, lambda t: CASE WHEN needed <= 0.4 + 1e-12 THEN coalesce(wanted[t], 0)
-                   ELSE coalesce(held[t], 0) + (0.4 - 1e-6) / needed * (coalesce(wanted[t], 0) - coalesce(held[t], 0)) END) AS moved
+         SELECT *, list_transform(names_now, lambda t: CASE WHEN needed <= {limit} + 1e-12 THEN coalesce(wanted[t], 0)
+                   ELSE coalesce(held[t], 0) + ({limit} - 1e-6) / needed * (coalesce(wanted[t], 0) - coalesce(held[t], 0)) END) AS moved
          FROM (SELECT *, 0.5 * coalesce(list_sum(list_transform(names_now, lambda t: abs(coalesce(wanted[t], 0) - coalesce(held[t], 0)))), 0) AS needed
            FROM (SELECT s.optimization_mode, s.step, s.date, s.wanted, w.held, {_names('w.held', 's.wanted')} AS names_now
-                 FROM mode_walk w JOIN mode_steps s ON s.optimization_mode = w.optimization_mode AND s.step = w.step + 1))))""",
-)
+                 FROM {name} w JOIN mode_steps s ON s.optimization_mode = w.optimization_mode AND s.step = w.step + 1))))""",
+    )
+
+
+_turnover_walk("mode_walk", 0.4)
+_turnover_walk("diversified_walk", 0.25)
 relation(
     "mode_weights",
     """SELECT p.*, issuer_group, sector, predicted_return, actual_return, high_herding_day FROM (
@@ -529,6 +535,17 @@ def _constrained_totals(spark, folder):
     return totals.join(broken, "date", "left").na.fill(0, ["violations", "total"])
 
 
+@query(
+    "l04_diversified_weights",
+    "optimization_mode date ticker weight:7 portfolio_turnover:7",
+    """SELECT optimization_mode, date, portfolio_turnover, unnest(map_keys(held)) AS ticker, unnest(map_values(held)) AS weight
+       FROM diversified_walk WHERE step > 0""",
+)
+def _diversified_weights(spark, folder):
+    """The three modes under the turnover limit of the diversified portfolio."""
+    return po.optimised_weights(checkpoint(_context(spark, folder)), max_turnover=ta.DIVERSIFIED_TURNOVER)
+
+
 @query("l04_diversified_path", "optimization_mode date ticker weight:7 portfolio_turnover:7")
 def _diversified(spark, folder):
     targets = _constrained(spark, folder).where("status = 'ok'").withColumns(
