@@ -24,6 +24,7 @@ from tidepanel.operators import quality as qu
 from tidepanel.operators import splits
 from tidepanel.operators import trees as tr
 from tidepanel.plans import reports
+from tidepanel.plans.features import baseline_dataset
 from tidepanel.session import checkpoint
 from tidepanel.sources import bars as sb
 from tidepanel.sources import ledgers as sl
@@ -1137,30 +1138,40 @@ def _linear(spark, folder):
     return mod.linear_predictions(rows, splits.walk_forward_windows(rows, train_size=20), FEATURES)
 
 
-# At the optimum of ridge the residuals are balanced on every feature; the fit itself is not in SQL.
-@query(
-    "k01_ridge_residuals",
-    "window_id:i rows:i residual:6",
-    """SELECT f.window_id, f.n AS rows, 0 AS residual FROM (
-         SELECT d.i - k AS window_id, count(*) AS n FROM known_rows JOIN known_dates d USING (date), (SELECT unnest(range(20)) AS k) WHERE d.i - k >= 0 GROUP BY 1) f
-       WHERE f.window_id + 32 <= (SELECT max(i) + 1 FROM known_dates)""",
-)
-def _ridge_residuals(spark, folder):
-    rows = _model_rows(spark, folder, FEATURES)
+def _residuals(rows, features):
+    """How far ridge fits of all windows are from their optimum, per row."""
     windows = checkpoint(splits.walk_forward_windows(rows, train_size=20))
-    scaled = mod.scaled_features(rows, FEATURES)
-    fits = mod.fit_linear_windows(rows, windows, FEATURES, models=["ridge"], scaled=scaled)
+    scaled = mod.scaled_features(rows, features)
+    fits = mod.fit_linear_windows(rows, windows, features, models=["ridge"], scaled=scaled)
     train = splits.window_rows(rows.select("date", "target", *[c.alias(f"x{k}") for k, c in enumerate(scaled)]), windows, ["train"])
     score = F.col("intercept")
-    for k in range(len(FEATURES)):
+    for k in range(len(features)):
         score = score + F.col("slopes")[k] * F.col(f"x{k}")
     missed = train.join(fits, "window_id").withColumn("miss", F.col("target") - score)
     # slope times variance is the pull of the penalty on a feature of unit variance, scaled back.
-    pulls = [F.sum(F.col("miss") * F.col(f"x{k}")) - F.max(F.col("slopes")[k]) * F.var_pop(f"x{k}") for k in range(len(FEATURES))]
+    pulls = [F.sum(F.col("miss") * F.col(f"x{k}")) - F.max(F.col("slopes")[k]) * F.var_pop(f"x{k}") for k in range(len(features))]
     worst = F.greatest(F.abs(F.sum("miss")), *[F.abs(p) for p in pulls])
     return missed.groupBy("window_id").agg(F.count(F.lit(1)).alias("rows"), (worst / F.count(F.lit(1))).alias("residual"))
 
 
+# At the optimum of ridge the residuals are balanced on every feature; the fit itself is not in SQL.
+RESIDUALS = """SELECT f.window_id, f.n AS rows, 0 AS residual FROM (
+         SELECT d.i - k AS window_id, count(*) AS n FROM known_rows JOIN known_dates d USING (date), (SELECT unnest(range(20)) AS k) WHERE d.i - k >= 0 GROUP BY 1) f
+       WHERE f.window_id + 32 <= (SELECT max(i) + 1 FROM known_dates)"""
+
+
+@query("k01_ridge_residuals", "window_id:i rows:i residual:6", RESIDUALS)
+def _ridge_residuals(spark, folder):
+    return _residuals(_model_rows(spark, folder, FEATURES), FEATURES)
+
+
+@query("k01_all_feature_residuals", "window_id:i rows:i residual:6", RESIDUALS)
+def _all_feature_residuals(spark, folder):
+    """The fit on every feature of the combined panel."""
+    rows = checkpoint(baseline_dataset(panel.bars(spark, folder)))
+    return _residuals(rows, splits.feature_columns(rows))
+
+
 @query("k02_tree_predictions", PREDICTED)
 def _trees(spark, folder):
     """Both tree models on windows that move by a date: every date after the first window is tested."""

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import days
+from tests.helpers import by_key, days
 from tidepanel.operators import labels as la
 from tidepanel.operators import models as mod
 from tidepanel.operators import splits
@@ -141,6 +141,44 @@ def test_logistic_fits_end_converged_where_full_steps_overshoot(spark):
     assert fits and all(r["converged"] for r in fits)
 
 
+def test_sums_of_many_features_match_numpy(spark):
+    """51 features go through packed arrays; keys spread over tasks, one of them with most rows."""
+    rng = np.random.default_rng(11)
+    size, names = 51, 400
+    x = rng.normal(0, 1, (names, size))
+    key = np.where(rng.random(names) < 0.7, 0, rng.integers(1, 5, names))
+    frame = pd.DataFrame(x, columns=[f"x{i}" for i in range(size)]).assign(
+        k=key, w=rng.random(names), r=rng.normal(0, 1, names), e=rng.random(names)
+    )
+    got = mod.summed_moments(spark.createDataFrame(frame).repartition(7), "k", size, "w", "r", "e").collect()
+    assert sorted(r["k"] for r in got) == sorted(set(key))
+    for row in got:
+        part = frame[frame["k"] == row["k"]]
+        inside, w, r = part[[f"x{i}" for i in range(size)]].to_numpy(), part["w"].to_numpy(), part["r"].to_numpy()
+        products = (inside.T @ (inside * w[:, None]))[np.triu_indices(size)]
+        want = np.concatenate([[w.sum(), r.sum()], w @ inside, r @ inside, products])
+        np.testing.assert_allclose(row["moments"], want, rtol=1e-9, atol=1e-12)
+        assert row["missed"] == pytest.approx(part["e"].sum())
+
+
+def test_fits_are_the_same_by_plain_and_by_packed_sums(spark, monkeypatch):
+    frame = _rows(dates=24, names=12)
+    rows = la.top_quintile_label(spark.createDataFrame(frame), "target").cache()
+    windows = _windows(spark, frame, train_size=6, step_size=6).cache()
+
+    def fitted() -> tuple[pd.DataFrame, pd.DataFrame]:
+        linear = by_key(mod.linear_predictions(rows, windows, FEATURES).toPandas(), "window_id", "model_name", "date", "ticker")
+        logistic = by_key(mod.logistic_predictions(rows, windows, FEATURES).toPandas(), "window_id", "date", "ticker")
+        return linear, logistic
+
+    plain = fitted()
+    monkeypatch.setattr(mod, "PLAIN_SUM_FEATURES", 0)
+    monkeypatch.setattr(mod, "HELD_KEYS", 2)
+    packed = fitted()
+    np.testing.assert_allclose(packed[0]["predicted_return"], plain[0]["predicted_return"], rtol=1e-8, atol=1e-11)
+    np.testing.assert_allclose(packed[1]["predicted_probability"], plain[1]["predicted_probability"], atol=1e-7)
+
+
 def test_one_class_windows_predict_their_class(spark):
     frame = _rows(dates=20, names=5)
     rows = spark.createDataFrame(frame).withColumn("top_quintile_label", F.lit(0))

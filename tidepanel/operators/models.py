@@ -38,6 +38,11 @@ LOGISTIC_TOLERANCE = 1e-9
 LINEAR_MODELS = ("ridge", "elastic_net")
 PREDICTIONS = ["date", "ticker", "model_name", "predicted_return", "actual_return"]
 _FLAT = 1e-12
+# Up to this many features (169 sums) products are summed as plain columns; beyond, the code generated for them
+# is too long to be compiled, and Arrow batches are multiplied as matrices instead.  Both give the same sums.
+PLAIN_SUM_FEATURES = 16
+# Keys whose sums a task holds before it hands them on.
+HELD_KEYS = 2_000
 
 
 # --- moments ----------------------------------------------------------------------
@@ -76,6 +81,58 @@ def _moment_sums(size: int, weight: str, response: str) -> Column:
     return F.array(*sums).alias("moments")
 
 
+def summed_moments(
+    rows: DataFrame, key: str, size: int, weight: str, response: str, extra: str = "0.0D"
+) -> DataFrame:
+    """(key, moments, missed): the sums of ``_moment_sums`` over x0, x1, ... and the sum of ``extra``.
+
+    With many features a task multiplies its batches and hands on one packed array per key, whose places
+    are then summed; no row of the input is shuffled, and a place holds a number per task.
+    """
+    if size <= PLAIN_SUM_FEATURES:
+        return rows.groupBy(key).agg(_moment_sums(size, weight, response), F.expr(f"sum({extra})").alias("missed"))
+    inputs = [f"x{i}" for i in range(size)]
+    upper = np.triu_indices(size)
+
+    def packed(part: pd.DataFrame) -> np.ndarray:
+        x, w, r = part[inputs].to_numpy(float), part["__w"].to_numpy(float), part["__r"].to_numpy(float)
+        weighted = x * w[:, None]
+        products = (x.T @ weighted)[upper]
+        return np.concatenate([[w.sum(), r.sum()], weighted.sum(axis=0), r @ x, products, [part["__e"].sum()]])
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[object, np.ndarray] = {}
+
+        def held() -> pd.DataFrame:
+            return pd.DataFrame({key: list(totals), "packed": [t.tolist() for t in totals.values()]})
+
+        for batch in batches:
+            for value, part in batch.groupby(key, sort=False):
+                totals[value] = packed(part) + totals.get(value, 0.0)
+            if len(totals) > HELD_KEYS:
+                yield held()
+                totals.clear()
+        if totals:
+            yield held()
+
+    narrow = rows.select(
+        key, F.expr(weight).alias("__w"), F.expr(response).alias("__r"), F.expr(extra).alias("__e"), *inputs
+    )
+    schema = f"{key} {narrow.schema[key].dataType.simpleString()}, packed array<double>"
+    places = (
+        narrow.mapInPandas(multiply, schema)
+        .select(key, F.posexplode("packed").alias("place", "value"))
+        .groupBy(key, "place")
+        .agg(F.sum("value").alias("value"))
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda p: p["value"])
+    return places.groupBy(key).agg(ordered.alias("packed")).select(
+        key,
+        F.slice("packed", 1, F.size("packed") - 1).alias("moments"),
+        F.element_at("packed", -1).alias("missed"),
+    )
+
+
 class _Moments:
     """Moment array of one window unpacked into means, scales and centred products."""
 
@@ -142,7 +199,7 @@ def date_moments(rows: DataFrame, scaled: Sequence[Column], target: str) -> Data
     named = rows.select(
         "date", F.col(target).alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(scaled)]
     )
-    return named.groupBy("date").agg(_moment_sums(len(scaled), "1.0D", "y"))
+    return summed_moments(named, "date", len(scaled), "1.0D", "y").drop("missed")
 
 
 def fit_linear_windows(
@@ -264,7 +321,7 @@ def fit_logistic_windows(
                 )
             yield pd.DataFrame(out, columns=names)
 
-    first = named.groupBy("window_id").agg(_moment_sums(size, "1.0D", "y"))
+    first = summed_moments(named, "window_id", size, "1.0D", "y").drop("missed")
     state = checkpoint(first.mapInPandas(start, state_schema))
 
     def newton(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,9 +347,7 @@ def fit_logistic_windows(
             .withColumn("__residual", F.col("__class") * (F.col("y") - F.col("__chance")))
             .withColumn("__miss", F.col("__class") * miss)
         )
-        sums = worked.groupBy("window_id").agg(
-            _moment_sums(size, "__curvature", "__residual"), F.sum("__miss").alias("missed")
-        )
+        sums = summed_moments(worked, "window_id", size, "__curvature", "__residual", "__miss")
         finished = state.where("status <> 'open'")
         state = checkpoint(moving.join(sums, "window_id").mapInPandas(newton, state_schema).unionByName(finished))
     return state.select(
