@@ -471,7 +471,8 @@ _F60 = "(PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT
                      lag(market_return_1d) OVER (PARTITION BY ticker ORDER BY date) AS m FROM market)))""",
 )
 def _beta(spark, folder):
-    return risk.rolling_beta(risk.with_market_return(fe.add_momentum(panel.bars(spark, folder))))
+    """The market return and the names' own returns read one stored table, so the lines are scanned once."""
+    return risk.rolling_beta(risk.with_market_return(checkpoint(fe.add_momentum(panel.bars(spark, folder)))))
 
 
 # --- labels -------------------------------------------------------------------------------
