@@ -26,6 +26,13 @@ def test_measures(text):
     assert quality.measures(None if text is None else text.encode()) == plain_measures(text)
 
 
+def test_a_very_long_text_is_measured_as_a_whole():
+    """A million different words, and three that come again at the far end."""
+    body = " ".join(f"w{k}" for k in range(1_000_000))
+    got = quality.measures(f"{body}\nw0 w1 w2\n#".encode())
+    assert (got[0], got[2], got[3], got[4]) == (1_000_004, 1, 0, 6)
+
+
 def documents(spark):
     good = " ".join(f"w{k}" for k in range(60))
     rows = [(k, good, "fine", "x") for k in range(40)] + [(100 + k, "short", "bad", "x") for k in range(38)]

@@ -79,6 +79,25 @@ def test_counts(spark):
     assert tokencount.token_counts(frame(spark, values).limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    """Pieces and counts are made row by row: no row is lost, merged or given another row's values."""
+    rows = [(None, "no id", "x"), (None, None, "x"), (7, "same text.", "x"), (7, "same text.", "x"), (7, "other text", "x"), (8, None, "x")]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string")
+    piece, word = sentencepiece.SentencePieceProcessor(model_file=PIECE), Tokenizer.from_file(WORD)
+
+    def ordered(values):
+        return sorted(values, key=repr)
+
+    counted = tokencount.token_counts(given).select("doc_id", "n_bytes", "n_tokens").collect()
+    assert ordered(map(tuple, counted)) == ordered(
+        (doc, len((text or "").encode()), len(word.encode(text or "", add_special_tokens=False).ids)) for doc, text, _ in rows
+    )
+    ids = pieces.encoded(given).collect()
+    assert ordered((r["doc_id"], r["ids"]) for r in ids) == ordered((doc, piece.encode(text or "")) for doc, text, _ in rows)
+    digests = pieces.round_trip_digests(given).collect()
+    assert ordered((r["doc_id"], r["n_tokens"]) for r in digests) == ordered((doc, len(piece.encode(text or ""))) for doc, text, _ in rows)
+
+
 def test_tier_one_does_not_decide_the_counts(spark):
     table = tokencount.TwoTier(WORD, b"the\nof", bytes([1, 1]))
     assert table.count("the of harbour, the") == len(Tokenizer.from_file(WORD).encode("the of harbour, the").ids)
