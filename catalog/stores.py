@@ -13,7 +13,7 @@ from catalog.accounts import _orders
 from catalog.registry import query
 from tidepanel.operators import ingest, splits
 from tidepanel.schemas import BAR_SCHEMA, LEDGERS
-from tidepanel.session import checkpoint, working_folder
+from tidepanel.session import checkpoint, stored, working_folder
 from tidepanel.sources import bars as sb
 from tidepanel.sources import ledgers as sl
 from tidepanel.sources import tables
@@ -57,11 +57,11 @@ def _corrected(spark, folder):
 
 @query("a06_daily_update", BARS, _MERGED)
 def _daily_update(spark, folder):
-    stored = checkpoint(panel.bars(spark, folder).where(f"date < {CUT}"))
+    before = checkpoint(panel.bars(spark, folder).where(f"date < {CUT}"))
     landed = checkpoint(_corrected(spark, folder))
     last = landed.agg(F.max("date")).first()[0]
     present = landed.where(F.col("date") == F.lit(last)).select("ticker")
-    return ingest.daily_update(stored, landed, present, last).data
+    return ingest.daily_update(before, landed, present, last).data
 
 
 @query("n01_merged_bars", BARS, _MERGED)
@@ -89,14 +89,14 @@ def _merged_bars(spark, folder):
 )
 def _refused(spark, folder):
     """A batch that breaks three rules at once, against the bars before the cut."""
-    stored = checkpoint(panel.bars(spark, folder).where(f"date < {CUT}"))
-    latest = stored.agg(F.max("date")).first()[0]
+    before = checkpoint(panel.bars(spark, folder).where(f"date < {CUT}"))
+    latest = before.agg(F.max("date")).first()[0]
     start = latest - dt.timedelta(days=14)
     batch = panel.bars(spark, folder).where(F.col("date") >= F.lit(start))
     doubled = batch.withColumn("close", F.when(F.col("volume") % 2 == 0, F.col("close") * 2).otherwise(F.col("close")))
     rows = checkpoint(doubled.unionByName(doubled.where("volume % 3 = 0")))
     # The overlap rule compares each stored key with every landed row of it; one is enough here.
-    problems = inc.batch_problems(stored, rows, dt.date(2001, 1, 1), start, 0.05).distinct()
+    problems = inc.batch_problems(before, rows, dt.date(2001, 1, 1), start, 0.05).distinct()
     return problems.groupBy("problem").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -149,7 +149,7 @@ def _order_ledger(spark, folder):
         "created_at": F.to_timestamp("intended_execution_date"),
     }
     rows = _orders(spark, folder).withColumns(values)
-    typed = checkpoint(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGERS["orders"]]))
+    typed = stored(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGERS["orders"]]), "typed")
     sl.create_ledger(spark, "orders", path)
     sl.append_rows("orders", typed.where("side = 'BUY'"), path)
     sl.append_rows("orders", typed.where("side = 'SELL'"), path)

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.session import checkpoint
+from tidepanel.session import stored
 
 BUCKETS_PER_DOUBLING = 64
 # Doubles span 2**-1074 to 2**1024, so this offset keeps bucket numbers positive.
@@ -53,7 +53,7 @@ def in_blocks(
     part of a block.  (by, order) has to be unique.  The cut is stored, since it comes from a sample.
     """
     count = expected_rows // block_rows + 1
-    cut = checkpoint(frame.repartitionByRange(count, *by, *order).withColumn("block", F.spark_partition_id()))
+    cut = stored(frame.repartitionByRange(count, *by, *order).withColumn("block", F.spark_partition_id()), "blocks")
     return cut.withColumn("place", F.row_number().over(Window.partitionBy(*by, "block").orderBy(*order)))
 
 

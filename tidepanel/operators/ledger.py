@@ -1,8 +1,8 @@
 """Account ledgers: executions, settlement, balances, positions and performance.
 
-An account, or one name inside an account, may hold most of all rows.  Running balances
-are therefore built in two levels: totals per day, summed along the calendar, give the
-opening value of each day, and only the rows of one account and day are ordered together.
+An account, or one name inside an account, may hold most of all rows.  Running balances of
+such an account are built in two levels: totals per day, summed along the calendar, give the
+opening value of each day, and only its rows of one day are ordered together.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.dates import with_date_index
 from tidepanel.functions.rolling import so_far, timeline
 from tidepanel.schemas import MONEY
+from tidepanel.session import checkpoint
 
 COMMISSION_RATE = "0.001"
 SLIPPAGE_RATE = "0.001"
@@ -22,6 +23,8 @@ SELL_TAX_RATE = "0.001"
 SETTLEMENT_LAG = 2
 # Steps folded by one call; bounds the array of a day with very many trades.
 STEPS_PER_BLOCK = 1024
+# Rows of one account that are ordered together; an account with more goes day by day.
+ROWS_TOGETHER = 100_000
 
 
 def money(value: Column | str) -> Column:
@@ -73,30 +76,52 @@ def execution_problems(orders: DataFrame, prices: DataFrame) -> DataFrame:
     return single.unionByName(repeated)
 
 
+def _with_own_prices(orders: DataFrame, price: Column, on: Sequence[str], dealt_by: Sequence[str]) -> DataFrame:
+    """Every order with the price of every order of its key: the rows of a join of the orders with their own prices.
+
+    Orders without a whole key have no price.  ``dealt_by`` are columns that equal keys share; where the
+    rows already lie by them, they are not moved.
+    """
+    same_key = Window.partitionBy(*dealt_by, *on)
+    listed = F.collect_list(F.struct(price.alias("price"))).over(same_key)
+    return (
+        orders.dropna(subset=list(on))
+        .withColumn("__prices", listed)
+        .withColumn("__price", F.explode("__prices"))
+        .withColumn("execution_price", F.col("__price.price"))
+        .drop("__prices", "__price")
+    )
+
+
 def price_executions(
     orders: DataFrame,
-    prices: DataFrame,
+    prices: DataFrame | Column,
     on: Sequence[str] = ("ticker",),
     commission: str = COMMISSION_RATE,
     slippage: str = SLIPPAGE_RATE,
     sell_tax: str = SELL_TAX_RATE,
+    dealt_by: Sequence[str] = (),
 ) -> DataFrame:
     """Executions of orders at the given prices with costs and net cash effect.
 
     ``prices`` has the ``on`` columns and ``execution_price``; include the execution date
-    in ``on`` to price many days at once.
+    in ``on`` to price many days at once.  Where the orders bring their prices themselves, ``prices`` is
+    that column, and ``dealt_by`` may name columns that orders of equal keys share.
     """
     is_buy = F.col("side") == "BUY"
     gross = times_quantity("execution_price", "filled_quantity")
     costs = F.col("commission") + F.col("slippage") + F.col("tax")
+    if isinstance(prices, Column):
+        priced = _with_own_prices(orders, prices, on, dealt_by)
+    else:
+        priced = orders.join(prices, list(on))
     return (
-        orders.withColumns(
+        priced.withColumns(
             {
                 "execution_date": F.col("intended_execution_date"),
                 "filled_quantity": F.col("requested_quantity"),
             }
         )
-        .join(prices, list(on))
         .withColumn("gross_value", gross)
         .withColumns(
             {
@@ -130,8 +155,20 @@ def batch_status(executions: DataFrame, recorded: DataFrame, orders: DataFrame)
     keys = ["account_id", "execution_id"]
     batch = executions.select(*keys, "order_id")
     known = recorded.select(*keys).distinct().withColumn("__known", F.lit(1))
-    states = orders.select("account_id", "order_id", "status")
-    joined = batch.join(known, keys, "left").join(states, ["account_id", "order_id"], "left")
+    waiting = F.col("status") == "PENDING"
+    # One row per order; a repeated order counts its executions as often.
+    states = orders.groupBy("account_id", "order_id").agg(
+        F.count(F.lit(1)).alias("__orders"),
+        F.count_if(F.col("status").isNull()).alias("__stateless"),
+        F.count_if(~waiting).alias("__closed"),
+    )
+    # The first row of each whole key, told while its rows lie together.
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))) == 1
+    whole = F.col("account_id").isNotNull() & F.col("execution_id").isNotNull()
+    marked = batch.join(known, keys, "left").withColumn("__id", (whole & first).cast("int"))
+    joined = marked.select("account_id", "order_id", "__known", "__id").join(states, ["account_id", "order_id"], "left")
+    times = F.coalesce("__orders", F.lit(1))
+    none = F.lit(0).cast("bigint")
     decision = (
         F.when(F.col("batch_rows") == 0, "no_op")
         .when(F.col("batch_rows") != F.col("distinct_ids"), "reject_duplicates")
@@ -142,11 +179,11 @@ def batch_status(executions: DataFrame, recorded: DataFrame, orders: DataFrame)
         .otherwise("record")
     )
     return joined.agg(
-        F.count(F.lit(1)).alias("batch_rows"),
-        F.countDistinct(*keys).alias("distinct_ids"),
-        F.count("__known").alias("known_rows"),
-        F.count_if(F.col("status").isNull()).alias("missing_orders"),
-        F.count_if(F.col("status") != "PENDING").alias("not_pending"),
+        F.coalesce(F.sum(times), none).alias("batch_rows"),
+        F.coalesce(F.sum("__id"), none).alias("distinct_ids"),
+        F.coalesce(F.sum(F.when(F.col("__known") == 1, times)), none).alias("known_rows"),
+        F.coalesce(F.sum(F.coalesce("__stateless", F.lit(1))), none).alias("missing_orders"),
+        F.coalesce(F.sum("__closed"), none).alias("not_pending"),
     ).withColumn("decision", decision)
 
 
@@ -306,27 +343,54 @@ def running_totals(
     by: Sequence[str],
     date: str,
     order: Sequence[str],
+    together: int = ROWS_TOGETHER,
 ) -> DataFrame:
-    """Running sum of each column in (date, order) per group, in two levels.
+    """Running sum of each column in (date, order) per group; rows without a whole key or date have none.
 
-    ``totals`` maps a column to its running-sum name.
+    ``totals`` maps a column to its running-sum name.  The rows of a group are moved once and ordered
+    together.  Where the first ``by`` column has a value with more than ``together`` rows, the groups of
+    that value are ordered day by day, each day beginning with the totals of the days before.
+    A day has no sum before its first known value.
     """
     by = list(by)
-    days = rows.groupBy(*by, date).agg(*[F.sum(c).alias(f"__day_{c}") for c in totals])
-    along = Window.partitionBy(*by).orderBy(date)
+    rows = rows.dropna(subset=[*by, date])
+    counts = rows.groupBy(by[0]).agg(F.count(F.lit(1)).alias("__rows"))
+    large = checkpoint(counts.where(F.col("__rows") > together).select(by[0]))
+    known = Window.partitionBy(*by, date).orderBy(*order)
+    types = {c: rows.schema[c].dataType for c in totals}
+    if large.isEmpty():
+        along = Window.partitionBy(*by).orderBy(date, *order)
+        return rows.withColumns(
+            {
+                name: F.when(F.count(c).over(so_far(known)) > 0, F.sum(c).over(so_far(along))).cast(types[c])
+                for c, name in totals.items()
+            }
+        )
+    # At most one in ``together`` rows: few enough to send to every task.
+    large = F.broadcast(large)
+    days = rows.join(large, by[0], "left_semi").groupBy(*by, date).agg(*[F.sum(c).alias(f"__day_{c}") for c in totals])
+    earlier = Window.partitionBy(*by).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
     opening = days.select(
-        *by,
-        date,
-        *[(F.sum(f"__day_{c}").over(so_far(along)) - F.col(f"__day_{c}")).alias(f"__open_{c}") for c in totals],
+        *by, F.col(date).alias("__piece"), *[F.sum(f"__day_{c}").over(earlier).alias(f"__open_{c}") for c in totals]
+    )
+    pieces = rows.join(large.withColumn("__large", F.lit(True)), by[0], "left").withColumn(
+        "__piece", F.when(F.col("__large"), F.col(date))
+    )
+    along = Window.partitionBy(*by, "__piece").orderBy(date, *order)
+    known = Window.partitionBy(*by, "__piece", date).orderBy(*order)
+    return (
+        pieces.join(opening, [*by, "__piece"], "left")
+        .withColumns(
+            {
+                name: F.when(
+                    F.count(c).over(so_far(known)) > 0,
+                    F.coalesce(F.col(f"__open_{c}"), F.lit(0).cast(types[c])) + F.sum(c).over(so_far(along)),
+                ).cast(types[c])
+                for c, name in totals.items()
+            }
+        )
+        .drop("__large", "__piece", *[f"__open_{c}" for c in totals])
     )
-    inside = so_far(Window.partitionBy(*by, date).orderBy(*order))
-    joined = rows.join(opening, [*by, date])
-    return joined.withColumns(
-        {
-            name: (F.col(f"__open_{c}") + F.sum(c).over(inside)).cast(rows.schema[c].dataType)
-            for c, name in totals.items()
-        }
-    ).drop(*[f"__open_{c}" for c in totals])
 
 
 def cash_ledger(events: DataFrame) -> DataFrame:
@@ -396,6 +460,14 @@ def balance_problems(ledger: DataFrame) -> DataFrame:
     return replayed.withColumn("problem", wrong).where("problem IS NOT NULL").select("account_id", "entry_id", "problem")
 
 
+def event_totals(events: DataFrame) -> DataFrame:
+    """Changes summed per account and name; ``balances`` and ``share_positions`` of it are those of the events."""
+    deltas = [
+        "settled_cash_delta", "unsettled_cash_delta", "settled_shares_delta", "unsettled_buy_delta", "pending_sell_delta",
+    ]
+    return events.groupBy("account_id", "ticker").agg(*[F.sum(c).alias(c) for c in deltas])
+
+
 def balances(events: DataFrame) -> DataFrame:
     """Cash per account after all events."""
     return events.groupBy("account_id").agg(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.numeric import truthy
 from tidepanel.functions.ranking import BLOCK_ROWS, in_blocks, numbered
 from tidepanel.operators.ledger import decimal_ratio, money, times_quantity
-from tidepanel.session import checkpoint
+from tidepanel.session import checkpoint, stored
 
 WEIGHT = "decimal(18,12)"
 
@@ -358,7 +358,7 @@ def _cash_before_purchases(buys: DataFrame, rules: Constraints, expected_rows: i
     placed = in_blocks(costs, ["account_id"], order, expected_rows, block_rows)
     worth = times_quantity("price", "allowed")
     trades = (F.col("allowed") > 0) & (worth >= F.lit(rules.min_trade_value).cast("decimal(20,2)"))
-    rows = checkpoint(
+    rows = stored(
         placed.withColumn("full_cost", F.when(trades, money(-cash_effect(F.lit("BUY"), worth, rules))).otherwise(money(F.lit(0))))
         .withColumn("least_cost", F.when(trades, _least_purchase(F.col("price"), rules)))
     )
@@ -509,7 +509,7 @@ def order_plan(
     if found:
         raise ValueError(f"Held names have no price, for example {[(r['account_id'], r['ticker']) for r in found]}")
     # Read by the early rows and by the funding of requests.
-    plan = checkpoint(planned_trades(targets, positions, values, snapshots, rules, expected_date))
+    plan = stored(planned_trades(targets, positions, values, snapshots, rules, expected_date), "plan")
     early = early_rows(plan, rules).select(
         "account_id", F.lit(0).alias("phase"), F.lit(0).cast("bigint").alias("priority"),
         F.lit(0).cast("decimal(38,6)").alias("order_value"), "ticker", "step",

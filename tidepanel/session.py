@@ -58,3 +58,13 @@ def checkpoint(frame: DataFrame) -> DataFrame:
 def working_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for tables one job writes and the next one reads."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str = "rows") -> DataFrame:
+    """Written as compressed Parquet into a new shared folder and read again.
+
+    For frames of many rows: a checkpoint writes them as they lie in memory, several times their size.
+    """
+    folder = working_folder(frame.sparkSession, name)
+    frame.write.option("compression", "zstd").parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
