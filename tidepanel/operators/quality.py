@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.numeric import change, truthy
 from tidepanel.functions.rolling import so_far, timeline
 from tidepanel.schemas import BAR_COLUMNS, PRICES
+from tidepanel.session import stored
 
 JUMP_THRESHOLD = 0.10
 STALE_RUN_LENGTH = 3
@@ -29,39 +30,69 @@ def counted_copies(bars: DataFrame) -> DataFrame:
 
 
 def _with_runs(rows: DataFrame) -> DataFrame:
-    """Add ``adjusted_return_1d`` and ``stale_run_length`` along each ticker.
+    """Add ``adjusted_return_1d``, ``stale_run_length`` and ``__key_rows`` along each ticker.
 
     The key is not unique here, so a ticker may hold any number of rows.  Only rows of one
     ticker and date are ordered together; the last price of each day and the number of runs
-    it begins, one row per ticker and date, carry the order from day to day, and the
-    lengths of runs are plain sums.
+    it begins, one row per ticker and date, carry the order from day to day.  A run inside a day
+    is summed there; only the first and the last run of a day can go on in others, and they are
+    summed along the days.  So the rows themselves are moved once.
     """
     price = F.col("adjusted_close")
+    key = ["ticker", "date"]
     # Rows of one key have no order of their own; the remaining columns settle it.
     tie = [c for c in BAR_COLUMNS if c not in ("date", "ticker")]
-    in_day = Window.partitionBy("ticker", "date").orderBy(*tie)
+    in_day = Window.partitionBy(*key).orderBy(*tie)
     days = timeline("ticker")
-    lasts = rows.groupBy("ticker", "date").agg(F.max_by("adjusted_close", F.struct(*tie)).alias("__last"))
-    carried = lasts.select("ticker", "date", F.lag("__last").over(days).alias("__carried"))
-    opened = rows.withColumns(
+    lasts = rows.groupBy(*key).agg(F.max_by("adjusted_close", F.struct(*tie)).alias("__last"))
+    # Stored, so that their size is known when Spark plans the joins.
+    carried = stored(lasts.select(*key, F.lag("__last").over(days).alias("__carried")), "carried")
+    opened = rows.join(carried, key).withColumns(
         {"__first": F.row_number().over(in_day) == 1, "__before": F.lag(price).over(in_day)}
-    ).join(carried, ["ticker", "date"])
+    )
     previous = F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__before"))
     same_price = price.eqNullSafe(F.col("__previous")) & price.isNotNull()
-    stepped = (
+    stepped = stored(
         opened.withColumn("__previous", previous)
         .withColumns({"adjusted_return_1d": change(price, F.col("__previous")), "__starts": (~same_price).cast("long")})
         .withColumn("__begun", F.sum("__starts").over(so_far(in_day)))
+        .withColumn("__key_rows", F.sum("copies").over(Window.partitionBy(*key)))
+        .withColumn("__length", F.sum("copies").over(Window.partitionBy(*key, "__begun")))
+        .drop("__first", "__before", "__carried", "__previous"),
+        "stepped",
+    )
+    # Every row of a day's run has its length; the first run of a day has number 0 if it goes on from the day before.
+    per_day = stepped.groupBy(*key).agg(
+        F.max("__begun").alias("__day_runs"),
+        F.max(F.when(F.col("__begun") == 0, F.col("__length"))).alias("__head"),
+        F.max_by("__length", "__begun").alias("__tail"),
+    )
+    offset = F.sum("__day_runs").over(so_far(days)) - F.col("__day_runs")
+    ends = F.array(
+        F.struct(F.lit(0).cast("long").alias("begun"), F.col("__head").alias("length")),
+        F.when(F.col("__day_runs") > 0, F.struct(F.col("__day_runs").alias("begun"), F.col("__tail").alias("length"))),
     )
-    per_day = stepped.groupBy("ticker", "date").agg(F.sum("__starts").alias("__day_runs"))
-    offsets = per_day.select(
-        "ticker", "date", (F.sum("__day_runs").over(so_far(days)) - F.col("__day_runs")).alias("__offset")
+    edges = (
+        per_day.withColumn("__offset", offset)
+        .select(*key, "__offset", F.explode(F.filter(ends, lambda e: e["length"].isNotNull())).alias("__end"))
+        .select(*key, "__end.begun", "__end.length", (F.col("__offset") + F.col("__end.begun")).alias("__run"))
+        .withColumn("__whole", F.sum("length").over(Window.partitionBy("ticker", "__run")))
+    )
+    wholes = stored(
+        edges.groupBy(*key).agg(
+            F.max(F.when(F.col("begun") == 0, F.col("__whole"))).alias("__head_whole"),
+            F.max("begun").alias("__day_runs"),
+            F.max_by("__whole", "begun").alias("__tail_whole"),
+        ),
+        "runs",
     )
-    numbered = stepped.join(offsets, ["ticker", "date"]).withColumn("__run", F.col("__offset") + F.col("__begun"))
-    lengths = numbered.groupBy("ticker", "__run").agg(F.sum("copies").alias("__length"))
-    return numbered.join(lengths, ["ticker", "__run"]).withColumn(
-        "stale_run_length", F.when(price.isNull(), F.lit(1)).otherwise(F.col("__length"))
+    length = (
+        F.when(price.isNull(), F.lit(1))
+        .when(F.col("__begun") == 0, F.col("__head_whole"))
+        .when(F.col("__begun") == F.col("__day_runs"), F.col("__tail_whole"))
+        .otherwise(F.col("__length"))
     )
+    return stepped.join(wholes, key).withColumn("stale_run_length", length)
 
 
 def data_issues(
@@ -70,9 +101,7 @@ def data_issues(
     stale_run_length: int = STALE_RUN_LENGTH,
 ) -> DataFrame:
     """One row per (distinct bar, broken rule) with the values that break it and its copies."""
-    rows = counted_copies(bars)
-    per_key = rows.groupBy("date", "ticker").agg(F.sum("copies").alias("__key_rows"))
-    tracked = _with_runs(rows).join(per_key, ["date", "ticker"])
+    tracked = _with_runs(stored(counted_copies(bars), "counted"))
     missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in BAR_COLUMNS])
     any_missing = F.lit(False)
     for name in BAR_COLUMNS:
