@@ -9,18 +9,23 @@ together and are dropped beyond the budget of differing bits.
 
 Fingerprints have four words of 64 bits.  The tries use the words in turn, so a pair that is unlucky in one
 is not in all, and a pair that is left is compared in all 256 bits, which tell similarities
-apart twice as finely.  Of each subtrie only a few spanning forests of the closest pairs leave a task,
+apart twice as finely.  Of each subtrie a few spanning forests of the closest pairs leave a task first,
 each made of pairs the forests before left over, and of these only pairs that no earlier trie holds; so a group of very
 many near copies gives links in proportion to its texts.  Every such link is then checked exactly: the
 shingles of both texts are put side by side, and only links that have the similarity make classes.
 
+A subtrie that still has other pairs is looked at again with these classes.  A pair inside a class changes
+nothing; the texts of every pair between two classes are sent to the subtrie with their shingles, and all
+its pairs between classes are checked there, until none is left.  So the forests only spare work, and every
+pair that meets is either inside a class or checked.
+
 Equal texts are one node from the start.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +49,7 @@ BUDGET = 18
 WIDE_BUDGET = 56
 WORDS = 4
 PART = 1024
-#: Spanning forests of each subtrie that are checked: each from the pairs the ones before left over.
+#: Spanning forests of each subtrie that are checked first: each from the pairs the ones before left over.
 FORESTS = 4
 #: Pairs held before they are cut to a forest.
 HELD = 1 << 19
@@ -156,10 +161,16 @@ def closest_forest(size: int, left: np.ndarray, right: np.ndarray, length: np.nd
     return np.unique(np.concatenate(kept)) if kept else np.empty(0, dtype=np.int64)
 
 
+CELL = ["trie", "root", "x", "y"]
+
+
 def candidate_links(
     nodes: DataFrame, recall: float = RECALL, bits: int = ROOT_BITS, budget: int = BUDGET, wide: int = WIDE_BUDGET, part: int = PART
-) -> DataFrame:
-    """(a, b): pairs of stored ``nodes`` (node, p0 to p3) that may be similar, each once, a below b."""
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of stored ``nodes`` (node, p0 to p3) that may be similar, each once, a below b; and the rest.
+
+    The rest are the rows of subtries whose forests leave pairs over, for ``links_between``.
+    """
     masks = trie_masks(bits, recall)
     tries = F.array(*(F.struct(F.lit(k).alias("trie"), F.col(f"p{k % WORDS}").bitwiseAND(F.lit(_signed(m))).alias("root")) for k, m in enumerate(masks)))
     names = [f"p{k}" for k in range(WORDS)]
@@ -176,74 +187,189 @@ def candidate_links(
         "node", *names, "trie", "root", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"),
         (F.col("own") != F.col("cell.x")).cast("int").alias("side"),
     )
-    dealt = dealt.repartition(F.xxhash64("trie", "root", "x", "y")).sortWithinPartitions("trie", "root", "x", "y")
 
     def work(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in parts_:
-            # Whole subtries only: what shares its key with the last row waits for the next batch.
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 1 << 16:
-                continue
-            table_ = pa.Table.from_batches(held).combine_chunks()
-            changes = np.flatnonzero((np.diff(_keys(table_), axis=1) != 0).any(axis=0))
-            cut = int(changes[-1]) + 1 if len(changes) else 0
-            if cut:
-                yield from _forests(table_.slice(0, cut), masks, budget, wide)
-            held = table_.slice(cut).to_batches()
-            rows = table_.num_rows - cut
-        if held:
-            yield from _forests(pa.Table.from_batches(held).combine_chunks(), masks, budget, wide)
-
-    return dealt.mapInArrow(work, "a bigint, b bigint").distinct()
+        return _whole_cells(parts_, 1 << 16, lambda table_: _forests(table_, masks, budget, wide))
+
+    found = stored(_by_cell(dealt).mapInArrow(work, "a bigint, b bigint, trie int, root bigint, x int, y int"), "met")
+    unfinished = stored(found.where("a IS NULL").select(*CELL), "unfinished")
+    return found.where("a IS NOT NULL").select("a", "b").distinct(), dealt.join(unfinished, CELL, "left_semi")
+
+
+def links_between(
+    rest: DataFrame, classes: DataFrame, keyed: DataFrame, similarity: float, shingle: int,
+    recall: float = RECALL, bits: int = ROOT_BITS, budget: int = BUDGET, wide: int = WIDE_BUDGET,
+) -> DataFrame:
+    """(a, b): checked links of ``rest`` that join classes (node, root); every pair between two classes is looked at.
+
+    A pair that the links of its cell already join is not checked.
+    """
+    masks = trie_masks(bits, recall)
+    classed = rest.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+    def open_nodes(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _whole_cells(parts_, 1 << 16, lambda table_: _open(table_, masks, budget, wide))
+
+    kept = "node bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, trie int, root bigint, x int, y int, side int, class bigint"
+    columns = [c.split()[0] for c in kept.split(", ")]
+    opened = stored(_by_cell(classed.select(columns)).mapInArrow(open_nodes, kept), "open")
+    texts = keyed.select("node", "text").join(stored(opened.select("node").distinct(), "asked"), "node", "left_semi")
+
+    def sets(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts_:
+            found = [shingle_hashes(t.as_buffer().to_pybytes(), shingle).view(np.int64) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    shingles = stored(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node bigint, shingles array<bigint>"), "shingles")
+
+    def work(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _whole_cells(parts_, 1 << 12, lambda table_: _checked(table_, masks, budget, wide, similarity))
+
+    return _by_cell(opened.join(shingles, "node")).mapInArrow(work, "a bigint, b bigint").distinct()
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.xxhash64(*CELL)).sortWithinPartitions(*CELL)
+
+
+def _whole_cells(
+    parts: Iterator[pa.RecordBatch], least: int, work: Callable[[pa.Table], Iterator[pa.RecordBatch]]
+) -> Iterator[pa.RecordBatch]:
+    """Work on whole cells, about ``least`` rows at a time: what shares its key with the last row waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in parts:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table_ = pa.Table.from_batches(held).combine_chunks()
+        changes = np.flatnonzero((np.diff(_keys(table_), axis=1) != 0).any(axis=0))
+        cut = int(changes[-1]) + 1 if len(changes) else 0
+        if cut:
+            yield from work(table_.slice(0, cut))
+        held = table_.slice(cut).to_batches()
+        rows = table_.num_rows - cut
+    if held:
+        yield from work(pa.Table.from_batches(held).combine_chunks())
 
 
 def _keys(table_: pa.Table) -> np.ndarray:
     return np.stack([table_.column(c).to_numpy().astype(np.int64) for c in ("trie", "root", "x", "y")])
 
 
-def _forests(table_: pa.Table, masks: list[int], budget: int, wide: int) -> Iterator[pa.RecordBatch]:
+def _near_pairs(
+    table_: pa.Table, masks: list[int], budget: int, wide: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """Per trie: its number, its rows and prints in path order, and near pairs (left, right, differing bits) of their places."""
     if not table_.num_rows:
         return
     keys = _keys(table_)
     group = np.concatenate([[0], np.cumsum((np.diff(keys, axis=1) != 0).any(axis=0))])
     prints = np.stack([table_.column(f"p{k}").to_numpy().astype(np.int64).view(np.uint64) for k in range(WORDS)], axis=1)
-    node = table_.column("node").to_numpy()
     off = keys[2] != keys[3]
     side = np.where(off, table_.column("side").to_numpy().astype(np.int64) + 1, 0)
-    for trie in np.unique(keys[0]):
+
+    def near(path: np.ndarray, mine: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for left, right in trie_links(path, group[mine], side[mine], 64 - mask.bit_count(), budget):
+            length = np.bitwise_count(prints[mine[left]] ^ prints[mine[right]]).sum(axis=1, dtype=np.int64)
+            close = length <= wide
+            yield left[close], right[close], length[close]
+
+    for trie in np.unique(keys[0]).tolist():
         mine = np.flatnonzero(keys[0] == trie)
         path = reordered(prints[mine, trie % WORDS], masks[trie])
         order = np.lexsort((path, side[mine], group[mine]))
         mine, path = mine[order], path[order]
+        yield trie, mine, prints[mine], near(path, mine, masks[trie])
+
+
+def _forests(table_: pa.Table, masks: list[int], budget: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the first forests of every cell (a, b); a row without a pair names a cell that has more."""
+    names = ["a", "b", *CELL]
+    for trie, mine, prints, pairs in _near_pairs(table_, masks, budget, wide):
         kept = [np.empty((3, 0), dtype=np.int64)]
         load = 0
+        unfinished = np.zeros(len(mine), dtype=bool)
 
-        def forest(kept: list[np.ndarray], size: int) -> np.ndarray:
+        def forest(kept: list[np.ndarray]) -> np.ndarray:
             rest, out = np.concatenate(kept, axis=1), []
             for _ in range(FORESTS):
-                taken = closest_forest(size, *rest)
+                taken = closest_forest(len(mine), *rest)
                 out.append(rest[:, taken])
                 rest = np.delete(rest, taken, axis=1)
+            # A pair that meets in an earlier trie is left to that one.
+            unfinished[rest[0, first_meeting(prints[rest[0]], prints[rest[1]], trie, masks)]] = True
             return np.concatenate(out, axis=1)
 
-        for left, right in trie_links(path, group[mine], side[mine], 64 - masks[trie].bit_count(), budget):
-            length = np.bitwise_count(prints[mine[left]] ^ prints[mine[right]]).sum(axis=1, dtype=np.int64)
-            near = length <= wide
-            kept.append(np.stack([left[near], right[near], length[near]]))
-            load += int(near.sum())
+        for found in pairs:
+            kept.append(np.stack(found))
+            load += len(found[0])
             if load > HELD:
-                kept = [forest(kept, len(mine))]
+                kept = [forest(kept)]
                 load = kept[0].shape[1]
-        left, right, _ = forest(kept, len(mine))
-        # A pair that meets in an earlier trie is left to that one, whose forests join it.
-        fresh = first_meeting(prints[mine[left]], prints[mine[right]], int(trie), masks)
+        left, right, _ = forest(kept)
+        fresh = first_meeting(prints[left], prints[right], trie, masks)
         left, right = left[fresh], right[fresh]
         if len(left):
+            node = table_.column("node").to_numpy()
             a, b = node[mine[left]], node[mine[right]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *(pa.nulls(len(a), kind) for kind in kinds)], names=names
+            )
+        if unfinished.any():
+            cells = table_.take(pa.array(mine[unfinished])).select(CELL).group_by(CELL).aggregate([]).select(CELL)
+            none = [pa.nulls(cells.num_rows, pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([*none, *(cells.column(c).combine_chunks() for c in CELL)], names=names)
+
+
+def _open(table_: pa.Table, masks: list[int], budget: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """The rows that have a near pair between two classes."""
+    if not table_.num_rows:
+        return
+    kind = table_.column("class").to_numpy()
+    wanted = np.zeros(table_.num_rows, dtype=bool)
+    for trie, mine, prints, pairs in _near_pairs(table_, masks, budget, wide):
+        for left, right, _ in pairs:
+            apart = kind[mine[left]] != kind[mine[right]]
+            left, right = left[apart], right[apart]
+            fresh = first_meeting(prints[left], prints[right], trie, masks)
+            wanted[mine[left[fresh]]] = wanted[mine[right[fresh]]] = True
+    yield from table_.filter(pa.array(wanted)).to_batches()
+
+
+def _checked(table_: pa.Table, masks: list[int], budget: int, wide: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs between classes that have the similarity, as far as they join trees of their cell."""
+    if not table_.num_rows:
+        return
+    node = table_.column("node").to_numpy()
+    kind = table_.column("class").to_numpy()
+    lists = table_.column("shingles").combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    for trie, mine, prints, pairs in _near_pairs(table_, masks, budget, wide):
+        tree = {c: c for c in np.unique(kind[mine]).tolist()}
+
+        def root(c: int) -> int:
+            while tree[c] != c:
+                tree[c] = c = tree[tree[c]]
+            return c
+
+        links = []
+        for left, right, _ in pairs:
+            fresh = (kind[mine[left]] != kind[mine[right]]) & first_meeting(prints[left], prints[right], trie, masks)
+            for i, j in zip(mine[left[fresh]].tolist(), mine[right[fresh]].tolist(), strict=True):
+                a, b = root(int(kind[i])), root(int(kind[j]))
+                if a == b:
+                    continue
+                x, y = values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - both
+                if not union or both / union >= similarity:
+                    tree[max(a, b)] = min(a, b)
+                    links.append((min(node[i], node[j]), max(node[i], node[j])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
 
 def similar_links(links: DataFrame, keyed: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -281,7 +407,7 @@ def similar_documents(
     """(doc_id, node, component_id, n_links): the class of every document.
 
     component_id is the smallest doc_id reachable over equal texts and checked links, the document itself
-    included; n_links counts the checked links of its text.  Null texts count as empty; texts without words
+    included; n_links counts the links of its text that were checked to make the classes.  Null texts count as empty; texts without words
     are alike.  Repeated rows and ids share the class of their text; a null id takes no part in the
     minimum, and a class of null ids has a null component_id.  An empty table gives no rows; other columns are ignored.
     """
@@ -289,9 +415,14 @@ def similar_documents(
     prints = stored(_prints(keyed, shingle), "prints")
     names = [f"p{k}" for k in range(WORDS)]
     nodes = stored(prints.groupBy("node").agg(*[F.max(n).alias(n) for n in names], F.min("doc_id").alias("least")), "nodes")
-    candidates = stored(candidate_links(nodes, recall, bits), "candidates")
-    links = stored(similar_links(candidates, keyed, similarity, shingle), "links")
+    candidates, rest = candidate_links(nodes, recall, bits)
+    links = stored(similar_links(stored(candidates, "candidates"), keyed, similarity, shingle).select("a", "b"), "links")
     roots = connected(links, "a", "b")
+    classes = roots.withColumnRenamed("root", "class")
+    more = stored(links_between(rest, classes, keyed, similarity, shingle, recall, bits), "more")
+    if not more.isEmpty():
+        links = links.unionByName(more).distinct()
+        roots = connected(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
