@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidepanel.llm import similar
@@ -124,3 +125,33 @@ def test_a_crowded_subtrie_cut_in_parts_keeps_its_classes(spark, monkeypatch, he
     want = classes(rows)
     joined = [k for k, w in enumerate(want) if w != k]
     assert len(joined) > 40 and sum(found[k] == want[k] for k in joined) >= 0.95 * len(joined)
+
+
+def _cells(prints):
+    columns = {"node": list(range(len(prints)))} | {f"p{k}": [p[k] for p in prints] for k in range(similar.WORDS)}
+    return pa.table(columns | {c: [0] * len(prints) for c in ("trie", "root", "x", "y", "side")})
+
+
+def test_texts_that_share_a_word_of_their_print_meet():
+    """Equal first words, others apart by a few bits: every pair is near."""
+    masks = similar.trie_masks()
+    table_ = _cells([(5, 1 << k, 0, 0) for k in range(12)] + [(4, 0, 0, 0)])
+    found = set()
+    for _, mine, _, pairs in similar._near_pairs(table_, [0, *masks[1:]], similar.BUDGET, similar.WIDE_BUDGET):
+        for left, right, _ in pairs:
+            found |= {tuple(sorted(p)) for p in zip(mine[left].tolist(), mine[right].tolist(), strict=True)}
+    assert found == {(i, j) for i in range(13) for j in range(i + 1, 13)}
+
+
+def test_cells_with_pairs_left_over_are_named_and_checked():
+    """Twelve near prints, more pairs than the forests hold; only the last two texts are alike and of two classes."""
+    masks = [0, *similar.trie_masks()[1:]]
+    table_ = _cells([(5, 1 << k, 0, 0) for k in range(12)])
+    rows = [r for b in similar._forests(table_, masks, similar.BUDGET, similar.WIDE_BUDGET) for r in b.to_pylist()]
+    assert sum(r["a"] is None for r in rows) == 1 and sum(r["a"] is not None for r in rows) < 66
+    classed = table_.append_column("class", pa.array(range(12)))
+    opened = pa.Table.from_batches(similar._open(classed, masks, similar.BUDGET, similar.WIDE_BUDGET))
+    assert opened.num_rows == 12
+    sets = pa.array([[k * 10] for k in range(11)] + [[100]], pa.list_(pa.int64()))
+    links = [tuple(r.values()) for b in similar._checked(classed.append_column("shingles", sets), masks, similar.BUDGET, similar.WIDE_BUDGET, 0.8) for r in b.to_pylist()]
+    assert links == [(10, 11)]

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -258,6 +259,17 @@ def _keys(table_: pa.Table) -> np.ndarray:
     return np.stack([table_.column(c).to_numpy().astype(np.int64) for c in ("trie", "root", "x", "y")])
 
 
+def _spread(a: np.ndarray, b: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of places of two runs, of one run each pair once; some runs at a time, so that few pairs are held."""
+    sizes = count[a] * count[b]
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(sizes) // HELD)) + 1):
+        run = np.repeat(part, sizes[part])
+        place = np.arange(len(run)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
+        left, right = first[a[run]] + place // count[b[run]], first[b[run]] + place % count[b[run]]
+        wanted = (a[run] != b[run]) | (left < right)
+        yield left[wanted], right[wanted]
+
+
 def _near_pairs(
     table_: pa.Table, masks: list[int], budget: int, wide: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
@@ -271,10 +283,17 @@ def _near_pairs(
     side = np.where(off, table_.column("side").to_numpy().astype(np.int64) + 1, 0)
 
     def near(path: np.ndarray, mine: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for left, right in trie_links(path, group[mine], side[mine], 64 - mask.bit_count(), budget):
-            length = np.bitwise_count(prints[mine[left]] ^ prints[mine[right]]).sum(axis=1, dtype=np.int64)
-            close = length <= wide
-            yield left[close], right[close], length[close]
+        # The trie tells apart words only; texts that share the word stand behind its first place.
+        of, on = group[mine], side[mine]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(on) != 0) | (path[1:] != path[:-1])]))
+        count = np.diff(np.append(first, len(path)))
+        same = np.flatnonzero((count > 1) & (on[first] == 0))
+        linked = trie_links(path[first], of[first], on[first], 64 - mask.bit_count(), budget)
+        for a, b in chain([(same, same)], linked):
+            for left, right in _spread(a, b, first, count):
+                length = np.bitwise_count(prints[mine[left]] ^ prints[mine[right]]).sum(axis=1, dtype=np.int64)
+                close = length <= wide
+                yield left[close], right[close], length[close]
 
     for trie in np.unique(keys[0]).tolist():
         mine = np.flatnonzero(keys[0] == trie)
