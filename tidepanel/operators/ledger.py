@@ -468,6 +468,56 @@ def event_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("account_id", "ticker").agg(*[F.sum(c).alias(c) for c in deltas])
 
 
+def trade_totals(trades: DataFrame, asof: object, deposits: DataFrame | None = None) -> DataFrame:
+    """``event_totals`` of the ``account_events`` of these trades, summed without a row per event.
+
+    ``purchases`` counts the purchases up to the date and ``bought`` sums their gross amounts.
+    """
+    limit = F.lit(asof).cast("date")
+    no_money, none = money(F.lit(0)), F.lit(0).cast("bigint")
+    buy = F.col("side") == "BUY"
+    quantity, net = F.col("quantity"), F.col("net_cash_effect")
+    traded, settled = F.col("trade_date") <= limit, F.col("settlement_date") <= limit
+
+    def beside_zero(value: Column, zero: Column, also: Column) -> Column:
+        """A change that comes alone, or next to a change of zero."""
+        return F.when(also, F.coalesce(value, zero)).otherwise(value)
+
+    def waiting(value: Column, zero: Column) -> Column:
+        """Added by the trade, taken back by its settlement."""
+        return F.when(traded & settled, F.when(value.isNotNull(), zero)).when(traded, value).otherwise(-value)
+
+    cash = F.when(buy, F.when(traded, beside_zero(net, no_money, settled)).otherwise(no_money)).otherwise(
+        F.when(settled, beside_zero(net, no_money, traded)).otherwise(no_money)
+    )
+    shares = F.when(settled, beside_zero(F.when(buy, quantity).otherwise(-quantity), none, traded)).otherwise(none)
+    bought = buy & traded
+    changes = trades.where(traded | settled).select(
+        "account_id",
+        "ticker",
+        money(cash).alias("settled_cash_delta"),
+        money(F.when(buy, no_money).otherwise(waiting(net, no_money))).alias("unsettled_cash_delta"),
+        shares.alias("settled_shares_delta"),
+        F.when(buy, waiting(quantity, none)).otherwise(none).alias("unsettled_buy_delta"),
+        F.when(buy, none).otherwise(waiting(quantity, none)).alias("pending_sell_delta"),
+        F.when(bought, F.col("gross_amount")).alias("bought"),
+        F.when(bought, F.lit(1)).alias("purchases"),
+    )
+    if deposits is not None:
+        opening = deposits.where(F.col("event_date") <= limit).select(
+            "account_id",
+            F.lit(None).cast("string").alias("ticker"),
+            money("amount").alias("settled_cash_delta"),
+            no_money.alias("unsettled_cash_delta"),
+            *[none.alias(c) for c in ("settled_shares_delta", "unsettled_buy_delta", "pending_sell_delta")],
+        )
+        changes = changes.unionByName(opening, allowMissingColumns=True)
+    sums = [c for c in changes.columns if c not in ("account_id", "ticker", "purchases")]
+    return changes.groupBy("account_id", "ticker").agg(
+        *[F.sum(c).alias(c) for c in sums], F.count("purchases").alias("purchases")
+    )
+
+
 def balances(events: DataFrame) -> DataFrame:
     """Cash per account after all events."""
     return events.groupBy("account_id").agg(
@@ -478,12 +528,20 @@ def balances(events: DataFrame) -> DataFrame:
 
 def share_positions(events: DataFrame) -> DataFrame:
     """Shares per account and name after all events."""
-    sums = events.where("ticker IS NOT NULL").groupBy("account_id", "ticker").agg(
-        F.sum("settled_shares_delta").alias("settled_shares"),
-        F.sum("unsettled_buy_delta").alias("unsettled_buy_shares"),
-        F.sum("pending_sell_delta").alias("pending_sell_shares"),
-    )
-    return sums.withColumns(
+    deltas = ["settled_shares_delta", "unsettled_buy_delta", "pending_sell_delta"]
+    sums = events.where("ticker IS NOT NULL").groupBy("account_id", "ticker").agg(*[F.sum(c).alias(c) for c in deltas])
+    return summed_positions(sums)
+
+
+def summed_positions(totals: DataFrame) -> DataFrame:
+    """``share_positions`` of totals that hold one row per account and name: nothing is summed again."""
+    return totals.where("ticker IS NOT NULL").select(
+        "account_id",
+        "ticker",
+        F.col("settled_shares_delta").alias("settled_shares"),
+        F.col("unsettled_buy_delta").alias("unsettled_buy_shares"),
+        F.col("pending_sell_delta").alias("pending_sell_shares"),
+    ).withColumns(
         {
             "sellable_quantity": F.col("settled_shares") - F.col("pending_sell_shares"),
             "economic_quantity": F.col("settled_shares")
@@ -593,6 +651,36 @@ def portfolio_value(positions: DataFrame, cash: DataFrame, prices: DataFrame) ->
     )
 
 
+def account_values(totals: DataFrame, prices: DataFrame) -> DataFrame:
+    """``balances`` and ``portfolio_value`` of totals with one row per account and name, in one sum.
+
+    ``prices`` has one row per ticker.
+    """
+    shares = F.col("settled_shares_delta") + F.col("unsettled_buy_delta") - F.col("pending_sell_delta")
+    # As in a join by account, positions of no account belong to none.
+    held = F.col("account_id").isNotNull() & F.col("ticker").isNotNull() & (F.col("__shares") > 0)
+    return (
+        totals.withColumn("__shares", shares)
+        .join(prices.select("ticker", "mark_price"), "ticker", "left")
+        .groupBy("account_id")
+        .agg(
+            money(F.sum("settled_cash_delta")).alias("settled_cash"),
+            money(F.sum("unsettled_cash_delta")).alias("unsettled_cash"),
+            money(F.sum(F.when(held, times_quantity("mark_price", "__shares")))).alias("__market"),
+            F.count_if(held & (F.coalesce(F.col("mark_price"), F.lit(0)) <= 0)).alias("missing_prices"),
+        )
+        .select(
+            "account_id",
+            "settled_cash",
+            "unsettled_cash",
+            money(
+                F.col("settled_cash") + F.col("unsettled_cash") + F.coalesce("__market", F.lit(0))
+            ).alias("portfolio_value"),
+            "missing_prices",
+        )
+    )
+
+
 def reconcile(
     positions: DataFrame, cash: DataFrame, settlement_rows: DataFrame, ledger: DataFrame | None = None
 ) -> DataFrame:
