@@ -8,6 +8,7 @@ opening value of each day, and only its rows of one day are ordered together.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,26 +77,29 @@ def execution_problems(orders: DataFrame, prices: DataFrame) -> DataFrame:
     return single.unionByName(repeated)
 
 
-def _with_own_prices(orders: DataFrame, price: Column, on: Sequence[str], dealt_by: Sequence[str]) -> DataFrame:
-    """Every order with the price of every order of its key: the rows of a join of the orders with their own prices.
+def list_own_prices(orders: DataFrame, price: Column, on: Sequence[str], dealt_by: Sequence[str] = ()) -> DataFrame:
+    """Every order with ``own_prices``, the prices of all orders of its key; none without a whole key.
 
-    Orders without a whole key have no price.  ``dealt_by`` are columns that equal keys share; where the
-    rows already lie by them, they are not moved.
+    One entry per row of a join of the orders with their own prices.  ``dealt_by`` are columns that equal
+    keys share; where the rows already lie by them, they are not moved.
     """
     same_key = Window.partitionBy(*dealt_by, *on)
     listed = F.collect_list(F.struct(price.alias("price"))).over(same_key)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    return orders.withColumn("own_prices", F.when(whole, listed))
+
+
+def _with_own_prices(orders: DataFrame) -> DataFrame:
     return (
-        orders.dropna(subset=list(on))
-        .withColumn("__prices", listed)
-        .withColumn("__price", F.explode("__prices"))
+        orders.withColumn("__price", F.explode("own_prices"))
         .withColumn("execution_price", F.col("__price.price"))
-        .drop("__prices", "__price")
+        .drop("own_prices", "__price")
     )
 
 
 def price_executions(
     orders: DataFrame,
-    prices: DataFrame | Column,
+    prices: DataFrame | Column | None,
     on: Sequence[str] = ("ticker",),
     commission: str = COMMISSION_RATE,
     slippage: str = SLIPPAGE_RATE,
@@ -106,13 +110,17 @@ def price_executions(
 
     ``prices`` has the ``on`` columns and ``execution_price``; include the execution date
     in ``on`` to price many days at once.  Where the orders bring their prices themselves, ``prices`` is
-    that column, and ``dealt_by`` may name columns that orders of equal keys share.
+    that column, and ``dealt_by`` may name columns that orders of equal keys share; with no ``prices`` the
+    orders come from ``list_own_prices``.
     """
     is_buy = F.col("side") == "BUY"
     gross = times_quantity("execution_price", "filled_quantity")
     costs = F.col("commission") + F.col("slippage") + F.col("tax")
-    if isinstance(prices, Column):
-        priced = _with_own_prices(orders, prices, on, dealt_by)
+    if prices is None:
+        priced = _with_own_prices(orders)
+    elif isinstance(prices, Column):
+        # Orders without a whole key have no price and are not gathered.
+        priced = _with_own_prices(list_own_prices(orders.dropna(subset=list(on)), prices, on, dealt_by))
     else:
         priced = orders.join(prices, list(on))
     return (
