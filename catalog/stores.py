@@ -148,8 +148,9 @@ def _order_ledger(spark, folder):
         "reason_code": F.lit(""),
         "created_at": F.to_timestamp("intended_execution_date"),
     }
-    rows = _orders(spark, folder).withColumns(values)
-    typed = stored(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGERS["orders"]]), "typed")
+    # Stored without what their columns tell; the exact schema is made where the rows are read.
+    rows = stored(_orders(spark, folder), "orders").withColumns(values)
+    typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGERS["orders"]])
     sl.create_ledger(spark, "orders", path)
     sl.append_rows("orders", typed.where("side = 'BUY'"), path)
     sl.append_rows("orders", typed.where("side = 'SELL'"), path)
