@@ -77,16 +77,20 @@ def execution_problems(orders: DataFrame, prices: DataFrame) -> DataFrame:
     return single.unionByName(repeated)
 
 
-def list_own_prices(orders: DataFrame, price: Column, on: Sequence[str], dealt_by: Sequence[str] = ()) -> DataFrame:
-    """Every order with ``own_prices``, the prices of all orders of its key; none without a whole key.
+def list_own_prices(
+    orders: DataFrame, price: Column, on: Sequence[str], dealt_by: Sequence[str] = (), name: str = "own_prices", among: Column | None = None
+) -> DataFrame:
+    """Every order with ``name``, the prices of all orders of its key; none without a whole key.
 
     One entry per row of a join of the orders with their own prices.  ``dealt_by`` are columns that equal
-    keys share; where the rows already lie by them, they are not moved.
+    keys share; where the rows already lie by them, they are not moved.  With ``among`` only the orders for which it
+    holds give their price.
     """
     same_key = Window.partitionBy(*dealt_by, *on)
-    listed = F.collect_list(F.struct(price.alias("price"))).over(same_key)
+    entry = F.struct(price.alias("price"))
+    listed = F.collect_list(entry if among is None else F.when(among, entry)).over(same_key)
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    return orders.withColumn("own_prices", F.when(whole, listed))
+    return orders.withColumn(name, F.when(whole, listed))
 
 
 def _with_own_prices(orders: DataFrame) -> DataFrame:
