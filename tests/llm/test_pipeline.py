@@ -9,7 +9,7 @@ import zlib
 from tokenizers import Tokenizer
 
 from tidepanel.llm import wordbpe
-from tidepanel.llm.common import batches, picked
+from tidepanel.llm.common import batches, picked, possible
 from tests.llm.test_quality import plain_measures
 from tests.llm.test_similar import classes
 from tests.llm.test_substring import plain_repeats
@@ -103,3 +103,15 @@ def test_batches_are_cut_by_rows_and_weight():
     assert [b.num_rows for b in batches(((k, b"x" * 10) for k in range(10)), schema, size=4)] == [4, 4, 2]
     assert [b.num_rows for b in batches(((k, b"x" * 10) for k in range(5)), schema, weight=25)] == [3, 2]
     assert list(batches([], schema)) == []
+
+
+@pytest.mark.parametrize("words", [1, 2, 1 << 18])
+def test_no_wanted_key_is_lost_in_a_bitmap(spark, words):
+    keys = [0, 1, -1, 63, 64, 127, -(2**63), 2**63 - 1, 5 << 40]
+    frame = spark.createDataFrame([(k, n) for n, k in enumerate([*keys, *keys, *range(1000, 1100)])] + [(None, 999)], "key bigint, n int")
+    wanted = spark.createDataFrame([(k,) for k in [*keys, keys[0]]], "w bigint")
+    left = [r["n"] for r in possible(frame, "key", wanted, words).collect()]
+    assert len(left) == len(set(left)) and set(range(18)) <= set(left) and 999 not in left
+    assert possible(frame, "key", wanted.limit(0), words).count() == 0
+    if words > 2:
+        assert len(left) == 18

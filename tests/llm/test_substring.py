@@ -163,3 +163,17 @@ def test_stage_removes_a_passage_inside_lines(spark):
     rows = [(1, f"one two {passage} three"), (2, f"four {passage} five\nsix")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.substring_dedup(spark, frame, "").collect()} == {1: rows[0][1], 2: "four five\nsix"}
+
+
+def test_only_texts_with_a_repeated_window_are_moved(spark, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, " ".join(f"w{k}_{j}" for j in range(80))) for k in range(200)] + [(300, f"a {passage}"), (301, f"b c {passage} d")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    moved = {"possible": [], "marked_possible": []}
+    for name, seen in moved.items():
+        real = getattr(substring, name)
+        monkeypatch.setattr(substring, name, lambda *args, real=real, seen=seen: seen.append(real(*args)) or seen[-1])
+    out = {r["doc_id"]: r["text"] for r in substring.without_repeats(frame).collect()}
+    assert out == dict(rows) | {301: "b c d"}
+    (asked,), (marked,) = moved.values()
+    assert asked.count() == 2 and marked.count() == len(rows) and marked.where("possible").count() == 1

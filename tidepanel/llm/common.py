@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from tidepanel.session import checkpoint, shared_root
 
-__all__ = ["batches", "checkpoint", "mapped", "picked", "shared_folder", "stored", "table", "utf8"]
+__all__ = ["batches", "checkpoint", "mapped", "marked_possible", "picked", "possible", "shared_folder", "stored", "table", "utf8"]
+
+#: Longs of a bitmap of keys: 16 million bits, whatever the number of keys.
+MAP_WORDS = 1 << 18
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +70,26 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def marked_possible(frame: DataFrame, key: str, wanted: DataFrame, words: int = MAP_WORDS) -> DataFrame:
+    """frame with ``possible``: false where ``key``, a 64-bit hash, is none of those in ``wanted`` (its one column).
+
+    All tasks get a bitmap of the wanted keys, of bounded size.  Keys that share a bit with a wanted one are possible
+    too, so a join has to follow; it then moves few of the other rows.
+    """
+    bits = wanted.toDF("key").select(F.pmod("key", F.lit(64 * words)).alias("bit"))
+    mask = F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))")
+    found = bits.groupBy(F.shiftright("bit", 6).alias("__word")).agg(mask.alias("__mask"))
+    bit = F.pmod(key, F.lit(64 * words))
+    joined = frame.withColumn("__bit", bit).join(F.broadcast(found), F.shiftright("__bit", 6) == F.col("__word"), "left")
+    held = F.expr("shiftright(__mask, CAST(__bit % 64 AS INT)) & 1L") == 1
+    return joined.withColumn("possible", F.coalesce(held, F.lit(False))).drop("__bit", "__word", "__mask")
+
+
+def possible(frame: DataFrame, key: str, wanted: DataFrame, words: int = MAP_WORDS) -> DataFrame:
+    """The rows of frame whose ``key`` may be in ``wanted``."""
+    return marked_possible(frame, key, wanted, words).where("possible").drop("possible")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which the driver and all executors can reach."""
     # Spark states the folder with its file system, also where the setting leaves that to the default.

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import picked, stored, utf8
+from tidepanel.llm.common import picked, possible, stored, utf8
 from tidepanel.llm.components import connected
 from tidepanel.llm.simhash import SEED, _signed, reordered, trie_links
 
@@ -214,7 +214,8 @@ def links_between(
     kept = "node bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, trie int, root bigint, x int, y int, side int, class bigint"
     columns = [c.split()[0] for c in kept.split(", ")]
     opened = stored(_by_cell(classed.select(columns)).mapInArrow(open_nodes, kept), "open")
-    texts = keyed.select("node", "text").join(stored(opened.select("node").distinct(), "asked"), "node", "left_semi")
+    asked = stored(opened.select("node").distinct(), "asked")
+    texts = possible(keyed.select("node", "text"), "node", asked).join(asked, "node", "left_semi")
 
     def sets(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts_:
@@ -396,9 +397,9 @@ def similar_links(links: DataFrame, keyed: DataFrame, similarity: float, shingle
 
     Shingles are made anew for the texts that have a link.
     """
-    # Stored, so that its size is known when Spark plans the join: few of them need no shuffle of texts.
+    # Stored, as it is read twice; texts without a link are not moved.
     linked = stored(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "linked")
-    texts = keyed.select("node", "text").join(linked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = possible(keyed.select("node", "text"), "node", linked).join(linked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from tidepanel.llm.common import batches, picked, stored
+from tidepanel.llm.common import batches, marked_possible, picked, possible, stored
 
 MIN_WORDS = 20
 PASSAGE = 50
@@ -233,7 +233,10 @@ def repeated_passages(documents: DataFrame, id: str = "doc_id", text: str = "tex
     owned = stored(found.where("times > 0").join(named, own).select("num", "anchor", "times"), "owned")
     twice = owned.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
     wanted = owned.join(twice, "anchor").groupBy("num").agg(F.collect_set("anchor").alias("anchors")).join(named, "num")
-    read = stored(_window_digests(given.join(wanted, own), passage), "windows")
+    wanted = stored(wanted, "wanted")
+    # Texts without such a window are not moved.
+    asked = possible(given, "body", wanted.select("lead_body"))
+    read = stored(_window_digests(asked.join(wanted, own), passage), "windows")
     windows = read.where("high IS NOT NULL").select("at", "high", "low")
     spots = read.where("high IS NULL").select(F.col("at").alias("num"), "spots").dropDuplicates(["num"])
     repeated = windows.groupBy("high", "low").agg(F.min("at").alias("kept_at"), F.count("*").alias("copies")).where("copies > 1")
@@ -337,10 +340,14 @@ def without_repeats(
     repeats = _repeats(frame, key, body, unit, min_words, passage)
     spans = repeats.select("doc_id", "body", F.struct("start", "end", "kept_doc_id").alias("span")).distinct()
     spans = spans.groupBy("doc_id", "body").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("body").alias("span_body"), "spans")
-    own = F.col(key).eqNullSafe(F.col("span_id")) & (F.xxhash64(F.col(body).cast("string")) == F.col("span_body"))
-    joined = frame.join(spans, own, "left").drop("span_id", "span_body")
+    spans = stored(spans.select(F.col("doc_id").alias("span_id"), F.col("body").alias("span_body"), "spans"), "spans")
+    own = F.col(key).eqNullSafe(F.col("span_id")) & (F.col("body") == F.col("span_body"))
+    hashed = frame.withColumn("body", F.xxhash64(F.col(body).cast("string")))
+    marked = marked_possible(hashed, "body", spans.select("span_body"))
+    # Documents that surely keep their text are not moved.
+    joined = marked.where("possible").join(spans, own, "left").drop("span_id", "span_body")
     removed = f"array<struct<start:int,end:int,kept_doc_id:{frame.schema[key].dataType.simpleString()}>>"
+    joined = joined.unionByName(marked.where("NOT possible").withColumn("spans", F.lit(None).cast(removed)))
 
     # Only texts with something to cut travel to Python, and a filter above does not cut them twice.
     trim = F.pandas_udf(_trimmed, "string").asNondeterministic()
