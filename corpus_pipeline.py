@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import stored, table
+from tidepanel.llm.common import marked_possible, stored, table
 from tidepanel.llm.packing import packed
 from tidepanel.llm.quality import quality_verdicts
 from tidepanel.llm.similar import similar_documents
@@ -48,12 +48,18 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     classes = stored(similar_documents(frame, id, names["text"]).select("doc_id", "component_id"), "classes")
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = frame.join(first, F.col(id).eqNullSafe(F.col("doc_id")))
+    # Documents whose id is surely the first of one class are not moved.
+    times = F.count(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), 1))
+    doubtful = classes.groupBy("doc_id").agg(times.alias("rows")).where("rows <> 1").select(F.xxhash64("doc_id"))
+    marked = marked_possible(frame.withColumn("hash", F.xxhash64(id)), "hash", doubtful)
+    kept = marked.where("possible").join(first, F.col(id).eqNullSafe(F.col("doc_id"))).drop("doc_id")
+    kept = kept.unionByName(marked.where("NOT possible").withColumn("rows", F.lit(1).cast("bigint")))
     if not first.where("rows > 1").limit(1).count():
         return kept.select(*names.values()).toDF(*names)
     # Only rows that share an id are compared with each other.
-    alone = kept.where("rows = 1").drop("doc_id", "rows")
-    shared = kept.where("rows > 1").drop("doc_id", "rows")
+    kept = kept.drop("hash", "possible")
+    alone = kept.where("rows = 1").drop("rows")
+    shared = kept.where("rows > 1").drop("rows")
     numbered = shared.where(F.col(id).isNotNull()).dropDuplicates([id])
     nameless = shared.where(F.col(id).isNull()).dropDuplicates([names["text"]])
     return alone.unionByName(numbered).unionByName(nameless).toDF(*names)

@@ -115,3 +115,14 @@ def test_no_wanted_key_is_lost_in_a_bitmap(spark, words):
     assert possible(frame, "key", wanted.limit(0), words).count() == 0
     if words > 2:
         assert len(left) == 18
+
+
+def test_documents_that_surely_stay_are_not_moved(spark, monkeypatch):
+    make = lambda k: " ".join(f"x{k}_{j}" for j in range(60))
+    rows = [(k, make(k)) for k in range(80)] + [(100, make(3)), (101, make(101)), (101, make(102)), (None, make(5)), (None, make(103))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, real = [], corpus_pipeline.marked_possible
+    monkeypatch.setattr(corpus_pipeline, "marked_possible", lambda *args: seen.append(real(*args)) or seen[-1])
+    out = [r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, frame, "").collect()]
+    assert sorted(d for d in out if d is not None) == [*range(80), 101] and None in out
+    assert seen[0].count() == len(rows) and seen[0].where("possible").count() < 8
