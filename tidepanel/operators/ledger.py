@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidepanel.functions.dates import with_date_index
@@ -26,6 +26,8 @@ SETTLEMENT_LAG = 2
 STEPS_PER_BLOCK = 1024
 # Rows of one account that are ordered together; an account with more goes day by day.
 ROWS_TOGETHER = 100_000
+# Rows of all its accounts that one task orders.
+ROWS_PER_TASK = 500_000
 
 
 def money(value: Column | str) -> Column:
@@ -349,38 +351,62 @@ def account_events(trades: DataFrame, asof: object, deposits: DataFrame | None =
     return opening.unionByName(events)
 
 
+def account_pieces(trades: DataFrame, together: int = ROWS_TOGETHER) -> int | None:
+    """Partitions by account that keep the events of these trades small; none where one account has too many.
+
+    A trade has two events, its execution and its settlement.
+    """
+    counts = trades.groupBy("account_id").agg((2 * F.count(F.lit(1)) + 1).alias("__rows"))
+    row = counts.agg(F.sum("__rows").alias("rows"), F.max("__rows").alias("largest")).first()
+    if (row["largest"] or 0) > together:
+        return None
+    usual = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, (row["rows"] or 0) // ROWS_PER_TASK + 1)
+
+
 def running_totals(
     rows: DataFrame,
     totals: dict[str, str],
     by: Sequence[str],
     date: str,
     order: Sequence[str],
-    together: int = ROWS_TOGETHER,
+    together: int | None = ROWS_TOGETHER,
+    keep: bool = False,
 ) -> DataFrame:
     """Running sum of each column in (date, order) per group; rows without a whole key or date have none.
 
     ``totals`` maps a column to its running-sum name.  The rows of a group are moved once and ordered
     together.  Where the first ``by`` column has a value with more than ``together`` rows, the groups of
-    that value are ordered day by day, each day beginning with the totals of the days before.
-    A day has no sum before its first known value.
+    that value are ordered day by day, each day beginning with the totals of the days before.  With no
+    ``together`` nothing is counted: no value is that large.
+    A day has no sum before its first known value.  Rows without a whole key or date go, unless ``keep`` is set.
     """
     by = list(by)
-    rows = rows.dropna(subset=[*by, date])
-    counts = rows.groupBy(by[0]).agg(F.count(F.lit(1)).alias("__rows"))
-    large = checkpoint(counts.where(F.col("__rows") > together).select(by[0]))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, date]])
+    if not keep:
+        rows = rows.dropna(subset=[*by, date])
     known = Window.partitionBy(*by, date).orderBy(*order)
     types = {c: rows.schema[c].dataType for c in totals}
-    if large.isEmpty():
-        along = Window.partitionBy(*by).orderBy(date, *order)
-        return rows.withColumns(
-            {
-                name: F.when(F.count(c).over(so_far(known)) > 0, F.sum(c).over(so_far(along))).cast(types[c])
-                for c, name in totals.items()
-            }
-        )
+
+    def summed(known: WindowSpec, along: WindowSpec, opening: dict[str, Column]) -> dict[str, Column]:
+        sums = {}
+        for c, name in totals.items():
+            value = F.when(whole, F.col(c)) if keep else F.col(c)
+            total = F.sum(value).over(so_far(along))
+            if opening:
+                total = F.coalesce(opening[c], F.lit(0).cast(types[c])) + total
+            sums[name] = F.when(F.count(value).over(so_far(known)) > 0, total).cast(types[c])
+        return sums
+
+    large = None
+    if together is not None:
+        counts = rows.where(whole).groupBy(by[0]).agg(F.count(F.lit(1)).alias("__rows"))
+        large = checkpoint(counts.where(F.col("__rows") > together).select(by[0]))
+    if large is None or large.isEmpty():
+        return rows.withColumns(summed(known, Window.partitionBy(*by).orderBy(date, *order), {}))
     # At most one in ``together`` rows: few enough to send to every task.
     large = F.broadcast(large)
-    days = rows.join(large, by[0], "left_semi").groupBy(*by, date).agg(*[F.sum(c).alias(f"__day_{c}") for c in totals])
+    days = rows.where(whole).join(large, by[0], "left_semi").groupBy(*by, date).agg(*[F.sum(c).alias(f"__day_{c}") for c in totals])
     earlier = Window.partitionBy(*by).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
     opening = days.select(
         *by, F.col(date).alias("__piece"), *[F.sum(f"__day_{c}").over(earlier).alias(f"__open_{c}") for c in totals]
@@ -392,20 +418,12 @@ def running_totals(
     known = Window.partitionBy(*by, "__piece", date).orderBy(*order)
     return (
         pieces.join(opening, [*by, "__piece"], "left")
-        .withColumns(
-            {
-                name: F.when(
-                    F.count(c).over(so_far(known)) > 0,
-                    F.coalesce(F.col(f"__open_{c}"), F.lit(0).cast(types[c])) + F.sum(c).over(so_far(along)),
-                ).cast(types[c])
-                for c, name in totals.items()
-            }
-        )
-        .drop("__large", "__piece", *[f"__open_{c}" for c in totals])
+        .withColumns(summed(known, along, {c: F.col(f"__open_{c}") for c in totals}))
+        .select(*rows.columns, *totals.values())
     )
 
 
-def cash_ledger(events: DataFrame) -> DataFrame:
+def cash_ledger(events: DataFrame, together: int | None = ROWS_TOGETHER) -> DataFrame:
     """Cash entries with running settled and unsettled balances per account."""
     rows = running_totals(
         events,
@@ -416,6 +434,7 @@ def cash_ledger(events: DataFrame) -> DataFrame:
         ["account_id"],
         "event_date",
         ["phase", "entry_id"],
+        together,
     )
     return rows.select(
         "account_id", "entry_id", "event_date", "settlement_date", "entry_type", "amount",
@@ -424,35 +443,35 @@ def cash_ledger(events: DataFrame) -> DataFrame:
     )
 
 
-def trade_violations(events: DataFrame) -> DataFrame:
+def trade_violations(events: DataFrame, together: int | None = ROWS_TOGETHER) -> DataFrame:
     """(account_id, ticker, entry_id, event_date, violation) of trades the books did not cover when they came.
 
     ``overspent``: a purchase leaves less than no settled cash, whatever still is to come in.
-    ``oversold``: a sale leaves more shares sold than had settled until then.
+    ``oversold``: a sale leaves more shares sold than had settled until then.  Both totals go along one copy of the rows.
     """
-    columns = ["account_id", "ticker", "entry_id", "event_date"]
-    cash = running_totals(
-        events, {"settled_cash_delta": "settled_cash"}, ["account_id"], "event_date", ["phase", "entry_id"]
-    )
-    spent = cash.where("entry_type = 'BUY_EXECUTION' AND settled_cash < 0")
-    names = events.where("ticker IS NOT NULL").withColumn(
-        "sellable_delta", F.col("settled_shares_delta") - F.col("pending_sell_delta")
-    )
-    shares = running_totals(
-        names, {"sellable_delta": "sellable"}, ["account_id", "ticker"], "event_date", ["phase", "entry_id"]
+    order = ["phase", "entry_id"]
+    rows = events.withColumn("__sellable_delta", F.col("settled_shares_delta") - F.col("pending_sell_delta"))
+    rows = running_totals(rows, {"settled_cash_delta": "__cash"}, ["account_id"], "event_date", order, together, keep=True)
+    rows = running_totals(
+        rows, {"__sellable_delta": "__sellable"}, ["account_id", "ticker"], "event_date", order, together, keep=True
     )
-    sold = shares.where("entry_type = 'SELL_EXECUTION' AND sellable < 0")
-    return spent.select(*columns, F.lit("overspent").alias("violation")).unionByName(
-        sold.select(*columns, F.lit("oversold").alias("violation"))
+    violation = F.when(F.expr("entry_type = 'BUY_EXECUTION' AND __cash < 0"), "overspent").when(
+        F.expr("entry_type = 'SELL_EXECUTION' AND __sellable < 0"), "oversold"
     )
+    return rows.select("account_id", "ticker", "entry_id", "event_date", violation.alias("violation")).where("violation IS NOT NULL")
 
 
-def balance_problems(ledger: DataFrame) -> DataFrame:
+def balance_problems(ledger: DataFrame, together: int | None = ROWS_TOGETHER) -> DataFrame:
     """(account_id, entry_id, problem): entries of a cash ledger that a replay contradicts.
 
     The balances of every entry are computed again from the changes before it; deposits come
     before settlements of the same day and those before trades.
     """
+    return _replayed(ledger, together).where("problem IS NOT NULL").select("account_id", "entry_id", "problem")
+
+
+def _replayed(ledger: DataFrame, together: int | None) -> DataFrame:
+    """Every entry with its ``problem``; entries without account or date cannot be replayed and have none."""
     phase = (
         F.when(F.col("entry_type") == "INITIAL_DEPOSIT", 0)
         .when(F.col("entry_type").endswith("_SETTLEMENT"), 1)
@@ -465,11 +484,14 @@ def balance_problems(ledger: DataFrame) -> DataFrame:
         ["account_id"],
         "event_date",
         ["__phase", "entry_id"],
+        together,
+        keep=True,
     )
     wrong = F.lit(None).cast("string")
     for side in reversed(sides):
         wrong = F.when(~F.col(f"__{side}").eqNullSafe(F.col(f"{side}_balance")), f"{side}_balance").otherwise(wrong)
-    return replayed.withColumn("problem", wrong).where("problem IS NOT NULL").select("account_id", "entry_id", "problem")
+    whole = F.col("account_id").isNotNull() & F.col("event_date").isNotNull()
+    return replayed.withColumn("problem", F.when(whole, wrong))
 
 
 def event_totals(events: DataFrame) -> DataFrame:
@@ -693,8 +715,34 @@ def account_values(totals: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+def _ledger_violations(ledger: DataFrame, together: int | None) -> DataFrame:
+    """Repeated entries, and accounts with a balance that is negative or contradicted, from one look at the ledger."""
+
+    def named(name: str, key: Column) -> Column:
+        return F.struct(F.lit(name).alias("violation"), key.cast("string").alias("key"))
+
+    below = F.expr("settled_cash_balance < 0 OR unsettled_cash_balance < 0")
+    marks = F.array(
+        named("duplicate_entry", F.col("entry_id")),
+        F.when(below, named("negative_balance", F.lit(None))),
+        F.when(F.col("problem").isNotNull(), named("wrong_running_balance", F.lit(None))),
+    )
+    return (
+        _replayed(ledger, together)
+        .select("account_id", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("mark"))
+        .groupBy("account_id", F.col("mark.violation").alias("violation"), F.col("mark.key").alias("key"))
+        .count()
+        .where("violation <> 'duplicate_entry' OR count > 1")
+        .select("account_id", F.lit(None).cast("string").alias("ticker"), "violation")
+    )
+
+
 def reconcile(
-    positions: DataFrame, cash: DataFrame, settlement_rows: DataFrame, ledger: DataFrame | None = None
+    positions: DataFrame,
+    cash: DataFrame,
+    settlement_rows: DataFrame,
+    ledger: DataFrame | None = None,
+    together: int | None = ROWS_TOGETHER,
 ) -> DataFrame:
     """(account_id, ticker, violation): empty when the books agree."""
     negative_cash = cash.select(
@@ -739,16 +787,7 @@ def reconcile(
     )
     found = negative_cash.unionByName(negative_shares).unionByName(compared).unionByName(cash_match)
     if ledger is not None:
-        repeated = ledger.groupBy("account_id", "entry_id").count().where("count > 1").select(
-            "account_id", F.lit(None).cast("string").alias("ticker"), F.lit("duplicate_entry").alias("violation")
-        )
-        below = ledger.where("settled_cash_balance < 0 OR unsettled_cash_balance < 0").select(
-            "account_id", F.lit(None).cast("string").alias("ticker"), F.lit("negative_balance").alias("violation")
-        ).distinct()
-        replay = balance_problems(ledger).select(
-            "account_id", F.lit(None).cast("string").alias("ticker"), F.lit("wrong_running_balance").alias("violation")
-        ).distinct()
-        found = found.unionByName(repeated).unionByName(below).unionByName(replay)
+        found = found.unionByName(_ledger_violations(ledger, together))
     return found.where("violation IS NOT NULL")
 
 
