@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import panel
-from catalog.accounts import _orders
+from catalog.accounts import _kept_orders
 from catalog.registry import query
 from tidepanel.operators import ingest, splits
 from tidepanel.schemas import BAR_SCHEMA, LEDGERS
-from tidepanel.session import checkpoint, stored, working_folder
+from tidepanel.session import checkpoint, working_folder
 from tidepanel.sources import bars as sb
 from tidepanel.sources import ledgers as sl
 from tidepanel.sources import tables
@@ -149,7 +149,7 @@ def _order_ledger(spark, folder):
         "created_at": F.to_timestamp("intended_execution_date"),
     }
     # Stored without what their columns tell; the exact schema is made where the rows are read.
-    rows = stored(_orders(spark, folder), "orders").withColumns(values)
+    rows = _kept_orders(spark, folder).withColumns(values)
     typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGERS["orders"]])
     sl.create_ledger(spark, "orders", path)
     sl.append_rows("orders", typed.where("side = 'BUY'"), path)

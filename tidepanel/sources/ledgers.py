@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,9 +77,38 @@ def append_rows(name: str, new_rows: DataFrame, path: str) -> bool:
     spark = new_rows.sparkSession
     check_columns(name, new_rows.columns)
     keys = LEDGER_KEYS[name]
+    existing = read_ledger(spark, name, path)
+    one = new_rows.select(*keys).first()
+    if one is None:
+        return False
+    # Where one key of the batch is known, a repeated batch is likely: its keys are compared at once.
+    known = not existing.where(reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(one[k]) for k in keys])).isEmpty()
+    if (known or not _unmet(keys, new_rows, existing)) and not _compared(name, keys, new_rows, existing):
+        return False
+    new_rows.write.mode("append").option("compression", "zstd").parquet(path)
+    return True
+
+
+def _unmet(keys: Sequence[str], new_rows: DataFrame, existing: DataFrame) -> bool:
+    """Whether hashes alone tell that a batch has no blank or repeated key and none of the ledger.
+
+    Equal keys have equal hashes, so hashes that differ prove it; where two meet, the keys have to be compared.
+    Only hashes are moved.
+    """
+    state = F.when(F.expr(_blank(keys)), F.lit(2)).otherwise(F.lit(1))
+    hashed = F.xxhash64(*keys).alias("key")
+    both = new_rows.select(hashed, state.alias("state")).unionByName(existing.select(hashed, F.lit(0).alias("state")))
+    # A sum of exactly one is a single whole key of the batch; a repeated key of the ledger alone does not matter.
+    per_hash = both.groupBy("key").agg(F.sum("state").alias("states"), F.count(F.lit(1)).alias("rows"))
+    fresh = (F.col("states") == 1) & (F.col("rows") == 1)
+    return per_hash.where((F.col("states") > 0) & ~fresh).isEmpty()
+
+
+def _compared(name: str, keys: Sequence[str], new_rows: DataFrame, existing: DataFrame) -> bool:
+    """Whether a batch is to be appended, from its keys; a batch with wrong or some known keys is refused."""
     one, none = F.lit(1).alias("new"), F.lit(0).alias("new")
     # Batch and ledger meet once by key; blank and repeated keys are seen on the way.
-    both = new_rows.select(*keys, one).unionByName(read_ledger(spark, name, path).select(*keys, none))
+    both = new_rows.select(*keys, one).unionByName(existing.select(*keys, none))
     per_key = both.groupBy(*keys).agg(F.sum("new").alias("copies"), F.min("new").alias("least"))
     batch = F.col("copies") > 0
     row = per_key.agg(
@@ -90,10 +120,7 @@ def append_rows(name: str, new_rows: DataFrame, path: str) -> bool:
         raise ValueError(f"Invalid {name} batch, for example {row_problems(name, new_rows).limit(5).collect()}")
     if 0 < row["present_keys"] < row["batch_keys"]:
         raise ValueError(f"{row['present_keys']} of {row['batch_keys']} keys already exist in {name}")
-    if row["present_keys"] == row["batch_keys"]:
-        return False
-    new_rows.write.mode("append").option("compression", "zstd").parquet(path)
-    return True
+    return row["present_keys"] < row["batch_keys"]
 
 
 def create_ledger(spark: SparkSession, name: str, path: str) -> None:
