@@ -81,6 +81,28 @@ def test_exactly_covered_and_empty(spark):
     assert none.count() == 0
 
 
+def test_accounts_with_few_purchases_are_walked_without_rounds(spark, monkeypatch):
+    """Only an account with many purchases goes by running sums; the others are moved once."""
+    rules = om.Constraints(min_trade_value="1000", round_lot_size=10)
+    draw = random.Random(9)
+    rows = []
+    for k in range(400):
+        account = "hot" if k % 4 == 0 else f"a{k % 29}"
+        price = f"{draw.choice([0.05, 7.35, 99, 1203.123456]):.6f}"
+        cash = {"hot": "250000.5", "a1": "0", "a2": "0.01"}.get(account, "30000")
+        rows.append(request(account, k, draw.randrange(9), draw.choice([0, 10, 30, 2000]), price, cash))
+    by_rounds = []
+    stretches = om._cash_by_stretches
+    monkeypatch.setattr(om, "_cash_by_stretches", lambda buys, *args: by_rounds.append(buys) or stretches(buys, *args))
+    check(spark, rows, rules, block_rows=50)
+    assert len(by_rounds) == 1 and {r["account_id"] for r in by_rounds[0].collect()} == {"hot"}
+    check(spark, rows, rules, block_rows=100_000)
+    assert len(by_rounds) == 1
+    monkeypatch.setattr(om, "WALKED", 0)
+    check(spark, rows, rules, block_rows=7)
+    assert len(by_rounds) == 2
+
+
 def test_blocks_of_a_large_group_are_bounded_and_numbers_whole(spark):
     rows = spark.range(4000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 100)).alias("g"),

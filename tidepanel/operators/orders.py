@@ -20,6 +20,10 @@ from tidepanel.operators.ledger import decimal_ratio, money, times_quantity
 from tidepanel.session import checkpoint, stored
 
 WEIGHT = "decimal(18,12)"
+# Purchases of an account that one call walks; an account with more goes by running sums.
+WALKED = 200
+# Entries a plan row can give: every early one and every one of a request.
+ENTRIES = 14
 
 
 @dataclass(frozen=True)
@@ -341,6 +345,44 @@ def _with_cash(rows: DataFrame, states: DataFrame) -> DataFrame:
 def _cash_before_purchases(buys: DataFrame, rules: Constraints, expected_rows: int, block_rows: int) -> DataFrame:
     """Cash available to each purchase once the better-ranked ones are paid.
 
+    The purchases of an account with few of them are walked where they lie.  Only an account with more than
+    ``block_rows`` or ``WALKED`` goes by running sums, whose rounds each move its rows.
+    """
+    most = min(block_rows, WALKED)
+    costs = buys.select(
+        "account_id", "ticker", "allowed", "price", "predicted_rank", "spendable", (-F.col("lot_value")).alias("order_value")
+    )
+    # Where all accounts are small, which is seen at once, nothing is told apart.
+    large = checkpoint(costs.groupBy("account_id").count().where(F.col("count") > most).select("account_id"))
+    if large.isEmpty():
+        return _walked(costs, rules)
+    # At most one in ``most`` rows.
+    few = costs.join(F.broadcast(large), "account_id", "left_anti")
+    many = costs.join(F.broadcast(large), "account_id", "left_semi")
+    return _walked(few, rules).unionByName(_cash_by_stretches(many, rules, expected_rows, block_rows))
+
+
+def _walked(costs: DataFrame, rules: Constraints) -> DataFrame:
+    """Cash before each purchase, one after the other, of accounts with few purchases."""
+    turn = F.struct("predicted_rank", "order_value", "ticker", "allowed", "price")
+    listed = costs.groupBy("account_id").agg(
+        F.sort_array(F.collect_list(turn)).alias("turns"), money(F.max("spendable")).alias("cash")
+    )
+    none = F.expr("CAST(array() AS array<decimal(38,12)>)")
+
+    def spent(done: Column, turn: Column) -> Column:
+        cash = done["cash"]
+        left = money(cash - purchase(cash, turn["allowed"], turn["price"], rules))
+        return F.struct(left.alias("cash"), F.concat(done["before"], F.array(cash)).alias("before"))
+
+    walk = F.aggregate("turns", F.struct("cash", none.alias("before")), spent, lambda done: done["before"])
+    paired = F.arrays_zip(F.transform("turns", lambda turn: turn["ticker"]).alias("ticker"), walk.alias("cash_before"))
+    return listed.select("account_id", F.inline(paired).alias("ticker", "cash_before"))
+
+
+def _cash_by_stretches(buys: DataFrame, rules: Constraints, expected_rows: int, block_rows: int) -> DataFrame:
+    """Cash before each purchase of accounts with any number of them.
+
     An account's purchases are not walked one by one.  Let the level be the power of two at or below the
     cash.  Requests that can do with less than the level are paid in full by a running sum; all others are
     passed over, as long as none of three things happens: a cheap request is not covered in full, the cash
@@ -352,10 +394,7 @@ def _cash_before_purchases(buys: DataFrame, rules: Constraints, expected_rows: i
     The requests of an account lie in blocks of ``block_rows``; sums over blocks carry the cash from one to the next.
     """
     order = ["predicted_rank", "order_value", "ticker"]
-    costs = buys.select(
-        "account_id", "ticker", "allowed", "price", "predicted_rank", "spendable", (-F.col("lot_value")).alias("order_value")
-    )
-    placed = in_blocks(costs, ["account_id"], order, expected_rows, block_rows)
+    placed = in_blocks(buys, ["account_id"], order, expected_rows, block_rows)
     worth = times_quantity("price", "allowed")
     trades = (F.col("allowed") > 0) & (worth >= F.lit(rules.min_trade_value).cast("decimal(20,2)"))
     rows = stored(
@@ -518,6 +557,8 @@ def order_plan(
         "reason_code",
     )
     count = plan.count()
+    # Numbered where they lie, unless an account has too many entries for one task.
+    largest = plan.groupBy("account_id").count().agg(F.max("count")).first()[0] or 0
     late = funded_requests(plan, cash, rules, count, block_rows).select(
         "account_id", "phase", "priority", "order_value", "ticker", "step",
         F.col("side").alias("requested_side"), "quantity", "price", "status", "reason_code",
@@ -533,9 +574,13 @@ def order_plan(
     label = (
         F.when(F.col("status") == "SKIPPED", "skip").when(F.col("status") == "HOLD", "hold").otherwise(F.lower("requested_side"))
     )
+    entries = early.unionByName(late)
+    if largest * ENTRIES <= block_rows:
+        sequence = entries.withColumn("sequence", F.row_number().over(Window.partitionBy("account_id").orderBy(*order)))
+    else:
+        sequence = numbered(entries, ["account_id"], order, "sequence", 2 * count, block_rows)
     return (
-        numbered(early.unionByName(late), ["account_id"], order, "sequence", 2 * count, block_rows)
-        .join(signals, ["account_id", "ticker"], "left")
+        sequence.join(signals, ["account_id", "ticker"], "left")
         .select(
             "account_id",
             F.concat_ws(
